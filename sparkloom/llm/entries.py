@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import jaccard_join
+from . import embedding_dedup, jaccard_join, license_scan
 
 
 def queries() -> dict[str, Callable]:
-    return {"op10_jaccard_join": jaccard_join.op10_jaccard_join}
+    return {
+        "op1_license_scan": license_scan.op1_license_scan,
+        "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
+        "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
