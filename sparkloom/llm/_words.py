@@ -55,7 +55,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a slice of texts: byte places, document borders and one hash per word."""
 
-    def __init__(self, texts: pa.Array, table: np.ndarray):
+    def __init__(self, texts: pa.Array, table: np.ndarray, detach: bool = False):
+        """detach: a full stop or comma between an ASCII letter and a separator is a word of its own."""
         texts = texts.cast(pa.large_string())
         if texts.null_count:
             texts = texts.fill_null("")
@@ -72,6 +73,11 @@ class Words:
         if len(inside):
             start[1:] &= ~inside[:-1] | border[1:-1]
             end[:-1] &= ~inside[1:] | border[1:-1]
+        if detach and len(inside) > 1:
+            b = self.bytes
+            lone = ((b[1:] == 0x2E) | (b[1:] == 0x2C)) & (b[:-1] >= 0x61) & (b[:-1] <= 0x7A) & end[1:] & ~border[1:-1]
+            start[1:] |= lone
+            end[:-1] |= lone
         self.starts, self.ends = np.flatnonzero(start), np.flatnonzero(end) + 1
         #: words of document i: first[i] to first[i + 1]
         self.first = np.searchsorted(self.starts, off)
