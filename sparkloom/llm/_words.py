@@ -108,7 +108,7 @@ class Words:
         return mix(out, k)
 
 
-def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs of documents of about `most` bytes of text; a longer document makes a run of its own."""
     if not len(texts):
         return

@@ -15,7 +15,7 @@ Lossless by construction:
   that shares no part has both documents in that state, so both go on together. Mode 0 sketches without very frequent
   shingles (any choice of these is right; it only keeps shared passages from making large groups), modes 1
   and 2 sketch all shingles with other seeds, mode 3 joins on single shingles.
-* groups that share a part: first each member is verified against one member, then members are compared
+* groups that share a part: first, a few times, each member is verified against one of them, then members are compared
   across the components that are left. Pairs within one component need no comparison, so a group of near copies costs
   one comparison for each member.
 
@@ -44,6 +44,8 @@ MOST_FREQUENT = 500_000
 KEYS_PER_TASK = 1_500_000
 #: Ids are broadcast up to so many rows of 16 bytes, beyond that they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rounds in which the members of a group are compared with one of them.
+STARS = 4
 #: Members of a block, where a group that spans components is compared in blocks.
 BLOCK = 512
 
@@ -305,23 +307,34 @@ def _verify(batches):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a = sets.select(F.col("class").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("class").alias("v"), F.col("shingles").alias("b"))
-    size = F.length("a"), F.length("b")
-    both = pairs.join(a, "u").join(b, "v").where(4 * F.least(*size) >= 3 * F.greatest(*size))
-    return both.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long")
+    """Those of the distinct pairs (u, v) that link. Only the sets of the pairs move, to the pair's task."""
+    pairs = _shared.written(pairs.select("u", "v"), "pairs")
+    sides = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("class"))
+    sides = F.broadcast(sides) if pairs.count() <= BROADCAST_ROWS // 2 else sides
+    both = sets.select("class", "shingles").join(sides, "class").groupBy("u", "v").agg(F.collect_list("shingles").alias("s"))
+    size = F.length(F.col("s")[0]), F.length(F.col("s")[1])
+    both = both.where((F.size("s") == 2) & (4 * F.least(*size) >= 3 * F.greatest(*size)))
+    return both.select("u", "v", F.col("s")[0], F.col("s")[1]).mapInArrow(_verify, "u long, v long")
 
 
 def _across(batches):
     """Pairs of members of two blocks of a group that are not in one component."""
     for batch in batches:
+        found, held = [], 0
         for i in range(batch.num_rows):
-            a, b = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            x, cx = (np.array([m[f] for m in a], dtype=np.int64) for f in ("class", "component"))
-            y, cy = (np.array([m[f] for m in b], dtype=np.int64) for f in ("class", "component"))
+            a, b = batch.column(0)[i].values, batch.column(1)[i].values
+            x, cx = (a.field(f).to_numpy() for f in ("class", "component"))
+            y, cy = (b.field(f).to_numpy() for f in ("class", "component"))
             p, q = np.nonzero((cx[:, None] != cy[None, :]) & (x[:, None] != y[None, :]))
-            u, v = np.minimum(x[p], y[q]), np.maximum(x[p], y[q])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            found.append(np.stack((np.minimum(x[p], y[q]), np.maximum(x[p], y[q])), axis=1))
+            held += len(p)
+            if held > 2_000_000 or i == batch.num_rows - 1:
+                u, v = np.ascontiguousarray(np.concatenate(found).T)
+                with np.errstate(over="ignore"):
+                    mark = mix(mix(u.view(_U)) + v.view(_U))
+                one = np.unique(mark, return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(u[one]), pa.array(v[one])], ["u", "v"])
+                found, held = [], 0
 
 
 def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -353,20 +366,33 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     if sets.count() > needed.count():  # repeated rows
         sets = _shared.written(sets.dropDuplicates(["class"]), "sets")
 
-    star = groups.where("class <> rep").select(F.col("rep").alias("u"), F.col("class").alias("v")).distinct()
-    edges = _shared.written(_verified(star, sets), "edges")
-    parts = _shared.connected_components(edges)
-
-    # what is left: groups that still span components, compared across these, in blocks
-    member = groups.join(parts, groups["class"] == parts["node"], "left").select("group", "class", F.coalesce("component", "class").alias("component"))
-    open_ = member.groupBy("group").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and size > 2")
-    member = member.join(open_.select("group", "size"), "group")
+    # stars: in each group that still spans components, all members against one, another one each time
+    open_, tested, edges, parts = groups, None, None, None
+    for turn in range(STARS):
+        rep = open_.groupBy("group").agg(F.min_by(F.struct("class", "component"), F.xxhash64("class", F.lit(turn))).alias("r")) if turn else None
+        if turn:
+            star = open_.join(rep, "group").where("component <> r.component").select(F.least("class", "r.class").alias("u"), F.greatest("class", "r.class").alias("v"))
+            star = star.distinct().join(tested, ["u", "v"], "left_anti")
+        else:
+            star = groups.where("class <> rep").select(F.col("rep").alias("u"), F.col("class").alias("v")).distinct()
+        star = _shared.written(star, "star")
+        more = _shared.written(_verified(star, sets), "edges")
+        tested = tested.union(star) if turn else star
+        edges = edges.union(more) if turn else more
+        parts = _shared.connected_components(edges)
+        member = groups.join(parts, groups["class"] == parts["node"], "left").select("group", "class", F.coalesce("component", "class").alias("component"))
+        span = member.groupBy("group").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and size > 2")
+        open_ = _shared.written(member.join(span.select("group", "size"), "group"), "open")
+        if not open_.head(1):
+            break
+
+    # what is left is compared across components, in blocks
     block = F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / BLOCK)).cast("int")
-    member = member.withColumn("block", block).groupBy("group", "block").agg(F.collect_list(F.struct("class", "component")).alias("members"))
-    blocks = _shared.written(member, "blocks")
+    blocks = open_.withColumn("block", block).groupBy("group", "block").agg(F.collect_list(F.struct("class", "component")).alias("members"))
+    blocks = _shared.written(blocks, "blocks")
     other = blocks.select("group", F.col("block").alias("block2"), F.col("members").alias("members2"))
     pairs = blocks.join(other, "group").where("block <= block2").select("members", "members2").mapInArrow(_across, "u long, v long").distinct()
-    more = _shared.written(_verified(pairs.join(star, ["u", "v"], "left_anti"), sets), "edges")
+    more = _shared.written(_verified(pairs.join(tested, ["u", "v"], "left_anti"), sets), "edges")
     parts = _shared.connected_components(edges.union(more))
 
     # class -> smallest doc_id of its component

@@ -13,6 +13,8 @@ packed one by one. Other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 
 import numpy as np
@@ -29,7 +31,7 @@ END = 1
 #: Pieces of one length in one bucket.
 BUCKET = 20_000
 #: Words whose ids a worker remembers, in a table of TABLE places.
-REMEMBERED, TABLE = 1_600_000, 1 << 22
+REMEMBERED, TABLE = 900_000, 1 << 21
 
 
 class Encoder:
@@ -46,7 +48,7 @@ class Encoder:
 
     def clear(self):
         self.key, self.code = np.zeros(TABLE, np.uint64), np.zeros(TABLE, np.int32)
-        self.start, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 16, np.uint32)
+        self.start, self.size, self.ids = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 16, np.uint32)
         self.n = self.used = 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -69,7 +71,7 @@ class Encoder:
     def learn(self, hashes: np.ndarray, words: list[str]):
         """Distinct hashes that find() doesn't know."""
         while self.n + len(words) > len(self.start):
-            self.start, self.size = (np.append(a, np.zeros(len(a), np.int64)) for a in (self.start, self.size))
+            self.start, self.size = (np.append(a, np.zeros(len(a), np.int32)) for a in (self.start, self.size))
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         flat = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(size.sum()))
@@ -104,12 +106,12 @@ class Encoder:
             else:
                 at = np.flatnonzero(code < 0)[first]
             raw = w.bytes.tobytes()
-            for a in range(0, len(new), 50_000):
-                own = at[a : a + 50_000]
-                self.learn(new[a : a + 50_000], [raw[s:e].decode() for s, e in zip(w.starts[own].tolist(), w.ends[own].tolist(), strict=True)])
+            for a in range(0, len(new), 4_000):
+                own = at[a : a + 4_000]
+                self.learn(new[a : a + 4_000], [raw[s:e].decode() for s, e in zip(w.starts[own].tolist(), w.ends[own].tolist(), strict=True)])
             code = self.find(hashes)
         size = self.size[code]
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(self.start[code] - ends + size, size) + np.arange(total)]
         return ids, np.append(0, ends)[w.first[1:]]
@@ -151,10 +153,18 @@ def _pieces(path: str, capacity: int):
                 [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(a, pa.int64()) for a in (start, length, crc))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+            _trim()
 
     return run
 
 
+def _trim():
+    """Hand freed memory back to the system: the tokenizer's results leave many small holes."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
     """The combination of the lengths in counts, each up to its count, with the largest sum within room; large lengths first."""
     mask = (1 << (room + 1)) - 1
