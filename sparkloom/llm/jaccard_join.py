@@ -12,7 +12,8 @@ Lossless by construction:
 * sizes: a pair is looked for in the band of its smaller set; a document takes part in its own band and in
   those lower ones whose sets it can link to.
 * parts in use: a document with at most D parts in use is joined on these and goes on to the next mode. A pair
-  that shares no part has both documents in that state, so both go on together. Mode 0 sketches without very frequent
+  that shares no part has both documents in that state, so both go on together. Of more than D parts in use the first
+  D + 1 are joined: of two documents, take the one whose first D + 1 end earlier; one of these is the same in the other, and among its first. Mode 0 sketches without very frequent
   shingles (any choice of these is right; it only keeps shared passages from making large groups), modes 1
   and 2 sketch all shingles with other seeds, mode 3 joins on single shingles.
 * groups that share a part: first, a few times, each member is verified against one of them, then members are compared
@@ -45,7 +46,7 @@ KEYS_PER_TASK = 1_500_000
 #: Ids are broadcast up to so many rows of 16 bytes, beyond that they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rounds in which the members of a group are compared with one of them.
-STARS = 4
+STARS = 2
 #: Members of a block, where a group that spans components is compared in blocks.
 BLOCK = 512
 
@@ -172,8 +173,8 @@ def part_keys(s: np.ndarray, rare: np.ndarray, bands: Bands) -> np.ndarray:
                 order = np.argsort(part)
                 part = part[order]
                 first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                xor = np.bitwise_xor.reduceat(h[order], first)
-                out.append(mix(xor + part[first] * _U(0x9E3779B97F4A7C15), 0xF00D + 64 * band + mode))
+                xor = np.bitwise_xor.reduceat(h[order], first)[: most + 1]  # the first most + 1 parts in use are enough
+                out.append(mix(xor + part[first[: most + 1]] * _U(0x9E3779B97F4A7C15), 0xF00D + 64 * band + mode))
                 if len(first) > most:
                     break
     return np.concatenate(out) if out else np.zeros(0, _U)
@@ -318,7 +319,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(batches):
-    """Pairs of members of two blocks of a group that are not in one component."""
+    """Pairs of members of two blocks of a group that are not in one component; rows of one cluster follow each other, so that
+    a pair which many of its groups hold comes out about once."""
+    seen = np.zeros(0, _U)
     for batch in batches:
         found, held = [], 0
         for i in range(batch.num_rows):
@@ -328,11 +331,14 @@ def _across(batches):
             p, q = np.nonzero((cx[:, None] != cy[None, :]) & (x[:, None] != y[None, :]))
             found.append(np.stack((np.minimum(x[p], y[q]), np.maximum(x[p], y[q])), axis=1))
             held += len(p)
-            if held > 2_000_000 or i == batch.num_rows - 1:
+            if held > 1_000_000 or i == batch.num_rows - 1:
                 u, v = np.ascontiguousarray(np.concatenate(found).T)
                 with np.errstate(over="ignore"):
-                    mark = mix(mix(u.view(_U)) + v.view(_U))
-                one = np.unique(mark, return_index=True)[1]
+                    mark, one = np.unique(mix(mix(u.view(_U)) + v.view(_U)), return_index=True)
+                if len(seen):
+                    new = seen[np.minimum(np.searchsorted(seen, mark), len(seen) - 1)] != mark
+                    mark, one = mark[new], one[new]
+                seen = np.sort(np.concatenate((seen, mark))) if len(seen) < 4_000_000 else mark
                 yield pa.RecordBatch.from_arrays([pa.array(u[one]), pa.array(v[one])], ["u", "v"])
                 found, held = [], 0
 
@@ -382,16 +388,17 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
         parts = _shared.connected_components(edges)
         member = groups.join(parts, groups["class"] == parts["node"], "left").select("group", "class", F.coalesce("component", "class").alias("component"))
         span = member.groupBy("group").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and size > 2")
-        open_ = _shared.written(member.join(span.select("group", "size"), "group"), "open")
+        open_ = _shared.written(member.join(span.select("group", "size", "lo"), "group"), "open")
         if not open_.head(1):
             break
 
     # what is left is compared across components, in blocks
-    block = F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / BLOCK)).cast("int")
-    blocks = open_.withColumn("block", block).groupBy("group", "block").agg(F.collect_list(F.struct("class", "component")).alias("members"))
+    block = F.expr(f"int(pmod(xxhash64(class), pow(2, greatest(0, ceil(log2(size / {BLOCK}))))))")
+    blocks = open_.withColumn("block", block).groupBy("lo", "group", "block").agg(F.collect_list(F.struct("class", "component")).alias("members"))
     blocks = _shared.written(blocks, "blocks")
     other = blocks.select("group", F.col("block").alias("block2"), F.col("members").alias("members2"))
-    pairs = blocks.join(other, "group").where("block <= block2").select("members", "members2").mapInArrow(_across, "u long, v long").distinct()
+    both = blocks.join(other, "group").where("block <= block2").repartition("lo", "block", "block2").sortWithinPartitions("lo", "block", "block2")
+    pairs = both.select("members", "members2").mapInArrow(_across, "u long, v long").distinct()
     more = _shared.written(_verified(pairs.join(tested, ["u", "v"], "left_anti"), sets), "edges")
     parts = _shared.connected_components(edges.union(more))
 
