@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import embedding_dedup, jaccard_join, license_scan, nearest, packing
+from . import embedding_dedup, jaccard_join, license_scan, line_dedup, mixing, nearest, packing
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_packing": packing.op2_packing,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op5_nearest": nearest.op5_nearest,
+        "op6_mixing": mixing.op6_mixing,
         "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
