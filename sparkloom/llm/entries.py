@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import embedding_dedup, jaccard_join, license_scan, line_dedup, mixing, nearest, packing
+from . import embedding_dedup, jaccard_join, langid, license_scan, line_dedup, mixing, nearest, packing
 
 
 def queries() -> dict[str, Callable]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable]:
         "op5_nearest": nearest.op5_nearest,
         "op6_mixing": mixing.op6_mixing,
         "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
+        "op9_langid": langid.op9_langid,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
 
