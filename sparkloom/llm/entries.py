@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import embedding_dedup, jaccard_join, langid, license_scan, line_dedup, mixing, nearest, packing
+from . import chat_format, embedding_dedup, jaccard_join, langid, license_scan, line_dedup, mixing, nearest, packing, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -12,8 +12,10 @@ def queries() -> dict[str, Callable]:
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_packing": packing.op2_packing,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_warc": warc.op4_warc,
         "op5_nearest": nearest.op5_nearest,
         "op6_mixing": mixing.op6_mixing,
+        "op7_chat_format": chat_format.op7_chat_format,
         "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
         "op9_langid": langid.op9_langid,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,

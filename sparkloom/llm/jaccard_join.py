@@ -344,8 +344,9 @@ def _across(batches):
 
 
 def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id) for each row of docs; component_id is the smallest doc_id
-    reachable by links of Jaccard similarity 3/4 or more between sets of k-word shingles, itself included."""
+    """(doc_id, text_hash, n_shingles, component, component_id) for each row of docs; component_id is the smallest doc_id
+    reachable by links of Jaccard similarity 3/4 or more between sets of k-word shingles, itself included; component
+    is a number of the component's own, null for empty sets."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     found = _shared.written(base.mapInArrow(_profile(k), "kind byte, doc_id long, text_hash long, n long, class long"), "shingles")
@@ -406,10 +407,24 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     in_part = parts.join(least, parts["node"] == least["class"])
     label = in_part.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = in_part.join(label, "component").select("class", "component_id")
-    label = label.union(least.join(parts, least["class"] == parts["node"], "left_anti").select("class", "least"))
+    label = in_part.join(label, "component").select("class", "component", "component_id")
+    label = label.union(least.join(parts, least["class"] == parts["node"], "left_anti").select("class", "class", "least"))
     out = rows.join(label, "class", "left")
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without the near-duplicates: of each component the row with the smallest doc_id stays (ties to the smaller text hash, then any one of
+    equal rows). Rows without words, or with a null doc_id, stay."""
+    found = _shared.written(jaccard_components(docs).where("component is not null and doc_id is not null").select("doc_id", "text_hash", "component"), "components")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    gone = found.join(first, "component").where(F.struct("doc_id", "text_hash") != F.col("first")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
+    gone = _shared.written(gone, "gone")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = docs.join(few, (docs["doc_id"] == F.col("d")) & (F.xxhash64(docs["text"]) == F.col("h")), "left_anti")
+    if found.groupBy("doc_id", "text_hash").count().where("count > 1").head(1):  # repeated rows
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
+    return kept
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,31 +161,26 @@ def train(labelled: DataFrame) -> Network:
     return net
 
 
-def _predict(net: Network):
-    def run(batches):
+def predictor(net: Network):
+    """A column function of text: struct of lang_pred and score."""
+
+    def run(texts: pa.Array) -> pa.Array:
         folded = net.folded()
-        for batch in batches:
-            texts, letters = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
-            for at, to in slices(texts):
-                x, text, held = windows(*_raw(texts.slice(at, to - at)))
-                total = np.zeros((to - at, max(1, len(net.labels))))
-                if net.labels:
-                    np.add.at(total, text, net.probabilities(x, folded) * held[:, None])
-                sums = total.sum(axis=1)
-                best, ok = total.argmax(axis=1), (sums > 0) & letters[at:to]
-                score = np.where(ok, total.max(axis=1) / np.where(sums > 0, sums, 1), 0.0)
-                name = [net.labels[b] if o else "und" for b, o in zip(best.tolist(), ok.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(name, pa.string()), pa.array(np.minimum(score, 1.0))], ["row", "lang_pred", "score"])
-
-    return run
-
-
-def predict(docs: DataFrame, net: Network, keep: list) -> DataFrame:
-    """The columns `keep` of docs, with lang_pred and score."""
-    text = F.col("text").cast("string")
-    row = docs.select(F.struct(*keep).alias("row"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    kind = row.schema["row"].dataType.simpleString()
-    return row.mapInArrow(_predict(net), f"row {kind}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+        letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+        names, scores = [], []
+        for at, to in slices(texts):
+            x, text, held = windows(*_raw(texts.slice(at, to - at)))
+            total = np.zeros((to - at, max(1, len(net.labels))))
+            if net.labels:
+                np.add.at(total, text, net.probabilities(x, folded) * held[:, None])
+            sums = total.sum(axis=1)
+            best, ok = total.argmax(axis=1), (sums > 0) & letters[at:to]
+            scores.append(np.where(ok, np.minimum(1.0, total.max(axis=1) / np.where(sums > 0, sums, 1)), 0.0))
+            names += [net.labels[b] if o else "und" for b, o in zip(best.tolist(), ok.tolist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["lang_pred", "score"])
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "struct<lang_pred: string, score: double>")
 
 
 def held_out():
@@ -195,4 +191,5 @@ def op9_langid(spark, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     net = train(docs.where(~F.coalesce(held_out(), F.lit(False))))
-    return predict(docs, net, [F.col("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out")])
+    found = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), predictor(net)(F.col("text").cast("string")).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
