@@ -16,9 +16,10 @@ Lossless by construction:
   D + 1 are joined: of two documents, take the one whose first D + 1 end earlier; one of these is the same in the other, and among its first. Mode 0 sketches without very frequent
   shingles (any choice of these is right; it only keeps shared passages from making large groups), modes 1
   and 2 sketch all shingles with other seeds, mode 3 joins on single shingles.
-* groups that share a part: first, a few times, each member is verified against one of them, then members are compared
-  across the components that are left. Pairs within one component need no comparison, so a group of near copies costs
-  one comparison for each member.
+* groups that share a part: first each member is compared with one of them, then members across the components that are
+  left. Pairs within one component need no comparison, so a group of near copies costs one comparison for each member.
+  A comparison first looks at bit sketches of whole sets, in which each shingle toggles one bit: if they differ in more places than
+  the two sets may, the pair goes. Blocks of sketches are compared at once, and only pairs that pass become rows.
 
 Null or empty texts and texts without words have an empty set and link with nothing. Texts with fewer words
 than the shingle length have their whole word sequence as the only shingle. Equal sets form one class before
@@ -38,15 +39,15 @@ from pyspark.sql import functions as F
 from . import _shared
 from ._words import SPACES, Words, mix, slices
 
-#: A shingle counts as frequent from so many classes in one task on; the table of frequent ones holds at most MOST_FREQUENT (8 bytes each).
-FREQUENT_IN_TASK = 6
+#: Shingles of so many classes in one task are counted over all tasks; from FREQUENT on they are left to the later modes,
+#: the MOST_FREQUENT at most (8 bytes each).
+FREQUENT_IN_TASK = 2
+FREQUENT = 12
 MOST_FREQUENT = 500_000
 #: Keys for one task of the part join.
-KEYS_PER_TASK = 1_500_000
+KEYS_PER_TASK = 1_000_000
 #: Ids are broadcast up to so many rows of 16 bytes, beyond that they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Rounds in which the members of a group are compared with one of them.
-STARS = 2
 #: Members of a block, where a group that spans components is compared in blocks.
 BLOCK = 512
 
@@ -124,7 +125,7 @@ def _profile(k: int):
                 t, c = t[order], c[order]
                 first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
                 token, count = t[first], np.add.reduceat(c, first)
-                if len(token) > 4_000_000:  # those met once so far are let go: only which shingles count as frequent hangs on them
+                if len(token) > 2_000_000:  # those met once so far are let go: only which shingles count as frequent hangs on them
                     token, count = token[count > 1], count[count > 1]
                 many, held = [], 0
 
@@ -137,7 +138,7 @@ def _profile(k: int):
                     seen.add(c)
                     many.append(s)
                     held += len(s)
-                    if held > 3_000_000:
+                    if held > 1_500_000:
                         merge()
             if len(seen) > 2_000_000:
                 seen.clear()
@@ -226,7 +227,7 @@ def _keys(k: int, frequent, tasks: int, bands: Bands):
                 classes.append(c)
                 counts.append(len(own))
                 held += len(own)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield from flush()
             if len(seen) > 2_000_000:
                 seen.clear()
@@ -272,19 +273,41 @@ def _groups(batches):
         yield pa.RecordBatch.from_arrays([pa.array(group[at:to]), pa.array(cls[place[at:to]]), pa.array(rep[at:to])], ["group", "class", "rep"])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity bits of a set: each element toggles one of 2 to 4 bits for each element. The upper half folds onto the lower one."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    with np.errstate(over="ignore"):
+        at = mix(s, 0x51E7) & _U(bits - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def fold(a: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) brought down to so many words."""
+    while a.shape[1] > words:
+        half = a.shape[1] // 2
+        a = a[:, :half] ^ a[:, half:]
+    return a
+
+
 def _sets(k: int):
     def run(batches):
         for batch in batches:
-            cls, blob = [], []
-            held = 0
+            cls, n, bits, blob, held = [], [], [], [], 0
+            ids = batch.column(0).to_pylist()
+
+            def out():
+                return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(blob, pa.binary())], ["class", "n", "sketch", "shingles"])
+
             for i, s in shingle_sets(batch.column(1), k):
-                cls.append(batch.column(0)[i].as_py())
+                cls.append(ids[i])
+                n.append(len(s))
+                bits.append(sketch(s))
                 blob.append(s.tobytes())
                 held += s.nbytes
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(blob, pa.binary())], ["class", "shingles"])
-                    cls, blob, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(blob, pa.binary())], ["class", "shingles"])
+                if held > 4 << 20:
+                    yield out()
+                    cls, n, bits, blob, held = [], [], [], [], 0
+            yield out()
 
     return run
 
@@ -307,40 +330,69 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], ["u", "v"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (u, v) that link. Only the sets of the pairs move, to the pair's task."""
-    pairs = _shared.written(pairs.select("u", "v"), "pairs")
+def _near(batches):
+    """Of pairs (u, v, n, sketch, n, sketch), those whose sketches differ in no more places than their sets may."""
+    for batch in batches:
+        u, v, n, a, m, b = batch.columns
+        n, m = n.to_numpy(), m.to_numpy()
+        keep = 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
+        for i in np.flatnonzero(keep):
+            x, y = (np.frombuffer(c[int(i)].as_buffer(), _U)[None] for c in (a, b))
+            words = min(x.shape[1], y.shape[1])
+            keep[i] = np.bitwise_count(fold(x, words) ^ fold(y, words)).sum() <= (n[i] + m[i]) // 7
+        keep = pa.array(keep)
+        yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], ["u", "v"])
+
+
+def _sides(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """(u, v, s): for each of the distinct pairs, the two structs of columns. Only the rows of the pairs move, to the pair's task."""
     sides = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("class"))
     sides = F.broadcast(sides) if pairs.count() <= BROADCAST_ROWS // 2 else sides
-    both = sets.select("class", "shingles").join(sides, "class").groupBy("u", "v").agg(F.collect_list("shingles").alias("s"))
-    size = F.length(F.col("s")[0]), F.length(F.col("s")[1])
-    both = both.where((F.size("s") == 2) & (4 * F.least(*size) >= 3 * F.greatest(*size)))
-    return both.select("u", "v", F.col("s")[0], F.col("s")[1]).mapInArrow(_verify, "u long, v long")
+    both = sets.select("class", F.struct(*columns).alias("side")).join(sides, "class").groupBy("u", "v").agg(F.collect_list("side").alias("s"))
+    return both.where(F.size("s") == 2)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, sketched: bool) -> DataFrame:
+    """Those of the distinct pairs (u, v) that link; sketched: their sketches were compared before."""
+    pairs = _shared.written(pairs.select("u", "v"), "pairs")
+    s = F.col("s")
+    if not sketched:
+        both = _sides(pairs, sets, ["n", "sketch"])
+        near = both.select("u", "v", s[0]["n"].alias("n"), s[0]["sketch"].alias("a"), s[1]["n"].alias("m"), s[1]["sketch"].alias("b")).mapInArrow(_near, "u long, v long")
+        pairs = _shared.written(near, "near")
+    both = _sides(pairs, sets, ["shingles"])
+    return both.select("u", "v", s[0]["shingles"].alias("a"), s[1]["shingles"].alias("b")).mapInArrow(_verify, "u long, v long")
 
 
 def _across(batches):
-    """Pairs of members of two blocks of a group that are not in one component; rows of one cluster follow each other, so that
-    a pair which many of its groups hold comes out about once."""
-    seen = np.zeros(0, _U)
+    """Pairs of members of two blocks that are not in one component and whose sizes and sketches allow a link."""
     for batch in batches:
-        found, held = [], 0
         for i in range(batch.num_rows):
-            a, b = batch.column(0)[i].values, batch.column(1)[i].values
-            x, cx = (a.field(f).to_numpy() for f in ("class", "component"))
-            y, cy = (b.field(f).to_numpy() for f in ("class", "component"))
-            p, q = np.nonzero((cx[:, None] != cy[None, :]) & (x[:, None] != y[None, :]))
-            found.append(np.stack((np.minimum(x[p], y[q]), np.maximum(x[p], y[q])), axis=1))
-            held += len(p)
-            if held > 1_000_000 or i == batch.num_rows - 1:
-                u, v = np.ascontiguousarray(np.concatenate(found).T)
-                with np.errstate(over="ignore"):
-                    mark, one = np.unique(mix(mix(u.view(_U)) + v.view(_U)), return_index=True)
-                if len(seen):
-                    new = seen[np.minimum(np.searchsorted(seen, mark), len(seen) - 1)] != mark
-                    mark, one = mark[new], one[new]
-                seen = np.sort(np.concatenate((seen, mark))) if len(seen) < 4_000_000 else mark
-                yield pa.RecordBatch.from_arrays([pa.array(u[one]), pa.array(v[one])], ["u", "v"])
-                found, held = [], 0
+            sides = []
+            for c in (0, 1):
+                v = batch.column(c)[i].values
+                cls, part, n = (v.field(f).to_numpy() for f in ("class", "component", "n"))
+                sides.append((cls, part, n, [np.frombuffer(x.as_buffer(), _U) for x in v.field("sketch")]))
+            (x, cx, nx, sx), (y, cy, ny, sy) = sides
+            size_x, size_y = np.array([len(s) for s in sx]), np.array([len(s) for s in sy])
+            found = []
+            for wx in np.unique(size_x):
+                for wy in np.unique(size_y):
+                    if max(wx, wy) > 4 * min(wx, wy):
+                        continue  # sizes are too far apart
+                    p, q = np.flatnonzero(size_x == wx), np.flatnonzero(size_y == wy)
+                    words = int(min(wx, wy))
+                    a, b = fold(np.stack([sx[j] for j in p]), words), fold(np.stack([sy[j] for j in q]), words)
+                    off = np.zeros((len(p), len(q)), dtype=np.int64)
+                    for w in range(words):
+                        off += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+                    low, high = np.minimum(nx[p][:, None], ny[q][None, :]), np.maximum(nx[p][:, None], ny[q][None, :])
+                    ok = (off <= (low + high) // 7) & (4 * low >= 3 * high) & (cx[p][:, None] != cy[q][None, :])
+                    r, c = np.nonzero(ok)
+                    found.append(np.stack((np.minimum(x[p][r], y[q][c]), np.maximum(x[p][r], y[q][c]))))
+            if found:
+                u, v = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -352,7 +404,7 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     found = _shared.written(base.mapInArrow(_profile(k), "kind byte, doc_id long, text_hash long, n long, class long"), "shingles")
     rows = found.where("kind = 0").drop("kind")
     # frequent shingles: at most MOST_FREQUENT of them, 8 bytes each
-    top = found.where("kind = 1").groupBy("class").agg(F.sum("n").alias("df")).orderBy(F.desc("df"), "class").limit(MOST_FREQUENT)
+    top = found.where("kind = 1").groupBy("class").agg(F.sum("n").alias("df")).where(F.col("df") >= FREQUENT).orderBy(F.desc("df"), "class").limit(MOST_FREQUENT)
     common = np.sort(top.select("class").toArrow().column(0).to_numpy().astype(np.int64).view(_U))
     frequent = spark.sparkContext.broadcast(common.tobytes())
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -369,38 +421,26 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     ids = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
     same = F.expr("l.doc_id <=> r.doc_id and l.text_hash = r.text_hash")
     texts = base.alias("l").join(ids.alias("r"), same).select("class", "text")
-    sets = _shared.written(texts.mapInArrow(_sets(k), "class long, shingles binary"), "sets")
+    sets = _shared.written(texts.mapInArrow(_sets(k), "class long, n long, sketch binary, shingles binary"), "sets")
     if sets.count() > needed.count():  # repeated rows
         sets = _shared.written(sets.dropDuplicates(["class"]), "sets")
 
-    # stars: in each group that still spans components, all members against one, another one each time
-    open_, tested, edges, parts = groups, None, None, None
-    for turn in range(STARS):
-        rep = open_.groupBy("group").agg(F.min_by(F.struct("class", "component"), F.xxhash64("class", F.lit(turn))).alias("r")) if turn else None
-        if turn:
-            star = open_.join(rep, "group").where("component <> r.component").select(F.least("class", "r.class").alias("u"), F.greatest("class", "r.class").alias("v"))
-            star = star.distinct().join(tested, ["u", "v"], "left_anti")
-        else:
-            star = groups.where("class <> rep").select(F.col("rep").alias("u"), F.col("class").alias("v")).distinct()
-        star = _shared.written(star, "star")
-        more = _shared.written(_verified(star, sets), "edges")
-        tested = tested.union(star) if turn else star
-        edges = edges.union(more) if turn else more
-        parts = _shared.connected_components(edges)
-        member = groups.join(parts, groups["class"] == parts["node"], "left").select("group", "class", F.coalesce("component", "class").alias("component"))
-        span = member.groupBy("group").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and size > 2")
-        open_ = _shared.written(member.join(span.select("group", "size", "lo"), "group"), "open")
-        if not open_.head(1):
-            break
-
-    # what is left is compared across components, in blocks
-    block = F.expr(f"int(pmod(xxhash64(class), pow(2, greatest(0, ceil(log2(size / {BLOCK}))))))")
-    blocks = open_.withColumn("block", block).groupBy("lo", "group", "block").agg(F.collect_list(F.struct("class", "component")).alias("members"))
-    blocks = _shared.written(blocks, "blocks")
-    other = blocks.select("group", F.col("block").alias("block2"), F.col("members").alias("members2"))
-    both = blocks.join(other, "group").where("block <= block2").repartition("lo", "block", "block2").sortWithinPartitions("lo", "block", "block2")
-    pairs = both.select("members", "members2").mapInArrow(_across, "u long, v long").distinct()
-    more = _shared.written(_verified(pairs.join(tested, ["u", "v"], "left_anti"), sets), "edges")
+    # stars: in each group, all members against one
+    star = _shared.written(groups.where("class <> rep").select(F.col("rep").alias("u"), F.col("class").alias("v")).distinct(), "star")
+    edges = _shared.written(_verified(star, sets, False), "edges")
+    parts = _shared.connected_components(edges)
+
+    # what still spans components: groups around one component are put together and compared in blocks
+    member = groups.join(parts, groups["class"] == parts["node"], "left").select("group", "class", F.coalesce("component", "class").alias("component"))
+    span = member.groupBy("group").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and size > 2")
+    open_ = _shared.written(member.join(span.select("group", "lo"), "group").select("lo", "class", "component").distinct(), "open")
+    size = open_.groupBy("lo").agg(F.count("*").alias("size"))
+    block = F.expr(f"int(pmod(xxhash64(class), ceil(size / {BLOCK})))")
+    blocks = open_.join(size, "lo").join(sets.select("class", "n", "sketch"), "class").withColumn("block", block)
+    blocks = _shared.written(blocks.groupBy("lo", "block").agg(F.collect_list(F.struct("class", "component", "n", "sketch")).alias("members")), "blocks")
+    other = blocks.select("lo", F.col("block").alias("block2"), F.col("members").alias("members2"))
+    pairs = blocks.join(other, "lo").where("block <= block2").select("members", "members2").mapInArrow(_across, "u long, v long").where("u <> v").distinct()
+    more = _shared.written(_verified(pairs.join(star, ["u", "v"], "left_anti"), sets, True), "edges")
     parts = _shared.connected_components(edges.union(more))
 
     # class -> smallest doc_id of its component
