@@ -48,6 +48,8 @@ MOST_FREQUENT = 500_000
 KEYS_PER_TASK = 1_000_000
 #: Ids are broadcast up to so many rows of 16 bytes, beyond that they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rounds of likeliest pairs go on while they find more links than this.
+FEW_LINKS = 200
 #: Members of a block, where a group that spans components is compared in blocks.
 BLOCK = 512
 
@@ -364,8 +366,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, sketched: bool) -> DataFrame:
     return both.select("u", "v", s[0]["shingles"].alias("a"), s[1]["shingles"].alias("b")).mapInArrow(_verify, "u long, v long")
 
 
-def _across(batches):
-    """Pairs of members of two blocks that are not in one component and whose sizes and sketches allow a link."""
+def _across(best: bool):
+    """Pairs of members of two blocks that are not in one component and whose sizes and sketches allow a link; best: for each member only the likeliest."""
+    return lambda batches: _pairs_across(batches, best)
+
+
+def _pairs_across(batches, best: bool):
     for batch in batches:
         for i in range(batch.num_rows):
             sides = []
@@ -388,6 +394,12 @@ def _across(batches):
                         off += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
                     low, high = np.minimum(nx[p][:, None], ny[q][None, :]), np.maximum(nx[p][:, None], ny[q][None, :])
                     ok = (off <= (low + high) // 7) & (4 * low >= 3 * high) & (cx[p][:, None] != cy[q][None, :])
+                    if best:
+                        share = np.where(ok, off / (low + high), np.inf)
+                        first = np.zeros_like(ok)
+                        first[np.arange(len(p)), share.argmin(axis=1)] = True
+                        first[share.argmin(axis=0), np.arange(len(q))] = True
+                        ok &= first
                     r, c = np.nonzero(ok)
                     found.append(np.stack((np.minimum(x[p][r], y[q][c]), np.maximum(x[p][r], y[q][c]))))
             if found:
@@ -430,18 +442,28 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     edges = _shared.written(_verified(star, sets, False), "edges")
     parts = _shared.connected_components(edges)
 
-    # what still spans components: groups around one component are put together and compared in blocks
-    member = groups.join(parts, groups["class"] == parts["node"], "left").select("group", "class", F.coalesce("component", "class").alias("component"))
-    span = member.groupBy("group").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and size > 2")
-    open_ = _shared.written(member.join(span.select("group", "lo"), "group").select("lo", "class", "component").distinct(), "open")
-    size = open_.groupBy("lo").agg(F.count("*").alias("size"))
-    block = F.expr(f"int(pmod(xxhash64(class), ceil(size / {BLOCK})))")
-    blocks = open_.join(size, "lo").join(sets.select("class", "n", "sketch"), "class").withColumn("block", block)
-    blocks = _shared.written(blocks.groupBy("lo", "block").agg(F.collect_list(F.struct("class", "component", "n", "sketch")).alias("members")), "blocks")
-    other = blocks.select("lo", F.col("block").alias("block2"), F.col("members").alias("members2"))
-    pairs = blocks.join(other, "lo").where("block <= block2").select("members", "members2").mapInArrow(_across, "u long, v long").where("u <> v").distinct()
-    more = _shared.written(_verified(pairs.join(star, ["u", "v"], "left_anti"), sets, True), "edges")
-    parts = _shared.connected_components(edges.union(more))
+    # what still spans components: groups around one component are put together and compared in blocks; at first each member
+    # only with the likeliest, until that joins nothing more, then with all that are left
+    tested, best = star, True
+    while True:
+        member = groups.join(parts, groups["class"] == parts["node"], "left").select("group", "class", F.coalesce("component", "class").alias("component"))
+        span = member.groupBy("group").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and size > 2")
+        open_ = _shared.written(member.join(span.select("group", "lo"), "group").select("lo", "class", "component").distinct(), "open")
+        size = open_.groupBy("lo").agg(F.count("*").alias("size"))
+        block = F.expr(f"int(pmod(xxhash64(class), ceil(size / {BLOCK})))")
+        blocks = open_.join(size, "lo").join(sets.select("class", "n", "sketch"), "class").withColumn("block", block)
+        blocks = _shared.written(blocks.groupBy("lo", "block").agg(F.collect_list(F.struct("class", "component", "n", "sketch")).alias("members")), "blocks")
+        other = blocks.select("lo", F.col("block").alias("block2"), F.col("members").alias("members2"))
+        pairs = blocks.join(other, "lo").where("block <= block2").select("members", "members2").mapInArrow(_across(best), "u long, v long").where("u <> v").distinct()
+        pairs = _shared.written(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        more = _shared.written(_verified(pairs, sets, True), "edges")
+        new = more.count()
+        if new:
+            edges, tested = edges.union(more), tested.union(pairs)
+            parts = _shared.connected_components(edges)
+        if not best:
+            break
+        best = new > FEW_LINKS
 
     # class -> smallest doc_id of its component
     least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
