@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import itertools
+import os
 import zlib
 
 import numpy as np
@@ -31,7 +33,7 @@ END = 1
 #: Pieces of one length in one bucket.
 BUCKET = 20_000
 #: Words whose ids a worker remembers, in a table of TABLE places.
-REMEMBERED, TABLE = 900_000, 1 << 21
+REMEMBERED, TABLE = 700_000, 1 << 20
 
 
 class Encoder:
@@ -41,6 +43,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -74,7 +77,7 @@ class Encoder:
             self.start, self.size = (np.append(a, np.zeros(len(a), np.int32)) for a in (self.start, self.size))
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(size.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=int(size.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.append(self.ids, np.zeros(len(self.ids), np.uint32))
         self.ids[self.used : self.used + len(flat)] = flat
