@@ -55,8 +55,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a slice of texts: byte places, document borders and one hash per word."""
 
-    def __init__(self, texts: pa.Array, table: np.ndarray, detach: bool = False):
-        """detach: a full stop or comma between an ASCII letter and a separator is a word of its own."""
+    def __init__(self, texts: pa.Array, table: np.ndarray, detach: bool = False, lower: bool = True):
+        """detach: a full stop or comma between an ASCII letter and a separator is a word of its own. lower: lower-case A-Z."""
         texts = texts.cast(pa.large_string())
         if texts.null_count:
             texts = texts.fill_null("")
@@ -65,7 +65,7 @@ class Words:
         off = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + self.n + 1] if self.n else np.zeros(1, np.int64)
         raw = np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
         off = off - off[0]
-        self.offsets, self.bytes = off, LOWER[raw]
+        self.offsets, self.bytes = off, LOWER[raw] if lower else raw
         inside = table[self.bytes]
         border = np.zeros(len(inside) + 1, dtype=bool)
         border[off] = True
@@ -103,7 +103,7 @@ class Words:
         """A hash for the k words from each word on; the last k - 1 of a document reach beyond it and mean nothing."""
         out = np.zeros(len(self.hashes), dtype=np.uint64)
         for j in range(k):
-            out[: len(out) - j] += mix(self.hashes[j:], 0xA24BAED4963EE407 * (j + 1))
+            out[: max(0, len(out) - j)] += mix(self.hashes[j:], 0xA24BAED4963EE407 * (j + 1))
             out *= np.uint64(0xD6E8FEB86659FD93)
         return mix(out, k)
 

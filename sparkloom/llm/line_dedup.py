@@ -5,8 +5,7 @@ borders move with the text, and a passage that two documents share is cut alike
 LINES lines that occur in several places are removed everywhere but in the first one (smallest doc_id, then place), after their bytes were compared:
 occurrences are grouped by hash and bytes, and only groups of equal bytes count.
 
-Hashes and places move first, without any text. The bytes are read again only from documents with a repeated chunk, and combined
-before they are shuffled, so a chunk that very many documents hold costs a row for each task.
+Hashes and places move first, without any text. The bytes of repeated chunks are read again from their places, and combined before they are shuffled, so a chunk that very many documents hold costs a row for each task.
 
 Lines end at \\n; empty lines belong to the chunk before them. A removed chunk goes with the line ends behind it. Null texts stay null, empty ones
 empty; a text without repeated chunks stays as it is, byte for byte. Rows with the same doc_id are told apart by a
@@ -30,10 +29,10 @@ BROADCAST_ROWS = 500_000
 
 
 def cut(texts: pa.Array):
-    """(document, start, end, stop, hash, text bytes of the slice) of all chunks of LINES lines or more; places are bytes in the document."""
+    """(document, start, end, stop, hash) of all chunks of LINES lines or more; places are bytes in the document."""
     for at, to in slices(texts):
         part = texts.slice(at, to - at)
-        w = Words(part, LINE_BYTES)
+        w = Words(part, LINE_BYTES, lower=False)
         if not len(w.hashes):
             continue
         doc = np.repeat(np.arange(w.n), np.diff(w.first))
@@ -59,40 +58,28 @@ def cut(texts: pa.Array):
 
 def _chunks(batches):
     for batch in batches:
-        for doc, start, _, stop, value in cut(batch.column(2)):
+        for doc, start, end, stop, value in cut(batch.column(2)):
             doc = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(start), pa.array(stop), pa.array(value)], ["doc_id", "text_hash", "start", "stop", "hash"])
-
-
-def _bytes(batches):
-    for batch in batches:
-        for doc, start, end, _, value in cut(batch.column(2)):
-            text = None
-            out, now = [], -1
-            for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True):
-                if d != now:
-                    now, text = d, batch.column(2)[d].as_buffer()
-                out.append(text[a:b].to_pybytes() if hasattr(text[a:b], "to_pybytes") else bytes(text[a:b]))
-            doc = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), pa.array(start), pa.array(value), pa.array(out, pa.binary())], ["doc_id", "text_hash", "start", "hash", "chunk"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(doc), batch.column(1).take(doc), *map(pa.array, (start, end, stop, value))], ["doc_id", "text_hash", "start", "end", "stop", "hash"]
+            )
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc, text_hash, places): the places (start, stop) to be removed, for each document that has any."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    chunks = base.mapInArrow(_chunks, "doc_id long, text_hash long, start long, stop long, hash long")
+    chunks = base.mapInArrow(_chunks, "doc_id long, text_hash long, start long, end long, stop long, hash long")
     chunks = _shared.written(chunks.dropDuplicates(["doc_id", "text_hash", "start"]), "chunks")
     place = F.struct("doc_id", "text_hash", "start")
     often = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     found = _shared.written(chunks.join(often, "hash"), "repeated")
 
-    # bytes of the repeated chunks, grouped as bytes
-    where = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
+    # bytes of the repeated chunks, taken from their places and grouped as bytes
+    where = found.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("start", "end", "hash")).alias("places"))
     where = _shared.written(where, "where")
-    few = F.broadcast(where) if where.count() <= BROADCAST_ROWS else where
-    holders = base.join(few, base["doc_id"].eqNullSafe(F.col("d")) & (base["text_hash"] == F.col("h")), "left_semi")
-    held = holders.mapInArrow(_bytes, "doc_id long, text_hash long, start long, hash long, chunk binary")
-    held = held.join(found.select("hash").distinct(), "hash", "left_semi")
+    few = F.broadcast(where) if found.count() <= BROADCAST_ROWS else where
+    held = base.join(few, base["doc_id"].eqNullSafe(F.col("d")) & (base["text_hash"] == F.col("h"))).select("doc_id", "text_hash", F.col("text").cast("binary").alias("raw"), F.explode("places").alias("p"))
+    held = held.select("doc_id", "text_hash", "p.start", "p.hash", F.expr("substring(raw, int(p.start + 1), int(p.end - p.start))").alias("chunk"))
     kinds = _shared.written(held.groupBy("hash", "chunk").agg(F.min(place).alias("first")), "kinds")
     mixed = kinds.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     again = found.where(place != F.col("first")).select("doc_id", "text_hash", "start", "stop", "hash")
