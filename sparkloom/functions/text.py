@@ -56,7 +56,7 @@ def keyword_relevance(query: Column, text: Column) -> Column:
 def importance(c: Column) -> Column:
     """The first number of a reason, on a scale to 1; 0.5 without one."""
     n = F.try_to_number(F.nullif(F.regexp_extract(c, r"(\d+(?:\.\d+)?)", 1), F.lit("")), F.lit("999999999.999999999")).cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(n > 1, n / 10).otherwise(n))), F.lit(0.5))
+    return F.when(n.isNull(), 0.5).otherwise(F.least(F.lit(1.0), F.when(n > 1, n / 10).otherwise(n)))
 
 
 def tokens_by_length(c: Column, least: int = 1) -> Column:

@@ -93,6 +93,13 @@ class WorkingSet:
 
     def access(self, key) -> bool:
         """True for a hit."""
+        hit = self._access(key)
+        for ghosts in (self.ghost_recent, self.ghost_frequent):
+            while len(ghosts) > self.capacity:
+                ghosts.popitem(last=False)
+        return hit
+
+    def _access(self, key) -> bool:
         if key in self.recent or key in self.frequent:
             self.recent.pop(key, None)
             self.frequent.pop(key, None)
@@ -112,10 +119,6 @@ class WorkingSet:
             return False
         if len(self.recent) + len(self.frequent) >= self.capacity:
             self._evict(False)
-        while len(self.ghost_recent) > self.capacity:
-            self.ghost_recent.popitem(last=False)
-        while len(self.ghost_frequent) > self.capacity:
-            self.ghost_frequent.popitem(last=False)
         self.recent[key] = None
         return False
 
