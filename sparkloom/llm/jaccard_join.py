@@ -415,9 +415,16 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     found = _shared.written(base.mapInArrow(_profile(k), "kind byte, doc_id long, text_hash long, n long, class long"), "shingles")
     rows = found.where("kind = 0").drop("kind")
-    # frequent shingles: at most MOST_FREQUENT of them, 8 bytes each
-    top = found.where("kind = 1").groupBy("class").agg(F.sum("n").alias("df")).where(F.col("df") >= FREQUENT).orderBy(F.desc("df"), "class").limit(MOST_FREQUENT)
-    common = np.sort(top.select("class").toArrow().column(0).to_numpy().astype(np.int64).view(_U))
+    # frequent shingles: at most MOST_FREQUENT of them, 8 bytes each, from the highest steps of a histogram of their counts
+    counted = found.where("kind = 1").groupBy("class").agg(F.sum("n").alias("df")).where(F.col("df") >= FREQUENT)
+    counted = _shared.written(counted.select("class", F.floor(F.log2("df") * 8).cast("int").alias("step")), "frequent")
+    least, room = 1 << 30, MOST_FREQUENT
+    for step, n in sorted(counted.groupBy("step").count().collect(), reverse=True):  # at most a few hundred steps
+        room -= n
+        if room < 0:
+            break
+        least = step
+    common = np.sort(counted.where(F.col("step") >= least).select("class").toArrow().column(0).to_numpy().astype(np.int64).view(_U))
     frequent = spark.sparkContext.broadcast(common.tobytes())
     total = rows.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total * 0.65) // KEYS_PER_TASK))

@@ -138,17 +138,17 @@ def _samples(batches):
 
 def train(labelled: DataFrame) -> Network:
     """A network for the labels of labelled (text, lang)."""
-    named = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), "text")
+    named = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), "text", "doc_id")
     counts = [(r[0], r[1]) for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()]
     labels = sorted(c[0] for c in counts)
     if not labels:
         return Network([])
     each = max(1, SAMPLE // len(labels))
-    draw = F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(9), "text", "doc_id"), F.lit(1 << 30))  # which rows are drawn; the network sees their texts alone
     chosen = F.lit(False)
     for label, n in counts:
         chosen = chosen | ((F.col("lang") == label) & (draw < int(min(1.0, 1.3 * each / n) * (1 << 30))))
-    drawn = named.where(chosen).limit(2 * SAMPLE).mapInArrow(_samples, "label string, bytes binary").toArrow()
+    drawn = named.where(chosen).select("lang", "text").limit(2 * SAMPLE).mapInArrow(_samples, "label string, bytes binary").toArrow()
     y = np.searchsorted(labels, np.array(drawn.column(0).to_pylist(), dtype=object)) if drawn.num_rows else np.zeros(0, int)
     x = np.frombuffer(b"".join(drawn.column(1).to_pylist()), dtype=np.uint8).reshape(-1, WINDOW)
     order = np.lexsort((*x.T[:8], y))  # the order in which Spark hands them over doesn't matter
