@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.text import INTENTS, STOP_WORDS
+
 V = {
     "v_trace": """SELECT user_id AS session_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn_number, ts AS created_at,
   CASE event_type WHEN 'view' THEN 'passthrough' WHEN 'click' THEN 'curator' WHEN 'purchase' THEN 'briefing' WHEN 'signup' THEN 'cold_start' ELSE 'agent_solo_compressed' END AS assembly_mode,
@@ -36,13 +38,8 @@ def toks(c: str) -> str:
     return f"list_filter(list_distinct(string_split({norm(c)}, ' ')), lambda x: x <> '')"
 
 
-_STOP = (
-    "the a an and or of to in is it for on with this that be as at by from do does add now then your you we can class method function file code line"
-).split()
-
-
 def idents(c: str) -> str:
-    stop = ", ".join(f"'{w}'" for w in _STOP)
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     return f"list_filter(list_distinct(list_transform(regexp_extract_all({c}, '[a-zA-Z_][a-zA-Z0-9_]+'), lambda x: lower(x))), lambda x: x NOT IN ({stop}))"
 
 
@@ -130,7 +127,8 @@ ORACLES = {
     "request_prefixes": _q("""SELECT session_id, idx, messages, chars, last_role FROM (SELECT session_id, idx, role, COUNT(*) OVER w AS messages, CAST(SUM(LENGTH(content)) OVER w AS BIGINT) AS chars, LAG(role) OVER (PARTITION BY session_id ORDER BY idx) AS last_role FROM v_msg
   WINDOW w AS (PARTITION BY session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE role = 'assistant' AND last_role IN ('user', 'tool')""", "v_msg"),
     "selected_turns": _q("""SELECT session_id, idx, turn FROM (SELECT *, MAX(idx) OVER (PARTITION BY session_id) AS z FROM v_turn) WHERE session_id % 3 = 0 OR (session_id % 3 = 1 AND turn = 1) OR idx > z - 2 OR role = 'system'""", "v_turn"),
-    "intent_class": None,
+    "intent_class": _q(f""", u AS (SELECT session_id, idx, CASE {' '.join(f"WHEN regexp_matches(COALESCE(content, ''), '{p}') THEN '{n}'" for n, p in INTENTS)} ELSE 'general' END AS intent FROM v_msg WHERE role = 'user')
+  SELECT session_id, idx, intent, COALESCE(intent <> LAG(intent) OVER (PARTITION BY session_id ORDER BY idx), false) AS shift FROM u""", "v_msg"),
     "message_preview": _q("""SELECT session_id, idx, CASE WHEN LENGTH(content) <= 100 THEN content ELSE cut || chr(10) || '... [' || (LENGTH(content) - LENGTH(cut)) || ' chars omitted]' END AS preview FROM (SELECT *, CASE WHEN last > 50 THEN SUBSTRING(content, 1, last - 1) ELSE SUBSTRING(content, 1, 100) END AS cut
   FROM (SELECT *, CASE WHEN strpos(reverse(SUBSTRING(content, 1, 100)), chr(10)) > 0 THEN LENGTH(SUBSTRING(content, 1, 100)) - strpos(reverse(SUBSTRING(content, 1, 100)), chr(10)) + 1 ELSE 0 END AS last FROM v_msg))""", "v_msg"),
     "result_tail": _q("""SELECT session_id, idx, role, SUBSTRING(content, 1, CAST(600 - used AS BIGINT)) AS content FROM (SELECT *, COALESCE(SUM(LENGTH(COALESCE(content, ''))) OVER (PARTITION BY session_id ORDER BY idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM v_msg) WHERE used < 600""", "v_msg"),
@@ -187,4 +185,35 @@ ORACLES = {
     "event_json": "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS path FROM events",
     "sse_reassembly": "SELECT conv_id || ':' || turn AS response_id, text AS content, 'm1' AS model, 'stop' AS finish, CAST((LENGTH(text) - 1) // 40 + 1 AS BIGINT) AS chunks FROM conversations WHERE role = 'assistant' AND LENGTH(text) > 0",
 }
+ORACLES |= {
+    "recent_sessions": "SELECT c_custkey AS session_id, c_acctbal AS updated, COALESCE(n, 0) AS messages FROM customer LEFT JOIN (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey ORDER BY updated DESC, session_id LIMIT 50",
+    "storage_summary": _q("SELECT session_id, 'facts' AS store, COUNT(*) AS rows FROM v_fact GROUP BY 1 UNION ALL SELECT session_id, 'files', COUNT(*) FROM v_file GROUP BY 1 UNION ALL SELECT session_id, 'messages', COUNT(*) FROM v_msg GROUP BY 1", "v_fact", "v_file", "v_msg"),
+    "pruned_state": _q("SELECT session_id, turn_number FROM v_trace WHERE session_id IN (SELECT session_id FROM v_trace WHERE failed AND turn_number > 60)", "v_trace"),
+    "find_or_create": _q(""", f AS (SELECT session_id, SUBSTRING(sha256(SUBSTRING(COALESCE(arg_min(content, idx) FILTER (role='system'), ''), 1, 4000) || chr(10) || COALESCE(arg_min(content, idx) FILTER (role='user'), '')), 1, 16) AS fingerprint FROM v_msg GROUP BY 1),
+  k AS (SELECT fingerprint, CAST(MIN(session_id) AS VARCHAR) AS session_id FROM f WHERE session_id % 2 = 0 GROUP BY 1)
+  SELECT fingerprint, session_id, false AS created FROM k UNION ALL SELECT DISTINCT fingerprint, SUBSTRING(sha256(fingerprint), 1, 16), true FROM f WHERE fingerprint NOT IN (SELECT fingerprint FROM k)""", "v_msg"),
+    "plugin_metrics": _q("SELECT assembly_mode AS plugin, 'a.b' AS name, CAST(SUM(input_tokens) AS BIGINT) AS value FROM v_trace WHERE failed GROUP BY 1", "v_trace"),
+    "embedding_cache": "SELECT o_orderkey AS key, o_totalprice AS at FROM orders WHERE 300000.0 - o_totalprice <= 100000.0 ORDER BY o_totalprice DESC, o_orderkey LIMIT 128",
+    "compressed_context": _q(f""", m AS (SELECT *, {est('content')} AS f, CASE WHEN role = 'system' THEN 0 ELSE {est('content')} - {est('SUBSTRING(content, 1, 40)')} END AS s FROM v_msg),
+  c AS (SELECT *, SUM(f) OVER (PARTITION BY session_id) - 300 AS o, COALESCE(SUM(s) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM m)
+  SELECT session_id, idx, b < o AND s > 0 AS cut, CASE WHEN b < o AND s > 0 THEN SUBSTRING(content, 1, 40) ELSE content END AS content FROM c""", "v_msg"),
+    "promotion_stats": _q("""SELECT CASE WHEN k IS NULL THEN 'refused' WHEN r = 1 THEN 'promoted' ELSE 'duplicate' END AS outcome, COUNT(*) AS facts FROM (SELECT f.fact_id, k, r FROM v_fact f LEFT JOIN (SELECT fact_id, session_id || ':' || fact_type || ':' || content AS k,
+  ROW_NUMBER() OVER (PARTITION BY session_id, fact_type, content ORDER BY fact_id) AS r FROM v_fact WHERE fact_type IN ('decision','goal','error') AND confidence >= 0.9e0 AND NOT invalidated) p ON p.fact_id = f.fact_id) GROUP BY 1""", "v_fact"),
+    "extraction_dry_run": _q(f""", h AS (SELECT *, {norm('content')} AS c FROM v_fact), a AS (SELECT session_id, COUNT(*) AS offered FROM h WHERE source_turn > 10 GROUP BY 1),
+  b AS (SELECT session_id, COUNT(DISTINCT c) AS stored FROM h WHERE source_turn > 10 AND NOT EXISTS (SELECT 1 FROM h o WHERE o.source_turn <= 10 AND o.session_id = h.session_id AND o.c = h.c) GROUP BY 1) SELECT a.session_id, offered, COALESCE(stored, 0) AS stored FROM a LEFT JOIN b ON a.session_id = b.session_id""", "v_fact"),
+    "file_checks": _q("""SELECT session_id, path, array_to_string(list_filter([CASE WHEN COALESCE(content, '') = '' THEN 'not_empty' END, CASE WHEN NOT contains(COALESCE(content, ''), '<h1') THEN 'contains' END, CASE WHEN len(string_split(COALESCE(content, ''), chr(10))) < 5 THEN 'min_lines' END], lambda x: x IS NOT NULL), ',') AS failed,
+  COALESCE(content, '') <> '' AND contains(COALESCE(content, ''), '<h1') AND len(string_split(COALESCE(content, ''), chr(10))) >= 5 AS passes FROM v_file""", "v_file"),
+    "work_summary": _q("""SELECT session_id, fact_type, fact_id, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, fact_type ORDER BY source_turn DESC, fact_id DESC) AS rank FROM v_fact WHERE NOT invalidated) WHERE rank <= CASE fact_type WHEN 'error' THEN 2 WHEN 'decision' THEN 1 WHEN 'state' THEN 1 WHEN 'goal' THEN 3 END""", "v_fact"),
+    "consent_state": "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'granted' WHEN 'O' THEN 'denied' ELSE 'unset' END AS consent, o_orderstatus = 'F' AS allowed FROM orders",
+    "token_hints": "SELECT o_orderkey AS id, CASE WHEN FLOOR(o_totalprice / 1000) BETWEEN 100 AND 5000000 THEN CAST(FLOOR(o_totalprice / 1000) AS BIGINT) WHEN o_orderkey BETWEEN 100 AND 5000000 THEN o_orderkey END AS tokens FROM orders",
+    "compression_priority": _q("""SELECT session_id, idx, role, CASE role WHEN 'system' THEN 1000.0e0 ELSE (2.0e0 - CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END) / 2.0e0 + 0.4e0 * COALESCE((ROW_NUMBER() OVER w - 1) / CAST(NULLIF(COUNT(*) OVER (PARTITION BY session_id) - 1, 0) AS DOUBLE), 0) END AS priority
+  FROM v_msg WINDOW w AS (PARTITION BY session_id ORDER BY idx)""", "v_msg"),
+    "session_windows": _q("""SELECT session_id, MIN(created_at) AS start, MAX(created_at) + INTERVAL 6 HOUR AS end, COUNT(*) AS events FROM (SELECT *, SUM(n) OVER (PARTITION BY session_id ORDER BY created_at, event_id) AS g FROM (SELECT *, CASE WHEN created_at - LAG(created_at) OVER (PARTITION BY session_id ORDER BY created_at, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM v_trace)) GROUP BY session_id, g""", "v_trace"),
+    "first_seen_trail": _q("SELECT session_id, MIN(created_at) AS first_seen FROM v_trace GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 20", "v_trace"),
+    "fact_supersession_edges": _q("SELECT DISTINCT n.fact_id % 7 AS session_id, n.fact_id AS new_id, o.fact_id AS old_id FROM v_fact n JOIN v_fact o ON n.fact_id % 7 = o.fact_id % 7 AND n.source_turn = o.source_turn WHERE NOT n.invalidated AND o.invalidated", "v_fact"),
+    "resolved_references": _q(r"""SELECT DISTINCT session_id, src, dst FROM (SELECT e.session_id, e.src, f.path AS dst, ROW_NUMBER() OVER (PARTITION BY e.session_id, e.src, e.dst ORDER BY f.path <> e.dst, f.path) r
+  FROM v_edge e JOIN v_file f ON f.session_id = e.session_id AND f.path <> e.src AND (f.path = e.dst OR regexp_extract(f.path, '([^/]+?)/?$', 1) = regexp_extract(e.dst, '([^/]+?)/?$', 1))) WHERE r = 1""", "v_edge"),
+    "code_map": _q(f""", d AS ({_DEG_RANK}) SELECT b.session_id, foundations, COALESCE(n, 0) AS edges FROM (SELECT session_id, string_agg(path || ' (' || in_degree || ')', '; ' ORDER BY rank) AS foundations FROM d WHERE rank <= 8 GROUP BY 1) b
+  LEFT JOIN (SELECT session_id, COUNT(*) AS n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, src ORDER BY dst) r FROM v_edge) WHERE r <= 6 GROUP BY 1) e ON b.session_id = e.session_id""", "v_edge"),
+}
 ORACLES = {k: v for k, v in ORACLES.items() if v}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import content as C
 from ..functions import text as T
-from ..operators import evals, facts, files, messages, ranking, reads, traces
+from ..operators import evals, facts, files, messages, ranking, reads, sessions, traces
 from ..sources import adapters as A
 from ..streaming import stateful
 
@@ -150,4 +150,31 @@ QUERIES = {
     "sse_reassembly": lambda s, d: stateful.reassembled(_chunks(s, d)),
     "arc_working_sets": lambda s, d: stateful.working_sets(A.reads(s, d)),
     "circuit_breaker": lambda s, d: stateful.circuit_batch(A.traces(s, d).select("session_id", F.unix_micros(F.col("created_at").cast("timestamp")).cast("double").alias("us"), "failed").select("session_id", (F.col("us") / 1e6).alias("ts"), "failed")),
+    "recent_sessions": lambda s, d: sessions.recent(A.table(s, d, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_acctbal").alias("updated")), A.table(s, d, "orders").select(F.col("o_custkey").alias("session_id")), 50),
+    "storage_summary": lambda s, d: sessions.storage({"facts": A.facts(s, d), "files": A.files(s, d), "messages": A.messages(s, d)}),
+    "pruned_state": lambda s, d: sessions.pruned(A.traces(s, d), A.traces(s, d).where("failed and turn_number > 60")).select("session_id", "turn_number"),
+    "find_or_create": lambda s, d: sessions.find_or_create(
+        messages.fingerprints(A.messages(s, d)).where("session_id % 2 = 0").groupBy("fingerprint").agg(F.min("session_id").cast("string").alias("session_id")), messages.fingerprints(A.messages(s, d))
+    ),
+    "changed_config": lambda s, d: sessions.changed_keys(A.traces(s, d).groupBy("assembly_mode").agg(F.create_map(
+        F.lit("turns"), F.count("*").cast("string"), F.lit("fixed"), F.lit("1"), F.concat(F.lit("only_"), F.col("assembly_mode")), F.lit("x")).alias("config")).withColumnRenamed("assembly_mode", "experiment")),
+    "plugin_metrics": lambda s, d: sessions.dotted_metrics(A.traces(s, d).select(F.concat(F.when(F.col("failed"), "plugin.").otherwise("other."), F.col("assembly_mode"), F.lit(".a.b")).alias("key"), F.col("input_tokens").alias("value"))),
+    "reserved_calls": lambda s, d: sessions.reserved_calls(A.traces(s, d).select("session_id", F.floor((F.col("turn_number") - 1) / 8).alias("turn"), F.col("turn_number").alias("pos"), F.col("savings_tokens").alias("tokens"))),
+    "embedding_cache": lambda s, d: sessions.cached(A.table(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("at")), 300000.0, 100000.0),
+    "compression_ratio": lambda s, d: _rounded(sessions.compression_ratio(A.messages(s, d)), ratio=9),
+    "compressed_context": lambda s, d: sessions.compressed_to(A.messages(s, d), 300),
+    "promotion_stats": lambda s, d: sessions.promotion_stats(A.facts(s, d)),
+    "extraction_dry_run": lambda s, d: sessions.dry_run(A.facts(s, d).where("source_turn > 10"), A.facts(s, d).where("source_turn <= 10")),
+    "recall_answer": lambda s, d: sessions.recall_answer(A.facts(s, d), 300),
+    "file_checks": lambda s, d: sessions.file_checks(A.files(s, d), "<h1", 5),
+    "work_summary": lambda s, d: sessions.work_summary(A.facts(s, d), {"error": 2, "decision": 1, "state": 1, "goal": 3}),
+    "consent_state": lambda s, d: sessions.consent(A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", " TRUE ").when(F.col("o_orderstatus") == "O", "no").alias("header"))),
+    "token_hints": lambda s, d: sessions.token_hints(A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("header"), F.floor(F.col("o_totalprice") / 1000).cast("string").alias("meta"), F.col("o_orderkey").cast("string").alias("body"))),
+    "code_map": lambda s, d: files.code_map(files.in_degree(A.files(s, d).select("session_id", "path"), _path_edges(s, d)), _path_edges(s, d)),
+    "resolved_references": lambda s, d: files.resolved(_path_edges(s, d).select("session_id", F.col("src").alias("path"), F.concat(F.lit("./"), F.col("dst")).alias("target")), A.files(s, d)),
+    "compression_priority": lambda s, d: messages.compression_priority(A.messages(s, d)),
+    "session_windows": lambda s, d: stateful.expired(A.traces(s, d).select("session_id", F.col("created_at").alias("at")), 6),
+    "first_seen_trail": lambda s, d: stateful.latest_first(A.traces(s, d), "session_id", "created_at", 20),
+    "fact_supersession_edges": lambda s, d: facts.supersession_edges(A.facts(s, d).withColumn("session_id", F.col("fact_id") % 7)),
+    "fact_near_known": lambda s, d: facts.without_near_known(A.facts(s, d).where("source_turn > 10").withColumn("pos", F.col("fact_id")), A.facts(s, d).where("source_turn <= 10")).select("session_id", "fact_id"),
 }

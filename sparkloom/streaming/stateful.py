@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -166,4 +166,4 @@ def expired(activity: DataFrame, hours: int) -> DataFrame:
 def latest_first(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
     """A bounded first-in first-out trail: the newest `most` keys by first sight."""
     first = rows.groupBy(key).agg(F.min(order).alias("first_seen"))
-    return first.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("first_seen"), F.desc(key)))).where(F.col("_r") <= most).drop("_r")
+    return first.orderBy(F.desc("first_seen"), F.desc(key)).limit(most)
