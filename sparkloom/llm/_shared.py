@@ -9,18 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A local session's own folder, and the tables written so far.
+_own: list[str] = []
+_tables: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
     Only a local session may go without that setting; it then gets a folder of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="sparkloom-"))
+    return _own[0]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -28,9 +34,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that written() made so far; results that read them can't be used any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _tables:
+        path = hadoop(_tables.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows (node, component) for every node of edges (u, v); component is the smallest node reached.
 
