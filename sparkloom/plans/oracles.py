@@ -216,4 +216,20 @@ ORACLES |= {
     "code_map": _q(f""", d AS ({_DEG_RANK}) SELECT b.session_id, foundations, COALESCE(n, 0) AS edges FROM (SELECT session_id, string_agg(path || ' (' || in_degree || ')', '; ' ORDER BY rank) AS foundations FROM d WHERE rank <= 8 GROUP BY 1) b
   LEFT JOIN (SELECT session_id, COUNT(*) AS n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, src ORDER BY dst) r FROM v_edge) WHERE r <= 6 GROUP BY 1) e ON b.session_id = e.session_id""", "v_edge"),
 }
+ORACLES |= {
+    "code_fill": _q("""SELECT session_id, path, rank, cost > l AS cut, CASE WHEN cost > l THEN SUBSTRING(block, 1, CAST(l AS BIGINT)) ELSE block END AS block FROM (SELECT *, 20000 - COALESCE(SUM(cost) OVER (PARTITION BY session_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l
+  FROM (SELECT session_id, path, last_updated_turn AS rank, '## ' || path || chr(10) || COALESCE(content, '') AS block, LENGTH('## ' || path || chr(10) || COALESCE(content, '')) + 1 AS cost FROM v_file)) WHERE cost <= l OR l > 200""", "v_file"),
+    "current_turn": _q(""", b AS (SELECT session_id, MAX(idx) AS e, MAX(idx) FILTER (role = 'user') AS u FROM v_msg GROUP BY 1), p AS (SELECT b.session_id, e, u, MAX(idx) FILTER (role = 'user' AND idx < u) AS q FROM b JOIN v_msg m ON m.session_id = b.session_id GROUP BY 1, 2, 3)
+  SELECT m.session_id, idx FROM v_msg m JOIN p ON p.session_id = m.session_id WHERE CASE WHEN u = e THEN idx > COALESCE(q, -1) AND idx < u ELSE idx > COALESCE(u, -1) END""", "v_msg"),
+    "strongest_status": _q("SELECT session_id, path, arg_max(tool, CASE tool WHEN 'grep' THEN 1 WHEN 'bash' THEN 2 WHEN 'read' THEN 3 ELSE 4 END) AS status FROM v_read GROUP BY 1, 2", "v_read"),
+    "resolved_issues": _q("""SELECT i.session_id, i.summary, i.turn, r.resolved_turn, r.resolved_turn IS NULL AS open FROM (SELECT session_id, SUBSTRING(content, 1, 30) AS summary, source_turn AS turn FROM v_fact WHERE fact_type = 'error') i
+  LEFT JOIN (SELECT session_id, SUBSTRING(content, 1, 30) AS summary, MIN(source_turn) AS resolved_turn FROM v_fact WHERE fact_id % 3 = 0 GROUP BY 1, 2) r ON r.session_id = i.session_id AND r.summary = i.summary""", "v_fact"),
+    "prefix_splice": _q("SELECT session_id, CAST(2 AS BIGINT) AS count, session_id % 2 = 0 AS hit FROM v_msg WHERE idx = 1", "v_msg"),
+    "search_hits": _q("""SELECT session_id, path, hits, array_to_string(list_transform(a[1:3], lambda x: CAST(x AS VARCHAR)), ',') AS lines FROM (SELECT *, len(a) AS hits, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY path) r
+  FROM (SELECT session_id, path, list_filter(range(1, len(string_split(content, chr(10))) + 1), lambda i: contains(string_split(content, chr(10))[i], '<p')) AS a FROM v_file) WHERE len(a) > 0) WHERE r <= 6""", "v_file"),
+    "cached_view": _q("""SELECT session_id, path, array_to_string(list_transform(range(1, CASE WHEN len(l) <= 8 THEN len(l) ELSE 2 END + 1), lambda i: i || ': ' || l[i]), chr(10)) || CASE WHEN len(l) <= 8 THEN '' ELSE chr(10) || '... ' || len(l) || ' lines' END AS view FROM (SELECT *, string_split(COALESCE(content, ''), chr(10)) AS l FROM v_file)""", "v_file"),
+    "command_names": _q("SELECT event_id, CASE WHEN failed THEN 'cd' ELSE assembly_mode END AS command FROM v_trace", "v_trace").replace("THEN 'cd' ELSE", "THEN 'builtin' ELSE"),
+    "tool_outcomes": _q("SELECT session_id, idx, tool IN ('read', 'grep', 'bash') AS compressible, CASE WHEN idx % 5 = 0 THEN 'error' WHEN idx % 7 = 0 THEN 'soft_error' ELSE 'ok' END AS outcome FROM v_read", "v_read"),
+    "file_patterns": "SELECT page_id, '*View.test.tsx' AS pattern FROM pages",
+}
 ORACLES = {k: v for k, v in ORACLES.items() if v}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import content as C
+from ..functions import phrasing as P
 from ..functions import text as T
-from ..operators import evals, facts, files, messages, ranking, reads, sessions, traces
+from ..operators import evals, facts, files, messages, ranking, reads, rewriting, sessions, traces
 from ..sources import adapters as A
 from ..streaming import stateful
 
@@ -177,4 +178,20 @@ QUERIES = {
     "first_seen_trail": lambda s, d: stateful.latest_first(A.traces(s, d), "session_id", "created_at", 20),
     "fact_supersession_edges": lambda s, d: facts.supersession_edges(A.facts(s, d).withColumn("session_id", F.col("fact_id") % 7)),
     "fact_near_known": lambda s, d: facts.without_near_known(A.facts(s, d).where("source_turn > 10").withColumn("pos", F.col("fact_id")), A.facts(s, d).where("source_turn <= 10")).select("session_id", "fact_id"),
+    "code_fill": lambda s, d: rewriting.code_fill(A.files(s, d).withColumn("rank", F.col("last_updated_turn")), 20000),
+    "current_turn": lambda s, d: rewriting.current_turn(A.messages(s, d)).select("session_id", "idx"),
+    "strongest_status": lambda s, d: rewriting.strongest(A.reads(s, d).select("session_id", "path", F.col("tool").alias("status"), F.col("idx").alias("pos")), ["grep", "bash", "read", "write"]),
+    "resolved_issues": lambda s, d: rewriting.resolved_issues(
+        A.facts(s, d).where("fact_type = 'error'").select("session_id", F.substring("content", 1, 30).alias("summary"), F.col("source_turn").alias("turn")),
+        A.facts(s, d).where("fact_id % 3 = 0").select("session_id", F.substring("content", 1, 30).alias("summary"), F.col("source_turn").alias("turn")),
+    ),
+    "prefix_splice": lambda s, d: rewriting.spliced(A.messages(s, d), A.messages(s, d).where("idx = 1").select("session_id", F.lit(2).cast("long").alias("count"), T.message_fingerprint(F.when(F.col("session_id") % 2 == 0, F.col("role")).otherwise("x"), F.col("content")).alias("fingerprint"))),
+    "search_hits": lambda s, d: rewriting.search_hits(A.files(s, d), "<p", 3, 6),
+    "cached_view": lambda s, d: rewriting.cached_view(A.files(s, d), 8, 2),
+    "rewritten_context": lambda s, d: rewriting.rewritten(A.messages(s, d), A.messages(s, d).select("session_id").distinct().select("session_id", F.expr("array(1L)").alias("turns")), 3, 120),
+    "recall_requests": lambda s, d: A.messages(s, d).select("session_id", "idx", P.asks_to_recall(F.col("role"), F.col("content")).alias("recall"), P.ambiguous(F.col("content"), 40).alias("ambiguous")),
+    "compressed_facts": lambda s, d: A.facts(s, d).select("fact_id", P.compressed_fact(F.concat(F.lit("Based on the analysis, it seems that "), F.col("content"), F.lit("."))).alias("fact")),
+    "command_names": lambda s, d: A.traces(s, d).select("event_id", P.command_name(F.concat(F.lit("A=1 "), F.when(F.col("failed"), "cd").otherwise(F.col("assembly_mode")), F.lit("|head -3"))).alias("command")),
+    "tool_outcomes": lambda s, d: A.reads(s, d).select("session_id", "idx", P.compressible(F.concat(F.lit("my_"), F.col("tool"))).alias("compressible"), P.outcome(F.when(F.col("idx") % 5 == 0, F.concat(F.lit(" Error: "), F.col("content"))).when(F.col("idx") % 7 == 0, "file not found").otherwise(F.col("content"))).alias("outcome")),
+    "file_patterns": lambda s, d: A.table(s, d, "pages").select("page_id", P.file_pattern(F.concat("url", F.lit("/UserListView.test.tsx"))).alias("pattern")),
 }
