@@ -52,7 +52,7 @@ def sanitised_system(c: Column) -> Column:
 
 def session_goal(c: Column, default: str = "Continue the session", most: int = 120) -> Column:
     """A goal in one sentence: fences, tags and role prefixes off; what tries to give orders becomes the default."""
-    out = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)```.*?```|<[^>]{1,200}>", " ")
+    out = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)```.*?```", " "), r"<[^>]{1,200}>", "")
     out = strip(F.regexp_replace(F.regexp_replace(out, r"(?im)^\s*(?:user|assistant|system)\s*:\s*", ""), r"\s+", " "))
     first = F.substring(F.regexp_extract(out, r"^(.*?[.!?])(?:\s|$)", 1), 1, most)
     bad = out.rlike(r"(?i)ignore (?:all |any )?(?:previous|prior) instructions|system prompt")

@@ -232,4 +232,15 @@ ORACLES |= {
     "tool_outcomes": _q("SELECT session_id, idx, tool IN ('read', 'grep', 'bash') AS compressible, CASE WHEN idx % 5 = 0 THEN 'error' WHEN idx % 7 = 0 THEN 'soft_error' ELSE 'ok' END AS outcome FROM v_read", "v_read"),
     "file_patterns": "SELECT page_id, '*View.test.tsx' AS pattern FROM pages",
 }
+ORACLES |= {
+    "context_blocks": _q("""SELECT session_id, string_agg('=== ' || upper(fact_type) || ' ===' || chr(10) || SUBSTRING(content, 1, 20), chr(10) || chr(10) ORDER BY fact_id) AS block, COUNT(*) AS sections FROM v_fact WHERE fact_id < 400 AND fact_id % 4 <> 0 AND trim(SUBSTRING(content, 1, 20)) <> '' GROUP BY 1""", "v_fact"),
+    "task_map": _q(f""", k AS (SELECT *, MIN(CASE WHEN ends_with(path, '1') THEN rank END) OVER (PARTITION BY session_id) AS f FROM ({_REL_RANK}) WHERE rank <= 6)
+  SELECT session_id, string_agg(rank || '. ' || path || CASE WHEN ends_with(path, '1') AND rank = f THEN ' [example]' ELSE '' END, chr(10) ORDER BY rank) AS map FROM k GROUP BY 1""", "v_file"),
+    "session_overview": _q(""", a AS (SELECT session_id, string_agg(path, chr(10) ORDER BY path) AS files FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY path) r FROM v_file) WHERE r <= 5 GROUP BY 1),
+  b AS (SELECT session_id, string_agg(CAST(fact_id AS VARCHAR), ',' ORDER BY r) AS decisions FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY source_turn DESC, fact_id DESC) r FROM v_fact WHERE fact_type = 'decision') WHERE r <= 3 GROUP BY 1)
+  SELECT COALESCE(a.session_id, b.session_id) AS session_id, COALESCE(files, '') AS files, COALESCE(decisions, '') AS decisions FROM a FULL JOIN b ON a.session_id = b.session_id""", "v_file", "v_fact"),
+    "event_lines": _q("""SELECT session_id, turn_number, strftime(created_at, '%Y-%m-%d %H:%M:%S') || ' #' || turn_number || ' ' || CASE WHEN failed THEN 'failed' WHEN recall_used THEN 'recalled' ELSE assembly_mode END || ' ' || input_tokens || ' tokens' AS line FROM v_trace""", "v_trace"),
+    "front_matter": _q("""SELECT fact_id, '---' || chr(10) || 'type: ' || fact_type || chr(10) || 'session: "' || session_id || '"' || chr(10) || 'turn: ' || source_turn || chr(10) || '---' || chr(10) || content || chr(10) AS document FROM v_fact""", "v_fact"),
+    "cut_blocks": """SELECT doc_id, CASE WHEN LENGTH(b) <= 60 THEN b WHEN (len(string_split(SUBSTRING(b, 1, 60), '```')) - 1) % 2 = 1 THEN SUBSTRING(b, 1, 60) || chr(10) || '```' ELSE SUBSTRING(b, 1, 60) END AS block FROM (SELECT doc_id, '```' || chr(10) || text || chr(10) || '```' AS b FROM documents)""",
+}
 ORACLES = {k: v for k, v in ORACLES.items() if v}

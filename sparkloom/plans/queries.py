@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import content as C
 from ..functions import phrasing as P
+from ..functions import rendering as R
 from ..functions import text as T
 from ..operators import evals, facts, files, messages, ranking, reads, rewriting, sessions, traces
 from ..sources import adapters as A
@@ -194,4 +195,11 @@ QUERIES = {
     "command_names": lambda s, d: A.traces(s, d).select("event_id", P.command_name(F.concat(F.lit("A=1 "), F.when(F.col("failed"), "cd").otherwise(F.col("assembly_mode")), F.lit("|head -3"))).alias("command")),
     "tool_outcomes": lambda s, d: A.reads(s, d).select("session_id", "idx", P.compressible(F.concat(F.lit("my_"), F.col("tool"))).alias("compressible"), P.outcome(F.when(F.col("idx") % 5 == 0, F.concat(F.lit(" Error: "), F.col("content"))).when(F.col("idx") % 7 == 0, "file not found").otherwise(F.col("content"))).alias("outcome")),
     "file_patterns": lambda s, d: A.table(s, d, "pages").select("page_id", P.file_pattern(F.concat("url", F.lit("/UserListView.test.tsx"))).alias("pattern")),
+    "context_blocks": lambda s, d: R.context_blocks(A.facts(s, d).where("fact_id < 400").select("session_id", F.col("fact_id").alias("pos"), F.upper("fact_type").alias("title"), F.when(F.col("fact_id") % 4 != 0, F.substring("content", 1, 20)).alias("body"))),
+    "task_map": lambda s, d: R.task_map(files.relevance(A.files(s, d), QUERY), "1"),
+    "session_overview": lambda s, d: R.overview(A.files(s, d), A.facts(s, d).where("fact_type = 'decision'"), 5, 3),
+    "focus_range": lambda s, d: R.focus_range(files.outline(A.files(s, d)), QUERY),
+    "event_lines": lambda s, d: R.event_line(A.traces(s, d)),
+    "front_matter": lambda s, d: R.front_matter(A.facts(s, d)),
+    "cut_blocks": lambda s, d: A.table(s, d, "documents").select("doc_id", R.closed_fence(F.concat(F.lit("```\n"), "text", F.lit("\n```")), 60).alias("block")),
 }
