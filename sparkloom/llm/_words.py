@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,6 +124,13 @@ def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def trim() -> None:
+    """Hand freed memory back to the system, for workers that live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def word_hash(words: list[str], k: int, table: np.ndarray) -> np.ndarray:
     """The k-gram hashes of one list of words, as Words has them."""
     w = Words(pa.array([" ".join(words)]), table)

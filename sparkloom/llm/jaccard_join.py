@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _shared
-from ._words import SPACES, Words, mix, slices
+from ._words import SPACES, Words, mix, slices, trim
 
 #: Shingles of so many classes in one task are counted over all tasks; from FREQUENT on they are left to the later modes,
 #: the MOST_FREQUENT at most (8 bytes each).
@@ -130,6 +130,7 @@ def _profile(k: int):
                 if len(token) > 2_000_000:  # those met once so far are let go: only which shingles count as frequent hangs on them
                     token, count = token[count > 1], count[count > 1]
                 many, held = [], 0
+                trim()
 
         for batch in batches:
             ids, hashes, texts = (batch.column(i) for i in range(3))
@@ -209,6 +210,7 @@ def _keys(k: int, frequent, tasks: int, bands: Bands):
                     own, at = np.unique(index[a:b], return_inverse=True)
                     rows.append((t, key[a:b].tobytes(), at.astype(np.uint16 if len(own) < 65536 else np.uint32).tobytes(), ids[own].tobytes(), len(own) < 65536))
             keys, classes, counts, held = [], [], [], 0
+            trim()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)), pa.array([r[4] for r in rows], pa.bool_())],
                 ["task", "keys", "at", "classes", "short"],
@@ -250,6 +252,7 @@ def _groups(batches):
     if not key:
         return
     key, cls = np.concatenate(key), np.concatenate(cls)
+    trim()
     order = np.argsort(key)
     key, cls = key[order], cls[order]
     same = key[1:] == key[:-1]

@@ -13,8 +13,6 @@ packed one by one. Other columns are ignored.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import itertools
 import os
 import zlib
@@ -26,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _shared
-from ._words import SPACES, Words, slices
+from ._words import SPACES, Words, slices, trim
 
 CAPACITY = 4096
 END = 1
@@ -156,18 +154,11 @@ def _pieces(path: str, capacity: int):
                 [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(a, pa.int64()) for a in (start, length, crc))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
-            _trim()
+            trim()
 
     return run
 
 
-def _trim():
-    """Hand freed memory back to the system: the tokenizer's results leave many small holes."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
     """The combination of the lengths in counts, each up to its count, with the largest sum within room; large lengths first."""
     mask = (1 << (room + 1)) - 1
