@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows in one Arrow batch.
+BATCH = 2000
 #: A local session's own folder, and the tables written so far.
 _own: list[str] = []
 _tables: list[str] = []
@@ -33,7 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # whole texts go to Python here: fewer of them at a time need less memory on either side
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(BATCH if int(before) <= 0 else min(int(before), BATCH)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(batch, before)
     _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

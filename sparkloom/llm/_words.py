@@ -131,6 +131,19 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_scratch: dict[str, dict] = {}
+
+
+def scratch(owner: str) -> dict:
+    """What a worker keeps between tasks for one operator; another operator's is let go."""
+    if owner not in _scratch:
+        _scratch.clear()
+        _POWERS.clear()
+        _scratch[owner] = {}
+        trim()
+    return _scratch[owner]
+
+
 def word_hash(words: list[str], k: int, table: np.ndarray) -> np.ndarray:
     """The k-gram hashes of one list of words, as Words has them."""
     w = Words(pa.array([" ".join(words)]), table)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _shared
-from ._words import SPACES, Words, mix, slices, trim
+from ._words import SPACES, Words, mix, scratch, slices, trim
 
 #: Shingles of so many classes in one task are counted over all tasks; from FREQUENT on they are left to the later modes,
 #: the MOST_FREQUENT at most (8 bytes each).
@@ -45,7 +45,7 @@ FREQUENT_IN_TASK = 2
 FREQUENT = 12
 MOST_FREQUENT = 500_000
 #: Keys for one task of the part join.
-KEYS_PER_TASK = 1_000_000
+KEYS_PER_TASK = 700_000
 #: Ids are broadcast up to so many rows of 16 bytes, beyond that they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rounds of likeliest pairs go on while they find more links than this.
@@ -112,6 +112,7 @@ def _profile(k: int):
     """Rows of kind 0 (doc_id, text_hash, n, class) and of kind 1 (shingle, number of classes in this task)."""
 
     def run(batches):
+        scratch("jaccard")
         seen: set[int] = set()
         many: list[np.ndarray] = []
         held = 0
@@ -127,7 +128,7 @@ def _profile(k: int):
                 t, c = t[order], c[order]
                 first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
                 token, count = t[first], np.add.reduceat(c, first)
-                if len(token) > 2_000_000:  # those met once so far are let go: only which shingles count as frequent hangs on them
+                if len(token) > 1_500_000:  # those met once so far are let go: only which shingles count as frequent hangs on them
                     token, count = token[count > 1], count[count > 1]
                 many, held = [], 0
                 trim()
@@ -141,7 +142,7 @@ def _profile(k: int):
                     seen.add(c)
                     many.append(s)
                     held += len(s)
-                    if held > 1_500_000:
+                    if held > 500_000:
                         merge()
             if len(seen) > 2_000_000:
                 seen.clear()
@@ -188,6 +189,7 @@ def _keys(k: int, frequent, tasks: int, bands: Bands):
     """Packed keys: for each target task one row of (keys, index into classes, classes)."""
 
     def run(batches):
+        scratch("jaccard")
         common = np.frombuffer(frequent.value, dtype=_U)
         seen: set[int] = set()
         keys, classes, counts, held = [], [], [], 0
@@ -231,7 +233,7 @@ def _keys(k: int, frequent, tasks: int, bands: Bands):
                 classes.append(c)
                 counts.append(len(own))
                 held += len(own)
-                if held > 1_000_000:
+                if held > 600_000:
                     yield from flush()
             if len(seen) > 2_000_000:
                 seen.clear()
@@ -242,6 +244,7 @@ def _keys(k: int, frequent, tasks: int, bands: Bands):
 
 def _groups(batches):
     """Groups of at least two classes that share a key: (group, class), equal groups once."""
+    scratch("jaccard")
     key, cls = [], []
     for batch in batches:
         for i in range(batch.num_rows):

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import LOWER, slices
+from ._words import LOWER, scratch, slices
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 8
@@ -165,6 +165,7 @@ def predictor(net: Network):
     """A column function of text: struct of lang_pred and score."""
 
     def run(texts: pa.Array) -> pa.Array:
+        scratch("langid")
         folded = net.folded()
         letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         names, scores = [], []

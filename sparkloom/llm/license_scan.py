@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._words import NOT_ALNUM, Words, slices, word_hash
+from ._words import NOT_ALNUM, Words, scratch, slices, word_hash
 
 #: Phrases whose places are all reported, and their labels.
 PHRASES = {
@@ -49,6 +49,7 @@ LEAST = 0.6
 
 
 def _grams(batches):
+    scratch("license")
     for batch in batches:
         texts = batch.column(1)
         for at, to in slices(texts):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _shared
-from ._words import Words, byte_table, mix, slices
+from ._words import Words, byte_table, mix, scratch, slices
 
 WINDOW, MODULUS, LINES = 2, 3, 2
 LINE_BYTES = byte_table(b"\n")
@@ -57,6 +57,7 @@ def cut(texts: pa.Array):
 
 
 def _chunks(batches):
+    scratch("lines")
     for batch in batches:
         for doc, start, end, stop, value in cut(batch.column(2)):
             doc = pa.array(doc)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _shared
-from ._words import SPACES, Words, slices, trim
+from ._words import SPACES, Words, scratch, slices, trim
 
 CAPACITY = 4096
 END = 1
@@ -118,9 +118,6 @@ class Encoder:
         return ids, np.append(0, ends)[w.first[1:]]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _ids(encode: Encoder, texts: pa.Array):
     """The ids of each text, slice by slice."""
     special = pc.fill_null(pc.match_substring(texts, "<|"), False).to_numpy(zero_copy_only=False)
@@ -137,11 +134,12 @@ def _ids(encode: Encoder, texts: pa.Array):
 
 def _pieces(path: str, capacity: int):
     def run(batches):
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
+        kept = scratch("packing")
+        if path not in kept:
+            kept[path] = Encoder(path)
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
-            for i, own in _ids(_ENCODERS[path], batch.column(1)):
+            for i, own in _ids(kept[path], batch.column(1)):
                 ids = np.append(own, np.uint32(END)).astype("<u4")
                 for p, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
