@@ -1,28 +1,35 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup: repeated runs of whole lines go, all but the first of each.
 
-Each line is hashed; a rolling hash over the last WINDOW lines ends a chunk where it is divisible by MODULUS, so
-borders move with the text, and a passage that two documents share is cut alike in both from its second line on. Chunks of at least
-LINES lines that occur in several places are removed everywhere but in the first one (smallest doc_id, then place), after their bytes were compared:
-occurrences are grouped by hash and bytes, and only groups of equal bytes count.
+A run counts from LINES lines on, or with one line from more than WORDS words on. It is repeated where the same bytes stand in an earlier place (smallest
+doc_id, then place) that doesn't overlap it. In a repeated run of several lines each two neighbours are repeated too, so `runs` cuts a text into all its pairs of
+neighbours and its long single lines, and what these cover together is every repeated run in full length. A document of one short line is a run of its own, equal
+to other such documents only. The earliest copy of a line is never removed, so no line is lost altogether.
 
-Hashes and places move first, without any text. The bytes of repeated chunks are read again from their places, and combined before they are shuffled, so a chunk that very many documents hold costs a row for each task.
+Places are grouped by hash and bytes, and only groups of equal bytes count. Hashes and places move first, without any text. The bytes of repeated runs are read again from their places, and combined before they are shuffled, so a run that very many documents hold costs a row for each task.
 
-Lines end at \\n; empty lines belong to the chunk before them. A removed chunk goes with the line ends behind it. Null texts stay null, empty ones
-empty; a text without repeated chunks stays as it is, byte for byte. Rows with the same doc_id are told apart by a
+`cut` is a coarser way to cut, by content: a rolling hash over the last WINDOW lines ends a chunk where it is divisible by MODULUS. Its chunks miss what
+lies across their borders; the registered queries don't use it.
+
+Lines end at \\n; empty lines belong to the line before them, and those between two lines have to be equal too. A removed run goes with the line ends behind it. Null texts stay null, empty ones
+empty; a text without repeated runs stays as it is, byte for byte. Rows with the same doc_id are told apart by a
 hash of their text; rows equal in both are one document and come out alike. All other columns are kept as they are.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _shared
-from ._words import Words, byte_table, mix, scratch, slices
+from ._words import SPACES, Words, byte_table, mix, scratch, slices
 
 WINDOW, MODULUS, LINES = 2, 3, 2
+#: A single line counts as a run with more words than these.
+WORDS = 50
 LINE_BYTES = byte_table(b"\n")
 #: Rows with the places in a document are broadcast up to so many, beyond that they are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -56,37 +63,69 @@ def cut(texts: pa.Array):
         yield (at + doc[begin][keep], (w.starts[begin] - base)[keep], (w.ends[until] - base)[keep], (stop - base)[keep], value[keep].view(np.int64))
 
 
-def _chunks(batches):
+def runs(texts: pa.Array):
+    """(document, start, end, stop, hash) of every two lines that follow each other, every line of more than WORDS words, and the line of each document of one; as `cut` has them."""
+    for at, to in slices(texts):
+        w = Words(texts.slice(at, to - at), LINE_BYTES, lower=False)
+        if not len(w.hashes):
+            continue
+        doc = np.repeat(np.arange(w.n), np.diff(w.first))
+        base = w.offsets[doc]
+        last = np.append(doc[1:] != doc[:-1], True)
+        stops = np.where(last, w.offsets[doc + 1], np.append(w.starts[1:], 0))
+        inside = SPACES[w.bytes]
+        begun = np.cumsum(np.append(inside[:1], inside[1:] & ~inside[:-1]))
+        words = begun[w.ends - 1] - begun[w.starts] + inside[w.starts]
+        with np.errstate(over="ignore"):
+            two = np.flatnonzero(~last)
+            gap = (w.starts[two + 1] - w.ends[two]).astype(np.uint64)
+            pair = mix(mix(w.hashes[two], 1) + w.hashes[two + 1] * np.uint64(0x9E3779B97F4A7C15) + mix(gap, 2))
+            long = np.flatnonzero(words > WORDS)
+            alone = np.flatnonzero(last & np.append(True, last[:-1]) & (words <= WORDS))
+            single = [mix(w.hashes[long], 3), mix(w.hashes[alone], 4)]
+        first = np.concatenate((two, long, alone))
+        until = np.concatenate((two + 1, long, alone))
+        yield (at + doc[first], (w.starts - base)[first], (w.ends - base)[until], (stops - base)[until], np.concatenate((pair, *single)).view(np.int64))
+
+
+def _chunks(how, batches):
     scratch("lines")
     for batch in batches:
-        for doc, start, end, stop, value in cut(batch.column(2)):
+        for doc, start, end, stop, value in how(batch.column(2)):
             doc = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(doc), batch.column(1).take(doc), *map(pa.array, (start, end, stop, value))], ["doc_id", "text_hash", "start", "end", "stop", "hash"]
             )
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc, text_hash, places): the places (start, stop) to be removed, for each document that has any."""
+def _later() -> Column:
+    """A place that is neither `first` nor overlaps it."""
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return ~(same & (F.col("start") < F.col("first.end")))
+
+
+def repeated_chunks(docs: DataFrame, how=cut) -> DataFrame:
+    """(doc, text_hash, places): the places (start, stop) to be removed, for each document that has any; how: cut or runs."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    chunks = base.mapInArrow(_chunks, "doc_id long, text_hash long, start long, end long, stop long, hash long")
-    chunks = _shared.written(chunks.dropDuplicates(["doc_id", "text_hash", "start"]), "chunks")
-    place = F.struct("doc_id", "text_hash", "start")
-    often = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    found = _shared.written(chunks.join(often, "hash"), "repeated")
+    chunks = base.mapInArrow(partial(_chunks, how), "doc_id long, text_hash long, start long, end long, stop long, hash long")
+    chunks = _shared.written(chunks, "chunks")
+    place = F.struct("doc_id", "text_hash", "start", "end")
+    # equal rows have equal places; written apart from the join, so that a hash with very many places can be split there
+    often = chunks.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("final")).where(~F.col("first").eqNullSafe(F.col("final"))).drop("final")
+    found = _shared.written(chunks.join(_shared.written(often, "often"), "hash"), "repeated")
 
     # bytes of the repeated chunks, taken from their places and grouped as bytes
     where = found.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("start", "end", "hash")).alias("places"))
     where = _shared.written(where, "where")
     few = F.broadcast(where) if found.count() <= BROADCAST_ROWS else where
     held = base.join(few, base["doc_id"].eqNullSafe(F.col("d")) & (base["text_hash"] == F.col("h"))).select("doc_id", "text_hash", F.col("text").cast("binary").alias("raw"), F.explode("places").alias("p"))
-    held = held.select("doc_id", "text_hash", "p.start", "p.hash", F.expr("substring(raw, int(p.start + 1), int(p.end - p.start))").alias("chunk"))
+    held = held.select("doc_id", "text_hash", "p.start", "p.end", "p.hash", F.expr("substring(raw, int(p.start + 1), int(p.end - p.start))").alias("chunk"))
     kinds = _shared.written(held.groupBy("hash", "chunk").agg(F.min(place).alias("first")), "kinds")
     mixed = kinds.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    again = found.where(place != F.col("first")).select("doc_id", "text_hash", "start", "stop", "hash")
+    again = found.where(_later()).select("doc_id", "text_hash", "start", "stop", "hash")
     if mixed.head(1):  # one hash, different bytes: each kind of bytes keeps a first place of its own
         mixed = _shared.written(mixed, "mixed")
-        inside = held.join(mixed, "hash", "left_semi").join(kinds, ["hash", "chunk"]).where(~F.struct("doc_id", "text_hash", "start").eqNullSafe(F.col("first")))
+        inside = held.join(mixed, "hash", "left_semi").join(kinds, ["hash", "chunk"]).where(_later())
         inside = inside.select("hash", "doc_id", "text_hash", "start").distinct()
         same = (F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))) & F.expr("a.text_hash = b.text_hash and a.start = b.start and a.hash = b.hash")
         again = again.join(mixed, "hash", "left_anti").select("doc_id", "text_hash", "start", "stop").union(
@@ -95,21 +134,27 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return again.groupBy(F.col("doc_id").alias("doc"), "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("places"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks of lines removed from text, and a last column `chunks_removed`."""
-    places = _shared.written(repeated_chunks(docs), "places").withColumnRenamed("text_hash", "h")
+def dedup_lines(docs: DataFrame, how=cut) -> DataFrame:
+    """docs with repeated chunks of lines removed from text, and a last column `chunks_removed`; places that overlap count once."""
+    places = _shared.written(repeated_chunks(docs, how), "places").withColumnRenamed("text_hash", "h")
     few = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("t"), F.xxhash64("text").alias("x"))
     out = row.join(few, F.col("d").eqNullSafe(F.col("doc")) & (F.col("x") == F.col("h")), "left")
-    # what lies between the places stays
+    # what lies between the places stays; ordered by start, they are by stop too
     left = F.expr(
         "array_join(transform(zip_with(concat(array(0L), transform(places, p -> p.stop)), concat(transform(places, p -> p.start), array(bigint(octet_length(t)))), (a, b) -> struct(a, b)),"
-        " s -> string(substring(binary(t), int(s.a + 1), int(s.b - s.a)))), '')"
+        " s -> string(substring(binary(t), int(s.a + 1), int(greatest(s.b - s.a, 0L))))), '')"
     )
+    apart = F.expr("size(filter(zip_with(places, concat(array(0L), transform(places, p -> p.stop)), (p, before) -> p.start >= before), x -> x))")
     fields = [F.when(F.col("places").isNull(), F.col("row.text")).otherwise(left).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
-    return out.select(*fields, F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("chunks_removed"))
+    return out.select(*fields, F.coalesce(apart, F.lit(0)).cast("long").alias("chunks_removed"))
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """docs with all repeated runs of whole lines removed from text, and a last column `chunks_removed`: the stretches removed."""
+    return dedup_lines(docs, runs)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents without repeated chunks of lines."""
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "chunks_removed", "text")
+    """All documents without repeated runs of lines."""
+    return dedup_runs(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "chunks_removed", "text")

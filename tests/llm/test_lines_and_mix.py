@@ -56,6 +56,62 @@ def test_lines_match_brute_force(spark):
     assert sum(n for _, n in want.values()) > 20
 
 
+def without_runs(rows):
+    """Every run of whole lines, of two lines or over 50 words, against all earlier ones that don't overlap it; documents of one line as a whole."""
+    first, out = {}, {}
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        raw = (text or "").encode()
+        lines = [m.span() for m in re.finditer(rb"[^\n]+", raw)]
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                run = raw[lines[a][0] : lines[b][1]]
+                whole = len(lines) == 1 and size(run.decode()) <= 50
+                if b > a or whole or size(run.decode()) > 50:
+                    doc, end = first.setdefault((whole, run), (i, lines[b][1]))
+                    if doc != i or end <= lines[a][0]:
+                        gone |= set(range(a, b + 1))
+        starts = [s for s, _ in lines]
+        kept = b"".join(raw[s:e] for k, (s, e) in enumerate(zip(starts, [*starts[1:], len(raw)], strict=False)) if k not in gone)
+        out[i] = None if text is None else (raw[: lines[0][0]] + kept if lines else raw).decode()
+    return out
+
+
+def test_all_repeated_runs_go(spark):
+    rng = random.Random(5)
+    long = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = long(51)
+    rows = documents() + [(100, None), (101, ""), (102, "\n\n"), (103, "one"), (104, "a\n" * 500), (105, "a\na"), (106, "one"), (107, "one\n")]
+    rows += [(200, f"{long(4)}\n{shared}\n{long(5)}"), (201, f"{shared}\n{long(5)}"), (202, f"{long(6)}\n{shared.upper()}\n{long(5)}"), (203, f"x\n{long(50)}\ny")]
+    rows += [(300 + i, t) for i, t in enumerate([f"\n{long(20)}\n{long(60)}\n\n{long(3)}", f"{long(30)}\n{long(30)}"])]
+    rows += [(400 + i, dict(rows)[k]) for i, k in enumerate([0, 1, 2, 3, 200, 203, 300, 301])]
+    rows += [(500, f"new\n{dict(rows)[301]}\nnew too"), (501, dict(rows)[203].split("\n")[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in L.dedup_runs(docs).collect()}
+    want = without_runs(rows)
+    assert {i: r.text for i, r in got.items()} == want
+    assert all((r.chunks_removed > 0) == (r.text != dict(rows)[i]) for i, r in got.items())
+    assert shared not in want[201] and not any((want[i] or "").strip() for i in range(400, 408)) and want[500] == "new\nnew too" and want[501] == dict(rows)[501]
+    lines = lambda texts: {x for t in texts for x in (t or "").split("\n")}
+    assert lines(want.values()) == lines(dict(rows).values())
+
+
+def test_equal_hashes_of_different_runs(spark):
+    def one_hash(texts):
+        for *places, value in L.runs(texts):
+            yield *places, np.zeros_like(value)
+
+    rows = [(i, t) for i, t in documents() if len(t) < 400]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in L.dedup_lines(docs, one_hash).collect()} == without_runs(rows)
+
+
+def test_op3_takes_all_runs(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(60))
+    spark.createDataFrame([(1, f"a\n{text}"), (2, f"{text}\nb")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in L.op3_line_dedup(spark, str(tmp_path)).collect()) == [(1, 0, f"a\n{text}"), (2, 1, "b")]
+
+
 def test_borders_move_with_the_text():
     text = "\n".join(f"line {i} of this text" for i in range(200))
     before = {c for *_, c in chunks(text)}
