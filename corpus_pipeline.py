@@ -25,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go, and documents of which nothing else is left."""
-    out = line_dedup.dedup_lines(docs)
+    """Repeated runs of lines go, and documents of which nothing else is left, as of exact copies."""
+    out = line_dedup.dedup_runs(docs)
     return out.where((F.col("chunks_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
@@ -47,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", dedup_lines), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]
 
-#: SQL can't express the trained network, the chunk hashes or the packing; the tests compare with plain versions.
+#: SQL can't express the trained network, the line hashes or the packing; the tests compare with plain versions.
 ORACLE_SQL = None
 
 

@@ -85,6 +85,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in run.collect()} == packed
 
 
+def test_no_exact_copy_survives(spark, tmp_path):
+    data = rows(120, 1)
+    copies = [(1000 + i, *data[i][1:]) for i in range(60)]
+    frame(spark, data + copies).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    lines = corpus_pipeline.dedup_lines(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in lines.collect()} == {r[0] for r in data}
+    near = corpus_pipeline.near_dedup(spark, lines, str(tmp_path))
+    assert not {r.doc_id for r in near.collect()} & {r[0] for r in copies}
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     frame(spark, rows(3)).where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
