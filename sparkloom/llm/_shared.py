@@ -1,16 +1,23 @@
-"""Helpers shared by the corpus operators: written tables, connected components."""
+"""Helpers shared by the corpus operators: written tables, a filter ahead of joins, connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._vectors import components
 
 #: Rows in one Arrow batch.
 BATCH = 2000
+#: Keys for which among() makes a bitmap; it is broadcast and holds two to four bytes for each.
+FILTER_KEYS = 16_000_000
+#: Edges that a task of connected_components() holds at a time.
+EDGES = 500_000
 #: A local session's own folder, and the tables written so far.
 _own: list[str] = []
 _tables: list[str] = []
@@ -47,38 +54,90 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that written() made and whose last reader is done."""
+    for table in tables:
+        own = {f.rsplit("/", 1)[0].split(":", 1)[-1] for f in table.inputFiles()}
+        for path in [p for p in _tables if p.split(":", 1)[-1].replace("///", "/") in own or p.split(":", 1)[-1] in own]:
+            _delete(table.sparkSession, path)
+            _tables.remove(path)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete the tables that written() made so far; results that read them can't be used any more."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     while _tables:
-        path = hadoop(_tables.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _tables.pop())
+
+
+def marked(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """df with a last column may_: true where the key (long) may be in the first column of keys, that is for all that are, and about one in sixteen of the others.
+
+    A bitmap of two to four bytes for each key is broadcast, and only what it marks has to be shuffled for a join. It is made up to FILTER_KEYS keys; beyond that
+    all rows are marked, and the join does the work alone.
+    """
+    n = keys.count()
+    if n > FILTER_KEYS:
+        return df.withColumn("may_", F.lit(True))
+    bits = 1 << max(15, (16 * n).bit_length())
+    place = lambda c: F.pmod(F.xxhash64(F.lit(77), c), F.lit(bits))
+    bit = place(F.col(keys.columns[0]))
+    maps = keys.select(F.shiftright(bit, 15).alias("part_"), (bit % 32768).alias("bit_")).groupBy("part_").agg(F.bitmap_construct_agg("bit_").alias("bits_"))
+    there = df.withColumn("at_", place(key)).join(F.broadcast(maps), F.shiftright("at_", 15) == F.col("part_"), "left")
+    byte = F.conv(F.hex(F.expr("substring(bits_, int(at_ % 32768 div 8) + 1, 1)")), 16, 10).cast("int")
+    may = F.call_function("shiftright", byte, (F.col("at_") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return there.select(*(df[c] for c in df.columns), F.coalesce(may, F.lit(False)).alias("may_"))
+
+
+def among(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows that marked() marks."""
+    return marked(df, key, keys).where("may_").drop("may_")
+
+
+def _forest(batches):
+    """Edges (u, v), u > v, that connect what the edges connect: each node with the smallest that it reaches, for EDGES edges at a time."""
+    held, n = [], 0
+
+    def out():
+        u, v = np.concatenate(held, axis=1)
+        ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+        label = components(len(ids), at[: len(u)], at[len(u) :])
+        some = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]])], ["u", "v"])
+
+    for batch in batches:
+        held.append(np.stack([batch.column(i).to_numpy() for i in (0, 1)]))
+        n += batch.num_rows
+        if n >= EDGES:
+            yield out()
+            held, n = [], 0
+    if n:
+        yield out()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Rows (node, component) for every node of edges (u, v); component is the smallest node reached.
+def connected_components(edges: DataFrame) -> DataFrame:
+    """Rows (node, component) for every node of edges (u, v) that has another neighbour; component is the smallest node reached.
 
-    Alternating large-star and small-star passes. Neighbours are only ever reduced to their
-    minimum (map-side) and joined back, so a hub's list is never gathered in one task.
+    Each task first brings its own edges down to one for each node, so a hub has a row for each task at most. Then, until nothing moves: the
+    smaller neighbours of a node meet and are brought down likewise, and each node moves on to its neighbour's smallest neighbour. That look-up is a
+    join of two written tables, which Spark splits where many nodes hang on one.
     """
-    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
-    before = None
-    for _ in range(rounds):
-        # large star: every neighbour above u moves to the smallest neighbour of u
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.union(least.select("u", F.col("m").alias("v")).where("u <> v")).distinct()
-        # small star: u and its smaller neighbours move to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
-        if mark[0] == mark[2] and mark == before:
+    kind = "u long, v long"
+    now = written(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_forest, kind), "cc")
+    while True:
+        star = written(now.repartition("u").mapInArrow(_forest, kind), "cc")
+        up = written(star.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("to"), F.count("*").alias("n")), "cc")
+        moved = F.col("to").isNotNull()
+        after = written(star.join(up.select(F.col("of"), "to"), F.col("v") == F.col("of"), "left").select("u", F.coalesce("to", "v").alias("v"), moved.alias("moved")), "cc")
+        more = bool(after.where("moved").head(1)) or bool(up.where("n > 1").head(1))
+        drop(now, star, up)
+        now = after.select("u", "v")
+        if not more:
             break
-        before = mark
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -11,20 +11,27 @@ Lossless by construction:
 
 * sizes: a pair is looked for in the band of its smaller set; a document takes part in its own band and in
   those lower ones whose sets it can link to.
-* parts in use: a document with at most D parts in use is joined on these and goes on to the next mode. A pair
-  that shares no part has both documents in that state, so both go on together. Of more than D parts in use the first
-  D + 1 are joined: of two documents, take the one whose first D + 1 end earlier; one of these is the same in the other, and among its first. Mode 0 sketches without very frequent
-  shingles (any choice of these is right; it only keeps shared passages from making large groups), modes 1
-  and 2 sketch all shingles with other seeds, mode 3 joins on single shingles.
-* groups that share a part: first each member is compared with one of them, then members across the components that are
-  left. Pairs within one component need no comparison, so a group of near copies costs one comparison for each member.
+* rare shingles: a first sketch is made of the rare ones (any choice of these is right). A document with more than D parts in use
+  joins the first D + 1: of two documents, take the one whose first D + 1 end earlier; one of these is the same in the other, and among its first. A document
+  with at most D joins all, and each of its rare shingles by itself. A pair that has met nowhere so far shares no rare shingle.
+* frequent shingles: such a pair differs in all rare shingles of both, so with r of them, only D - r differences are left to a document's
+  frequent ones. These are sketched with other seeds and joined likewise; a document with no more parts in use than that goes on to a
+  second seed, and then to single shingles.
+* groups that share a part: first each member is compared with one of them. Pairs within one component need no more, so a group of near copies costs one
+  comparison for each member. In what still spans components, all members are compared where they share rare shingles (few do). Where they share
+  frequent ones, each is compared only with the document that has the fewest rare shingles among all with the same frequent set, its base. That is enough: if A and B
+  link and share no rare shingle, then A links with B's base, B with A's, and the two bases link, since a base has no more rare shingles to differ in. So a passage that very many texts
+  share costs one comparison for each text and base, not for each pair.
   A comparison first looks at bit sketches of whole sets, in which each shingle toggles one bit: if they differ in more places than
   the two sets may, the pair goes. Blocks of sketches are compared at once, and only pairs that pass become rows.
+* keys that very many documents have: a task that holds HOT members of a key keeps them as a group around one of them, and sends on only that one; the groups of
+  one key bear one name. So a task gets at most a few members of a key from each other task.
 
 Null or empty texts and texts without words have an empty set and link with nothing. Texts with fewer words
 than the shingle length have their whole word sequence as the only shingle. Equal sets form one class before
 anything is joined. Rows with the same doc_id are told apart by a hash of their text; rows equal in both
-come out once for each row, alike. Further columns of the input are ignored. Words are compared by 64-bit hashes.
+come out once for each row, alike. An empty table gives an empty result. Very long texts are cut into words whole; a text's shingles are held in one task's
+memory, eight bytes each. Further columns of the input are ignored. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -39,17 +46,16 @@ from pyspark.sql import functions as F
 from . import _shared
 from ._words import SPACES, Words, mix, scratch, slices, trim
 
-#: Shingles of so many classes in one task are counted over all tasks; from FREQUENT on they are left to the later modes,
-#: the MOST_FREQUENT at most (8 bytes each).
+#: Shingles of so many classes in one task are counted over all tasks; from FREQUENT on they count as frequent, the MOST_FREQUENT most
+#: frequent at most (four bytes each are broadcast). The result is the same whichever count as frequent; only the sizes of groups change.
 FREQUENT_IN_TASK = 2
 FREQUENT = 12
-MOST_FREQUENT = 500_000
-#: Keys for one task of the part join.
+MOST_FREQUENT = 2_000_000
+#: Keys for one task of the part join, and keys that a task holds before it sends them on.
 KEYS_PER_TASK = 700_000
-#: Ids are broadcast up to so many rows of 16 bytes, beyond that they are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-#: Rounds of likeliest pairs go on while they find more links than this.
-FEW_LINKS = 200
+HELD = 600_000
+#: Members of a key among those HELD from which they form a group of their own.
+HOT = 64
 #: Members of a block, where a group that spans components is compared in blocks.
 BLOCK = 512
 
@@ -108,8 +114,11 @@ def class_of(s: np.ndarray) -> int:
         return int(mix(both[:1] * _U(3) + both[1:])[0].astype(np.int64))
 
 
+PROFILE = ["kind", "doc_id", "text_hash", "n", "class", "sketch"]
+
+
 def _profile(k: int):
-    """Rows of kind 0 (doc_id, text_hash, n, class) and of kind 1 (shingle, number of classes in this task)."""
+    """Rows of kind 0 (doc_id, text_hash, n, class, and the sketch with the first of a class) and of kind 1 (shingle, number of classes in this task)."""
 
     def run(batches):
         scratch("jaccard")
@@ -135,11 +144,12 @@ def _profile(k: int):
 
         for batch in batches:
             ids, hashes, texts = (batch.column(i) for i in range(3))
-            n, cls = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            n, cls, bits = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), [None] * len(ids)
             for i, s in shingle_sets(texts, k):
                 n[i], cls[i] = len(s), (c := class_of(s))
                 if len(s) and c not in seen:
                     seen.add(c)
+                    bits[i] = sketch(s)
                     many.append(s)
                     held += len(s)
                     if held > 500_000:
@@ -147,76 +157,122 @@ def _profile(k: int):
             if len(seen) > 2_000_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(ids), np.int8)), ids, hashes, pa.array(n), pa.array(cls)], ["kind", "doc_id", "text_hash", "n", "class"]
+                [pa.array(np.zeros(len(ids), np.int8)), ids, hashes, pa.array(n), pa.array(cls), pa.array(bits, pa.binary())], PROFILE
             )
         merge()
         keep = count >= FREQUENT_IN_TASK
         token, count = token[keep].view(np.int64), count[keep]
         none = pa.nulls(len(token), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(token), np.int8)), none, none, pa.array(count), pa.array(token)], ["kind", "doc_id", "text_hash", "n", "class"]
+            [pa.array(np.ones(len(token), np.int8)), none, none, pa.array(count), pa.array(token), pa.nulls(len(token), pa.binary())], PROFILE
         )
 
     return run
 
 
+def _first_parts(use: np.ndarray, seed: int, m: int, most: int) -> tuple[np.ndarray, int]:
+    """(keys of the first most + 1 parts in use, parts in use) of a sketch of m parts."""
+    if not len(use):
+        return np.zeros(0, _U), 0
+    h = mix(use, 0xABCD + 0x1111 * seed)
+    part = (h >> _U(20)) % _U(m)
+    order = np.argsort(part)
+    part = part[order]
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    xor = np.bitwise_xor.reduceat(h[order], first)[: most + 1]
+    return xor + part[first[: most + 1]] * _U(0x9E3779B97F4A7C15), len(first)
+
+
 def part_keys(s: np.ndarray, rare: np.ndarray, bands: Bands) -> np.ndarray:
-    """Join keys of one set; rare marks the shingles that mode 0 sketches."""
+    """Join keys of one set; rare marks its rare shingles. The last bit is 1 for keys made of frequent shingles."""
     out = []
+    few, many = s[rare], s[~rare]
     with np.errstate(over="ignore"):
+
+        def add(keys, salt, frequent):
+            out.append(mix(keys, salt) & ~_U(1) | _U(frequent))
+
         for band, most in bands.of(len(s)):
             m = bands.parts[band]
-            for mode in range(4):
-                use = s[rare] if mode == 0 else s
-                if mode == 3:
-                    out.append(mix(use, 0x3779 + 977 * band))
-                    break
-                if not len(use):
-                    continue
-                h = mix(use, 0xABCD + 0x1111 * mode)
-                part = (h >> _U(20)) % _U(m)
-                order = np.argsort(part)
-                part = part[order]
-                first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                xor = np.bitwise_xor.reduceat(h[order], first)[: most + 1]  # the first most + 1 parts in use are enough
-                out.append(mix(xor + part[first[: most + 1]] * _U(0x9E3779B97F4A7C15), 0xF00D + 64 * band + mode))
-                if len(first) > most:
+            keys, used = _first_parts(few, 0, m, most)
+            add(keys, 0xF00D + 64 * band, 0)
+            if used > most:
+                continue
+            add(few, 0x3779 + 977 * band, 0)
+            left = most - len(few)  # differences that a partner without a common rare shingle may have in frequent ones
+            if left < 0:
+                continue
+            for seed in (1, 2):
+                keys, used = _first_parts(many, seed, m, left)
+                add(keys, 0xF00D + 64 * band + seed, 1)
+                if used > left:
                     break
+            else:
+                add(many, 0x7933 + 977 * band, 1)
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
+def _short(key: np.ndarray, tasks: int) -> np.ndarray:
+    """30 bits of a key within its task, and its last bit; the lowest bit is free."""
+    return ((key // _U(tasks)) & _U(0x7FFFFFFE)) << _U(1) | (key & _U(1)) << _U(1)
+
+
+def _name(task: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """The name of a key's group; the last bit says whether it is made of frequent shingles."""
+    return mix((task.astype(_U) << _U(32)) + (short & ~_U(1)), 0x6B) & ~_U(1) | (short >> _U(1)) & _U(1)
+
+
+KEYS = ["task", "what", "keys", "at", "classes", "short"]
+
+
 def _keys(k: int, frequent, tasks: int, bands: Bands):
-    """Packed keys: for each target task one row of (keys, index into classes, classes)."""
+    """Packed rows for target tasks. what 0: keys, index into classes, classes. what 1: groups of hot keys (name, member of the middle, class). what 2:
+    (frequent set, number of rare shingles, class) of documents with keys made of frequent shingles."""
 
     def run(batches):
         scratch("jaccard")
-        common = np.frombuffer(frequent.value, dtype=_U)
+        common = np.frombuffer(frequent.value, dtype=np.uint32)
         seen: set[int] = set()
-        keys, classes, counts, held = [], [], [], 0
+        keys, classes, counts, bases, held = [], [], [], [], 0
 
         def flush():
-            nonlocal keys, classes, counts, held
+            nonlocal keys, classes, counts, bases, held
             if not held:
                 return
-            key = np.concatenate(keys)
-            index = np.repeat(np.arange(len(classes)), counts)
+            key, ids = np.concatenate(keys), np.array(classes, dtype=np.int64)
+            index = np.repeat(np.arange(len(ids)), counts)
             to = key % _U(tasks)
-            order = np.argsort(to, kind="stable")
-            key, index, to = key[order], index[order], to[order]
-            ids = np.array(classes, dtype=np.int64)
-            cut = np.searchsorted(to, np.arange(tasks + 1, dtype=_U))
+            short = _short(key, tasks)
+            order = np.lexsort((ids[index], short, to))
+            short, index, to = short[order], index[order], to[order]
             rows = []
-            for t in range(tasks):
+            if len(key):
+                fresh = np.concatenate(([True], (short[1:] != short[:-1]) | (to[1:] != to[:-1])))
+                first = np.flatnonzero(fresh)
+                size = np.diff(np.append(first, len(short)))
+                hot = size >= HOT
+                if hot.any():
+                    inside = np.repeat(hot, size)
+                    name = _name(to[inside], short[inside])
+                    middle = ids[index[np.repeat(first[hot], size[hot])]]
+                    rows.append((int(to[first[hot][0]]), 1, name.tobytes(), middle.tobytes(), ids[index[inside]].tobytes(), False))
+                    short[first[hot]] |= _U(1)
+                    stay = ~inside
+                    stay[first[hot]] = True
+                    short, index, to = short[stay], index[stay], to[stay]
+            cut = np.searchsorted(to, np.arange(tasks + 1, dtype=_U))
+            for t in np.flatnonzero(np.diff(cut)).tolist():
                 a, b = cut[t], cut[t + 1]
-                if b > a:
-                    own, at = np.unique(index[a:b], return_inverse=True)
-                    rows.append((t, key[a:b].tobytes(), at.astype(np.uint16 if len(own) < 65536 else np.uint32).tobytes(), ids[own].tobytes(), len(own) < 65536))
-            keys, classes, counts, held = [], [], [], 0
+                own, at = np.unique(index[a:b], return_inverse=True)
+                few = len(own) < 65536
+                rows.append((t, 0, short[a:b].astype(np.uint32).tobytes(), at.astype(np.uint16 if few else np.uint32).tobytes(), ids[own].tobytes(), few))
+            if bases:
+                base, rare, cls = (np.array(x, dtype=np.int64) for x in zip(*bases, strict=True))
+                rows.append((int(cls[0] % tasks), 2, base.tobytes(), rare.tobytes(), cls.tobytes(), False))
+            keys, classes, counts, bases, held = [], [], [], [], 0
             trim()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)), pa.array([r[4] for r in rows], pa.bool_())],
-                ["task", "keys", "at", "classes", "short"],
-            )
+            kinds = (pa.int32(), pa.int8(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], KEYS)
 
         for batch in batches:
             for _, s in shingle_sets(batch.column(0), k):
@@ -224,8 +280,8 @@ def _keys(k: int, frequent, tasks: int, bands: Bands):
                     continue
                 seen.add(c)
                 if len(common):
-                    place = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    rare = common[place] != s
+                    high = (s >> _U(32)).astype(np.uint32)
+                    rare = common[np.minimum(np.searchsorted(common, high), len(common) - 1)] != high
                 else:
                     rare = np.ones(len(s), dtype=bool)
                 own = part_keys(s, rare, bands)
@@ -233,7 +289,9 @@ def _keys(k: int, frequent, tasks: int, bands: Bands):
                 classes.append(c)
                 counts.append(len(own))
                 held += len(own)
-                if held > 600_000:
+                if (own & _U(1)).any():
+                    bases.append((class_of(s[~rare]), int(rare.sum()), c))
+                if held > HELD:
                     yield from flush()
             if len(seen) > 2_000_000:
                 seen.clear()
@@ -242,43 +300,59 @@ def _keys(k: int, frequent, tasks: int, bands: Bands):
     return run
 
 
+GROUPS = ["what", "group", "class", "rep"]
+
+
 def _groups(batches):
-    """Groups of at least two classes that share a key: (group, class), equal groups once."""
+    """(what, group, class, rep): what 0 for the members of groups of at least two classes that share a key, equal groups once, each with one of them;
+    what 2 for (frequent set, class, number of rare shingles)."""
     scratch("jaccard")
-    key, cls = [], []
+    key, cls, task = [], [], 0
+
+    def rows(what, group, cls, rep):
+        for at in range(0, len(cls), 100_000):
+            part = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls[part]), what, np.int8)), *(pa.array(x[part].view(np.int64)) for x in (group, cls, rep))], GROUPS)
+
     for batch in batches:
         for i in range(batch.num_rows):
-            k, at, ids = (batch.column(c)[i].as_buffer() for c in (1, 2, 3))
+            what = batch.column(1)[i].as_py()
+            k, at, ids = (batch.column(c)[i].as_buffer() for c in (2, 3, 4))
             ids = np.frombuffer(ids, dtype=np.int64)
-            key.append(np.frombuffer(k, dtype=_U))
-            cls.append(ids[np.frombuffer(at, dtype=np.uint16 if batch.column(4)[i].as_py() else np.uint32)])
+            if what:
+                a, b = np.frombuffer(k, dtype=np.int64), np.frombuffer(at, dtype=np.int64)
+                yield from rows(2, a, ids, b) if what == 2 else rows(0, a, ids, b)
+                continue
+            own = np.frombuffer(k, dtype=np.uint32)
+            key.append((own.astype(_U), np.full(len(own), batch.column(0)[i].as_py(), _U)))
+            cls.append(ids[np.frombuffer(at, dtype=np.uint16 if batch.column(5)[i].as_py() else np.uint32)])
     if not key:
         return
-    key, cls = np.concatenate(key), np.concatenate(cls)
+    key, task, cls = np.concatenate([x[0] for x in key]), np.concatenate([x[1] for x in key]), np.concatenate(cls)
+    hot, key = (key & _U(1)).astype(bool), key & ~_U(1) | task << _U(32)
     trim()
     order = np.argsort(key)
-    key, cls = key[order], cls[order]
+    key, cls, hot = key[order], cls[order], hot[order]
     same = key[1:] == key[:-1]
     keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    key, cls = key[keep], cls[keep]
-    order = np.lexsort((cls, key))
-    key, cls = key[order], cls[order]
+    key, cls, hot = key[keep], cls[keep], hot[keep]
+    order = np.lexsort((~hot, cls, key))
+    key, cls, hot = key[order], cls[order], hot[order]
     if not len(key):
         return
     fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])))
-    key, cls = key[fresh], cls[fresh]
+    key, cls, hot = key[fresh], cls[fresh], hot[fresh]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(first, len(key)))
     with np.errstate(over="ignore"):
-        mark = mix(np.add.reduceat(mix(cls.view(_U)), first) + size.astype(_U))
+        mark = mix(np.add.reduceat(mix(cls.view(_U)), first) + size.astype(_U)) & ~_U(1) | (key[first] >> _U(1)) & _U(1)
+        any_hot = np.logical_or.reduceat(hot, first)
+        mark = np.where(any_hot, _name(key[first] >> _U(32), key[first] & _U(0xFFFFFFFF)), mark)
     _, one = np.unique(mark, return_index=True)
-    one = one[size[one] > 1]
+    one = one[(size[one] > 1) | any_hot[one]]
     size, first = size[one], first[one]
     place = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-    group, rep = np.repeat(mark[one].view(np.int64), size), np.repeat(cls[first], size)
-    for at in range(0, len(place), 100_000):
-        to = at + 100_000
-        yield pa.RecordBatch.from_arrays([pa.array(group[at:to]), pa.array(cls[place[at:to]]), pa.array(rep[at:to])], ["group", "class", "rep"])
+    yield from rows(0, np.repeat(mark[one], size), cls[place], np.repeat(cls[first], size))
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -300,21 +374,19 @@ def fold(a: np.ndarray, words: int) -> np.ndarray:
 def _sets(k: int):
     def run(batches):
         for batch in batches:
-            cls, n, bits, blob, held = [], [], [], [], 0
+            cls, blob, held = [], [], 0
             ids = batch.column(0).to_pylist()
 
             def out():
-                return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(blob, pa.binary())], ["class", "n", "sketch", "shingles"])
+                return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(blob, pa.binary())], ["class", "shingles"])
 
             for i, s in shingle_sets(batch.column(1), k):
                 cls.append(ids[i])
-                n.append(len(s))
-                bits.append(sketch(s))
                 blob.append(s.tobytes())
                 held += s.nbytes
                 if held > 4 << 20:
                     yield out()
-                    cls, n, bits, blob, held = [], [], [], [], 0
+                    cls, blob, held = [], [], 0
             yield out()
 
     return run
@@ -355,29 +427,37 @@ def _near(batches):
 def _sides(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
     """(u, v, s): for each of the distinct pairs, the two structs of columns. Only the rows of the pairs move, to the pair's task."""
     sides = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("class"))
-    sides = F.broadcast(sides) if pairs.count() <= BROADCAST_ROWS // 2 else sides
     both = sets.select("class", F.struct(*columns).alias("side")).join(sides, "class").groupBy("u", "v").agg(F.collect_list("side").alias("s"))
     return both.where(F.size("s") == 2)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, sketched: bool) -> DataFrame:
-    """Those of the distinct pairs (u, v) that link; sketched: their sketches were compared before."""
-    pairs = _shared.written(pairs.select("u", "v"), "pairs")
+def _similar(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (u, v) that may link by their sketches."""
     s = F.col("s")
-    if not sketched:
-        both = _sides(pairs, sets, ["n", "sketch"])
-        near = both.select("u", "v", s[0]["n"].alias("n"), s[0]["sketch"].alias("a"), s[1]["n"].alias("m"), s[1]["sketch"].alias("b")).mapInArrow(_near, "u long, v long")
-        pairs = _shared.written(near, "near")
-    both = _sides(pairs, sets, ["shingles"])
-    return both.select("u", "v", s[0]["shingles"].alias("a"), s[1]["shingles"].alias("b")).mapInArrow(_verify, "u long, v long")
+    both = _sides(pairs, sketches, ["n", "sketch"])
+    return both.select("u", "v", s[0]["n"].alias("n"), s[0]["sketch"].alias("a"), s[1]["n"].alias("m"), s[1]["sketch"].alias("b")).mapInArrow(_near, "u long, v long")
 
 
-def _across(best: bool):
-    """Pairs of members of two blocks that are not in one component and whose sizes and sketches allow a link; best: for each member only the likeliest."""
-    return lambda batches: _pairs_across(batches, best)
+def _verified(pairs: DataFrame, base: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Those of the written, distinct pairs (u, v) that link, by the whole shingle sets of their documents."""
+    some = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    first = rows.where("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"))
+    needed = first.join(some, "class", "left_semi").select(F.xxhash64("d.doc_id", "d.text_hash").alias("key"), "class", F.col("d.doc_id").alias("d"), F.col("d.text_hash").alias("h"))
+    needed = _shared.written(needed, "needed")
+    key = F.xxhash64("doc_id", "text_hash")
+    texts = _shared.among(base, key, needed).withColumn("key", key).join(needed, "key").where("doc_id <=> d and text_hash = h").select("class", "text")
+    sets = _shared.written(texts.mapInArrow(_sets(k), "class long, shingles binary"), "sets")
+    if sets.count() > needed.count():  # repeated rows
+        sets = _shared.written(sets.dropDuplicates(["class"]), "sets")
+    s = F.col("s")
+    both = _sides(pairs, sets, ["shingles"])
+    out = _shared.written(both.select("u", "v", s[0]["shingles"].alias("a"), s[1]["shingles"].alias("b")).mapInArrow(_verify, "u long, v long"), "edges")
+    _shared.drop(sets, needed)
+    return out
 
 
-def _pairs_across(batches, best: bool):
+def _across(batches):
+    """Pairs of members of two blocks that are not in one component and whose sizes and sketches allow a link."""
     for batch in batches:
         for i in range(batch.num_rows):
             sides = []
@@ -395,88 +475,86 @@ def _pairs_across(batches, best: bool):
                     p, q = np.flatnonzero(size_x == wx), np.flatnonzero(size_y == wy)
                     words = int(min(wx, wy))
                     a, b = fold(np.stack([sx[j] for j in p]), words), fold(np.stack([sy[j] for j in q]), words)
-                    off = np.zeros((len(p), len(q)), dtype=np.int64)
-                    for w in range(words):
-                        off += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
                     low, high = np.minimum(nx[p][:, None], ny[q][None, :]), np.maximum(nx[p][:, None], ny[q][None, :])
-                    ok = (off <= (low + high) // 7) & (4 * low >= 3 * high) & (cx[p][:, None] != cy[q][None, :])
-                    if best:
-                        share = np.where(ok, off / (low + high), np.inf)
-                        first = np.zeros_like(ok)
-                        first[np.arange(len(p)), share.argmin(axis=1)] = True
-                        first[share.argmin(axis=0), np.arange(len(q))] = True
-                        ok &= first
-                    r, c = np.nonzero(ok)
+                    r, c = np.nonzero((4 * low >= 3 * high) & (cx[p][:, None] != cy[q][None, :]))
+                    most = (nx[p][r] + ny[q][c]) // 7
+                    off = np.zeros(len(r), dtype=np.int64)
+                    for w in range(0, words, 4):
+                        off += np.bitwise_count(a[r, w : w + 4] ^ b[c, w : w + 4]).sum(axis=1, dtype=np.int64)
+                        stay = off <= most
+                        r, c, most, off = r[stay], c[stay], most[stay], off[stay]
                     found.append(np.stack((np.minimum(x[p][r], y[q][c]), np.maximum(x[p][r], y[q][c]))))
             if found:
                 u, v = np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
+def _spanning(groups: DataFrame, parts: DataFrame, sketches: DataFrame, bases: DataFrame) -> DataFrame:
+    """Pairs (u, v) across components, from groups of three or more that span components, that may link by their sketches. Groups around one component are put together."""
+    member = groups.join(parts, groups["class"] == parts["node"], "left").select("group", "class", F.coalesce("component", "class").alias("component"))
+    member = _shared.written(member, "member")
+    span = member.groupBy("group").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and size > 2")
+    span = _shared.written(span.select(F.col("group").alias("g"), "lo"), "span")
+    open_ = member.join(span, F.col("group") == F.col("g")).select("lo", (F.col("group") % 2 != 0).alias("frequent"), "class", "component").distinct()
+    open_ = _shared.written(open_.join(bases, "class", "left").select("lo", "frequent", "class", "component", (~F.col("frequent") | F.col("base")).alias("base")), "open")
+    size = open_.groupBy("lo", "frequent").agg(F.count("*").alias("size"), F.count_if("base").alias("bases"))
+    # blocks by class; those of bases alone are cut apart, so a block never holds more than about BLOCK of either
+    whole = open_.join(size, ["lo", "frequent"]).join(sketches, "class")
+    block = lambda n: F.expr(f"int(pmod(xxhash64(class), ceil({n} / {BLOCK})))")
+    members = F.collect_list(F.struct("class", "component", "n", "sketch")).alias("members")
+    left = _shared.written(whole.groupBy("lo", "frequent", block("size").alias("block")).agg(members), "blocks")
+    right = _shared.written(whole.where("base").groupBy("lo", "frequent", block("bases").alias("block2")).agg(members.alias("members2")), "blocks")
+    both = left.join(right, ["lo", "frequent"]).where("frequent or block <= block2").select("members", "members2")
+    out = _shared.written(both.mapInArrow(_across, "u long, v long").where("u <> v").distinct(), "pairs")
+    _shared.drop(member, span, open_, left, right)
+    return out
+
+
 def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component, component_id) for each row of docs; component_id is the smallest doc_id
     reachable by links of Jaccard similarity 3/4 or more between sets of k-word shingles, itself included; component
     is a number of the component's own, null for empty sets."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    found = _shared.written(base.mapInArrow(_profile(k), "kind byte, doc_id long, text_hash long, n long, class long"), "shingles")
-    rows = found.where("kind = 0").drop("kind")
-    # frequent shingles: at most MOST_FREQUENT of them, 8 bytes each, from the highest steps of a histogram of their counts
+    found = _shared.written(base.mapInArrow(_profile(k), "kind byte, doc_id long, text_hash long, n long, class long, sketch binary"), "shingles")
+    rows = found.where("kind = 0").select("doc_id", "text_hash", "n", "class")
+    # frequent shingles: at most MOST_FREQUENT of them, from the highest steps of a histogram of their counts
     counted = found.where("kind = 1").groupBy("class").agg(F.sum("n").alias("df")).where(F.col("df") >= FREQUENT)
-    counted = _shared.written(counted.select("class", F.floor(F.log2("df") * 8).cast("int").alias("step")), "frequent")
+    counted = _shared.written(counted.select(F.shiftrightunsigned("class", 32).alias("high"), F.floor(F.log2("df") * 8).cast("int").alias("step")), "frequent")
     least, room = 1 << 30, MOST_FREQUENT
     for step, n in sorted(counted.groupBy("step").count().collect(), reverse=True):  # at most a few hundred steps
         room -= n
         if room < 0:
             break
         least = step
-    common = np.sort(counted.where(F.col("step") >= least).select("class").toArrow().column(0).to_numpy().astype(np.int64).view(_U))
+    common = np.unique(counted.where(F.col("step") >= least).select("high").toArrow().column(0).to_numpy().astype(np.uint32))
     frequent = spark.sparkContext.broadcast(common.tobytes())
     total = rows.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total * 0.65) // KEYS_PER_TASK))
-    bands = Bands()
-    packed = base.select("text").mapInArrow(_keys(k, frequent, tasks, bands), "task int, keys binary, at binary, classes binary, short boolean")
-    groups = packed.repartition(tasks, "task").mapInArrow(_groups, "group long, class long, rep long")
-    groups = _shared.written(groups.dropDuplicates(["group", "class"]), "groups")
+    packed = base.select("text").mapInArrow(_keys(k, frequent, tasks, Bands()), "task int, what byte, keys binary, at binary, classes binary, short boolean")
+    groups = packed.repartition(tasks, "task").mapInArrow(_groups, "what byte, group long, class long, rep long")
+    met = _shared.written(groups.dropDuplicates(["what", "group", "class"]), "groups")
+    groups = met.where("what = 0")
 
-    # the sets of those classes that are in some group, each from one document
-    first = rows.where("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"))
-    needed = first.join(groups.select("class").distinct(), "class", "left_semi").select("class", "d.doc_id", "d.text_hash")
-    needed = _shared.written(needed, "needed")
-    ids = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    same = F.expr("l.doc_id <=> r.doc_id and l.text_hash = r.text_hash")
-    texts = base.alias("l").join(ids.alias("r"), same).select("class", "text")
-    sets = _shared.written(texts.mapInArrow(_sets(k), "class long, n long, sketch binary, shingles binary"), "sets")
-    if sets.count() > needed.count():  # repeated rows
-        sets = _shared.written(sets.dropDuplicates(["class"]), "sets")
+    # the sketches of those classes that are in some group
+    some = groups.select("class").distinct()
+    sketches = found.where("kind = 0 and sketch is not null").select("class", "n", "sketch").join(some, "class", "left_semi").dropDuplicates(["class"])
+    sketches = _shared.written(sketches, "sketches")
 
     # stars: in each group, all members against one
-    star = _shared.written(groups.where("class <> rep").select(F.col("rep").alias("u"), F.col("class").alias("v")).distinct(), "star")
-    edges = _shared.written(_verified(star, sets, False), "edges")
+    star = groups.where("class <> rep").select(F.least("rep", "class").alias("u"), F.greatest("rep", "class").alias("v")).distinct()
+    near = _shared.written(_similar(star, sketches), "near")
+    edges = _verified(near, base, rows, k)
     parts = _shared.connected_components(edges)
 
-    # what still spans components: groups around one component are put together and compared in blocks; at first each member
-    # only with the likeliest, until that joins nothing more, then with all that are left
-    tested, best = star, True
-    while True:
-        member = groups.join(parts, groups["class"] == parts["node"], "left").select("group", "class", F.coalesce("component", "class").alias("component"))
-        span = member.groupBy("group").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and size > 2")
-        open_ = _shared.written(member.join(span.select("group", "lo"), "group").select("lo", "class", "component").distinct(), "open")
-        size = open_.groupBy("lo").agg(F.count("*").alias("size"))
-        block = F.expr(f"int(pmod(xxhash64(class), ceil(size / {BLOCK})))")
-        blocks = open_.join(size, "lo").join(sets.select("class", "n", "sketch"), "class").withColumn("block", block)
-        blocks = _shared.written(blocks.groupBy("lo", "block").agg(F.collect_list(F.struct("class", "component", "n", "sketch")).alias("members")), "blocks")
-        other = blocks.select("lo", F.col("block").alias("block2"), F.col("members").alias("members2"))
-        pairs = blocks.join(other, "lo").where("block <= block2").select("members", "members2").mapInArrow(_across(best), "u long, v long").where("u <> v").distinct()
-        pairs = _shared.written(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        more = _shared.written(_verified(pairs, sets, True), "edges")
-        new = more.count()
-        if new:
-            edges, tested = edges.union(more), tested.union(pairs)
-            parts = _shared.connected_components(edges)
-        if not best:
-            break
-        best = new > FEW_LINKS
+    # what still spans components
+    fewest = met.where("what = 2").groupBy("group").agg(F.min(F.struct("rep", "class")).alias("least"))
+    bases = fewest.select("least.class", F.lit(True).alias("base")).distinct()
+    near2 = _spanning(groups.select("group", "class"), parts, sketches, bases)
+    if near2.head(1):
+        edges = edges.union(_verified(near2, base, rows, k))
+        parts = _shared.connected_components(edges)
+    _shared.drop(met, sketches, near, near2, counted)
 
     # class -> smallest doc_id of its component
     least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
@@ -489,17 +567,25 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the near-duplicates: of each component the row with the smallest doc_id stays (ties to the smaller text hash, then any one of
-    equal rows). Rows without words, or with a null doc_id, stay."""
-    found = _shared.written(jaccard_components(docs).where("component is not null and doc_id is not null").select("doc_id", "text_hash", "component"), "components")
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    gone = found.join(first, "component").where(F.struct("doc_id", "text_hash") != F.col("first")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
-    gone = _shared.written(gone, "gone")
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(few, (docs["doc_id"] == F.col("d")) & (F.xxhash64(docs["text"]) == F.col("h")), "left_anti")
-    if found.groupBy("doc_id", "text_hash").count().where("count > 1").head(1):  # repeated rows
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    """docs without the near-duplicates: of each component the row with the smallest doc_id stays (null last; ties to the smaller text hash, then any one of
+    equal rows). Rows without words stay, each of them."""
+    found = _shared.written(jaccard_components(docs).where("component is not null").select("doc_id", "text_hash", "component"), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = found.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("size")).where("size > 1")
+    several = _shared.written(found.join(first, "component").withColumn("stays", order.eqNullSafe(F.col("first"))).groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "several")
+    # rows that go, and rows that are there several times and of which one stays
+    key = lambda d, h: F.xxhash64(d, h)
+    changed = _shared.written(several.where("not stays or n > 1").select(key("doc_id", "text_hash").alias("k"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "stays"), "changed")
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("i"), F.xxhash64(docs["text"]).alias("x"))
+    row = _shared.marked(row.withColumn("key", key("i", "x")), F.col("key"), changed)
+    same = (F.col("key") == F.col("k")) & F.col("i").eqNullSafe(F.col("d")) & (F.col("x") == F.col("h"))
+    told = row.where("may_").join(changed, same, "left")
+    out = row.where("not may_").select("row.*").union(told.where("k is null").select("row.*"))
+    again = changed.where("stays")
+    if again.head(1):
+        one = told.where("stays").select("key", "i", "x", "row").dropDuplicates(["key", "i", "x"])
+        out = out.union(one.select("row.*"))
+    return out
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

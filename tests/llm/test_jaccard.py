@@ -85,7 +85,33 @@ def test_empty_table_and_rows_without_ids(spark):
     assert J.one_of_each(empty).count() == 0
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (1, None), (1, "q r s t u v")], "doc_id long, text string")
     assert J.jaccard_components(docs).count() == 4
-    assert J.one_of_each(docs).count() == 4
+    assert J.one_of_each(docs).count() == 3  # equal rows without an id are copies like others
+
+
+def test_one_of_each_keeps_rows_without_words_and_all_columns(spark):
+    rows = [(1, "", "a"), (1, "", "a"), (2, None, "b"), (2, None, "b"), (3, "x y z", "c"), (3, "x y z", "c"), (4, "p q r s t", "d"), (5, "p q r s t", "e")]
+    docs = spark.createDataFrame([(d, t, x, "m", 1, 2) for d, t, x in rows], "doc_id long, text string, source string, may_ string, key int, component int")
+    got = J.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "", r.source) for r in got.collect()) == [(1, "", "a"), (1, "", "a"), (2, "", "b"), (2, "", "b"), (3, "x y z", "c"), (4, "p q r s t", "d")]
+
+
+@pytest.mark.parametrize("hot", [3, 64])
+def test_passages_that_many_texts_share(spark, monkeypatch, hot):
+    monkeypatch.setattr(J, "HOT", hot)
+    rng = random.Random(9)
+    word = lambda: str(rng.random())
+    passages = [[word() for _ in range(60)] for _ in range(2)]
+    rows = []
+    for i in range(420):
+        own, p = [word() for _ in range(rng.randint(1, 30))], passages[i % 2]
+        if i % 7 == 0 and rows:  # with a stretch of another text's own words
+            own = rows[rng.randrange(len(rows))][1].split(" ")[-20:][: rng.randint(5, 20)] + own[:3]
+        p = p[: rng.randint(50, 60)] if i % 3 == 0 else p
+        rows.append((1000 - i, " ".join(p + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = J.jaccard_components(docs)
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == brute(rows)
 
 
 def test_linked_documents_share_a_key():
