@@ -442,7 +442,7 @@ def _verified(pairs: DataFrame, base: DataFrame, rows: DataFrame, k: int) -> Dat
     """Those of the written, distinct pairs (u, v) that link, by the whole shingle sets of their documents."""
     some = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
     first = rows.where("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"))
-    needed = first.join(some, "class", "left_semi").select(F.xxhash64("d.doc_id", "d.text_hash").alias("key"), "class", F.col("d.doc_id").alias("d"), F.col("d.text_hash").alias("h"))
+    needed = first.join(some, "class").select(F.xxhash64("d.doc_id", "d.text_hash").alias("key"), "class", F.col("d.doc_id").alias("d"), F.col("d.text_hash").alias("h"))
     needed = _shared.written(needed, "needed")
     key = F.xxhash64("doc_id", "text_hash")
     texts = _shared.among(base, key, needed).withColumn("key", key).join(needed, "key").where("doc_id <=> d and text_hash = h").select("class", "text")
