@@ -11,7 +11,7 @@ Places are grouped by hash and bytes, and only groups of equal bytes count. Hash
 lies across their borders; the registered queries don't use it.
 
 Lines end at \\n; empty lines belong to the line before them, and those between two lines have to be equal too. A removed run goes with the line ends behind it. Null texts stay null, empty ones
-empty; a text without repeated runs stays as it is, byte for byte. Rows with the same doc_id are told apart by a
+empty; a text without repeated runs stays as it is, byte for byte. An empty table gives an empty one. A very long text is one row whose places are one array. Rows with the same doc_id are told apart by a
 hash of their text; rows equal in both are one document and come out alike. All other columns are kept as they are.
 """
 
@@ -31,8 +31,6 @@ WINDOW, MODULUS, LINES = 2, 3, 2
 #: A single line counts as a run with more words than these.
 WORDS = 50
 LINE_BYTES = byte_table(b"\n")
-#: Rows with the places in a document are broadcast up to so many, beyond that they are joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def cut(texts: pa.Array):
@@ -112,13 +110,16 @@ def repeated_chunks(docs: DataFrame, how=cut) -> DataFrame:
     place = F.struct("doc_id", "text_hash", "start", "end")
     # equal rows have equal places; written apart from the join, so that a hash with very many places can be split there
     often = chunks.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("final")).where(~F.col("first").eqNullSafe(F.col("final"))).drop("final")
-    found = _shared.written(chunks.join(_shared.written(often, "often"), "hash"), "repeated")
+    often = _shared.written(often, "often")
+    found = _shared.written(chunks.join(often, "hash"), "repeated")
+    _shared.drop(chunks, often)
 
-    # bytes of the repeated chunks, taken from their places and grouped as bytes
+    # bytes of the repeated chunks, taken from their places and grouped as bytes; only texts that hold any are shuffled
     where = found.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set(F.struct("start", "end", "hash")).alias("places"))
-    where = _shared.written(where, "where")
-    few = F.broadcast(where) if found.count() <= BROADCAST_ROWS else where
-    held = base.join(few, base["doc_id"].eqNullSafe(F.col("d")) & (base["text_hash"] == F.col("h"))).select("doc_id", "text_hash", F.col("text").cast("binary").alias("raw"), F.explode("places").alias("p"))
+    where = _shared.written(where.select(F.xxhash64("d", "h").alias("key"), "d", "h", "places"), "where")
+    key = F.xxhash64("doc_id", "text_hash")
+    held = _shared.among(base, key, where).withColumn("key", key).join(where, "key").where("doc_id <=> d and text_hash = h")
+    held = held.select("doc_id", "text_hash", F.col("text").cast("binary").alias("raw"), F.explode("places").alias("p"))
     held = held.select("doc_id", "text_hash", "p.start", "p.end", "p.hash", F.expr("substring(raw, int(p.start + 1), int(p.end - p.start))").alias("chunk"))
     kinds = _shared.written(held.groupBy("hash", "chunk").agg(F.min(place).alias("first")), "kinds")
     mixed = kinds.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
@@ -136,10 +137,12 @@ def repeated_chunks(docs: DataFrame, how=cut) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, how=cut) -> DataFrame:
     """docs with repeated chunks of lines removed from text, and a last column `chunks_removed`; places that overlap count once."""
-    places = _shared.written(repeated_chunks(docs, how), "places").withColumnRenamed("text_hash", "h")
-    few = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("t"), F.xxhash64("text").alias("x"))
-    out = row.join(few, F.col("d").eqNullSafe(F.col("doc")) & (F.col("x") == F.col("h")), "left")
+    places = repeated_chunks(docs, how).select(F.xxhash64("doc", "text_hash").alias("key"), "doc", F.col("text_hash").alias("h"), "places")
+    places = _shared.written(places, "places")
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("d"), docs["text"].cast("string").alias("t"), F.xxhash64(docs["text"]).alias("x"))
+    row = _shared.marked(row.withColumn("key", F.xxhash64("d", "x")), F.col("key"), places)
+    told = row.where("may_").alias("a").join(places.alias("b"), F.expr("a.key = b.key and d <=> doc and x = h"), "left").select("row", "t", "places")
+    out = row.where("not may_").select("row", "t", F.lit(None).cast(dict(places.dtypes)["places"]).alias("places")).union(told)
     # what lies between the places stays; ordered by start, they are by stop too
     left = F.expr(
         "array_join(transform(zip_with(concat(array(0L), transform(places, p -> p.stop)), concat(transform(places, p -> p.start), array(bigint(octet_length(t)))), (a, b) -> struct(a, b)),"
