@@ -8,7 +8,8 @@ leaves less of it than one bin takes), so the plan is bounded too. Pieces then t
 their length; ranks are counted in buckets sized from the histogram, so a length that very many pieces share is spread over tasks.
 
 Null texts count as empty; an empty text has the end token only. Repeated rows and equal or null doc_ids are
-packed one by one. Other columns are ignored.
+packed one by one. An empty table gives no pieces. A very long text is encoded in its own slice, and its distinct words make the
+worker's word table grow for that slice. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,21 +31,26 @@ CAPACITY = 4096
 END = 1
 #: Pieces of one length in one bucket.
 BUCKET = 20_000
-#: Words whose ids a worker remembers, in a table of TABLE places.
+#: Words whose ids a worker remembers from slice to slice, in a table of TABLE places at first; it grows with the words of one slice.
 REMEMBERED, TABLE = 700_000, 1 << 20
 
 
 class Encoder:
-    """Ids of texts, word by word: the tokenizer lower-cases, drops white space, and joins nothing across it.
+    """Ids of texts, word by word, for tokenizers that lower-case, drop white space, and join nothing across it; PROBES tell these from others,
+    which encode each text whole.
 
-    Texts that may hold one of its special strings are encoded whole. The ids of a word are looked up by its 64-bit hash.
+    Texts that may hold a special string are encoded whole too. The ids of a word are looked up by its 64-bit hash.
     """
 
+    PROBES = ("The  the\tTHE", " lead, and. trail ", "x1 22 'S don't\n\n e\u0301 A.B", "\u00c9t\u00e9 -- (x) $5.00,")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        whole = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.by_word = all(whole(x) == [i for w in x.split() for i in whole(w.lower())] for x in self.PROBES)
         self.clear()
 
     def clear(self):
@@ -52,10 +58,29 @@ class Encoder:
         self.start, self.size, self.ids = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 16, np.uint32)
         self.n = self.used = 0
 
+    def room(self, n: int):
+        """A table in which n words leave a quarter of the places free."""
+        if 4 * n > 3 * len(self.key):
+            old, code = self.key, self.code
+            size = 1 << (4 * n // 3).bit_length()
+            self.key, self.code = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self.put(old[old != 0], code[old != 0])
+
+    def put(self, hashes: np.ndarray, code: np.ndarray):
+        place = (hashes & np.uint64(len(self.key) - 1)).astype(np.int64)
+        while len(code):
+            free = self.key[place] == 0
+            at, one = np.unique(place[free], return_index=True)
+            own = np.flatnonzero(free)[one]
+            self.key[at], self.code[at] = hashes[own], code[own]
+            left = np.ones(len(code), dtype=bool)
+            left[own] = False
+            hashes, code, place = hashes[left], code[left], (place[left] + 1) & (len(self.key) - 1)
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The code of each hash, or -1."""
         out = np.full(len(hashes), -1, dtype=np.int32)
-        place, todo = (hashes & np.uint64(TABLE - 1)).astype(np.int64), None
+        place, todo = (hashes & np.uint64(len(self.key) - 1)).astype(np.int64), None
         while True:
             own = hashes if todo is None else hashes[todo]
             there = self.key[place]
@@ -67,7 +92,7 @@ class Encoder:
                 out[todo[hit]], todo = self.code[place[hit]], todo[more]
             if not len(todo):
                 return out
-            place = (place[more] + 1) & (TABLE - 1)
+            place = (place[more] + 1) & (len(self.key) - 1)
 
     def learn(self, hashes: np.ndarray, words: list[str]):
         """Distinct hashes that find() doesn't know."""
@@ -82,15 +107,8 @@ class Encoder:
         self.start[self.n : self.n + len(words)] = self.used + np.cumsum(size) - size
         self.size[self.n : self.n + len(words)] = size
         code = np.arange(self.n, self.n + len(words), dtype=np.int32)
-        place = (hashes & np.uint64(TABLE - 1)).astype(np.int64)
-        while len(code):
-            free = self.key[place] == 0
-            at, one = np.unique(place[free], return_index=True)
-            own = np.flatnonzero(free)[one]
-            self.key[at], self.code[at] = hashes[own], code[own]
-            left = np.ones(len(code), dtype=bool)
-            left[own] = False
-            hashes, code, place = hashes[left], code[left], (place[left] + 1) & (TABLE - 1)
+        self.room(self.n + len(words))
+        self.put(hashes, code)
         self.n, self.used = self.n + len(words), self.used + len(flat)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +139,10 @@ class Encoder:
 def _ids(encode: Encoder, texts: pa.Array):
     """The ids of each text, slice by slice."""
     special = pc.fill_null(pc.match_substring(texts, "<|"), False).to_numpy(zero_copy_only=False)
+    if not encode.by_word:
+        for i, text in enumerate(texts.to_pylist()):
+            yield i, np.array(encode.tokenizer.encode(text or "", add_special_tokens=False).ids, dtype=np.uint32)
+        return
     for at, to in slices(texts):
         flat, ends = encode(texts.slice(at, to - at))
         begin = 0

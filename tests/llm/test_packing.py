@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from sparkloom.llm import packing as P
@@ -83,3 +84,21 @@ def test_plan_uses_every_piece_once():
 
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_more_words_than_the_table_has_places(spark, monkeypatch):
+    monkeypatch.setattr(P, "TABLE", 1 << 10)
+    monkeypatch.setattr(P, "REMEMBERED", 700)
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n)) for n in (3000, 10, 900, 5000, 50)]
+    encode = P.Encoder(PATH)
+    for i, ids in P._ids(encode, pa.array(texts)):
+        assert np.array_equal(np.append(ids, 1), expected(texts[i]))
+
+
+def test_a_tokenizer_that_joins_across_spaces():
+    encode = P.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not encode.by_word and P.Encoder(PATH).by_word
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Two  Words, and\nmore", "", None]
+    assert [ids.tolist() for _, ids in P._ids(encode, pa.array(texts))] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
