@@ -1,16 +1,17 @@
 """WARC archives in Zstandard: one frame for each record, a dictionary in the leading skippable frame.
 
-Writing: records with equal payloads are told from each other by payload hash in one join; the first of them is a response, the
-others are revisits without payload. Each task packs its records into archives of about ARCHIVE bytes of content, each with a dictionary
+Writing: which records revisit another is found by payload hash. A bitmap of the repeated hashes picks the rows that have to be looked up; only these are shuffled with
+their payloads, for a join with a written table that Spark splits where very many pages have one payload. All others are written where they are read. Each task packs its records into archives of about ARCHIVE bytes of content, each with a dictionary
 trained on a bounded sample of its own records. An archive is one binary value, so Spark's writers and readers carry
 it to and from any store (spark.read.format("binaryFile") gives the same columns for archives in files).
 
-Reading: the dictionary is taken from the skippable frame, frames are found by their block headers and decoded one by one, and each
+Reading: the dictionary is taken from the leading skippable frame, plain or itself compressed; archives without one, and further skippable frames, are read too.
+Frames are found by their block headers and decoded one by one, with or without a content size, and each
 record's version line, mandatory headers, lengths, line ends and digests are checked. What fails a check comes out with a text in `error`; what follows a
-broken frame can't be found, and the archive ends with an error row there.
+broken frame can't be found, and the archive ends with an error row there. An empty archive is one error row.
 
 Null html counts as empty. Null or repeated page_ids and null urls are records of their own; rows with the same page_id and payload are all responses
-if that page_id is the smallest. Other columns are ignored.
+if that page_id is the smallest. An empty table gives no archives. A very long html is one record, and an archive of its own if it exceeds ARCHIVE. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from . import _shared
 
 #: Magic number of the skippable frame that holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
+#: Magic numbers of other skippable frames differ in their last four bits; that of data frames.
+SKIPPABLE = 0x184D2A5
 FRAME = 0xFD2FB528
 ARCHIVE = 8 << 20
 DICTIONARY, SAMPLED = 16 << 10, 128
@@ -139,46 +142,60 @@ def parse(raw: bytes) -> dict:
     }
 
 
+def dictionary(raw: bytes) -> zstd.ZstdCompressionDict:
+    """The dictionary that a skippable frame holds, plain or as a Zstandard frame."""
+    if raw[:4] == struct.pack("<I", FRAME):
+        raw = zstd.ZstdDecompressor().decompressobj().decompress(raw)
+    return zstd.ZstdCompressionDict(raw)
+
+
 def records_of(content: bytes):
     """(record, None) or (None, error) for each frame."""
-    data = memoryview(content)
-    try:
-        magic, size = struct.unpack_from("<II", data, 0)
-        if magic != DICTIONARY_FRAME or 8 + size > len(data):
-            raise ValueError("no dictionary frame")
-        unpack = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(bytes(data[8 : 8 + size])))
-    except (ValueError, struct.error, zstd.ZstdError) as e:
-        yield None, str(e)
-        return
-    at = 8 + size
+    data, at = memoryview(content), 0
+    unpack = zstd.ZstdDecompressor()
+    if not len(data):
+        yield None, "empty archive"
     while at < len(data):
         try:
+            magic = struct.unpack_from("<I", data, at)[0]
+            if magic >> 4 == SKIPPABLE:
+                end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+                if end > len(data):
+                    raise ValueError("frame is cut off")
+                if not at and magic == DICTIONARY_FRAME:
+                    unpack = zstd.ZstdDecompressor(dict_data=dictionary(bytes(data[8:end])))
+                at = end
+                continue
             end = frame_end(data, at)
-        except (ValueError, struct.error, IndexError) as e:
+        except (ValueError, struct.error, IndexError, zstd.ZstdError) as e:
             yield None, str(e)
             return
         try:
-            yield parse(unpack.decompress(data[at:end])), None
+            frame = unpack.decompressobj()  # reads frames without a content size too
+            raw = frame.decompress(data[at:end])
+            if not frame.eof:
+                raise ValueError("frame ends early")
+            yield parse(raw), None
         except (ValueError, zstd.ZstdError) as e:
             yield None, str(e)
         at = end
 
 
-def _write(least: int):
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for page, url, html, first, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                payload = (html or "").encode()
-                held.append(record(page, url, payload, first, count and len(payload) >= least and page != first))
-                size += len(held[-1])
-                if size >= ARCHIVE:
-                    yield pa.RecordBatch.from_arrays([pa.array([archive(held)], pa.binary()), pa.array([len(held)], pa.int64())], ["content", "records"])
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([archive(held)], pa.binary()), pa.array([len(held)], pa.int64())], ["content", "records"])
+def _write(batches):
+    held, size = [], 0
 
-    return run
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([archive(held)], pa.binary()), pa.array([len(held)], pa.int64())], ["content", "records"])
+
+    for batch in batches:
+        for page, url, html, first, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.append(record(page, url, (html or "").encode(), first, revisit))
+            size += len(held[-1])
+            if size >= ARCHIVE:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
 
 
 KINDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string, error string"
@@ -208,11 +225,16 @@ def _read(batches):
 
 def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
     """(content, records): archives of all pages; of equal payloads of `least` bytes or more, all but the first are revisits."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    page = page.withColumn("key", F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256))
-    again = page.select("page_id", "key").groupBy("key").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1")
-    told = page.join(again, "key", "left").select("page_id", "url", "html", "first", F.col("n").isNotNull())
-    return told.mapInArrow(_write(least), "content binary, records long")
+    page = page.select("*", F.octet_length(html).alias("length"), F.sha2(html, 256).alias("key"))
+    again = page.where(F.col("length") >= least).groupBy("key").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1")
+    again = _shared.written(again.select(F.xxhash64("key").alias("hash"), F.col("key").alias("k"), "first"), "again")
+    row = _shared.marked(page, F.xxhash64("key"), again)
+    single = row.where("not may_").select("page_id", "url", "html", F.lit(None).cast("long").alias("first"), F.lit(False).alias("revisit"))
+    later = F.col("k").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    told = row.where("may_").join(again, F.col("key") == F.col("k"), "left").select("page_id", "url", "html", "first", later.alias("revisit"))
+    return single.union(told).mapInArrow(_write, "content binary, records long")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:

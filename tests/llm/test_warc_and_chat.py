@@ -1,7 +1,10 @@
 import base64
 import hashlib
+import io
+import struct
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from sparkloom.llm import chat_format as C
@@ -68,6 +71,38 @@ def expected(rows):
     return len(rows), h(said), len(loss), h(loss)
 
 
+def test_archives_of_other_writers():
+    rows = [W.record(i, f"http://x/{i}", f"page {i} ".encode() * 50, None, False) for i in range(40)]
+    trained = zstandard.train_dictionary(4096, rows * 5)
+
+    def stream(known=None):
+        out = b""
+        for r in rows:
+            sink = io.BytesIO()
+            with zstandard.ZstdCompressor(dict_data=known).stream_writer(sink, closefd=False) as w:  # no content size
+                w.write(r)
+            out += sink.getvalue()
+        return out
+
+    skip = lambda magic, raw: struct.pack("<II", magic, len(raw)) + raw
+    plain, packed = trained.as_bytes(), zstandard.ZstdCompressor().compress(trained.as_bytes())
+    note = skip(0x184D2A50, b"a note")
+    for content in (stream(), skip(W.DICTIONARY_FRAME, plain) + stream(trained), skip(W.DICTIONARY_FRAME, packed) + stream(trained), note + stream() + note + stream()):
+        got = list(W.records_of(content))
+        assert [e for _, e in got if e] == [] and [r["page_id"] for r, _ in got[:40]] == list(range(40))
+    got = list(W.records_of(stream(trained)))  # its dictionary is missing
+    assert len(got) == 40 and all(e for _, e in got)
+
+
+def test_one_payload_of_many_pages_and_clashing_names(spark):
+    rows = [(i, f"u{i}", "same" if i % 3 else f"own {i}", "x", "y", 1, True, 5) for i in range(300)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, key string, first string, k int, may_ boolean, length int").repartition(5)
+    got = {r.page_id: r for r in W.read_archives(W.write_archives(table)).collect()}
+    assert len(got) == 300 and all(r.error is None for r in got.values())
+    for i in range(300):
+        assert (got[i].record_type, got[i].refers_to) == (("revisit", 1) if i % 3 and i != 1 else ("response", None))
+
+
 def test_conversations_round_trip(spark):
     odd = ["", None, ODD, "\\", "\\\\<s>\\</s>\\", "<\\s>", "<", "[INST", "[\\INST]", "a\nb\n", " [/INST]", "<\\n>", "é😀</s>", "<s>[INST] user\nhi [/INST]</s>"]
     talks = {1: [("user", t) for t in odd], 2: [("assistant", t) for t in odd], 3: [("sys\ntem\\n", odd[4]), (None, "x"), ("assistant", "y")], 4: [("user", "q"), ("assistant", "a")] * 70, 5: [("assistant", "")], -7: [("user", ODD), ("assistant", ODD)]}
