@@ -2,11 +2,13 @@
 
 A document's hash is fixed, so the documents of a source below a threshold are the same in every run, and thresholds for larger
 budgets only add to them (they nest). Sizes are summed by source and hash bucket; cumulative sums find the bucket in which a source's
-budget ends; only that bucket is looked at again, with finer buckets, until it holds FEW documents, and of these the ones that fit are taken.
+budget ends; only that bucket is looked at again, with finer buckets, until it holds FEW documents, and among the hashes of these lies the threshold:
+the one whose sum comes nearest to the budget, so a source misses its target by half a document at most.
 No documents are sorted: the mix is a filter on the hash. A source whose target exceeds its size takes all its documents as often as they fit whole, and one more copy of those below the threshold.
 
 Size: words of `[^\\x20\\x09-\\x0D]+`; a null text has none. Sources are in code-point order, null last (a source of its own; an empty one is too).
-Documents with one doc_id and text share their hash and are taken alike. An empty table or one without words takes nothing.
+Documents with one doc_id and text share their hash and are taken alike. An empty table or one without words takes nothing. Very long texts
+count as one document like others.
 Other columns are ignored by mix() and kept by taken_rows().
 """
 
@@ -61,7 +63,7 @@ def targets(sized: DataFrame, share: float = 1.0, weights=WEIGHTS, most: int = M
 
 
 def thresholds(sized: DataFrame, goal: DataFrame) -> DataFrame:
-    """goal with `whole` copies of each document, `below`, the hash below which there is one more, and `extra`, hashes from there on with one more."""
+    """goal with `whole` copies of each document, and `below`, the hash below which there is one more."""
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST))).otherwise(0).cast("long")
     now = goal.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     # [low, low + 2 ** width) is the bucket in which the budget ends; what lies below is taken and no longer in rest
@@ -86,26 +88,21 @@ def thresholds(sized: DataFrame, goal: DataFrame) -> DataFrame:
             (found & (F.col("m") > FEW) & F.lit(width > 0)).alias("open"),
         )
         now = _shared.written(now, "budgets")
-    # the last bucket: few hashes, taken in their order as long as they fit
+    # the last bucket: few hashes; the documents below the one at which the sum comes nearest to the budget (ties: the smaller sum) are taken
     last = now.where("rest > 0").select("of", "low", "rest", "width")
     part = _by_source(sized, last, (F.col("hash") >= F.col("low")) & (F.expr("shiftright(hash - low, width)") == 0)).groupBy("of", "rest", "hash").agg(F.sum("size").alias("size"))
     part = part.groupBy("of", "rest").agg(F.array_sort(F.collect_list(F.struct("hash", "size"))).alias("all"))
-    taken = F.expr(
-        "aggregate(all, struct(rest, cast(array() as array<bigint>) as taken), (acc, x) -> if(x.size <= acc.rest,"
-        " struct(acc.rest - x.size as rest, concat(acc.taken, array(x.hash)) as taken), acc))"
+    nearest = F.expr(
+        "aggregate(all, struct(0L as sum, rest as off, all[0].hash as below), (acc, x) -> struct(acc.sum + x.size as sum,"
+        " least(acc.off, abs(rest - acc.sum - x.size)) as off, if(abs(rest - acc.sum - x.size) < acc.off, x.hash + 1, acc.below) as below)).below"
     )
-    part = part.withColumn("got", taken)
-    # and one more if that comes nearer to the budget
-    more = F.expr("array_min(transform(filter(all, x -> not array_contains(got.taken, x.hash)), x -> struct(abs(x.size - got.rest) as off, x.hash as hash)))")
-    part = part.withColumn("more", more)
-    extra = part.select(F.col("of").alias("e"), F.expr("if(more.off < got.rest, concat(got.taken, array(more.hash)), got.taken)").alias("extra"))
-    none = F.expr("cast(array() as array<bigint>)")
-    out = now.join(extra, F.col("of").eqNullSafe(F.col("e")), "left")
-    return _shared.written(out.select("of", "source_size", "target", "whole", F.col("low").alias("below"), F.coalesce("extra", none).alias("extra")), "budgets")
+    edge = part.select(F.col("of").alias("e"), nearest.alias("upto"))
+    out = now.join(edge, F.col("of").eqNullSafe(F.col("e")), "left")
+    return _shared.written(out.select("of", "source_size", "target", "whole", F.coalesce("upto", "low").alias("below")), "budgets")
 
 
 #: Copies of a document, from the columns of thresholds().
-COPIES = "whole + if(hash < below or array_contains(extra, hash), 1, 0)"
+COPIES = "whole + if(hash < below, 1, 0)"
 
 
 def mix(docs: DataFrame, share: float = 1.0) -> DataFrame:
@@ -121,7 +118,7 @@ def mix(docs: DataFrame, share: float = 1.0) -> DataFrame:
 def taken_rows(docs: DataFrame, share: float = 1.0) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes it."""
     sized = _shared.written(docs.select("source", words().alias("size"), place().alias("hash")), "sizes")
-    goal = thresholds(sized, targets(sized, share)).select("of", "whole", "below", "extra")
+    goal = thresholds(sized, targets(sized, share)).select("of", "whole", "below")
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].alias("source"), place().alias("hash"))
     copies = F.expr(COPIES).cast("int")
     out = _by_source(row, goal).withColumn("copies", copies).where("copies > 0")
