@@ -8,8 +8,8 @@ labels, PIECES windows of each); prediction runs over every window of every text
 A filter's response at a place is a sum of table entries, one for each byte under it; for prediction these tables are
 folded into tables over pairs of bytes, so a place costs few look-ups whatever the width.
 
-Null texts and texts without a letter are `und` with score 0. With no labelled rows at all everything is `und`. Of labels, the
-LABELS most frequent are learned, ties to the smaller. Rows with repeated or null doc_ids are predicted one by one; lang, source and doc_id are no inputs of a prediction, and
+Null texts and texts without a letter are `und` with score 0. With no labelled rows at all, as in an empty table, everything is `und`. Every label
+that occurs is learned, a rare one from all of its rows. A very long text is cut into windows like others. Rows with repeated or null doc_ids are predicted one by one; lang, source and doc_id are no inputs of a prediction, and
 other columns are ignored.
 """
 
@@ -25,7 +25,7 @@ from ._words import LOWER, scratch, slices
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 8
-SAMPLE, PIECES, LABELS = 2400, 4, 200
+SAMPLE, PIECES = 2400, 4
 BATCH, STEPS, RATE = 64, 900, 0.03
 
 
@@ -139,20 +139,21 @@ def _samples(batches):
 def train(labelled: DataFrame) -> Network:
     """A network for the labels of labelled (text, lang)."""
     named = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), "text", "doc_id")
-    counts = [(r[0], r[1]) for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()]
-    labels = sorted(c[0] for c in counts)
+    counts = named.groupBy("lang").count()
+    counted = counts.collect()  # one row for each language
+    labels = sorted(r[0] for r in counted)
     if not labels:
         return Network([])
     each = max(1, SAMPLE // len(labels))
     draw = F.pmod(F.xxhash64(F.lit(9), "text", "doc_id"), F.lit(1 << 30))  # which rows are drawn; the network sees their texts alone
-    chosen = F.lit(False)
-    for label, n in counts:
-        chosen = chosen | ((F.col("lang") == label) & (draw < int(min(1.0, 1.3 * each / n) * (1 << 30))))
-    drawn = named.where(chosen).select("lang", "text").limit(2 * SAMPLE).mapInArrow(_samples, "label string, bytes binary").toArrow()
-    y = np.searchsorted(labels, np.array(drawn.column(0).to_pylist(), dtype=object)) if drawn.num_rows else np.zeros(0, int)
-    x = np.frombuffer(b"".join(drawn.column(1).to_pylist()), dtype=np.uint8).reshape(-1, WINDOW)
-    order = np.lexsort((*x.T[:8], y))  # the order in which Spark hands them over doesn't matter
-    x, y = x[order], y[order]
+    rates = labelled.sparkSession.createDataFrame([(r[0], int(min(1.0, 1.3 * each / r[1]) * (1 << 30))) for r in counted], "lang string, rate long")
+    chosen = named.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("lang", "text")
+    drawn = chosen.mapInArrow(_samples, "label string, bytes binary").distinct()
+    # about 1.3 * SAMPLE * PIECES windows
+    drawn = drawn.orderBy(F.xxhash64("label", "bytes"), "label", "bytes").limit(max(len(labels), 3 * SAMPLE * PIECES)).toArrow()
+    pairs = sorted(zip(drawn.column(0).to_pylist(), drawn.column(1).to_pylist(), strict=True))  # the order in which Spark hands them over doesn't matter
+    y = np.searchsorted(labels, np.array([p[0] for p in pairs], dtype=object)) if pairs else np.zeros(0, int)
+    x = np.frombuffer(b"".join(p[1] for p in pairs), dtype=np.uint8).reshape(-1, WINDOW)
     # the labels alike in weight
     rng = np.random.default_rng(1)
     own = np.concatenate([rng.choice(np.flatnonzero(y == k), each * 2) for k in range(len(labels)) if (y == k).any()])

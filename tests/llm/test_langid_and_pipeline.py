@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
 import __spark_entry__
@@ -35,6 +37,15 @@ def test_held_out_accuracy_and_odd_texts(spark, tmp_path):
     assert [by[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and by[903].lang_pred == "en" and by[None].lang_pred == "de"
 
 
+def test_every_label_is_learned_and_reruns_agree(spark):
+    rng = random.Random(4)
+    data = rows() + [(1000 + i, f"same eight bytes {rng.random()}", f"rare{i:03d}", "s") for i in range(230)]
+    docs = frame(spark, data)
+    a, b = G.train(docs), G.train(docs.repartition(7))
+    assert a.labels == b.labels and len(a.labels) == 233
+    assert all(np.array_equal(x, y) for x, y in zip([*a.tables, a.out], [*b.tables, b.out], strict=True))
+
+
 def test_prediction_is_the_filters_own_sum():
     net = G.Network(["a", "b"])
     rng = np.random.default_rng(2)
@@ -96,6 +107,34 @@ def test_no_exact_copy_survives(spark, tmp_path):
     assert not {r.doc_id for r in near.collect()} & {r[0] for r in copies}
 
 
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    data = rows(90, 3)
+    odd = [(3000, None, None, None), (None, "der und nicht schön für den", "de", "s0"), (3001, "", "en", None), (3001, "", "en", None), (5, data[5][1], "fr", "s1"), (3002, "the thing and that with " * 9000, "en", "s0"), (3003, "the and thing", None, None)]
+    table = spark.createDataFrame([(*r, "x", 3, 4, "y") for r in data + odd], "doc_id long, text string, lang string, source string, key string, hash int, piece int, row string").repartition(3)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "near_dedup":
+            assert not any(r.text is None or r.text == "" for r in docs.collect())
+            n = Counter(r.doc_id for r in docs.collect())
+            assert max(n.values()) == 1 and {3002, 5} <= set(n)
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    copies = Counter(r.doc_id for r in got if r.piece == 0)
+    assert copies == Counter(r.doc_id for r in docs.collect())
+    ids = {r.doc_id: r.text for r in docs.collect()}
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    total = Counter()
+    for r in got:
+        total[r.doc_id] += r.length
+    assert all(total[d] == copies[d] * (len(plain.encode(ids[d], add_special_tokens=False).ids) + 1) for d in ids)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     frame(spark, rows(3)).where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
