@@ -3,14 +3,14 @@
 All rolling word k-gram hashes of all texts are joined, in Spark, to the k-gram positions of license templates.
 Each hit is compared with the gram's words, votes for its offset diagonal (place in the document less place in the template),
 diagonals of one template that neighbour each other are merged (words were put in or left out between them),
-and a merged span counts when it holds enough of the template's grams. Short phrases are templates of their own whose
+and a merged span is verified: it counts when enough of the template's grams stand in it in the template's order, each place of the template once. Short phrases are templates of their own whose
 every gram must vote on one diagonal, so their places are exact.
 
 The template table is broadcast; it is a parameter of a few hundred rows and doesn't grow with the documents.
 A document's words and text travel with its grams through the join, so texts are read once and never shuffled.
 
 Null texts count as empty. Empty texts and texts without words have no spans. Very long texts make long arrays
-in their own row only. Repeated rows and equal or null doc_ids each come out as rows of their own. Other columns are ignored.
+in their own row only. An empty table gives no rows. Repeated rows and equal or null doc_ids each come out as rows of their own. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +34,20 @@ NOTICES = {
     "apache-2.0-notice": "you may not use this file except in compliance with the license you may obtain a copy of the license at",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "cc-attribution": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-attribution-sharealike": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-noncommercial": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc0": "the person who associated a work with this deed has dedicated the work to the public domain",
+    "agpl-notice": "under the terms of the gnu affero general public license as published by the free software foundation",
     "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "gpl-3.0": "licensed under the gnu general public license version 3",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "lgpl-notice": "under the terms of the gnu lesser general public license as published by the free software foundation",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "no-derivatives": "licensed under cc by nd 4 0",
     "non-commercial": "licensed under cc by nc 4 0",
+    "share-alike": "licensed under cc by sa 4 0",
+    "unlicense": "this is free and unencumbered software released into the public domain",
 }
 #: Words in a gram: for phrases, and for notices.
 SHORT, LONG = 2, 4
@@ -102,16 +111,23 @@ def license_spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: d
     hit = hit.select("row.row", "row.doc_id", "n_words", "template", "at", "k", "total", "whole", "pos", (F.col("pos") - F.col("at")).alias("diagonal")).repartition("row")
 
     votes = hit.groupBy("row", "doc_id", "n_words", "template", "diagonal", "k", "total", "whole").agg(
-        F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high")
+        F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.collect_list(F.struct("pos", "at")).alias("hits")
     )
     order = Window.partitionBy("row", "template").orderBy("low", "diagonal")
-    near = (F.col("low") - F.lag("high").over(order) <= GAP) & (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) <= SHIFT)
+    reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    near = (F.col("low") - reach <= GAP) & (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) <= SHIFT)
     votes = votes.withColumn("new", F.when(~F.col("whole") & F.coalesce(near, F.lit(False)), 0).otherwise(1))
     votes = votes.withColumn("span", F.sum("new").over(order))
     span = votes.groupBy("row", "doc_id", "n_words", "template", "k", "total", "whole", "span").agg(
-        F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high")
+        F.sum("votes").alias("votes"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits")
     )
-    score = F.least(F.col("votes") / F.col("total"), F.lit(1.0))
+    # verification: of the span's grams, those that stand in the template's order, each place of the template once
+    chain = F.expr(
+        "aggregate(hits, struct(-1 as last, 0 as n, -1 as low, -1 as high), (a, h) -> if(h.at > a.last,"
+        " struct(h.at as last, a.n + 1 as n, if(a.n = 0, h.pos, a.low) as low, h.pos as high), a))"
+    )
+    span = span.withColumn("chain", chain).withColumn("low", F.col("chain.low")).withColumn("high", F.col("chain.high"))
+    score = F.col("chain.n") / F.col("total")
     found = F.when(
         (F.col("template") != "") & F.when(F.col("whole"), F.col("votes") == F.col("total")).otherwise(score >= LEAST),
         F.struct(

@@ -47,3 +47,41 @@ def test_repeated_and_missing_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "cc by"), (1, "cc by"), (None, "cc by")], "doc_id long, text string")
     assert L.license_spans(docs).count() == 3
     assert L.license_spans(docs.where("false")).count() == 0
+
+
+def test_each_place_of_a_notice_counts_once(spark):
+    part = "Licensed under the Apache License"
+    texts = [part, f"{part} {part}", f"{part} {part} {part}", f"{part}, Version 2.0. {part}", f"{part} {part}, Version 2.0.", "mit " + " ".join(L.NOTICES["mit"].split()[:14] * 3)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [(s.label, s.score) for s in r.spans] for r in L.license_spans(docs).collect()}
+    assert [got[i] for i in (0, 1, 2, 5)] == [[]] * 4
+    assert got[3] == [("apache-2.0", 1.0)] and got[4] == [("apache-2.0", 1.0)]
+
+
+def test_notices_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = []
+    for _ in range(60):  # notices with words left out or put in, one after another
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            n = L.NOTICES[rng.choice(sorted(L.NOTICES))].split()
+            n = [w for w in n if rng.random() > 0.05]
+            if rng.random() < 0.4:
+                n.insert(rng.randrange(len(n)), "other")
+            words += [*n, *("filler" for _ in range(rng.choice([0, 3, 40])))]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: {s.label: s.score for s in r.spans} for r in L.license_spans(docs).collect()}
+    for i, t in enumerate(texts):
+        words = t.split()
+        grams = {tuple(words[j : j + L.LONG]) for j in range(len(words) - L.LONG + 1)}
+        for label, notice in L.NOTICES.items():
+            n = notice.split()
+            own = [tuple(n[j : j + L.LONG]) for j in range(len(n) - L.LONG + 1)]
+            share = sum(g in grams for g in own) / len(own)  # no span holds more
+            if label in got[i]:
+                assert L.LEAST <= got[i][label] <= share + 1e-9
+            else:
+                assert notice not in t
