@@ -68,10 +68,17 @@ def drop(*tables: DataFrame) -> None:
             _tables.remove(path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete the tables that written() made so far; results that read them can't be used any more."""
-    while _tables:
-        _delete(spark, _tables.pop())
+def clean(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
+    """Delete the tables that written() made so far, but for the first `since` and those of keep; results that read them can't be used any more."""
+    kept = {f.rsplit("/", 1)[0].split(":", 1)[-1].replace("///", "/") for table in keep for f in table.inputFiles()}
+    for path in [p for p in _tables[since:] if p.split(":", 1)[-1].replace("///", "/") not in kept]:
+        _delete(spark, path)
+        _tables.remove(path)
+
+
+def count() -> int:
+    """How many tables there are."""
+    return len(_tables)
 
 
 def marked(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
