@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed corpus; each stage's tables are deleted when what it returns is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = _shared.count()
     for name, stage in STAGES:
         docs = _shared.written(stage(spark, docs, sf_dir), name)
+        _shared.clean(spark, first, docs)
     return docs
