@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ._vectors import components
 
 #: Rows in one Arrow batch.
-BATCH = 2000
+BATCH = 1000
 #: Keys for which among() makes a bitmap; it is broadcast and holds two to four bytes for each.
 FILTER_KEYS = 16_000_000
 #: Edges that a task of connected_components() holds at a time.

@@ -46,14 +46,14 @@ from pyspark.sql import functions as F
 from . import _shared
 from ._words import SPACES, Words, mix, scratch, slices, trim
 
-#: Shingles of so many classes in one task are counted over all tasks; from FREQUENT on they count as frequent, the MOST_FREQUENT most
+#: Shingles of so many classes among COUNTED of a task's are counted over all tasks; from FREQUENT on they count as frequent, the MOST_FREQUENT most
 #: frequent at most (four bytes each are broadcast). The result is the same whichever count as frequent; only the sizes of groups change.
-FREQUENT_IN_TASK = 2
+FREQUENT_IN_TASK, COUNTED = 2, 2_000_000
 FREQUENT = 12
 MOST_FREQUENT = 2_000_000
 #: Keys for one task of the part join, and keys that a task holds before it sends them on.
 KEYS_PER_TASK = 700_000
-HELD = 600_000
+HELD = 400_000
 #: Members of a key among those HELD from which they form a group of their own.
 HOT = 64
 #: Members of a block, where a group that spans components is compared in blocks.
@@ -125,22 +125,22 @@ def _profile(k: int):
         seen: set[int] = set()
         many: list[np.ndarray] = []
         held = 0
-        token, count = np.zeros(0, _U), np.zeros(0, np.int64)
-
-        def merge():
-            nonlocal token, count, many, held
-            if many:
-                t, c = np.unique(np.concatenate(many), return_counts=True)
-                t = np.concatenate((token, t))
-                c = np.concatenate((count, c))
-                order = np.argsort(t, kind="stable")
-                t, c = t[order], c[order]
-                first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-                token, count = t[first], np.add.reduceat(c, first)
-                if len(token) > 1_500_000:  # those met once so far are let go: only which shingles count as frequent hangs on them
-                    token, count = token[count > 1], count[count > 1]
-                many, held = [], 0
-                trim()
+
+        def counted():
+            """Those of the shingles held that several classes have."""
+            nonlocal many, held
+            token = np.concatenate(many)
+            many, held = [], 0
+            token.sort()
+            first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            count = np.diff(np.append(first, len(token)))
+            keep = count >= FREQUENT_IN_TASK
+            token, count = token[first[keep]].view(np.int64), count[keep]
+            none = pa.nulls(len(token), pa.int64())
+            trim()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.ones(len(token), np.int8)), none, none, pa.array(count), pa.array(token), pa.nulls(len(token), pa.binary())], PROFILE
+            )
 
         for batch in batches:
             ids, hashes, texts = (batch.column(i) for i in range(3))
@@ -152,20 +152,16 @@ def _profile(k: int):
                     bits[i] = sketch(s)
                     many.append(s)
                     held += len(s)
-                    if held > 500_000:
-                        merge()
             if len(seen) > 2_000_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(ids), np.int8)), ids, hashes, pa.array(n), pa.array(cls), pa.array(bits, pa.binary())], PROFILE
             )
-        merge()
-        keep = count >= FREQUENT_IN_TASK
-        token, count = token[keep].view(np.int64), count[keep]
-        none = pa.nulls(len(token), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(token), np.int8)), none, none, pa.array(count), pa.array(token), pa.nulls(len(token), pa.binary())], PROFILE
-        )
+            if held > COUNTED:
+                yield counted()
+        if held:
+            yield counted()
+        trim()
 
     return run
 
@@ -296,6 +292,7 @@ def _keys(k: int, frequent, tasks: int, bands: Bands):
             if len(seen) > 2_000_000:
                 seen.clear()
         yield from flush()
+        trim()
 
     return run
 
@@ -388,6 +385,7 @@ def _sets(k: int):
                     yield out()
                     cls, blob, held = [], [], 0
             yield out()
+        trim()
 
     return run
 
