@@ -1,22 +1,26 @@
 """Embedding near-dedup by randomised-rotation binary codes.
 
-Vectors are turned by random rotations and kept as sign bits, in bands. Two vectors at the angle of the threshold agree in a bit
-with probability 1 - angle / pi, so bands of about log2(n) bits, and enough of them, bring all but a share MISS of the pairs at the
-threshold itself (and fewer of closer pairs) together in some bucket; buckets of unrelated vectors stay small at any n.
-In a bucket, a pair's inner product is estimated from the code of one side, divided by the stored correction factor of that code
+Candidates: a random rotation brings a vector onto one of its axes, the one with the largest component, with its sign; two vectors at the angle of the threshold
+agree in that with a probability that hangs on the dimension alone (`agreement` measures it). A band joins as many such axes as tell about 2 n vectors apart, and there are enough bands
+to bring all but a share MISS of the pairs at the threshold itself (and fewer of closer pairs) together in some band; groups of unrelated vectors stay small at any n.
+Vectors and rotations are rounded to integers whose products are exact in single precision, so a vector's bands are the same in whichever task they are computed.
+
+In a group, a pair's inner product is estimated from the code of one side, the signs of its components in ESTIMATE rotations, divided by that code's correction factor
 (the product of code and vector), which makes the estimate unbiased. Pairs whose confidence bound stays below the threshold
 go; all others are recomputed in double precision from the vectors, and only that decides.
 
+What is shuffled: for each vector 12 bytes a band; then groups of two or more, equal groups once; then vectors of these groups alone, picked by a bitmap.
 A pair is counted in the first band that it shares, so nothing has to be made distinct and no pair is ever a row: tasks return, for each
-vector, how many it links to, and a spanning forest of the links. Equal vectors are one class with a weight. Buckets of
-more than BLOCK classes are cut into blocks, and pairs of blocks are dealt out over tasks.
+vector, how many it links to, and a spanning forest of the links. Equal vectors are one class with a weight, named by a 64-bit hash. Groups of
+more than BLOCK classes are cut into blocks, and pairs of blocks are dealt out over tasks; the number of links of each vector can't be had without comparing these.
 
 Vectors that are null, zero or hold null or non-finite components, and rows with a null vec_id, link with nothing; they come out with
-no links and their own id. Vectors of different lengths do not link. Rows with one vec_id count as vectors of their own. Other columns are ignored.
+no links and their own id. Vectors of different lengths do not link. Rows with one vec_id count as vectors of their own. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -26,60 +30,141 @@ from pyspark.sql import functions as F
 
 from . import _shared
 from ._vectors import components, matrix, rotations, unit, valid
+from ._words import mix
 
 #: Probability of leaving out a pair that lies exactly at the threshold.
 MISS = 1e-5
 BLOCK = 1024
 #: Rotations whose codes make the estimate, and standard errors of its bound.
 ESTIMATE, DEVIATIONS = 4, 5.0
+#: Axes of a rotation that a band looks at, at most.
+AXES = 64
+#: Keys for one task.
+KEYS_PER_TASK = 700_000
+
+
+@functools.cache
+def agreement(dim: int, threshold: float) -> float:
+    """The probability that two vectors at the threshold come onto the same axis, measured and rounded down by three standard errors or more."""
+    rng = np.random.default_rng([5, dim])
+    m, n = min(dim, AXES), 20_000
+    x, z = rng.standard_normal((n, m)), rng.standard_normal((n, m))
+    y = threshold * x + math.sqrt(1 - threshold**2) * z
+    a, b, own = np.abs(x).argmax(axis=1), np.abs(y).argmax(axis=1), np.arange(n)
+    return max(0.01, ((a == b) & ((x[own, a] > 0) == (y[own, b] > 0))).mean() - 0.012)
+
+
+@functools.cache
+def plan(n: int, dim: int, threshold: float) -> tuple[int, int]:
+    """(axes in a band, bands) for n vectors of so many components."""
+    axes = max(1, math.ceil((math.log2(max(n, 2)) + 1) / math.log2(2 * min(dim, AXES))))
+    agree = agreement(dim, threshold) ** axes
+    return axes, math.ceil(math.log(MISS) / math.log1p(-agree))
+
+
+class Coder:
+    """Band values of vectors, for one number of vectors."""
 
+    def __init__(self, n: int, threshold: float):
+        self.n, self.threshold, self.turns = n, threshold, {}
 
-def plan(n: int, threshold: float) -> tuple[int, int]:
-    """(bits in a band, bands) for n vectors."""
-    bits = min(36, max(8, math.ceil(math.log2(max(n, 2))) + 4))
-    agree = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(MISS) / math.log1p(-agree))
+    def __call__(self, u: np.ndarray) -> np.ndarray:
+        """A row of 32-bit values, one for each band, for each of the unit vectors."""
+        dim = u.shape[1]
+        axes, bands = plan(self.n, dim, self.threshold)
+        m, level = min(dim, AXES), math.isqrt((1 << 24) // max(dim, 1)) - 1
+        if dim not in self.turns:
+            per = dim // m  # blocks of m columns in one rotation
+            r = rotations(dim, -(-axes * bands // per) * dim, seed=19).reshape(dim, -1, dim)[:, :, : per * m].reshape(dim, -1)
+            self.turns[dim] = np.round(r[:, : axes * bands * m] * level).astype(np.float32)
+        r, out = self.turns[dim], np.empty((len(u), bands), np.uint32)
+        with np.errstate(over="ignore"):
+            for at in range(0, len(u), 256):
+                z = (np.round(u[at : at + 256] * level).astype(np.float32) @ r).reshape(-1, axes * bands, m)
+                top = np.abs(z).argmax(axis=2)
+                axis = (2 * top + (np.take_along_axis(z, top[:, :, None], axis=2)[:, :, 0] > 0)).astype(np.uint64).reshape(-1, bands, axes)
+                value = np.full(axis.shape[:2], dim, np.uint64)
+                for i in range(axes):
+                    value = mix(value * np.uint64(2 * m) + axis[:, :, i], i)
+                out[at : at + 256] = (value >> np.uint64(32)).astype(np.uint32)
+        return out
 
 
-def band_values(signs: np.ndarray, bits: int, bands: int) -> np.ndarray:
-    weights = (1 << np.arange(bits)).astype(np.float64)
-    return (signs[:, : bits * bands].reshape(len(signs), bands, bits) @ weights).astype(np.int64)
+def _keys(n: int, parts: int, threshold: float):
+    """(task, values, classes): for each band and each of its `parts` tasks, the values of vectors and their classes, from rows (class, embedding)."""
+
+    def run(batches):
+        code, seen = Coder(n, threshold), set()
+        for batch in batches:
+            cls = batch.column(0).to_numpy()
+            fresh = np.array([not (c in seen or seen.add(c)) for c in cls.tolist()], dtype=bool)
+            if len(seen) > 2_000_000:
+                seen.clear()
+            part = batch.filter(pa.array(fresh))
+            size = part.column(1).value_lengths().to_numpy()
+            for dim in np.unique(size):
+                rows = part.filter(pa.array(size == dim))
+                own, values = rows.column(0).to_numpy(), code(unit(matrix(rows.column(1))))
+                to = values % np.uint32(parts)
+                out = []
+                for band in range(values.shape[1]):
+                    for p in range(parts):
+                        here = to[:, band] == p
+                        if here.any():
+                            out.append((band * parts + p, values[here, band].tobytes(), own[here].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2))], ["task", "values", "classes"])
+
+    return run
+
 
+def _groups(parts: int):
+    """Groups of at least two classes with one value in one band: (group, band, size, class); group is the same for equal groups."""
 
-def _keys(bits: int, bands: int):
     def run(batches):
-        turn = {}
+        task, value, cls = [], [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                size = part.column(1).value_lengths().to_numpy()
-                for dim in np.unique(size):
-                    rows = part.filter(pa.array(size == dim))
-                    r = turn.setdefault(dim, rotations(int(dim), bits * bands))
-                    v = band_values(unit(matrix(rows.column(1))) @ r > 0, bits, bands)
-                    key = v + (np.arange(bands, dtype=np.int64) << bits) + (int(dim) << 48)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.repeat(rows.column(0).to_numpy(), bands))], ["key", "cid"])
+            for t, v, c in zip(*(batch.column(i) for i in range(3)), strict=True):
+                value.append(np.frombuffer(v.as_buffer(), np.uint32))
+                cls.append(np.frombuffer(c.as_buffer(), np.int64))
+                task.append(np.full(len(value[-1]), t.as_py() // parts, np.uint64))
+        if not value:
+            return
+        key = np.concatenate(task) << np.uint64(32) | np.concatenate(value)
+        cls = np.concatenate(cls)
+        order = np.lexsort((cls, key))
+        key, cls = key[order], cls[order]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])))
+        key, cls = key[fresh], cls[fresh]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(first, len(key)))
+        with np.errstate(over="ignore"):
+            mark = mix(np.add.reduceat(mix(cls.view(np.uint64)), first) + size.astype(np.uint64)).view(np.int64)
+        some = np.flatnonzero(size > 1)
+        some = some[np.unique(mark[some], return_index=True)[1]]  # of equal groups here, that of the first band
+        size, first = size[some], first[some]
+        place = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        band, group = np.repeat((key[first] >> np.uint64(32)).astype(np.int32), size), np.repeat(mark[some], size)
+        size = np.repeat(size, size)
+        for at in range(0, len(place), 100_000):
+            to = at + 100_000
+            yield pa.RecordBatch.from_arrays([pa.array(group[at:to]), pa.array(band[at:to]), pa.array(size[at:to]), pa.array(cls[place[at:to]])], ["group", "band", "size", "class"])
 
     return run
 
 
-def _compare(bits: int, bands: int, threshold: float):
-    def block(part, turn):
-        """Rows of whole groups: (key, i, j, own, cid, n, embedding), sorted by group."""
-        key, i, j, own, cid, n = (part.column(c).to_numpy() for c in range(6))
-        x = matrix(part.column(6))
+def _compare(total: int, threshold: float):
+    def block(part, code, turn):
+        """Rows of whole groups: (dim, group, i, j, own, band, class, n, embedding), sorted by group."""
+        key, i, j, own, band, cid, n = (part.column(c).to_numpy() for c in range(1, 8))
+        x = matrix(part.column(8))
         dim = x.shape[1]
-        r = turn.setdefault(dim, rotations(dim, bits * bands))
         u = unit(x)
-        turned = u @ r
-        v = band_values(turned > 0, bits, bands)
-        used = min(ESTIMATE, r.shape[1] // dim)
-        near = turned[:, : used * dim].reshape(len(u), used, dim)
-        code = np.where(near > 0, 1.0, -1.0) / math.sqrt(dim)
-        factor = (code * near).sum(axis=2)
-        bound = DEVIATIONS * np.sqrt(((1 - factor**2) / factor**2).mean(axis=1) / max(1, dim - 1) / used)
+        v = code(u)
+        near = (u @ turn.setdefault(dim, rotations(dim, ESTIMATE * dim))).reshape(len(u), ESTIMATE, dim)
+        sign = np.where(near > 0, 1.0, -1.0) / math.sqrt(dim)
+        factor = (sign * near).sum(axis=2)
+        bound = DEVIATIONS * np.sqrt(((1 - factor**2) / factor**2).mean(axis=1) / max(1, dim - 1) / ESTIMATE)
         norm = np.sqrt((x * x).sum(axis=1))
-        band = (key >> bits) & ((1 << (48 - bits)) - 1)
         fresh = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         group = np.concatenate(([0], np.cumsum(fresh)))
         alive, links = np.arange(len(key)), []
@@ -95,7 +180,7 @@ def _compare(bits: int, bands: int, threshold: float):
                 a, b = a[keep], b[keep]
                 if not len(a):
                     break
-            guess = ((code[b] * near[a]).sum(axis=2) / factor[b]).mean(axis=1)
+            guess = ((sign[b] * near[a]).sum(axis=2) / factor[b]).mean(axis=1)
             keep = guess + bound[b] >= threshold
             a, b = a[keep], b[keep]
             keep = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= threshold
@@ -108,24 +193,22 @@ def _compare(bits: int, bands: int, threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label][some]), pa.array(weight[some].astype(np.int64))], ["u", "v", "weight"])
 
     def run(batches):
-        turn, held = {}, None
+        code, turn, held = Coder(total, threshold), {}, None
         for batch in batches:
             held = batch if held is None else pa.concat_batches([held, batch])
-            while held.num_rows >= 8000:
-                key = held.column(0).to_numpy()
-                i, j = held.column(1).to_numpy(), held.column(2).to_numpy()
+            while held.num_rows >= 4000:
+                dim, key, i, j = (held.column(c).to_numpy() for c in range(4))
                 cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-                size = key >> 48  # of one dimension at a time
-                cut = cut[size[cut] == size[0]] if (size == size[0]).all() else cut[: np.searchsorted(size[cut], size[0], side="right")]
+                cut = cut[: np.searchsorted(dim[cut - 1], dim[0], side="right")]  # of one dimension at a time
                 if not len(cut):
                     break
-                at = int(cut[np.searchsorted(cut, 8000)]) if cut[-1] >= 8000 else int(cut[-1])
-                yield block(held.slice(0, at), turn)
+                at = int(cut[min(np.searchsorted(cut, 4000), len(cut) - 1)])
+                yield block(held.slice(0, at), code, turn)
                 held = held.slice(at)
         while held is not None and held.num_rows:
-            size = held.column(0).to_numpy() >> 48
-            at = int(np.searchsorted(size, size[0], side="right"))
-            yield block(held.slice(0, at), turn)
+            dim = held.column(0).to_numpy()
+            at = int(np.searchsorted(dim, dim[0], side="right"))
+            yield block(held.slice(0, at), code, turn)
             held = held.slice(at)
 
     return run
@@ -135,26 +218,34 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     fine = valid("embedding") & F.col("vec_id").isNotNull()
-    classes = rows.where(fine).groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
-    classes = _shared.written(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
-    bits, bands = plan(classes.count(), threshold)
-    keys = classes.select("cid", "embedding").mapInArrow(_keys(bits, bands), "key long, cid long")
-    full = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    member = keys.join(full, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    own = F.expr("int(pmod(xxhash64(cid), blocks))")
+    named = rows.where(fine).select("vec_id", F.xxhash64(F.size("embedding"), "embedding").alias("class"), "embedding")
+    classes = _shared.written(named.groupBy("class").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")), "classes")
+    n = classes.count()
+    parts = max(1, -(-n // KEYS_PER_TASK))
+    keys = named.select("class", "embedding").mapInArrow(_keys(n, parts, threshold), "task int, values binary, classes binary")
+    spread = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64 * parts)
+    groups = keys.repartition(spread, "task").mapInArrow(_groups(parts), "group long, band int, size long, class long")
+    groups = groups.groupBy("group", "class").agg(F.min("band").alias("band"), F.max("size").alias("size"))
+    groups = _shared.written(groups, "groups")
+    # the vectors of the groups, each once
+    some = _shared.written(groups.select("class").distinct(), "some")
+    held = _shared.among(named.select("class", "embedding"), F.col("class"), some).groupBy("class").agg(F.any_value("embedding").alias("embedding"))
+    held = _shared.written(held.join(some, "class").join(classes.select("class", "n"), "class"), "vectors")
+    member = groups.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    own = F.expr("int(pmod(xxhash64(class), blocks))")
     member = member.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    member = member.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid")
-    member = member.join(classes.select("cid", "n", "embedding"), "cid").select("key", "i", "j", "own", "cid", "n", "embedding")
-    member = member.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = _shared.written(member.mapInArrow(_compare(bits, bands, threshold), "u long, v long, weight long"), "links")
+    member = member.select("group", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class").join(held, "class")
+    member = member.select(F.size("embedding").alias("dim"), "group", "i", "j", "own", "band", "class", "n", "embedding")
+    member = member.repartition("group", "i", "j").sortWithinPartitions("dim", "group", "i", "j")
+    links = _shared.written(member.mapInArrow(_compare(n, threshold), "u long, v long, weight long"), "links")
     parts = _shared.connected_components(links.select("u", "v").where("u <> v"))
-    weight = links.groupBy(F.col("u").alias("cid")).agg(F.sum("weight").alias("weight"))
-    one = classes.join(weight, "cid", "left").join(parts, classes["cid"] == parts["node"], "left")
-    one = one.select("embedding", F.expr("n - 1 + coalesce(weight, 0)").alias("n_links"), F.coalesce("component", "cid").alias("part"), "least")
+    weight = links.groupBy(F.col("u").alias("class")).agg(F.sum("weight").alias("weight"))
+    one = classes.join(weight, "class", "left").join(parts, classes["class"] == parts["node"], "left")
+    one = one.select("class", F.expr("n - 1 + coalesce(weight, 0)").alias("n_links"), F.coalesce("component", "class").alias("part"), "least")
     least = one.groupBy("part").agg(F.min("least").alias("component"))
-    one = one.join(least, "part").select("embedding", "n_links", "component")
-    key = F.when(fine, F.col("embedding"))
-    out = rows.withColumn("v", key).join(one.withColumnRenamed("embedding", "v"), "v", "left")
+    one = _shared.written(one.join(least, "part").select("class", "n_links", "component"), "one")
+    _shared.drop(groups, some, held, links)
+    out = rows.select("vec_id", F.when(fine, F.xxhash64(F.size("embedding"), "embedding")).alias("class")).join(one, "class", "left")
     component = F.coalesce("component", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")
