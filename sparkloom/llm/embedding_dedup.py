@@ -34,7 +34,7 @@ from ._words import mix
 
 #: Probability of leaving out a pair that lies exactly at the threshold.
 MISS = 1e-5
-BLOCK = 1024
+BLOCK = 512
 #: Rotations whose codes make the estimate, and standard errors of its bound.
 ESTIMATE, DEVIATIONS = 4, 5.0
 #: Axes of a rotation that a band looks at, at most.
@@ -159,7 +159,6 @@ def _compare(total: int, threshold: float):
         x = matrix(part.column(8))
         dim = x.shape[1]
         u = unit(x)
-        v = code(u)
         near = (u @ turn.setdefault(dim, rotations(dim, ESTIMATE * dim))).reshape(len(u), ESTIMATE, dim)
         sign = np.where(near > 0, 1.0, -1.0) / math.sqrt(dim)
         factor = (sign * near).sum(axis=2)
@@ -175,17 +174,19 @@ def _compare(total: int, threshold: float):
             alive = alive[group[alive] == group[alive + d]]
             a = alive[(i[alive] == j[alive]) | (own[alive] != own[alive + d])]
             b = a + d
-            for earlier in range(int(band[a].max(initial=0))):
-                keep = (band[a] <= earlier) | (v[a, earlier] != v[b, earlier])
-                a, b = a[keep], b[keep]
-                if not len(a):
-                    break
             guess = ((sign[b] * near[a]).sum(axis=2) / factor[b]).mean(axis=1)
             keep = guess + bound[b] >= threshold
-            a, b = a[keep], b[keep]
-            keep = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= threshold
             links.append((a[keep], b[keep]))
         a, b = (np.concatenate([p[s] for p in links]) for s in (0, 1)) if links else (np.zeros(0, int),) * 2
+        # a pair counts in the first band that it shares; bands are computed for the vectors of likely pairs alone
+        some, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        v, p, q, own = code(u[some]), at[: len(a)], at[len(a) :], band[a]
+        keep = np.ones(len(a), dtype=bool)
+        for earlier in range(int(own.max(initial=0))):
+            keep &= (own <= earlier) | (v[p, earlier] != v[q, earlier])
+        a, b = a[keep], b[keep]
+        keep = np.concatenate([np.einsum("ij,ij->i", x[a[k : k + 50_000]], x[b[k : k + 50_000]]) for k in range(0, max(1, len(a)), 50_000)]) / (norm[a] * norm[b]) >= threshold
+        a, b = a[keep], b[keep]
         ids, at = np.unique(cid, return_inverse=True)
         weight = np.bincount(at[a], n[b], len(ids)) + np.bincount(at[b], n[a], len(ids))
         label = components(len(ids), at[a], at[b])
