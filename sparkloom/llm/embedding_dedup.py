@@ -5,7 +5,8 @@ agree in that with a probability that hangs on the dimension alone (`agreement`
 to bring all but a share MISS of the pairs at the threshold itself (and fewer of closer pairs) together in some band; groups of unrelated vectors stay small at any n.
 Vectors and rotations are rounded to integers whose products are exact in single precision, so a vector's bands are the same in whichever task they are computed.
 
-In a group, a pair's inner product is estimated from the code of one side, the signs of its components in ESTIMATE rotations, divided by that code's correction factor
+In a group, pairs whose codes, the signs of their components in ESTIMATE rotations, differ in more places than the threshold's angle allows go first. Of the others,
+the inner product is estimated from the code of one side, divided by that code's correction factor
 (the product of code and vector), which makes the estimate unbiased. Pairs whose confidence bound stays below the threshold
 go; all others are recomputed in double precision from the vectors, and only that decides.
 
@@ -162,6 +163,10 @@ def _compare(total: int, threshold: float):
         near = (u @ turn.setdefault(dim, rotations(dim, ESTIMATE * dim))).reshape(len(u), ESTIMATE, dim)
         sign = np.where(near > 0, 1.0, -1.0) / math.sqrt(dim)
         factor = (sign * near).sum(axis=2)
+        raw = np.packbits(near.reshape(len(u), -1) > 0, axis=1)
+        bits = np.pad(raw, ((0, 0), (0, -raw.shape[1] % 8))).view(np.uint64)
+        apart = math.acos(threshold) / math.pi * ESTIMATE * dim
+        apart += DEVIATIONS * math.sqrt(apart * (1 - math.acos(threshold) / math.pi))
         bound = DEVIATIONS * np.sqrt(((1 - factor**2) / factor**2).mean(axis=1) / max(1, dim - 1) / ESTIMATE)
         norm = np.sqrt((x * x).sum(axis=1))
         fresh = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
@@ -174,6 +179,8 @@ def _compare(total: int, threshold: float):
             alive = alive[group[alive] == group[alive + d]]
             a = alive[(i[alive] == j[alive]) | (own[alive] != own[alive + d])]
             b = a + d
+            keep = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= apart  # signs alone tell most pairs apart
+            a, b = a[keep], b[keep]
             guess = ((sign[b] * near[a]).sum(axis=2) / factor[b]).mean(axis=1)
             keep = guess + bound[b] >= threshold
             links.append((a[keep], b[keep]))
