@@ -1,16 +1,19 @@
 """Chat formatting of reply trees, in DataFrame operations only.
 
-Messages with parents form trees. Self-joins of the parent table with itself double the length of its jumps until no message has an
-ancestor so far away; then the paths from all leaves are enumerated from the longest jump to the shortest, each step a join
-of (leaf, message) with one table of jumps, and each message of a path is reached once. So a tree of depth d takes 2 log2(d)
-joins. Paths are ranked within their tree by score, and each chosen one becomes one text.
+Messages with parents form trees. Self-joins of the parent table with itself double the length of its jumps, and carry the sum of scores along them, until no message has an
+ancestor so far away; so a tree of depth d takes log2(d) joins, and each leaf then knows the score of its branch. Branches are ranked within their tree by
+mean score, and only the chosen ones are enumerated, from the longest jump to the shortest, each step a join
+of (leaf, message) with one table of jumps, in which each message of a path is reached once. Until then only ids and scores move. Texts are shuffled once, to their tree,
+where each chosen path takes them by their places and becomes one text.
 
 The template writes a turn as `<s>role\\ntext</s>`, turns that bear no loss as `<s>[INST] role\\ntext [/INST]</s>`. In texts and roles, a backslash is doubled and
 control strings get a backslash behind their first character; reading undoes both. The loss mask is a list of places (start, length) in
 the formatted text, in characters, that hold the assistant's texts.
 
-A conversation becomes one row, and all of its turns meet in the task that makes that row; nothing else is gathered. Null texts and roles count as empty. Messages without a parent, or
-whose parent is missing, are roots. Conversations with a null id are one conversation. Further columns are ignored.
+A tree becomes one row, and all of its messages meet in the task that makes that row; nothing else is gathered. Null texts, roles and scores count as empty or 0. Messages without a parent, or
+whose parent is missing, are roots; in a cycle of parents, the message with the smallest id counts as a root. Ids are unique within a tree; of rows with one id, the one with the smallest
+parent has its place in the tree, and that with the smallest role and text is its message. Rows with a null id or tree are left out. In a table of conversations, turns with one number are ordered by role, then by a hash of the text; equal rows
+are turns of their own. Conversations with a null id are one conversation. Very long texts make long rows. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,45 +47,76 @@ def unescape(c: Column) -> Column:
     return _replace(c, "\\\\", "\\")
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, up, node): every root-to-leaf path of messages (tree, node, parent); up counts from the leaf (0) to the root. Nodes are unique and not null."""
-    known = messages.select(F.col("node").alias("known"))
-    edges = messages.select("node", "parent").join(known, F.col("parent") == F.col("known"), "left_semi")
-    jump = _shared.written(edges.select("node", F.col("parent").alias("to")), "jump")
-    jumps = []
-    while jump.head(1):
-        jumps.append(jump)
-        next_ = jump.select(F.col("node").alias("middle"), F.col("to").alias("far"))
-        jump = _shared.written(jump.join(next_, F.col("to") == F.col("middle")).select("node", F.col("far").alias("to")), "jump")
-    inner = edges.select(F.col("parent").alias("inner"))
-    leaves = messages.join(inner, F.col("node") == F.col("inner"), "left_anti")
-    reached = leaves.select("tree", F.col("node").alias("leaf"), F.lit(0).cast("long").alias("up"), "node")
-    for k in range(len(jumps) - 1, -1, -1):
-        step = jumps[k].withColumnRenamed("node", "from")
-        more = reached.join(step, F.col("node") == F.col("from")).select("tree", "leaf", (F.col("up") + 2**k).alias("up"), F.col("to").alias("node"))
-        reached = _shared.written(reached.union(more), "paths")
-    return reached
+def _jumps(ids: DataFrame) -> tuple[list[DataFrame], bool]:
+    """Tables (tree, node, to, sum, len), the k-th with the ancestor 2 ** k steps up, if any, and the sum and number of scores before it; and whether some nodes never end."""
+    level = _shared.written(ids.select("tree", "node", F.col("parent").alias("to"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("len")), "jump")
+    jumps, n = [level], level.count()
+    while level.where("to is not null").head(1):
+        if 2 ** (len(jumps) - 1) > n:
+            return jumps, True
+        up = level.select(F.col("tree").alias("t"), F.col("node").alias("at"), F.col("to").alias("far"), F.col("sum").alias("more"), F.col("len").alias("rest"))
+        on = (F.col("tree") == F.col("t")) & (F.col("to") == F.col("at"))
+        level = level.join(up, on, "left").select("tree", "node", F.col("far").alias("to"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"), (F.col("len") + F.coalesce("rest", F.lit(0))).alias("len"))
+        level = _shared.written(level, "jump")
+        jumps.append(level)
+    return jumps, False
+
+
+def _cut_cycles(ids: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """ids without the parent of the smallest node of each cycle."""
+    inside = jumps[-1].where("to is not null").select(F.col("tree").alias("t"), F.col("to").alias("n")).distinct()
+    now = ids.join(inside, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "node", F.col("parent").alias("to"), F.col("node").alias("low"))
+    now = _shared.written(now, "cycle")
+    for _ in jumps:
+        up = now.select(F.col("tree").alias("t"), F.col("node").alias("at"), F.col("to").alias("far"), F.col("low").alias("lower"))
+        now = _shared.written(now.join(up, (F.col("tree") == F.col("t")) & (F.col("to") == F.col("at"))).select("tree", "node", F.col("far").alias("to"), F.least("low", "lower").alias("low")), "cycle")
+    first = now.where("low = node").select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    cut = ids.join(first, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")), "left")
+    return cut.select("tree", "node", "place", F.when(F.col("n").isNull(), F.col("parent")).alias("parent"), "score")
 
 
 def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
-    """(tree, leaf, rank, total, up, node) for the `top` paths of each tree by mean score of their messages; ties to the smaller leaf."""
-    found = paths(messages)
-    score = messages.select(F.col("node").alias("n"), F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))
-    total = found.join(score, F.col("node") == F.col("n")).groupBy("tree", "leaf").agg(F.avg("score").alias("total"))
+    """(tree, leaf, rank, total, up, place) for the `top` root-to-leaf paths of each tree by mean score of their messages, ties to the smaller leaf; up counts
+    from the leaf (0) to the root, place is a message's rank (from 1) by id within its tree."""
+    ids = messages.where("node is not null").groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.max(F.coalesce("score", F.lit(0.0)).cast("double")).alias("score"))
+    ids = ids.withColumn("place", F.row_number().over(Window.partitionBy("tree").orderBy("node")))
+    known = ids.select(F.col("tree").alias("t"), F.col("node").alias("known"))
+    ids = ids.join(known, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("known")), "left").select("tree", "node", "place", F.col("known").alias("parent"), "score")
+    ids = _shared.written(ids, "ids")
+    jumps, cyclic = _jumps(ids)
+    if cyclic:
+        ids = _shared.written(_cut_cycles(ids, jumps), "ids")
+        jumps, _ = _jumps(ids)
+    inner = ids.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("inner")).distinct()
+    leaves = jumps[-1].join(inner, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("inner")), "left_anti")
+    leaves = leaves.select("tree", F.col("node").alias("leaf"), (F.col("sum") / F.col("len")).alias("total"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf"))
-    chosen = total.withColumn("rank", rank).where(F.col("rank") <= top).select(F.col("leaf").alias("l"), "rank", "total")
-    return found.join(chosen, F.col("leaf") == F.col("l")).select("tree", "leaf", "rank", "total", "up", "node")
+    chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= top)
+    reached = chosen.select("tree", "leaf", "rank", "total", F.lit(0).cast("long").alias("up"), F.col("leaf").alias("node"))
+    for k in range(len(jumps) - 2, -1, -1):
+        step = jumps[k].where("to is not null").select(F.col("tree").alias("t"), F.col("node").alias("from"), "to")
+        more = reached.join(step, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("from")))
+        reached = _shared.written(reached.union(more.select("tree", "leaf", "rank", "total", (F.col("up") + 2**k).alias("up"), F.col("to").alias("node"))), "paths")
+    place = ids.select(F.col("tree").alias("t"), F.col("node").alias("n"), "place")
+    return reached.join(place, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "rank", "total", "up", "place")
 
 
 def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
     """(tree, leaf, rank, formatted, loss) for messages (tree, node, parent, role, text, score); loss: array of (start, length)."""
-    text = messages.select(F.col("node").alias("n"), escape(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"), (F.coalesce("role", F.lit("")) == ASSISTANT).alias("loss"))
-    role = _replace(F.col("role"), "\n", NEWLINE)
-    head = F.when(F.col("loss"), F.concat(F.lit("<s>"), role, F.lit("\n"))).otherwise(F.concat(F.lit("<s>[INST] "), role, F.lit("\n")))
-    tail = F.when(F.col("loss"), F.lit("</s>")).otherwise(F.lit(" [/INST]</s>"))
-    turn = best_paths(messages, top).join(text, F.col("node") == F.col("n"))
-    turn = turn.select("tree", "leaf", "rank", F.struct((-F.col("up")).alias("at"), head.alias("head"), "text", tail.alias("tail"), "loss").alias("turn"))
-    whole = turn.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    path = best_paths(messages, top).groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "place"))).alias("path"))
+    said = F.struct("node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    held = messages.where("node is not null").groupBy("tree").agg(F.array_sort(F.collect_list(said)).alias("held"))
+    held = held.select(F.col("tree").alias("t"), F.expr("filter(held, (m, i) -> i = 0 or m.node <> held[i - 1].node)").alias("held"))
+    role, text = (lambda m: _replace(escape(m["role"]), "\n", NEWLINE)), (lambda m: escape(m["text"]))
+    bears = lambda m: m["role"] == ASSISTANT
+    turns = F.transform(
+        F.transform("path", lambda p: F.element_at("held", p["place"])),
+        lambda m: F.struct(
+            F.when(bears(m), F.concat(F.lit("<s>"), role(m), F.lit("\n"))).otherwise(F.concat(F.lit("<s>[INST] "), role(m), F.lit("\n"))).alias("head"), text(m).alias("text"),
+            F.when(bears(m), F.lit("</s>")).otherwise(F.lit(" [/INST]</s>")).alias("tail"), bears(m).alias("loss"),
+        ),
+    )
+    whole = path.join(held, F.col("tree") == F.col("t")).select("tree", "leaf", "rank", turns.alias("turns"))
     sizes = F.transform("turns", lambda t: F.char_length(t["head"]) + F.char_length(t["text"]) + F.char_length(t["tail"]))
     starts = F.expr("aggregate(sizes, cast(array(0) as array<int>), (acc, x) -> concat(acc, array(element_at(acc, -1) + x)))")
     places = F.expr("transform(turns, (t, i) -> struct(starts[i] + char_length(t.head) as start, char_length(t.text) as length, t.loss as loss))")
@@ -107,13 +141,11 @@ def read_turns(formatted: str = "formatted") -> Column:
 
 
 def conversation_trees(conversations: DataFrame) -> DataFrame:
-    """conversations (conv_id, turn, role, text) as messages: each turn replies to the one before it, by turn, role and text."""
-    order = Window.partitionBy("tree").orderBy("turn", "role", "text")
+    """conversations (conv_id, turn, role, text) as messages: each turn replies to the one before it."""
     rows = conversations.select(F.struct(F.col("conv_id").cast("long").alias("id")).alias("tree"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("at", F.row_number().over(order).cast("long"))
-    name = lambda at: F.concat_ws(":", F.coalesce(F.col("tree.id").cast("string"), F.lit("-")), at.cast("string"))
-    parent = F.when(F.col("at") > 1, name(F.col("at") - 1))
-    return rows.select("tree", name(F.col("at")).alias("node"), parent.alias("parent"), "role", "text", F.lit(1.0).alias("score"))
+    order = Window.partitionBy("tree").orderBy("turn", "role", "hash")
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("node", F.row_number().over(order).cast("long"))
+    return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
 def digests(conversations: DataFrame) -> DataFrame:

@@ -127,11 +127,54 @@ def test_reply_trees(spark):
     rows = [("t", "1", None, "user", "q", 0.0), ("t", "2", "1", "assistant", "a", 1.0), ("t", "3", "1", "assistant", "b", 3.0), ("t", "4", "2", "user", "c", 9.0), ("u", "5", "gone", "user", "z", None)]
     rows += [("v", str(i), str(i - 1) if i > 100 else None, "user", str(i), 0.0) for i in range(100, 137)]
     m = spark.createDataFrame(rows, "tree string, node string, parent string, role string, text string, score double")
+    nodes = {}
+    for t, n, *_ in sorted(rows):
+        nodes.setdefault(t, []).append(n)
     found = {}
-    for r in C.paths(m).orderBy("leaf", F.desc("up")).collect():
-        found.setdefault(r.leaf, []).append(r.node)
+    for r in C.best_paths(m, top=9).orderBy("leaf", F.desc("up")).collect():
+        found.setdefault(r.leaf, []).append(nodes[r.tree][r.place - 1])
     assert found == {"4": ["1", "2", "4"], "3": ["1", "3"], "5": ["5"], "136": [str(i) for i in range(100, 137)]}
     best = {(r.tree, r.rank): r for r in C.format_trees(m, top=2).collect()}
     assert best["t", 1].formatted == "<s>[INST] user\nq [/INST]</s><s>assistant\na</s><s>[INST] user\nc [/INST]</s>"
     assert best["t", 2].leaf == "3" and [(p.start, p.length) for p in best["t", 2].loss] == [(best["t", 2].formatted.rindex("b"), 1)]
     assert ("u", 1) in best and ("u", 2) not in best
+
+
+def test_cycles_end_at_their_smallest_message(spark):
+    rows = [("c", 3, 5), ("c", 4, 3), ("c", 5, 4), ("c", 6, 4), ("c", 7, 6), ("s", 1, 1), ("d", 1, None), ("d", 2, 1)]
+    m = spark.createDataFrame([(t, n, p, "user", f"m{n}", float(n), "x") for t, n, p in rows], "tree string, node long, parent long, role string, text string, score double, held string")
+    got = {(r.tree, r.leaf): r.formatted for r in C.format_trees(m, top=5).collect()}
+    say = lambda *x: "".join(f"<s>[INST] user\nm{i} [/INST]</s>" for i in x)
+    assert got == {("c", 5): say(3, 4, 5), ("c", 7): say(3, 4, 6, 7), ("s", 1): say(1), ("d", 2): say(1, 2)}
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = [("t", 1, None, "user", "b"), ("t", 1, None, "user", "a"), ("t", 2, 1, "assistant", "c"), ("t", 2, 1, "assistant", "c"), ("t", None, 2, "user", "d"), (None, 1, None, "user", "e")]
+    m = spark.createDataFrame([(*r, None) for r in rows], "tree string, node long, parent long, role string, text string, score double")
+    got = {r.tree: r.formatted for r in C.format_trees(m).collect()}
+    assert got["t"] == "<s>[INST] user\na [/INST]</s><s>assistant\nc</s>"
+
+
+def test_trees_against_plain_walks(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for tree in range(12):
+        n = rng.choice([1, 2, 9, 40])
+        rows += [(tree, i, rng.randrange(i) if i and rng.random() > 0.05 else None, rng.choice(["user", "assistant"]), f"{tree}-{i}", rng.choice([None, 0.0, 1.0, 2.5])) for i in range(n)]
+    m = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double").repartition(4)
+    want = {}
+    for tree in range(12):
+        own = {r[1]: r for r in rows if r[0] == tree}
+        leaves = set(own) - {r[2] for r in own.values()}
+        branches = []
+        for leaf in leaves:
+            path = [leaf]
+            while own[path[-1]][2] is not None:
+                path.append(own[path[-1]][2])
+            branches.append((-sum(own[i][5] or 0 for i in path) / len(path), leaf, path[::-1]))
+        for rank, (_, leaf, path) in enumerate(sorted(branches)[:3], 1):
+            want[tree, rank] = (leaf, [(own[i][3], own[i][4]) for i in path])
+    read = C.format_trees(m, top=3).withColumn("read", C.read_turns())
+    assert {(r.tree, r.rank): (r.leaf, [(t.role, t.text) for t in r["read"]]) for r in read.collect()} == want
