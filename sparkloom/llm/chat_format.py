@@ -48,20 +48,28 @@ def unescape(c: Column) -> Column:
 
 
 def _jumps(ids: DataFrame) -> tuple[list[DataFrame], bool]:
-    """Tables (tree, node, to, sum, len), the k-th with the ancestor 2 ** k steps up, if any, and the sum and number of scores before it; and whether some nodes never end."""
+    """Tables (tree, node, to, sum, len), the k-th with the ancestor 2 ** k steps up, or none where the root is nearer, and the sum and number of scores before it; each holds
+    only what had an ancestor in the one before. And whether some nodes never end."""
     level = _shared.written(ids.select("tree", "node", F.col("parent").alias("to"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("len")), "jump")
     jumps, n = [level], level.count()
-    while level.where("to is not null").head(1):
+    while jumps[-1].where("to is not null").head(1):
         if 2 ** (len(jumps) - 1) > n:
             return jumps, True
-        up = level.select(F.col("tree").alias("t"), F.col("node").alias("at"), F.col("to").alias("far"), F.col("sum").alias("more"), F.col("len").alias("rest"))
-        on = (F.col("tree") == F.col("t")) & (F.col("to") == F.col("at"))
-        level = level.join(up, on, "left").select("tree", "node", F.col("far").alias("to"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum"), (F.col("len") + F.coalesce("rest", F.lit(0))).alias("len"))
-        level = _shared.written(level, "jump")
-        jumps.append(level)
+        above = _ended(jumps).union(jumps[-1].where("to is not null"))
+        above = above.select(F.col("tree").alias("t"), F.col("node").alias("at"), F.col("to").alias("far"), F.col("sum").alias("more"), F.col("len").alias("rest"))
+        longer = jumps[-1].where("to is not null").join(above, (F.col("tree") == F.col("t")) & (F.col("to") == F.col("at")))
+        jumps.append(_shared.written(longer.select("tree", "node", F.col("far").alias("to"), (F.col("sum") + F.col("more")).alias("sum"), (F.col("len") + F.col("rest")).alias("len")), "jump"))
     return jumps, False
 
 
+def _ended(jumps: list[DataFrame]) -> DataFrame:
+    """The rows that have reached their root."""
+    out = jumps[0].where("to is null")
+    for jump in jumps[1:]:
+        out = out.union(jump.where("to is null"))
+    return out
+
+
 def _cut_cycles(ids: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     """ids without the parent of the smallest node of each cycle."""
     inside = jumps[-1].where("to is not null").select(F.col("tree").alias("t"), F.col("to").alias("n")).distinct()
@@ -88,7 +96,7 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
         ids = _shared.written(_cut_cycles(ids, jumps), "ids")
         jumps, _ = _jumps(ids)
     inner = ids.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("inner")).distinct()
-    leaves = jumps[-1].join(inner, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("inner")), "left_anti")
+    leaves = _ended(jumps).join(inner, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("inner")), "left_anti")
     leaves = leaves.select("tree", F.col("node").alias("leaf"), (F.col("sum") / F.col("len")).alias("total"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf"))
     chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= top)
