@@ -7,21 +7,20 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-#: Openings that say nothing, phrases with a shorter form, and phrases that go; our own lists, to be given by the caller where they don't fit.
-OPENINGS = (r"it (?:appears|seems|was found|was observed) that ", r"based on (?:the |my )?(?:analysis|review),? ", r"according to (?:the )?(?:output|logs?),? ", r"(?:i|the assistant) (?:found|noticed|observed)(?: that)? ", r"in the current (?:session|turn),? ")
-SHORTER = ((r"is responsible for", "handles"), (r"(?:has been|was) (?:changed|modified|updated) to", "changed to"), (r"in order to", "to"), (r"due to the fact that", "because"), (r"for the purpose of", "for"), (r"a total of (\d+)", "$1"))
-NEEDLESS = (r"(?:please )?note that ", r"as mentioned (?:earlier|above),? ", r"(?:basically|essentially|notably|in summary|overall),? ")
 
+def compressed_fact(c: Column, openings, shorter, needless, passes: int = 3) -> Column:
+    """A fact without hedging, in shorter words, capitalised, without a closing dot; the fact itself where nothing would be left.
 
-def compressed_fact(c: Column, passes: int = 3) -> Column:
-    """A fact without hedging, in shorter words, capitalised, without a closing dot; the fact itself where nothing would be left."""
+    openings and needless are patterns that go, at the start and anywhere; shorter are pairs of a pattern and what stands for it. All of them
+    hang on how the facts were written, so the caller gives them.
+    """
     out = strip(F.coalesce(c, F.lit("")))
     for _ in range(passes):
-        for p in OPENINGS:
+        for p in openings:
             out = F.regexp_replace(out, f"(?i)^{p}", "")
-    for p, r in SHORTER:
+    for p, r in shorter:
         out = F.regexp_replace(out, rf"(?i)(^|\W){p}(?=\W|$)", "$1" + r.replace("$1", "$2"))
-    for p in NEEDLESS:
+    for p in needless:
         out = F.regexp_replace(out, rf"(?i)(^|\W){p}", "$1")
     out = F.regexp_replace(strip(F.regexp_replace(out, "  +", " ")), r"\.$", "")
     return F.when(out == "", c).otherwise(F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1 << 30)))

@@ -49,12 +49,17 @@ def sweep(runs: DataFrame) -> DataFrame:
 
 
 def truth_overlap(facts: DataFrame, truth: DataFrame) -> DataFrame:
-    """For each ground truth (turn, truth_id, content) the largest share of its words in one fact (turn, content) of its turn, and whether that covers it."""
+    """For each ground truth (turn, truth_id, content) the largest share of its words in one fact (turn, id, content) of its turn, and whether that covers it.
+
+    Truths and facts meet on the words that they share, which are counted; no pair without a common word is made.
+    """
     words = lambda c: F.array_distinct(F.filter(F.split(T.normalise(c), " "), lambda w: F.char_length(w) > 2))
     t = truth.select("turn", "truth_id", words(F.col("content")).alias("tw"))
-    f = facts.select("turn", words(F.col("content")).alias("fw"))
-    share = F.coalesce(F.try_divide(F.size(F.array_intersect("tw", "fw")).cast("double"), F.size("tw").cast("double")), F.lit(0.0))
-    out = t.join(f, "turn", "left").groupBy("turn", "truth_id").agg(F.max(F.coalesce(share, F.lit(0.0))).alias("overlap"))
+    own = t.select("turn", "truth_id", F.size("tw").alias("n"), F.explode("tw").alias("word")).withColumn("word", F.xxhash64("word"))
+    other = facts.select("turn", "id", F.explode(words(F.col("content"))).alias("word")).withColumn("word", F.xxhash64("word"))
+    common = own.join(other, ["turn", "word"]).groupBy("turn", "truth_id", "id", "n").agg(F.count("*").alias("k"))
+    best = common.groupBy("turn", "truth_id").agg(F.max(F.col("k").cast("double") / F.col("n").cast("double")).alias("best"))
+    out = t.select("turn", "truth_id").join(best, ["turn", "truth_id"], "left").select("turn", "truth_id", F.coalesce("best", F.lit(0.0)).alias("overlap"))
     return out.withColumn("matched", F.col("overlap") >= 0.5)
 
 

@@ -56,7 +56,7 @@ def supersession_edges(facts: DataFrame) -> DataFrame:
     """Each new fact of a turn supersedes each fact that the turn invalidated: an equi-join on session and turn (the rule itself asks for all pairs of a turn)."""
     new = facts.where("not invalidated").select("session_id", "source_turn", F.col("fact_id").alias("new_id"))
     old = facts.where("invalidated").select("session_id", "source_turn", F.col("fact_id").alias("old_id"))
-    return new.join(old, ["session_id", "source_turn"]).select("session_id", "new_id", "old_id").distinct()
+    return new.join(old, ["session_id", "source_turn"]).select("session_id", "new_id", "old_id")
 
 
 def exact_duplicates(facts: DataFrame) -> DataFrame:
@@ -77,10 +77,11 @@ def token_pairs(left: DataFrame, right: DataFrame, keys: list[str], least: float
     """Pairs (keys, a, b, similarity) of left and right (keys, id, content) with token Jaccard at or above `least`.
 
     Prefix filter: with tokens in one order, a pair at or above `least` shares one of the first n - ceil(least * n) + 1 tokens of each side,
-    and the order puts rare tokens first, so tokens that very many facts hold make no candidates.
+    and the order puts rare tokens first, so tokens that very many facts hold make no candidates. Tokens are compared by 64-bit hashes.
     """
-    left = left.select(*keys, F.col("id").alias("a"), T.tokens(F.col("content")).alias("ta"))
-    right = right.select(*keys, F.col("id").alias("b"), T.tokens(F.col("content")).alias("tb"))
+    hashed = lambda c: F.array_distinct(F.transform(T.tokens(c), lambda w: F.xxhash64(w)))
+    left = left.select(*keys, F.col("id").alias("a"), hashed(F.col("content")).alias("ta"))
+    right = right.select(*keys, F.col("id").alias("b"), hashed(F.col("content")).alias("tb"))
     words = lambda d, c: d.select(*keys, F.explode(c).alias("word"))
     often = words(left, "ta").union(words(right, "tb")).groupBy(*keys, "word").agg(F.count("*").alias("often"))
 
@@ -112,22 +113,24 @@ def near_duplicates(facts: DataFrame, more_than: float = 0.85) -> DataFrame:
 def without_near_known(new: DataFrame, known: DataFrame, more_than: float = 0.85) -> DataFrame:
     """New facts of a batch (session_id, fact_id, content, pos) that stay: within the batch the first of near-duplicates, then those with no near-duplicate among known facts.
 
-    Whether a fact stays in the batch hangs on which earlier ones stayed, so each session's candidate pairs are folded in order.
+    Whether a fact stays in the batch hangs on which earlier ones stayed. So in each round those stay of whose earlier near-duplicates none is undecided or stays, and
+    those go of which one stays; there are as many rounds as the longest chain of near-duplicates is long.
     """
     side = lambda d: d.select("session_id", F.col("fact_id").alias("id"), "content")
     pos = new.select("session_id", F.col("fact_id").alias("id"), "pos")
     pairs = token_pairs(side(new), side(new), ["session_id"], more_than, strict=True)
     pairs = pairs.join(pos.withColumnsRenamed({"id": "a", "pos": "pa"}), ["session_id", "a"]).join(pos.withColumnsRenamed({"id": "b", "pos": "pb"}), ["session_id", "b"]).where("pa < pb")
-
-    def fold(pdf):
-        gone = set()
-        for a, b in pdf.sort_values(["pb", "pa"])[["a", "b"]].itertuples(index=False):
-            if a not in gone:
-                gone.add(b)
-        return pdf[["session_id", "b"]][pdf["b"].isin(gone)].drop_duplicates()
-
-    kinds = dict(new.dtypes)
-    gone = pairs.select("session_id", "a", "b", "pa", "pb").groupBy("session_id").applyInPandas(fold, f"session_id {kinds['session_id']}, b {kinds['fact_id']}")
+    left = pairs.select("session_id", "a", "b").persist()
+    gone = None
+    while left.head(1):
+        later = left.select("session_id", F.col("b").alias("a")).distinct()
+        first = left.select("session_id", "a").distinct().join(later, ["session_id", "a"], "left_anti")
+        out = left.join(first, ["session_id", "a"], "left_semi").select("session_id", "b").distinct().persist()
+        gone = out if gone is None else gone.union(out)
+        over = out.select("session_id", F.col("b").alias("x"))
+        left = left.join(over.withColumnRenamed("x", "b"), ["session_id", "b"], "left_anti").join(over.withColumnRenamed("x", "a"), ["session_id", "a"], "left_anti").persist()
+    if gone is None:
+        gone = left.select("session_id", "b")
     kept = new.join(gone.withColumnRenamed("b", "fact_id"), ["session_id", "fact_id"], "left_anti")
     outer = token_pairs(side(kept), side(known), ["session_id"], more_than, strict=True).select("session_id", F.col("a").alias("fact_id")).distinct()
     return kept.join(outer, ["session_id", "fact_id"], "left_anti")

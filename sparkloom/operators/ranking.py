@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.content import cosine
 
+#: Queries in one block.
+BLOCK = 500
+
 
 def semantic_top(vectors: DataFrame, queries: DataFrame, k: int = 10, more_than: float = 0.05) -> DataFrame:
     """The k rows of vectors (id, embedding) nearest to each query (query_id, embedding) by cosine, above a floor; rows without embedding take no part.
 
-    queries is a stated set; it is sent to the vectors when it is small (at most 1000 rows), and each task keeps only its best k of a query before anything moves.
+    queries is a stated set; it is sent to the vectors in blocks of about BLOCK rows, and each task keeps only its best k of a query before anything moves.
     """
     few = queries.select("query_id", F.col("embedding").alias("q"))
-    if few.limit(1001).count() > 1000:
-        raise ValueError("at most 1000 queries at a time; larger query sets are for the approximate index")
-    pairs = vectors.where(F.size("embedding") > 0).join(F.broadcast(few)).select("query_id", "id", cosine(F.col("embedding"), F.col("q")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return pairs.where(F.col("similarity") > more_than).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+    def of(block: DataFrame) -> DataFrame:
+        pairs = vectors.where(F.size("embedding") > 0).join(F.broadcast(block)).select("query_id", "id", cosine(F.col("embedding"), F.col("q")).alias("similarity"))
+        return pairs.where(F.col("similarity") > more_than).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+    blocks = max(1, -(-few.count() // BLOCK))
+    return reduce(DataFrame.union, [of(few.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)) for b in range(blocks)])
 
 
 def label_centroid_similarity(vectors: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def dry_run(new: DataFrame, known: DataFrame) -> DataFrame:
 def recall_answer(facts: DataFrame, budget: int = 2000) -> DataFrame:
     """One text per session: its open facts within a token budget, most important first."""
     kept = facts_.budget_fill(facts, budget).join(facts, ["session_id", "fact_id"])
-    line = F.concat(F.lit("- ["), F.col("fact_type"), F.lit("|t"), F.col("source_turn").cast("string"), F.lit("] "), F.substring(F.regexp_replace("content", r"\s+", " "), 1, 40))
+    line = F.concat(F.lit("- ["), F.col("fact_type"), F.lit("|t"), F.col("source_turn").cast("string"), F.lit("] "), F.regexp_replace("content", r"\s+", " "))
     out = kept.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("lines"))
     return out.select("session_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("answer"), F.size("lines").cast("long").alias("facts"))
 

@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from ..functions.text import INTENTS, STOP_WORDS
+#: What the queries' word list and patterns have to be, stated again here; fixed values.
+STOP_WORDS = (
+    "the a an and or of to in is it for on with this that be as at by from "
+    "do does add now then your you we can class method function file code line"
+).split()
+INTENTS = (
+    ("recall", r"(?i)(what did (we|you|i) .*(decide|choose|agree|set|use)|remember when|earlier (we|you|i) |recap|summari[sz]e)"),
+    ("debug", r"(?i)(error|exception|traceback|failed|failing|broken|debug|not working)"),
+    ("status", r"(?i)(what have (we|you|i) done|where (are|were) we|progress|status|so far)"),
+    ("exploration", r"(?i)(how does .*work|explain|describe|architecture|design|structure)"),
+    ("action", r"(?i)(refactor|rewrite|implement|create|build|write|update|change|modify|rename|delete|remove)"),
+)
 
 V = {
     "v_trace": """SELECT user_id AS session_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn_number, ts AS created_at,
@@ -14,17 +25,18 @@ V = {
   CONCAT('src/f', CAST(event_id % 17 AS VARCHAR), '.py') AS path, CONCAT('body ', CAST(event_id % 29 AS VARCHAR)) AS content FROM v_trace""",
     "v_msg": "SELECT conv_id AS session_id, turn AS idx, role, text AS content FROM conversations",
     "v_turn": "SELECT *, CAST(SUM(CASE WHEN role='user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY idx) AS BIGINT) AS turn FROM v_msg",
-    "v_fact": """SELECT doc_id AS fact_id, doc_id % 50 AS session_id, CAST(FLOOR(doc_id / 50) AS BIGINT) + 1 AS source_turn, SUBSTRING(text, 1, 200) AS content,
+    "v_fact": """SELECT doc_id AS fact_id, doc_id // 40 AS session_id, doc_id % 40 + 1 AS source_turn, text AS content,
   CASE doc_id % 7 WHEN 0 THEN 'file_state' WHEN 1 THEN 'error' WHEN 2 THEN 'tool_result' WHEN 3 THEN 'decision' WHEN 4 THEN 'state' WHEN 5 THEN 'goal' ELSE 'observation' END AS fact_type,
   (n_chars % 101) / CAST(100 AS DOUBLE) AS confidence, doc_id % 5 = 0 AS invalidated FROM documents""",
+    "v_again": "SELECT * FROM v_fact UNION ALL SELECT fact_id + 1000000000, session_id, source_turn, CASE WHEN fact_id % 3 = 0 THEN content ELSE content || ' once more' END, fact_type, confidence, invalidated FROM v_fact",
     "v_supersedes": "SELECT n.session_id, n.fact_id AS new_id, o.fact_id AS old_id FROM v_fact n JOIN v_fact o ON n.session_id = o.session_id AND n.source_turn = o.source_turn + 1 WHERE o.invalidated",
-    "v_file": "SELECT page_id % 10 AS session_id, REGEXP_REPLACE(url, '^https?://', '') AS path, html AS content, page_id AS last_updated_turn FROM pages",
-    "v_edge": "SELECT DISTINCT a.session_id, a.path AS src, b.path AS dst FROM v_file a JOIN v_file b ON a.last_updated_turn // 2 = b.last_updated_turn WHERE a.path <> b.path",
+    "v_file": "SELECT page_id // 20 AS session_id, REGEXP_REPLACE(url, '^https?://', '') AS path, html AS content, page_id AS last_updated_turn FROM pages",
+    "v_edge": "SELECT DISTINCT a.session_id, a.path AS src, b.path AS dst FROM v_file a JOIN v_file b ON a.session_id * 20 + (a.last_updated_turn % 20) // 2 = b.last_updated_turn WHERE a.path <> b.path",
     "v_score": """SELECT *, CASE fact_type WHEN 'error' THEN 5 WHEN 'goal' THEN 4 WHEN 'state' THEN 3 WHEN 'file_state' THEN 3 WHEN 'tool_result' THEN 2 WHEN 'decision' THEN 2 ELSE 1 END / CAST(5 AS DOUBLE) * 0.4e0
   + confidence * 0.3e0 + (1.0e0 / (1.0e0 + LN(1.0e0 + CAST(GREATEST(MAX(source_turn) OVER (PARTITION BY session_id) - source_turn, 0) AS DOUBLE)))) * 0.3e0 AS score,
   GREATEST(1, LENGTH('- [' || fact_type || '|t' || CAST(source_turn AS VARCHAR) || '] ' || content || chr(10)) // 4) AS tokens FROM v_fact""",
 }
-_NEEDS = {"v_read": ["v_trace"], "v_turn": ["v_msg"], "v_supersedes": ["v_fact"], "v_score": ["v_fact"], "v_edge": ["v_file"]}
+_NEEDS = {"v_again": ["v_fact"], "v_read": ["v_trace"], "v_turn": ["v_msg"], "v_supersedes": ["v_fact"], "v_score": ["v_fact"], "v_edge": ["v_file"]}
 
 
 def norm(c: str) -> str:
@@ -70,9 +82,9 @@ _DEG_RANK = f"SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY in_d
 _CLASS = f"""SELECT r.session_id, r.idx, CASE WHEN rn > 1 THEN 'exact_dup' WHEN COALESCE(w.m > r.idx, false) THEN 'superseded' ELSE 'live' END AS bucket, {est('r.content')} AS tokens
   FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, content ORDER BY idx) AS rn FROM v_read WHERE tool = 'read') r
   LEFT JOIN (SELECT session_id, path, MAX(idx) AS m FROM v_read WHERE tool = 'write' GROUP BY 1, 2) w ON r.session_id = w.session_id AND r.path = w.path"""
-_TRUTH = f""", words AS (SELECT session_id AS turn, list_filter(list_distinct(string_split({norm('content')}, ' ')), lambda w: LENGTH(w) > 2) AS fw FROM v_fact),
-  truth AS (SELECT session_id AS turn, fact_id AS truth_id, list_filter(list_distinct(string_split({norm("'also ' || SUBSTRING(content, 1, 60)")}, ' ')), lambda w: LENGTH(w) > 2) AS tw FROM v_fact WHERE fact_id % 10 = 0),
-  found AS (SELECT t.turn, truth_id, MAX(CASE WHEN len(tw) = 0 THEN 0.0e0 ELSE len(list_intersect(tw, fw)) / CAST(len(tw) AS DOUBLE) END) AS overlap FROM truth t JOIN words w ON t.turn = w.turn GROUP BY 1, 2)"""
+_TRUTH = f""", words AS (SELECT session_id * 10 + (source_turn - 1) // 4 AS turn, list_filter(list_distinct(string_split({norm('content')}, ' ')), lambda w: LENGTH(w) > 2) AS fw FROM v_fact WHERE NOT invalidated),
+  truth AS (SELECT session_id * 10 + (source_turn - 1) // 4 AS turn, fact_id AS truth_id, list_filter(list_distinct(string_split({norm("'also ' || content")}, ' ')), lambda w: LENGTH(w) > 2) AS tw FROM v_fact),
+  found AS (SELECT t.turn, truth_id, MAX(CASE WHEN len(tw) = 0 OR fw IS NULL THEN 0.0e0 ELSE len(list_intersect(tw, fw)) / CAST(len(tw) AS DOUBLE) END) AS overlap FROM truth t LEFT JOIN words w ON t.turn = w.turn GROUP BY 1, 2)"""
 
 ORACLES = {
     "session_summary": _q("""SELECT session_id, CAST(SUM(n) AS BIGINT) AS turns, CAST(SUM(i) AS BIGINT) AS input_tokens, CAST(SUM(s) AS BIGINT) AS savings_tokens, MIN(a) AS first_at, MAX(z) AS last_at, CAST(SUM(r) AS BIGINT) AS recalls, MAX(t) AS max_turn,
@@ -111,14 +123,14 @@ ORACLES = {
     "repeat_flags": _q("SELECT session_id, idx, tool, path, ROW_NUMBER() OVER (PARTITION BY session_id, tool, path ORDER BY idx) > 1 AS repeat FROM v_read", "v_read"),
     "stuck_loops": _q("""SELECT session_id, idx, tool FROM (SELECT *, SUM(CASE WHEN CAST(SUBSTRING(content, 6, 9) AS INT) % 2 = 0 THEN 1 ELSE 0 END) OVER w AS bad, MIN(tool) OVER w AS lo, MAX(tool) OVER w AS hi FROM v_read
   WINDOW w AS (PARTITION BY session_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)) WHERE bad = 2 AND lo = hi""", "v_read"),
-    "tool_call_join": _q("""SELECT a.session_id, 'c' || a.idx AS call_id, a.tool, a.path, b.content FROM v_read a JOIN v_read b ON a.session_id = b.session_id AND a.idx = b.idx WHERE a.idx % 3 <> 0 AND b.idx % 2 = 0""", "v_read"),
+    "tool_call_join": _q("""SELECT a.session_id, 'c' || a.idx AS call_id, a.tool, a.path, b.content FROM v_read a JOIN v_read b ON a.session_id = b.session_id AND a.idx = b.idx WHERE b.tool <> 'write'""", "v_read"),
     "tool_families": _q("SELECT tool, COUNT(*) AS calls, CASE tool WHEN 'read' THEN 'read' WHEN 'bash' THEN 'shell' ELSE 'default' END AS extractor FROM v_read GROUP BY 1", "v_read"),
     "turn_segmentation": _q("SELECT session_id, idx, role, turn FROM v_turn", "v_turn"),
     "turn_inventory": _q("""SELECT session_id, turn, SUBSTRING(arg_min(content, idx) FILTER (role='user'), 1, 80) AS user_preview, SUBSTRING(arg_min(content, idx) FILTER (role='assistant'), 1, 60) AS assistant_preview, COUNT(*) AS messages FROM v_turn WHERE turn > 0 GROUP BY 1, 2""", "v_turn"),
     "turn_boundaries": _q("SELECT session_id, idx, role='user' AS boundary, arg_max(role, idx) OVER (PARTITION BY session_id) = 'user' AS open FROM v_msg", "v_msg"),
     "coherence_tail": _q("SELECT session_id, idx, role, content FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY idx DESC) r FROM v_msg) WHERE r <= 3", "v_msg"),
     "last_exchanges": _q("""SELECT session_id, idx, role, content FROM (SELECT *, SUM(CASE WHEN role='user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY idx DESC) - CASE WHEN role='user' THEN 1 ELSE 0 END AS b FROM v_msg) WHERE b < 2""", "v_msg"),
-    "merged_roles": _q(""", n AS (SELECT *, CASE WHEN role = LAG(role) OVER (PARTITION BY session_id ORDER BY idx) THEN 0 ELSE 1 END AS f FROM v_msg WHERE idx % 3 <> 1), g AS (SELECT *, SUM(f) OVER (PARTITION BY session_id ORDER BY idx) AS i FROM n)
+    "merged_roles": _q(""", n AS (SELECT *, CASE WHEN role = LAG(role) OVER (PARTITION BY session_id ORDER BY idx) THEN 0 ELSE 1 END AS f FROM (SELECT session_id, idx, CASE WHEN idx % 3 = 1 THEN 'user' ELSE role END AS role, content FROM v_msg)), g AS (SELECT *, SUM(f) OVER (PARTITION BY session_id ORDER BY idx) AS i FROM n)
   SELECT session_id, MIN(idx) AS idx, MIN(role) AS role, string_agg(content, chr(10) || chr(10) ORDER BY idx) AS content, COUNT(*) AS merged FROM g GROUP BY session_id, i""", "v_msg"),
     "session_fingerprint": _q("""SELECT session_id, SUBSTRING(sha256(SUBSTRING(COALESCE(arg_min(content, idx) FILTER (role='system'), ''), 1, 4000) || chr(10) || COALESCE(arg_min(content, idx) FILTER (role='user'), '')), 1, 16) AS fingerprint FROM v_msg GROUP BY 1""", "v_msg"),
     "message_fingerprint": _q("SELECT session_id, idx, md5(role || ':' || SUBSTRING(COALESCE(content, ''), 1, 200)) AS fingerprint FROM v_msg", "v_msg"),
@@ -139,18 +151,18 @@ ORACLES = {
     "keyword_search": _q("SELECT session_id, fact_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY source_turn DESC, fact_id DESC) r FROM v_fact WHERE NOT invalidated AND contains(lower(content), 'the')) WHERE r <= 3", "v_fact"),
     "supersession_chains": _q("""SELECT s.session_id, new_id, old_id, n.fact_type AS new_type, n.source_turn AS new_turn, o.fact_type AS old_type, o.source_turn AS old_turn FROM v_supersedes s JOIN v_fact n ON n.fact_id = new_id JOIN v_fact o ON o.fact_id = old_id""", "v_supersedes"),
     "exact_dedup": _q(f"SELECT session_id, SUBSTRING(sha256({norm('content')}), 1, 32) AS content_hash, MIN(fact_id) AS fact_id, COUNT(*) AS copies FROM v_fact GROUP BY 1, 2", "v_fact"),
-    "known_content": _q(f""", h AS (SELECT *, {norm('content')} AS c FROM v_fact) SELECT session_id, MIN(fact_id) AS fact_id FROM h WHERE source_turn > 10 AND NOT EXISTS (SELECT 1 FROM h o WHERE o.source_turn <= 10 AND o.session_id = h.session_id AND o.c = h.c) GROUP BY session_id, c""", "v_fact"),
-    "best_match_invalidation": _q(f""", d AS (SELECT session_id, fact_id AS id, {toks("'The ' || content")} AS t FROM v_fact WHERE fact_id % 9 = 0 AND NOT invalidated UNION ALL SELECT item_id % 50, item_id + 1000000000, {toks('text')} FROM benchmark), f AS (SELECT session_id, fact_id, {toks('content')} AS t FROM v_fact WHERE NOT invalidated),
+    "known_content": _q(f""", h AS (SELECT *, {norm('content')} AS c FROM v_again) SELECT session_id, MIN(fact_id) AS fact_id FROM h WHERE fact_id >= 1000000000 AND NOT EXISTS (SELECT 1 FROM h o WHERE o.fact_id < 1000000000 AND o.source_turn <= 10 AND o.session_id = h.session_id AND o.c = h.c) GROUP BY session_id, c""", "v_again"),
+    "best_match_invalidation": _q(f""", d AS (SELECT session_id, fact_id AS id, {toks("'The ' || content")} AS t FROM v_fact WHERE NOT invalidated UNION ALL SELECT item_id % 50, item_id + 1000000000, {toks('text')} FROM benchmark), f AS (SELECT session_id, fact_id, {toks('content')} AS t FROM v_fact WHERE NOT invalidated),
   p AS (SELECT d.session_id, d.id, f.fact_id, CASE WHEN len(d.t) = 0 OR len(f.t) = 0 THEN 0.0e0 ELSE len(list_intersect(d.t, f.t)) / CAST(len(list_distinct(list_concat(d.t, f.t))) AS DOUBLE) END AS similarity FROM d JOIN f ON d.session_id = f.session_id)
   SELECT session_id, id AS description_id, fact_id, similarity FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, id ORDER BY similarity DESC, fact_id) r FROM p WHERE similarity >= 0.6e0) WHERE r = 1""", "v_fact"),
-    "near_dup_pairs": _q(f""", f AS (SELECT fact_id, {toks('content')} AS t FROM v_fact), w AS (SELECT fact_id, len(t) AS n, unnest(t) AS word FROM f), c AS (SELECT a.fact_id AS a, b.fact_id AS b, COUNT(*) AS k, ANY_VALUE(a.n) AS na, ANY_VALUE(b.n) AS nb FROM w a JOIN w b ON a.word = b.word AND a.fact_id < b.fact_id GROUP BY 1, 2)
-  SELECT 0 AS session_id, a, b, k / CAST(na + nb - k AS DOUBLE) AS similarity FROM c WHERE k / CAST(na + nb - k AS DOUBLE) > 0.85e0""", "v_fact"),
-    "context_window": _q("""SELECT session_id, fact_id, source_turn FROM v_fact f WHERE fact_id % 11 <> 0 AND EXISTS (SELECT 1 FROM v_fact s WHERE s.fact_id % 11 = 0 AND s.session_id = f.session_id AND ABS(s.source_turn - f.source_turn) <= 1)""", "v_fact"),
+    "near_dup_pairs": _q(f""", f AS (SELECT session_id, fact_id, {toks('content')} AS t FROM v_again), w AS (SELECT session_id, fact_id, len(t) AS n, unnest(t) AS word FROM f), c AS (SELECT a.session_id, a.fact_id AS a, b.fact_id AS b, COUNT(*) AS k, ANY_VALUE(a.n) AS na, ANY_VALUE(b.n) AS nb FROM w a JOIN w b ON a.session_id = b.session_id AND a.word = b.word AND a.fact_id < b.fact_id GROUP BY 1, 2, 3)
+  SELECT session_id, a, b, k / CAST(na + nb - k AS DOUBLE) AS similarity FROM c WHERE k / CAST(na + nb - k AS DOUBLE) > 0.85e0""", "v_again"),
+    "context_window": _q("""SELECT session_id, fact_id, source_turn FROM v_fact f WHERE fact_type <> 'decision' AND EXISTS (SELECT 1 FROM v_fact s WHERE s.fact_type = 'decision' AND s.session_id = f.session_id AND ABS(s.source_turn - f.source_turn) <= 1)""", "v_fact"),
     "fact_scores": _q("SELECT session_id, fact_id, round(score, 9) AS score FROM v_score", "v_score"),
     "budget_prefix": _q("""SELECT session_id, fact_id, round(score, 9) AS score, CAST(used AS BIGINT) AS used FROM (SELECT *, SUM(tokens) OVER (PARTITION BY session_id ORDER BY score DESC, fact_id ROWS UNBOUNDED PRECEDING) AS used
-  FROM v_score WHERE NOT invalidated) WHERE used <= 300""", "v_score"),
+  FROM v_score WHERE NOT invalidated) WHERE used <= 3000""", "v_score"),
     "promotable_facts": _q("""SELECT session_id, fact_id, SUBSTRING(sha256(session_id || ':' || fact_type || ':' || content), 1, 32) AS dedupe_key FROM v_fact WHERE fact_type IN ('decision','goal','error') AND confidence >= 0.9e0 AND NOT invalidated""", "v_fact"),
-    "invalidated_facts": _q("SELECT session_id, fact_id, invalidated OR fact_id % 4 = 0 AS invalidated FROM v_fact", "v_fact"),
+    "invalidated_facts": _q("SELECT session_id, fact_id, invalidated OR fact_type = 'error' AS invalidated FROM v_fact", "v_fact"),
     "latest_fact": _q("SELECT session_id, fact_type, fact_id, source_turn FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, fact_type ORDER BY source_turn DESC, fact_id DESC) r FROM v_fact) WHERE r = 1", "v_fact"),
     "file_lookup": _q(""", q AS (SELECT DISTINCT session_id, regexp_extract(path, '([^/]+)$', 1) AS query FROM v_file WHERE regexp_extract(path, '([^/]+)$', 1) <> '')
   SELECT session_id, query, path, candidates FROM (SELECT q.session_id, q.query, f.path, COUNT(*) OVER (PARTITION BY q.session_id, q.query) AS candidates, ROW_NUMBER() OVER (PARTITION BY q.session_id, q.query ORDER BY f.path <> q.query, LENGTH(f.path), f.path) r
@@ -167,7 +179,7 @@ ORACLES = {
     "file_touches": _q(""", t AS (SELECT session_id, path, CASE tool WHEN 'write' THEN 'modified' WHEN 'read' THEN 'read' ELSE 'seen' END AS status, idx FROM v_read) SELECT session_id, path, arg_max(status, idx) AS status, MAX(idx) FILTER (status = 'read') AS last_read_turn, COALESCE(MAX(idx) FILTER (status = 'modified'), 0) AS last_modified_turn, COUNT(*) AS touches FROM t GROUP BY 1, 2""", "v_read"),
     "file_union": _q(""", s AS (SELECT session_id, path, last_updated_turn + 5 AS turn FROM v_file WHERE last_updated_turn % 3 = 0 UNION ALL SELECT session_id, path || '/new', last_updated_turn FROM v_file WHERE last_updated_turn % 3 = 1)
   SELECT COALESCE(f.session_id, s.session_id) AS session_id, COALESCE(f.path, s.path) AS path, GREATEST(f.last_updated_turn, s.turn) AS turn, f.path IS NOT NULL AS cached FROM v_file f FULL JOIN s ON f.session_id = s.session_id AND f.path = s.path""", "v_file"),
-    "semantic_topk": """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id IN (3, 77, 250)), p AS (SELECT query_id, vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS similarity FROM embeddings, q)
+    "semantic_topk": """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT query_id, vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS similarity FROM embeddings, q)
   SELECT query_id, id, round(similarity, 9) AS similarity, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM p WHERE similarity > 0.05) WHERE rank <= 10""",
     "label_norms": "SELECT label, COUNT(*) AS vectors, round(AVG(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)))), 9) AS mean_norm FROM embeddings GROUP BY 1",
     "probe_recall": "SELECT doc_id AS id, len(list_filter(['license','the','email','und'], lambda k: contains(lower(COALESCE(text, '')), k))) AS found, len(list_filter(['license','the','email','und'], lambda k: contains(lower(COALESCE(text, '')), k))) / 4.0e0 AS recall FROM documents",
@@ -199,8 +211,8 @@ ORACLES |= {
   SELECT session_id, idx, b < o AND s > 0 AS cut, CASE WHEN b < o AND s > 0 THEN SUBSTRING(content, 1, 40) ELSE content END AS content FROM c""", "v_msg"),
     "promotion_stats": _q("""SELECT CASE WHEN k IS NULL THEN 'refused' WHEN r = 1 THEN 'promoted' ELSE 'duplicate' END AS outcome, COUNT(*) AS facts FROM (SELECT f.fact_id, k, r FROM v_fact f LEFT JOIN (SELECT fact_id, session_id || ':' || fact_type || ':' || content AS k,
   ROW_NUMBER() OVER (PARTITION BY session_id, fact_type, content ORDER BY fact_id) AS r FROM v_fact WHERE fact_type IN ('decision','goal','error') AND confidence >= 0.9e0 AND NOT invalidated) p ON p.fact_id = f.fact_id) GROUP BY 1""", "v_fact"),
-    "extraction_dry_run": _q(f""", h AS (SELECT *, {norm('content')} AS c FROM v_fact), a AS (SELECT session_id, COUNT(*) AS offered FROM h WHERE source_turn > 10 GROUP BY 1),
-  b AS (SELECT session_id, COUNT(DISTINCT c) AS stored FROM h WHERE source_turn > 10 AND NOT EXISTS (SELECT 1 FROM h o WHERE o.source_turn <= 10 AND o.session_id = h.session_id AND o.c = h.c) GROUP BY 1) SELECT a.session_id, offered, COALESCE(stored, 0) AS stored FROM a LEFT JOIN b ON a.session_id = b.session_id""", "v_fact"),
+    "extraction_dry_run": _q(f""", h AS (SELECT *, {norm('content')} AS c FROM v_again), a AS (SELECT session_id, COUNT(*) AS offered FROM h WHERE source_turn > 10 GROUP BY 1),
+  b AS (SELECT session_id, COUNT(DISTINCT c) AS stored FROM h WHERE source_turn > 10 AND NOT EXISTS (SELECT 1 FROM h o WHERE o.fact_id < 1000000000 AND o.source_turn <= 10 AND o.session_id = h.session_id AND o.c = h.c) GROUP BY 1) SELECT a.session_id, offered, COALESCE(stored, 0) AS stored FROM a LEFT JOIN b ON a.session_id = b.session_id""", "v_again"),
     "file_checks": _q("""SELECT session_id, path, array_to_string(list_filter([CASE WHEN COALESCE(content, '') = '' THEN 'not_empty' END, CASE WHEN NOT contains(COALESCE(content, ''), '<h1') THEN 'contains' END, CASE WHEN len(string_split(COALESCE(content, ''), chr(10))) < 5 THEN 'min_lines' END], lambda x: x IS NOT NULL), ',') AS failed,
   COALESCE(content, '') <> '' AND contains(COALESCE(content, ''), '<h1') AND len(string_split(COALESCE(content, ''), chr(10))) >= 5 AS passes FROM v_file""", "v_file"),
     "work_summary": _q("""SELECT session_id, fact_type, fact_id, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, fact_type ORDER BY source_turn DESC, fact_id DESC) AS rank FROM v_fact WHERE NOT invalidated) WHERE rank <= CASE fact_type WHEN 'error' THEN 2 WHEN 'decision' THEN 1 WHEN 'state' THEN 1 WHEN 'goal' THEN 3 END""", "v_fact"),
@@ -210,7 +222,7 @@ ORACLES |= {
   FROM v_msg WINDOW w AS (PARTITION BY session_id ORDER BY idx)""", "v_msg"),
     "session_windows": _q("""SELECT session_id, MIN(created_at) AS start, MAX(created_at) + INTERVAL 6 HOUR AS end, COUNT(*) AS events FROM (SELECT *, SUM(n) OVER (PARTITION BY session_id ORDER BY created_at, event_id) AS g FROM (SELECT *, CASE WHEN created_at - LAG(created_at) OVER (PARTITION BY session_id ORDER BY created_at, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM v_trace)) GROUP BY session_id, g""", "v_trace"),
     "first_seen_trail": _q("SELECT session_id, MIN(created_at) AS first_seen FROM v_trace GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 20", "v_trace"),
-    "fact_supersession_edges": _q("SELECT DISTINCT n.fact_id % 7 AS session_id, n.fact_id AS new_id, o.fact_id AS old_id FROM v_fact n JOIN v_fact o ON n.fact_id % 7 = o.fact_id % 7 AND n.source_turn = o.source_turn WHERE NOT n.invalidated AND o.invalidated", "v_fact"),
+    "fact_supersession_edges": _q("SELECT n.session_id, n.fact_id AS new_id, o.fact_id AS old_id FROM v_fact n JOIN v_fact o ON n.session_id = o.session_id AND (n.source_turn - 1) // 10 = (o.source_turn - 1) // 10 WHERE NOT n.invalidated AND o.invalidated", "v_fact"),
     "resolved_references": _q(r"""SELECT DISTINCT session_id, src, dst FROM (SELECT e.session_id, e.src, f.path AS dst, ROW_NUMBER() OVER (PARTITION BY e.session_id, e.src, e.dst ORDER BY f.path <> e.dst, f.path) r
   FROM v_edge e JOIN v_file f ON f.session_id = e.session_id AND f.path <> e.src AND (f.path = e.dst OR regexp_extract(f.path, '([^/]+?)/?$', 1) = regexp_extract(e.dst, '([^/]+?)/?$', 1))) WHERE r = 1""", "v_edge"),
     "code_map": _q(f""", d AS ({_DEG_RANK}) SELECT b.session_id, foundations, COALESCE(n, 0) AS edges FROM (SELECT session_id, string_agg(path || ' (' || in_degree || ')', '; ' ORDER BY rank) AS foundations FROM d WHERE rank <= 8 GROUP BY 1) b
@@ -222,8 +234,8 @@ ORACLES |= {
     "current_turn": _q(""", b AS (SELECT session_id, MAX(idx) AS e, MAX(idx) FILTER (role = 'user') AS u FROM v_msg GROUP BY 1), p AS (SELECT b.session_id, e, u, MAX(idx) FILTER (role = 'user' AND idx < u) AS q FROM b JOIN v_msg m ON m.session_id = b.session_id GROUP BY 1, 2, 3)
   SELECT m.session_id, idx FROM v_msg m JOIN p ON p.session_id = m.session_id WHERE CASE WHEN u = e THEN idx > COALESCE(q, -1) AND idx < u ELSE idx > COALESCE(u, -1) END""", "v_msg"),
     "strongest_status": _q("SELECT session_id, path, arg_max(tool, CASE tool WHEN 'grep' THEN 1 WHEN 'bash' THEN 2 WHEN 'read' THEN 3 ELSE 4 END) AS status FROM v_read GROUP BY 1, 2", "v_read"),
-    "resolved_issues": _q("""SELECT i.session_id, i.summary, i.turn, r.resolved_turn, r.resolved_turn IS NULL AS open FROM (SELECT session_id, SUBSTRING(content, 1, 30) AS summary, source_turn AS turn FROM v_fact WHERE fact_type = 'error') i
-  LEFT JOIN (SELECT session_id, SUBSTRING(content, 1, 30) AS summary, MIN(source_turn) AS resolved_turn FROM v_fact WHERE fact_id % 3 = 0 GROUP BY 1, 2) r ON r.session_id = i.session_id AND r.summary = i.summary""", "v_fact"),
+    "resolved_issues": _q("""SELECT i.session_id, i.summary, i.turn, r.resolved_turn, r.resolved_turn IS NULL AS open FROM (SELECT session_id, content AS summary, source_turn AS turn FROM v_fact WHERE fact_type = 'error') i
+  LEFT JOIN (SELECT session_id, content AS summary, MIN(source_turn) AS resolved_turn FROM v_again WHERE fact_type = 'error' AND source_turn % 3 = 0 GROUP BY 1, 2) r ON r.session_id = i.session_id AND r.summary = i.summary""", "v_again"),
     "prefix_splice": _q("SELECT session_id, CAST(2 AS BIGINT) AS count, session_id % 2 = 0 AS hit FROM v_msg WHERE idx = 1", "v_msg"),
     "search_hits": _q("""SELECT session_id, path, hits, array_to_string(list_transform(a[1:3], lambda x: CAST(x AS VARCHAR)), ',') AS lines FROM (SELECT *, len(a) AS hits, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY path) r
   FROM (SELECT session_id, path, list_filter(range(1, len(string_split(content, chr(10))) + 1), lambda i: contains(string_split(content, chr(10))[i], '<p')) AS a FROM v_file) WHERE len(a) > 0) WHERE r <= 6""", "v_file"),
@@ -233,7 +245,7 @@ ORACLES |= {
     "file_patterns": "SELECT page_id, '*View.test.tsx' AS pattern FROM pages",
 }
 ORACLES |= {
-    "context_blocks": _q("""SELECT session_id, string_agg('=== ' || upper(fact_type) || ' ===' || chr(10) || SUBSTRING(content, 1, 20), chr(10) || chr(10) ORDER BY fact_id) AS block, COUNT(*) AS sections FROM v_fact WHERE fact_id < 400 AND fact_id % 4 <> 0 AND trim(SUBSTRING(content, 1, 20)) <> '' GROUP BY 1""", "v_fact"),
+    "context_blocks": _q("""SELECT session_id, string_agg('=== ' || upper(fact_type) || ' ===' || chr(10) || content, chr(10) || chr(10) ORDER BY fact_id) AS block, COUNT(*) AS sections FROM v_fact WHERE NOT invalidated AND trim(content) <> '' GROUP BY 1""", "v_fact"),
     "task_map": _q(f""", k AS (SELECT *, MIN(CASE WHEN ends_with(path, '1') THEN rank END) OVER (PARTITION BY session_id) AS f FROM ({_REL_RANK}) WHERE rank <= 6)
   SELECT session_id, string_agg(rank || '. ' || path || CASE WHEN ends_with(path, '1') AND rank = f THEN ' [example]' ELSE '' END, chr(10) ORDER BY rank) AS map FROM k GROUP BY 1""", "v_file"),
     "session_overview": _q(""", a AS (SELECT session_id, string_agg(path, chr(10) ORDER BY path) AS files FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY path) r FROM v_file) WHERE r <= 5 GROUP BY 1),

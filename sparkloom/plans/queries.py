@@ -22,20 +22,31 @@ QUERY = "install the href link and table of content title"
 
 
 def _path_edges(s, d):
-    """Edges between files of one session by page number: each page refers to the one of half its number."""
+    """Edges between files of one session: each refers to the one at half its place in the session."""
     f = A.files(s, d)
-    src = f.select("session_id", F.col("path").alias("src"), F.floor(F.col("last_updated_turn") / 2).alias("half"), F.col("last_updated_turn").alias("n"))
-    dst = f.select(F.col("session_id").alias("ds"), F.col("path").alias("dst"), F.col("last_updated_turn").alias("m"))
-    return src.join(dst, F.col("half") == F.col("m")).where("src <> dst").select("session_id", "src", "dst")
+    src = f.select("session_id", F.col("path").alias("src"), F.expr("session_id * 20 + last_updated_turn % 20 div 2").alias("half"))
+    dst = f.select(F.col("path").alias("dst"), F.col("last_updated_turn").alias("m"))
+    return src.join(dst, F.col("half") == F.col("m")).where("src <> dst").select("session_id", "src", "dst").distinct()
 
 
 def _descriptions(s, d):
     b = A.table(s, d, "benchmark")
-    return A.facts(s, d).where("fact_id % 9 = 0 and not invalidated").select("session_id", F.col("fact_id").alias("id"), F.concat(F.lit("The "), F.col("content")).alias("content")).unionByName(
+    return A.facts(s, d).where("not invalidated").select("session_id", F.col("fact_id").alias("id"), F.concat(F.lit("The "), F.col("content")).alias("content")).unionByName(
         b.select((F.col("item_id") % 50).alias("session_id"), (F.col("item_id") + 1000000000).alias("id"), F.col("text").alias("content"))
     )
 
 
+def _said_again(s, d):
+    """The facts, and each once more in other words, a few of them unchanged."""
+    f = A.facts(s, d)
+    other = F.when(F.col("fact_id") % 3 == 0, F.col("content")).otherwise(F.concat(F.col("content"), F.lit(" once more")))
+    return f.unionByName(f.withColumns({"content": other, "fact_id": F.col("fact_id") + 1000000000}))
+
+
+#: Openings that say nothing, phrases with a shorter form, and phrases that go.
+PHRASES = (["(?:i|we) think that,? ", "as far as (?:i|we) can tell,? "], [("at this point in time", "now"), ("in the event that", "if"), ("a number of", "several")], ["to be frank,? ", "of course,? "])
+
+
 def _runs(s, d):
     t = A.traces(s, d)
     return t.select("assembly_mode", "input_tokens", "savings_tokens", F.floor("latency_ms").cast("long").alias("output")).withColumnsRenamed({"assembly_mode": "arm", "input_tokens": "input", "savings_tokens": "saved"})
@@ -80,8 +91,8 @@ QUERIES = {
     "repeat_flags": lambda s, d: reads.repeats(A.reads(s, d)),
     "stuck_loops": lambda s, d: reads.stuck(A.reads(s, d).withColumn("bad", F.expr("int(substring(content, 6, 9)) % 2 = 0")), "bad", 2),
     "tool_call_join": lambda s, d: reads.calls_with_results(
-        A.reads(s, d).where("idx % 3 <> 0").select("session_id", F.concat(F.lit("c"), F.col("idx").cast("string")).alias("call_id"), "tool", "path"),
-        A.reads(s, d).where("idx % 2 = 0").select("session_id", F.concat(F.lit("c"), F.col("idx").cast("string")).alias("call_id"), "content"),
+        A.reads(s, d).select("session_id", F.concat(F.lit("c"), F.col("idx").cast("string")).alias("call_id"), "tool", "path"),
+        A.reads(s, d).where("tool <> 'write'").select("session_id", F.concat(F.lit("c"), F.col("idx").cast("string")).alias("call_id"), "content"),
     ),
     "tool_families": lambda s, d: reads.tool_families(A.reads(s, d), s.createDataFrame([("re", "files"), ("read", "read"), ("b", "shell")], "prefix string, extractor string")),
     "turn_segmentation": lambda s, d: messages.turns(A.messages(s, d)).select("session_id", "idx", "role", "turn"),
@@ -89,7 +100,7 @@ QUERIES = {
     "turn_boundaries": lambda s, d: messages.boundaries(A.messages(s, d)),
     "coherence_tail": lambda s, d: messages.coherence_tail(A.messages(s, d), 3),
     "last_exchanges": lambda s, d: messages.last_exchanges(A.messages(s, d), 2),
-    "merged_roles": lambda s, d: messages.merged_roles(A.messages(s, d).where("idx % 3 <> 1")),
+    "merged_roles": lambda s, d: messages.merged_roles(A.messages(s, d).withColumn("role", F.when(F.col("idx") % 3 == 1, "user").otherwise(F.col("role")))),
     "session_fingerprint": lambda s, d: messages.fingerprints(A.messages(s, d)),
     "message_fingerprint": lambda s, d: A.messages(s, d).select("session_id", "idx", T.message_fingerprint(F.col("role"), F.col("content")).alias("fingerprint")),
     "token_accounting": lambda s, d: messages.content_tokens(A.messages(s, d)),
@@ -107,15 +118,15 @@ QUERIES = {
     "keyword_search": lambda s, d: facts.keyword_search(A.facts(s, d), "The", 3).select("session_id", "fact_id"),
     "supersession_chains": lambda s, d: facts.chains(A.facts(s, d), A.supersedes(s, d)),
     "exact_dedup": lambda s, d: facts.exact_duplicates(A.facts(s, d)),
-    "known_content": lambda s, d: facts.without_known(A.facts(s, d).where("source_turn > 10"), A.facts(s, d).where("source_turn <= 10")).select("session_id", "fact_id"),
+    "known_content": lambda s, d: facts.without_known(_said_again(s, d).where("fact_id >= 1000000000"), A.facts(s, d).where("source_turn <= 10")).select("session_id", "fact_id"),
     "best_match_invalidation": lambda s, d: facts.best_match(_descriptions(s, d), A.facts(s, d)),
-    "near_dup_pairs": lambda s, d: facts.near_duplicates(A.facts(s, d).withColumn("session_id", F.lit(0))),
-    "context_window": lambda s, d: facts.context_window(A.facts(s, d).where("fact_id % 11 = 0"), A.facts(s, d)).select("session_id", "fact_id", "source_turn"),
+    "near_dup_pairs": lambda s, d: facts.near_duplicates(_said_again(s, d)),
+    "context_window": lambda s, d: facts.context_window(A.facts(s, d).where("fact_type = 'decision'"), A.facts(s, d)).select("session_id", "fact_id", "source_turn"),
     "fact_scores": lambda s, d: _rounded(facts.scored(A.facts(s, d)).select("session_id", "fact_id", "score"), score=9),
-    "budget_prefix": lambda s, d: _rounded(facts.budget_prefix(A.facts(s, d), 300), score=9),
-    "budget_fill": lambda s, d: facts.budget_fill(A.facts(s, d), 300),
+    "budget_prefix": lambda s, d: _rounded(facts.budget_prefix(A.facts(s, d), 3000), score=9),
+    "budget_fill": lambda s, d: facts.budget_fill(A.facts(s, d), 3000),
     "promotable_facts": lambda s, d: facts.promotable(A.facts(s, d)).select("session_id", "fact_id", "dedupe_key"),
-    "invalidated_facts": lambda s, d: facts.invalidate(A.facts(s, d), A.facts(s, d).where("fact_id % 4 = 0").select("session_id", "fact_id")).select("session_id", "fact_id", "invalidated"),
+    "invalidated_facts": lambda s, d: facts.invalidate(A.facts(s, d), A.facts(s, d).where("fact_type = 'error'").select("session_id", "fact_id")).select("session_id", "fact_id", "invalidated"),
     "latest_fact": lambda s, d: facts.latest(A.facts(s, d).select("session_id", "fact_type", "fact_id", "source_turn"), ["session_id", "fact_type"], ["source_turn", "fact_id"]),
     "file_lookup": lambda s, d: files.lookup(A.files(s, d), A.files(s, d).select("session_id", F.regexp_extract("path", "([^/]+)$", 1).alias("query")).where("query <> ''").distinct()),
     "line_slice": lambda s, d: files.line_slice(A.files(s, d), 2, 5),
@@ -130,7 +141,7 @@ QUERIES = {
     "file_touches": lambda s, d: files.touches(A.reads(s, d).select("session_id", "path", F.when(F.col("tool") == "write", "modified").when(F.col("tool") == "read", "read").otherwise("seen").alias("status"), F.col("idx").alias("turn"))),
     "file_union": lambda s, d: files.union(A.files(s, d), A.files(s, d).where("last_updated_turn % 3 = 0").select("session_id", "path", (F.col("last_updated_turn") + 5).alias("turn")).union(A.files(s, d).where("last_updated_turn % 3 = 1").select("session_id", F.concat("path", F.lit("/new")), "last_updated_turn"))),
     "semantic_topk": lambda s, d: _rounded(ranking.semantic_top(
-        A.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), A.table(s, d, "embeddings").where("vec_id in (3, 77, 250)").select(F.col("vec_id").alias("query_id"), "embedding"), 10
+        A.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), A.table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10
     ), similarity=9),
     "label_norms": lambda s, d: _rounded(ranking.label_centroid_similarity(A.table(s, d, "embeddings")), mean_norm=9),
     "probe_recall": lambda s, d: evals.keyword_recall(A.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), ["license", "the", "email", "und"]),
@@ -142,7 +153,7 @@ QUERIES = {
     ),
     "sweep_statistics": lambda s, d: _rounded(evals.sweep(A.table(s, d, "orders").select(F.col("o_orderpriority").alias("arm"), (F.col("o_orderstatus") == "F").alias("complete"), F.col("o_totalprice").alias("seconds"))), median=6, mean=4),
     "truth_overlap": lambda s, d: evals.truth_overlap(
-        A.facts(s, d).select(F.col("session_id").alias("turn"), "content"), A.facts(s, d).where("fact_id % 10 = 0").select(F.col("session_id").alias("turn"), F.col("fact_id").alias("truth_id"), F.concat(F.lit("also "), F.substring("content", 1, 60)).alias("content"))
+        A.facts(s, d).where("not invalidated").select(F.expr("session_id * 10 + (source_turn - 1) div 4").alias("turn"), F.col("fact_id").alias("id"), "content"), A.facts(s, d).select(F.expr("session_id * 10 + (source_turn - 1) div 4").alias("turn"), F.col("fact_id").alias("truth_id"), F.concat(F.lit("also "), "content").alias("content"))
     ),
     "audit_gate": lambda s, d: evals.audit(QUERIES["truth_overlap"](s, d)),
     "calibration_gaps": lambda s, d: _rounded(evals.calibration(A.traces(s, d).select(F.col("assembly_mode").alias("category"), F.col("savings_tokens").alias("estimate"), F.col("input_tokens").alias("actual"))), mean_gap=6),
@@ -150,8 +161,6 @@ QUERIES = {
     "slugs": lambda s, d: A.table(s, d, "pages").select("page_id", T.slug(F.col("url")).alias("slug")),
     "event_json": lambda s, d: A.table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), C.path_argument(F.col("props")).alias("path")),
     "sse_reassembly": lambda s, d: stateful.reassembled(_chunks(s, d)),
-    "arc_working_sets": lambda s, d: stateful.working_sets(A.reads(s, d)),
-    "circuit_breaker": lambda s, d: stateful.circuit_batch(A.traces(s, d).select("session_id", F.unix_micros(F.col("created_at").cast("timestamp")).cast("double").alias("us"), "failed").select("session_id", (F.col("us") / 1e6).alias("ts"), "failed")),
     "recent_sessions": lambda s, d: sessions.recent(A.table(s, d, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_acctbal").alias("updated")), A.table(s, d, "orders").select(F.col("o_custkey").alias("session_id")), 50),
     "storage_summary": lambda s, d: sessions.storage({"facts": A.facts(s, d), "files": A.files(s, d), "messages": A.messages(s, d)}),
     "pruned_state": lambda s, d: sessions.pruned(A.traces(s, d), A.traces(s, d).where("failed and turn_number > 60")).select("session_id", "turn_number"),
@@ -166,8 +175,8 @@ QUERIES = {
     "compression_ratio": lambda s, d: _rounded(sessions.compression_ratio(A.messages(s, d)), ratio=9),
     "compressed_context": lambda s, d: sessions.compressed_to(A.messages(s, d), 300),
     "promotion_stats": lambda s, d: sessions.promotion_stats(A.facts(s, d)),
-    "extraction_dry_run": lambda s, d: sessions.dry_run(A.facts(s, d).where("source_turn > 10"), A.facts(s, d).where("source_turn <= 10")),
-    "recall_answer": lambda s, d: sessions.recall_answer(A.facts(s, d), 300),
+    "extraction_dry_run": lambda s, d: sessions.dry_run(_said_again(s, d).where("source_turn > 10"), A.facts(s, d).where("source_turn <= 10")),
+    "recall_answer": lambda s, d: sessions.recall_answer(A.facts(s, d), 3000),
     "file_checks": lambda s, d: sessions.file_checks(A.files(s, d), "<h1", 5),
     "work_summary": lambda s, d: sessions.work_summary(A.facts(s, d), {"error": 2, "decision": 1, "state": 1, "goal": 3}),
     "consent_state": lambda s, d: sessions.consent(A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", " TRUE ").when(F.col("o_orderstatus") == "O", "no").alias("header"))),
@@ -177,25 +186,25 @@ QUERIES = {
     "compression_priority": lambda s, d: messages.compression_priority(A.messages(s, d)),
     "session_windows": lambda s, d: stateful.expired(A.traces(s, d).select("session_id", F.col("created_at").alias("at")), 6),
     "first_seen_trail": lambda s, d: stateful.latest_first(A.traces(s, d), "session_id", "created_at", 20),
-    "fact_supersession_edges": lambda s, d: facts.supersession_edges(A.facts(s, d).withColumn("session_id", F.col("fact_id") % 7)),
-    "fact_near_known": lambda s, d: facts.without_near_known(A.facts(s, d).where("source_turn > 10").withColumn("pos", F.col("fact_id")), A.facts(s, d).where("source_turn <= 10")).select("session_id", "fact_id"),
+    "fact_supersession_edges": lambda s, d: facts.supersession_edges(A.facts(s, d).withColumn("source_turn", F.expr("(source_turn - 1) div 10"))),
+    "fact_near_known": lambda s, d: facts.without_near_known(_said_again(s, d).where("source_turn > 10").withColumn("pos", F.col("fact_id")), A.facts(s, d).where("source_turn <= 10")).select("session_id", "fact_id"),
     "code_fill": lambda s, d: rewriting.code_fill(A.files(s, d).withColumn("rank", F.col("last_updated_turn")), 20000),
     "current_turn": lambda s, d: rewriting.current_turn(A.messages(s, d)).select("session_id", "idx"),
     "strongest_status": lambda s, d: rewriting.strongest(A.reads(s, d).select("session_id", "path", F.col("tool").alias("status"), F.col("idx").alias("pos")), ["grep", "bash", "read", "write"]),
     "resolved_issues": lambda s, d: rewriting.resolved_issues(
-        A.facts(s, d).where("fact_type = 'error'").select("session_id", F.substring("content", 1, 30).alias("summary"), F.col("source_turn").alias("turn")),
-        A.facts(s, d).where("fact_id % 3 = 0").select("session_id", F.substring("content", 1, 30).alias("summary"), F.col("source_turn").alias("turn")),
+        A.facts(s, d).where("fact_type = 'error'").select("session_id", F.col("content").alias("summary"), F.col("source_turn").alias("turn")),
+        _said_again(s, d).where("fact_type = 'error' and source_turn % 3 = 0").select("session_id", F.col("content").alias("summary"), F.col("source_turn").alias("turn")),
     ),
     "prefix_splice": lambda s, d: rewriting.spliced(A.messages(s, d), A.messages(s, d).where("idx = 1").select("session_id", F.lit(2).cast("long").alias("count"), T.message_fingerprint(F.when(F.col("session_id") % 2 == 0, F.col("role")).otherwise("x"), F.col("content")).alias("fingerprint"))),
     "search_hits": lambda s, d: rewriting.search_hits(A.files(s, d), "<p", 3, 6),
     "cached_view": lambda s, d: rewriting.cached_view(A.files(s, d), 8, 2),
     "rewritten_context": lambda s, d: rewriting.rewritten(A.messages(s, d), A.messages(s, d).select("session_id").distinct().select("session_id", F.expr("array(1L)").alias("turns")), 3, 120),
     "recall_requests": lambda s, d: A.messages(s, d).select("session_id", "idx", P.asks_to_recall(F.col("role"), F.col("content")).alias("recall"), P.ambiguous(F.col("content"), 40).alias("ambiguous")),
-    "compressed_facts": lambda s, d: A.facts(s, d).select("fact_id", P.compressed_fact(F.concat(F.lit("Based on the analysis, it seems that "), F.col("content"), F.lit("."))).alias("fact")),
+    "compressed_facts": lambda s, d: A.facts(s, d).select("fact_id", P.compressed_fact(F.concat(F.lit("I think that, to be frank, "), F.col("content"), F.lit(".")), *PHRASES).alias("fact")),
     "command_names": lambda s, d: A.traces(s, d).select("event_id", P.command_name(F.concat(F.lit("A=1 "), F.when(F.col("failed"), "cd").otherwise(F.col("assembly_mode")), F.lit("|head -3"))).alias("command")),
     "tool_outcomes": lambda s, d: A.reads(s, d).select("session_id", "idx", P.compressible(F.concat(F.lit("my_"), F.col("tool"))).alias("compressible"), P.outcome(F.when(F.col("idx") % 5 == 0, F.concat(F.lit(" Error: "), F.col("content"))).when(F.col("idx") % 7 == 0, "file not found").otherwise(F.col("content"))).alias("outcome")),
     "file_patterns": lambda s, d: A.table(s, d, "pages").select("page_id", P.file_pattern(F.concat("url", F.lit("/UserListView.test.tsx"))).alias("pattern")),
-    "context_blocks": lambda s, d: R.context_blocks(A.facts(s, d).where("fact_id < 400").select("session_id", F.col("fact_id").alias("pos"), F.upper("fact_type").alias("title"), F.when(F.col("fact_id") % 4 != 0, F.substring("content", 1, 20)).alias("body"))),
+    "context_blocks": lambda s, d: R.context_blocks(A.facts(s, d).select("session_id", F.col("fact_id").alias("pos"), F.upper("fact_type").alias("title"), F.when(~F.col("invalidated"), F.col("content")).alias("body"))),
     "task_map": lambda s, d: R.task_map(files.relevance(A.files(s, d), QUERY), "1"),
     "session_overview": lambda s, d: R.overview(A.files(s, d), A.facts(s, d).where("fact_type = 'decision'"), 5, 3),
     "focus_range": lambda s, d: R.focus_range(files.outline(A.files(s, d)), QUERY),

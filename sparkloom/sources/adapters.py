@@ -42,12 +42,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Temporal facts cut from documents."""
+    """Temporal facts: one for each document, with its whole text; forty in a session, one a turn."""
     kinds = ["file_state", "error", "tool_result", "decision", "state", "goal", "observation"]
     kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("doc_id") % 7 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("fact_id"), (F.col("doc_id") % 50).alias("session_id"), (F.floor(F.col("doc_id") / 50) + 1).cast("long").alias("source_turn"),
-        F.substring("text", 1, 200).alias("content"), kind.alias("fact_type"), ((F.col("n_chars") % 101) / F.lit(100.0)).alias("confidence"), (F.col("doc_id") % 5 == 0).alias("invalidated"),
+        F.col("doc_id").alias("fact_id"), F.expr("doc_id div 40").alias("session_id"), (F.col("doc_id") % 40 + 1).alias("source_turn"), F.col("text").alias("content"), kind.alias("fact_type"), ((F.col("n_chars") % 101) / F.lit(100.0)).alias("confidence"), (F.col("doc_id") % 5 == 0).alias("invalidated"),
     )
 
 
@@ -59,7 +58,7 @@ def supersedes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cached files."""
+    """Cached files: one for each page, twenty in a session."""
     return table(spark, sf_dir, "pages").select(
-        (F.col("page_id") % 10).alias("session_id"), F.regexp_replace("url", "^https?://", "").alias("path"), F.col("html").alias("content"), F.col("page_id").alias("last_updated_turn")
+        F.expr("page_id div 20").alias("session_id"), F.regexp_replace("url", "^https?://", "").alias("path"), F.col("html").alias("content"), F.col("page_id").alias("last_updated_turn")
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,109 +30,6 @@ def coalesced(events: DataFrame, delay_ms: int = 2000) -> DataFrame:
     return events.groupBy("session_id").applyInPandasWithState(step, f"session_id {kind}, seq long, payload string", "first long, seq long, payload string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def circuit(events: DataFrame, opens: int = 3, cooldown: float = 300.0, disables: int = 10) -> DataFrame:
-    """Circuit breaker over (session_id, ts seconds, failed): (session_id, ts, state) for each event, in order of time within a micro-batch."""
-
-    def step(key, pdfs, state: GroupState):
-        run, total, until = state.get if state.exists else (0, 0, 0.0)
-        rows = pd.concat(list(pdfs)).sort_values("ts")
-        out = []
-        for ts, failed in rows[["ts", "failed"]].itertuples(index=False):
-            name, run, total, until = circuit_step(ts, failed, run, total, until, opens, cooldown, disables)
-            out.append(name)
-        state.update((run, total, until))
-        yield pd.DataFrame({"session_id": key[0], "ts": rows["ts"].to_numpy(), "state": out})
-
-    kind = dict(events.dtypes)["session_id"]
-    return events.groupBy("session_id").applyInPandasWithState(step, f"session_id {kind}, ts double, state string", "run int, total int, until double", "append", GroupStateTimeout.NoTimeout)
-
-
-def circuit_step(ts, failed, run, total, until, opens=3, cooldown=300.0, disables=10):
-    """One event: (state, failures in a row, failures, open until)."""
-    if total >= disables:
-        return "disabled", run, total, until
-    if ts < until:
-        return "open", run, total, until
-    run, total = (run + 1, total + 1) if failed else (0, total)
-    if total >= disables:
-        return "disabled", run, total, until
-    if run >= opens:
-        return "open", 0, total, ts + cooldown
-    return "closed", run, total, until
-
-
-def circuit_batch(events: DataFrame, **limits) -> DataFrame:
-    """The same over a bounded table, each session in one group."""
-
-    def fold(pdf):
-        run, total, until, out = 0, 0, 0.0, []
-        pdf = pdf.sort_values("ts")
-        for ts, failed in pdf[["ts", "failed"]].itertuples(index=False):
-            name, run, total, until = circuit_step(ts, failed, run, total, until, **limits)
-            out.append(name)
-        return pdf[["session_id", "ts"]].assign(state=out)
-
-    kind = dict(events.dtypes)["session_id"]
-    return events.select("session_id", "ts", "failed").groupBy("session_id").applyInPandas(fold, f"session_id {kind}, ts double, state string")
-
-
-class WorkingSet:
-    """Adaptive replacement: recent and frequent entries, the ghosts of both, and a target for the recent part that ghost hits move."""
-
-    def __init__(self, capacity: int):
-        self.capacity, self.target = capacity, 0
-        self.recent, self.frequent, self.ghost_recent, self.ghost_frequent = OrderedDict(), OrderedDict(), OrderedDict(), OrderedDict()
-
-    def _evict(self, in_frequent_ghost: bool) -> None:
-        if self.recent and (len(self.recent) > self.target or in_frequent_ghost and len(self.recent) == self.target):
-            self.ghost_recent[self.recent.popitem(last=False)[0]] = None
-        elif self.frequent:
-            self.ghost_frequent[self.frequent.popitem(last=False)[0]] = None
-
-    def access(self, key) -> bool:
-        """True for a hit."""
-        hit = self._access(key)
-        for ghosts in (self.ghost_recent, self.ghost_frequent):
-            while len(ghosts) > self.capacity:
-                ghosts.popitem(last=False)
-        return hit
-
-    def _access(self, key) -> bool:
-        if key in self.recent or key in self.frequent:
-            self.recent.pop(key, None)
-            self.frequent.pop(key, None)
-            self.frequent[key] = None
-            return True
-        if key in self.ghost_recent:
-            self.target = min(self.capacity, self.target + max(1, len(self.ghost_frequent) // max(1, len(self.ghost_recent))))
-            self._evict(False)
-            del self.ghost_recent[key]
-            self.frequent[key] = None
-            return False
-        if key in self.ghost_frequent:
-            self.target = max(0, self.target - max(1, len(self.ghost_recent) // max(1, len(self.ghost_frequent))))
-            self._evict(True)
-            del self.ghost_frequent[key]
-            self.frequent[key] = None
-            return False
-        if len(self.recent) + len(self.frequent) >= self.capacity:
-            self._evict(False)
-        self.recent[key] = None
-        return False
-
-
-def working_sets(activity: DataFrame, capacity: int = 8) -> DataFrame:
-    """Hits and misses of each session's accesses (session_id, idx, path) in order."""
-
-    def fold(pdf):
-        pdf = pdf.sort_values("idx")
-        own = WorkingSet(capacity)
-        return pdf[["session_id", "idx", "path"]].assign(hit=[own.access(p) for p in pdf["path"]])
-
-    kind = dict(activity.dtypes)
-    return activity.select("session_id", "idx", "path").groupBy("session_id").applyInPandas(fold, f"session_id {kind['session_id']}, idx {kind['idx']}, path string, hit boolean")
-
-
 def reassembled(chunks: DataFrame) -> DataFrame:
     """Answers from their streamed pieces (response_id, seq, delta, model, finish): contents in order, the last model and finish reason."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))

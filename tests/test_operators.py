@@ -109,37 +109,6 @@ def test_nearest_rank_rounds_half_to_even(spark):
     assert (r.n, r.p50, r.p95, r.p99) == (4, 2.0, 3.0, 3.0)
 
 
-def test_working_set_keeps_its_capacity():
-    rng = random.Random(9)
-    w = stateful.WorkingSet(4)
-    hits = 0
-    for _ in range(500):
-        hits += w.access(rng.choice("aabbccdefghij"))
-        assert len(w.recent) + len(w.frequent) <= 4 and 0 <= w.target <= 4
-        assert len(w.ghost_recent) <= 4 and len(w.ghost_frequent) <= 4
-    assert hits > 100 and w.access("a") in (True, False)
-
-
-def test_circuit_opens_cools_down_and_disables():
-    run, total, until, out = 0, 0, 0.0, []
-    for ts, failed in [(0, True), (1, True), (2, True), (3, False), (303, True), (304, False)] + [(1000 + 301 * i, True) for i in range(12)]:
-        name, run, total, until = stateful.circuit_step(ts, failed, run, total, until)
-        out.append(name)
-    assert out[:6] == ["closed", "closed", "open", "open", "closed", "closed"] and out[-1] == "disabled"
-
-
-def test_streams(spark, tmp_path):
-    rows = [("s", float(i), i < 3) for i in range(6)]
-    spark.createDataFrame(rows, "session_id string, ts double, failed boolean").coalesce(1).write.parquet(f"{tmp_path}/e")
-    stream = spark.readStream.schema("session_id string, ts double, failed boolean").parquet(f"{tmp_path}/e")
-    q = stateful.circuit(stream).writeStream.format("memory").queryName("circuit_out").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
-    q.processAllAvailable()
-    q.stop()
-    got = [r.state for r in spark.sql("select state from circuit_out order by ts").collect()]
-    batch = [r.state for r in stateful.circuit_batch(spark.createDataFrame(rows, "session_id string, ts double, failed boolean")).orderBy("ts").collect()]
-    assert got == batch == ["closed", "closed", "open", "open", "open", "open"]
-
-
 def test_debounce(spark, tmp_path):
     spark.createDataFrame([("s", i, f"p{i}") for i in range(5)], "session_id string, seq long, payload string").write.parquet(f"{tmp_path}/e")
     stream = spark.readStream.schema("session_id string, seq long, payload string").parquet(f"{tmp_path}/e")
