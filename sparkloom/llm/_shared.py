@@ -14,6 +14,8 @@ from ._vectors import components
 
 #: Rows in one Arrow batch.
 BATCH = 1000
+#: Bytes that a task's Parquet writer holds before it writes them.
+BLOCK = 16 << 20
 #: Keys for which among() makes a bitmap; it is broadcast and holds two to four bytes for each.
 FILTER_KEYS = 16_000_000
 #: Edges that a task of connected_components() holds at a time.
@@ -47,7 +49,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(batch)
     spark.conf.set(batch, str(BATCH if int(before) <= 0 else min(int(before), BATCH)))
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", str(BLOCK)).parquet(path)
     finally:
         spark.conf.set(batch, before)
     _tables.append(path)

@@ -52,7 +52,7 @@ FREQUENT_IN_TASK, COUNTED = 2, 2_000_000
 FREQUENT = 12
 MOST_FREQUENT = 2_000_000
 #: Keys for one task of the part join, and keys that a task holds before it sends them on.
-KEYS_PER_TASK = 700_000
+KEYS_PER_TASK = 450_000
 HELD = 400_000
 #: Members of a key among those HELD from which they form a group of their own.
 HOT = 64

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import LOWER, scratch, slices
+from ._words import LOWER, scratch, slices, trim
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 8
@@ -179,6 +179,7 @@ def predictor(net: Network):
             best, ok = total.argmax(axis=1), (sums > 0) & letters[at:to]
             scores.append(np.where(ok, np.minimum(1.0, total.max(axis=1) / np.where(sums > 0, sums, 1)), 0.0))
             names += [net.labels[b] if o else "und" for b, o in zip(best.tolist(), ok.tolist(), strict=True)]
+        trim()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["lang_pred", "score"])
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}

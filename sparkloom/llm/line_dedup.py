@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _shared
-from ._words import SPACES, Words, byte_table, mix, scratch, slices
+from ._words import SPACES, Words, byte_table, mix, scratch, slices, trim
 
 WINDOW, MODULUS, LINES = 2, 3, 2
 #: A single line counts as a run with more words than these.
@@ -94,6 +94,7 @@ def _chunks(how, batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(doc), batch.column(1).take(doc), *map(pa.array, (start, end, stop, value))], ["doc_id", "text_hash", "start", "end", "stop", "hash"]
             )
+    trim()
 
 
 def _later() -> Column:

@@ -32,7 +32,7 @@ END = 1
 #: Pieces of one length in one bucket.
 BUCKET = 1_000
 #: Words whose ids a worker remembers from slice to slice, in a table of TABLE places at first; it grows with the words of one slice.
-REMEMBERED, TABLE = 700_000, 1 << 20
+REMEMBERED, TABLE = 350_000, 1 << 19
 
 
 class Encoder:
