@@ -91,11 +91,17 @@ class Coder:
         return out
 
 
+@functools.lru_cache(2)
+def coder(n: int, threshold: float) -> Coder:
+    """One for all tasks of a worker."""
+    return Coder(n, threshold)
+
+
 def _keys(n: int, parts: int, threshold: float):
     """(task, values, classes): for each band and each of its `parts` tasks, the values of vectors and their classes, from rows (class, embedding)."""
 
     def run(batches):
-        code, seen = Coder(n, threshold), set()
+        code, seen = coder(n, threshold), set()
         for batch in batches:
             cls = batch.column(0).to_numpy()
             fresh = np.array([not (c in seen or seen.add(c)) for c in cls.tolist()], dtype=bool)
@@ -201,7 +207,7 @@ def _compare(total: int, threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label][some]), pa.array(weight[some].astype(np.int64))], ["u", "v", "weight"])
 
     def run(batches):
-        code, turn, held = Coder(total, threshold), {}, None
+        code, turn, held = coder(total, threshold), {}, None
         for batch in batches:
             held = batch if held is None else pa.concat_batches([held, batch])
             while held.num_rows >= 4000:
