@@ -112,6 +112,38 @@ def references(c: Column) -> Column:
     return F.array_sort(F.array_remove(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "[?#].*$", ""))), ""))
 
 
+def imported_modules(c: Column) -> Column:
+    """Distinct modules that a Python text imports, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?m)^\s*(?:from|import)\s+([a-zA-Z_][\w.]*)"), F.lit(1))))
+
+
+def module_paths(module: Column) -> Column:
+    """Files that a dotted module name may mean."""
+    path = F.replace(module, F.lit("."), F.lit("/"))
+    return F.array(F.concat(path, F.lit(".py")), F.concat(path, F.lit("/__init__.py")))
+
+
+def head_and_tail(c: Column, most: int = 300) -> Column:
+    """A long text's first two thirds and last third of `most` characters, both cut at a blank where they have one, and how much lies between."""
+    head = F.regexp_replace(F.substring(c, 1, most * 2 // 3), r" [^ ]*\z", "")
+    tail = F.regexp_replace(F.right(c, F.lit(most // 3)), r"\A[^ ]* ", "")
+    left = (F.char_length(c) - F.char_length(head) - F.char_length(tail)).cast("string")
+    return F.when(F.char_length(c) <= most, c).otherwise(F.concat(head, F.lit("\n[..."), left, F.lit(" chars compressed...]\n"), tail))
+
+
+def environment(system: Column) -> Column:
+    """Fields of a system prompt's <env> block as a map, names in lower case with underscores, and who the prompt says that the agent is; of repeated names the last counts."""
+    c = F.coalesce(system, F.lit(""))
+    lines = F.split(F.regexp_extract(c, r"(?is)<env>\s*(.*?)\s*</env>", 1), "\n")
+    found = F.filter(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^\s*(.+?):\s*(.+)$", 1).alias("k"), F.regexp_extract(x, r"^\s*(.+?):\s*(.+)$", 2).alias("v"))), lambda e: e["k"] != "")
+    name = lambda k: F.replace(F.replace(F.lower(F.trim(k)), F.lit(" "), F.lit("_")), F.lit("'"), F.lit(""))
+    agent = F.trim(F.regexp_extract(F.substring(c, 1, 500), r"(?i)You are (\w[\w\s.]*?)(?:,|\.|—)", 1))
+    who = F.when(agent != "", F.array(F.struct(F.lit("harness").alias("k"), agent.alias("v")))).otherwise(F.array().cast("array<struct<k: string, v: string>>"))
+    all_ = F.reverse(F.concat(who, F.transform(found, lambda e: F.struct(name(e["k"]).alias("k"), F.trim(e["v"]).alias("v")))))
+    keys = F.transform(all_, lambda e: e["k"])
+    return F.map_from_entries(F.filter(all_, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
+
+
 def fingerprint(system: Column, first_user: Column) -> Column:
     """A session's id: hash of the head of its system prompt and its first user message."""
     return F.substring(F.sha2(F.concat(F.substring(F.coalesce(system, F.lit("")), 1, 4000), F.lit("\n"), F.coalesce(first_user, F.lit(""))), 256), 1, 16)

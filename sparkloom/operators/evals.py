@@ -69,6 +69,23 @@ def audit(overlaps: DataFrame) -> DataFrame:
     return overlaps.agg(F.count("*").alias("truths"), F.count_if("matched").alias("matched"), rate.alias("accuracy")).withColumn("passes", F.col("accuracy") >= 0.8)
 
 
+def noise(facts: DataFrame, truth: DataFrame, least: float = 0.4) -> DataFrame:
+    """Whether a fact (turn, id, content) is noise: no truth (turn, truth_id, content) of its turn has so large a share of its words in it. They meet on common words alone."""
+    words = lambda c: F.transform(F.array_distinct(F.filter(F.split(T.normalise(c), " "), lambda w: F.char_length(w) > 2)), lambda w: F.xxhash64(w))
+    t = truth.select("turn", "truth_id", words(F.col("content")).alias("tw")).select("turn", "truth_id", F.size("tw").alias("n"), F.explode("tw").alias("word"))
+    f = facts.select("turn", "id", F.explode(words(F.col("content"))).alias("word"))
+    common = f.join(t, ["turn", "word"]).groupBy("turn", "id", "truth_id", "n").agg(F.count("*").alias("k"))
+    signal = common.where(F.col("k") >= F.col("n") * least).select("turn", "id", F.lit(False).alias("noise")).distinct()
+    return facts.select("turn", "id").join(signal, ["turn", "id"], "left").select("turn", "id", F.coalesce("noise", F.lit(True)).alias("noise"))
+
+
+def audit_gates(answers: DataFrame, overlaps: DataFrame, noise: DataFrame) -> DataFrame:
+    """Shares of answers (parsed) that could be parsed, truths (matched) that were found and facts (noise) that match no truth, and the gate over all three; one row."""
+    share = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0))
+    one = answers.agg(share("parsed").alias("parse_rate")).join(F.broadcast(overlaps.agg(share("matched").alias("accuracy")))).join(F.broadcast(noise.agg(share("noise").alias("noise_rate"))))
+    return one.withColumn("passes", (F.col("parse_rate") >= 0.95) & (F.col("accuracy") >= 0.8) & (F.col("noise_rate") <= 0.1))
+
+
 def calibration(cases: DataFrame) -> DataFrame:
     """Gap of each estimate (category, estimate, actual) in percent, its mean over cases with a gap, and the advice it gives."""
     gap = F.coalesce(F.try_divide((F.col("actual") - F.col("estimate")).cast("double") * 100, F.col("actual").cast("double")), F.lit(0.0))

@@ -148,12 +148,20 @@ def context_window(selected: DataFrame, facts: DataFrame) -> DataFrame:
     return facts.join(turns, ["session_id", "source_turn"], "left_semi").join(selected.select("session_id", "fact_id"), ["session_id", "fact_id"], "left_anti")
 
 
-def score(turn: Column) -> Column:
-    """Without query or intent: 0.4 type + 0.3 confidence + 0.3 recency; recency decays with the logarithm of age, which is never below 0."""
-    priority = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FACT_PRIORITY.items() for x in kv]), F.col("fact_type")), F.lit(0))
+def priority() -> Column:
+    """Priority of a fact's type; 0 for unknown ones."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FACT_PRIORITY.items() for x in kv]), F.col("fact_type")), F.lit(0))
+
+
+def recency(turn: Column) -> Column:
+    """Decays with the logarithm of age, which is never below 0; 0.5 where a turn is unknown."""
     age = F.greatest(turn - F.col("source_turn"), F.lit(0))
-    recency = F.when((turn > 0) & (F.col("source_turn") > 0), 1.0 / (1.0 + F.log1p(age.cast("double")))).otherwise(0.5)
-    return priority / F.lit(5.0) * 0.4 + F.col("confidence") * 0.3 + recency * 0.3
+    return F.when((turn > 0) & (F.col("source_turn") > 0), 1.0 / (1.0 + F.log1p(age.cast("double")))).otherwise(0.5)
+
+
+def score(turn: Column) -> Column:
+    """Without query or intent: 0.4 type + 0.3 confidence + 0.3 recency."""
+    return priority() / F.lit(5.0) * 0.4 + F.col("confidence") * 0.3 + recency(turn) * 0.3
 
 
 def scored(facts: DataFrame) -> DataFrame:

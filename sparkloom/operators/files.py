@@ -104,6 +104,21 @@ def relevance(files: DataFrame, query: str) -> DataFrame:
     return files.select("session_id", "path", own.alias("relevance")).withColumn("rank", F.row_number().over(order).cast("long"))
 
 
+def retrieval_ranked(files: DataFrame, query: str, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """Files (session_id, path, content, reason, pos) by the weighted sum of recency, which is 1 within one briefing, importance and relevance; ties keep their order."""
+    recent, important, relevant = weights
+    own = F.lit(float(recent)) + T.importance(F.col("reason")) * important + T.keyword_relevance(F.lit(query), F.concat_ws("\n", "path", "content")) * relevant
+    order = Window.partitionBy("session_id").orderBy(F.desc("score"), "pos")
+    return files.select("session_id", "path", "pos", own.alias("score")).withColumn("rank", F.row_number().over(order).cast("long")).drop("pos")
+
+
+def first_seen(lists: DataFrame) -> DataFrame:
+    """Ordered union of lists of files (session_id, turn, paths): each path where it comes first."""
+    rows = lists.select("session_id", "turn", F.posexplode("paths").alias("pos", "path"))
+    first = rows.groupBy("session_id", "path").agg(F.min(F.struct("turn", "pos")).alias("at"))
+    return first.select("session_id", "path", F.row_number().over(Window.partitionBy("session_id").orderBy("at")).cast("long").alias("rank"))
+
+
 def combined_order(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two rankings (session_id, path, rank) taken in turns, each file where it comes first."""
     both = a.select("session_id", "path", (F.col("rank") * 2).alias("r")).union(b.select("session_id", "path", (F.col("rank") * 2 + 1).alias("r")))

@@ -29,6 +29,12 @@ def pruned(state: DataFrame, active: DataFrame) -> DataFrame:
     return state.join(active.select("session_id").distinct(), "session_id", "left_semi")
 
 
+def expired_rows(tables: dict[str, DataFrame], expired: DataFrame) -> DataFrame:
+    """What cleaning up expired sessions deletes: their rows in each store."""
+    gone = expired.select("session_id").distinct()
+    return storage({name: table.join(gone, "session_id", "left_semi") for name, table in tables.items()})
+
+
 def find_or_create(known: DataFrame, wanted: DataFrame) -> DataFrame:
     """Sessions by fingerprint: known ones (fingerprint, session_id) and one new one for each fingerprint that is wanted and not known."""
     new = wanted.select("fingerprint").distinct().join(known, "fingerprint", "left_anti")

@@ -40,6 +40,22 @@ def global_metrics(traces: DataFrame) -> DataFrame:
     )
 
 
+def cache_costs(traces: DataFrame) -> DataFrame:
+    """Tokens that an upstream cache had and hadn't (cache_hit_tokens, cache_miss_tokens), its hit rate, and the cost of input at both prices; without any such tokens all input is at the full price."""
+    hit, miss = F.coalesce(F.sum("cache_hit_tokens"), F.lit(0)), F.coalesce(F.sum("cache_miss_tokens"), F.lit(0))
+    full = F.coalesce(F.sum("input_tokens"), F.lit(0)) * PRICE["input"] / 1e6
+    cost = F.when(hit + miss > 0, hit * PRICE["cached"] / 1e6 + miss * PRICE["input"] / 1e6).otherwise(full)
+    return traces.agg(hit.alias("hits"), miss.alias("misses"), _ratio(hit, hit + miss).alias("hit_rate"), cost.alias("cost"), full.alias("uncached_cost"))
+
+
+def briefing_freshness(traces: DataFrame) -> DataFrame:
+    """The turn of each turn's latest earlier briefing, and whether that is fresh: not before the previous turn."""
+    made = F.when(F.col("assembly_mode") == "briefing", F.col("turn_number"))
+    before = Window.partitionBy("session_id").orderBy("turn_number").rowsBetween(Window.unboundedPreceding, -1)
+    rows = traces.withColumn("briefed", F.max(made).over(before))
+    return rows.select("session_id", "turn_number", "briefed", F.coalesce(F.col("briefed") >= F.col("turn_number") - 1, F.lit(False)).alias("fresh"))
+
+
 def mode_counts(traces: DataFrame, registered: list[str]) -> DataFrame:
     return traces.where(F.col("assembly_mode").isin(registered)).groupBy("assembly_mode").agg(F.count("*").alias("turns"))
 

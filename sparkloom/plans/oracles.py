@@ -86,7 +86,63 @@ _TRUTH = f""", words AS (SELECT session_id * 10 + (source_turn - 1) // 4 AS turn
   truth AS (SELECT session_id * 10 + (source_turn - 1) // 4 AS turn, fact_id AS truth_id, list_filter(list_distinct(string_split({norm("'also ' || content")}, ' ')), lambda w: LENGTH(w) > 2) AS tw FROM v_fact),
   found AS (SELECT t.turn, truth_id, MAX(CASE WHEN len(tw) = 0 OR fw IS NULL THEN 0.0e0 ELSE len(list_intersect(tw, fw)) / CAST(len(tw) AS DOUBLE) END) AS overlap FROM truth t LEFT JOIN words w ON t.turn = w.turn GROUP BY 1, 2)"""
 
+#: Again stated here: words of domains, weights by kind of question, and types of facts; fixed values.
+_DOMAINS = {
+    "errors": "error exception traceback fail crash bug issue broken TypeError ValueError KeyError ImportError SyntaxError RuntimeError".split(),
+    "decisions": ["decide", "decision", "chose", "choice", "approach", "strategy", "tradeoff", "trade-off", "rationale", "why did we"],
+    "architecture": ["architecture", "design", "pattern", "module", "component", "layer", "service", "pipeline", "flow", "data model", "schema"],
+    "goals": "goal objective task milestone requirement spec target".split(),
+    "tools": "tool command script npm pip cargo make docker git curl test".split(),
+}
+_shown = lambda d: f"CASE WHEN regexp_matches(content, '(?i)(?:^|[^a-z0-9_])(?:{'|'.join(_DOMAINS[d])})(?:[^a-z0-9_]|$)') THEN 0.3e0 ELSE 0.0e0 END"
+_kind = lambda **w: "CASE question " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in w.items()) + " ELSE 0.0e0 END"
+_ASKED = fr""", said AS (SELECT session_id, idx, content || [' why does parse_it( fail in `src/a.py`', ' explain the data model', ' what did we decide on the requirement', ' create a script', ''][CAST((session_id + idx) % 5 + 1 AS INT)] AS content FROM v_msg WHERE role = 'user'),
+  kinds AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(COALESCE(content, ''), '{p}') THEN '{n}'" for n, p in INTENTS)} ELSE 'general' END AS question,
+    list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(COALESCE(content, ''), '(?:^|[\s`"''])([a-zA-Z_][\w./\\-]*\.(?:py|js|ts|tsx|jsx|json|yaml|yml|toml|md|sql|sh|css|html|rs|go|java|cpp|c|h))\b', 1),
+      regexp_extract_all(COALESCE(content, ''), '(?i)(?:^|[\s`])([a-z_][a-z0-9_]*(?:\.[a-z_][a-z0-9_]*)*)\s*\(', 1)), regexp_extract_all(COALESCE(content, ''), '`([a-zA-Z_][\w.]*)`', 1)))) AS refs FROM said),
+  asked AS (SELECT *, GREATEST({_kind(debug=0.3, status=0.3, action=0.4)}, CASE WHEN len(refs) > 0 THEN 0.5e0 ELSE 0.0e0 END) AS w_files, GREATEST({_shown('errors')}, {_kind(debug=0.6)}) AS w_errors,
+    GREATEST({_shown('decisions')}, {_kind(recall=0.5, status=0.4, action=0.2)}) AS w_decisions, GREATEST({_shown('architecture')}, {_kind(exploration=0.5)}) AS w_architecture,
+    {_kind(debug=0.4, recall=0.3, status=0.3, exploration=0.3, action=0.3)} AS w_state, {_shown('tools')} AS w_tools, GREATEST({_shown('goals')}, {_kind(recall=0.4, status=0.5)}) AS w_goals FROM kinds)"""
+_LAST_TURN = """f AS (SELECT v.*, e.embedding, q.embedding AS query, 1.0e0 / (1.0e0 + LN(1.0e0 + CAST(MAX(source_turn) OVER (PARTITION BY session_id) - source_turn AS DOUBLE))) AS recency,
+    (CASE fact_type WHEN 'error' THEN 5 WHEN 'goal' THEN 4 WHEN 'state' THEN 3 WHEN 'file_state' THEN 3 WHEN 'tool_result' THEN 2 WHEN 'decision' THEN 2 ELSE 1 END / 5.0e0 * 0.5e0 + confidence * 0.5e0) AS worth,
+    CASE WHEN e.embedding IS NOT NULL AND q.embedding IS NOT NULL THEN list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) ELSE 0.0e0 END AS similarity
+    FROM v_score v LEFT JOIN embeddings e ON v.fact_id = e.vec_id LEFT JOIN embeddings q ON v.session_id = q.vec_id)"""
+_NOISE = f""", own AS (SELECT session_id * 10 + (source_turn - 1) // 4 AS turn, fact_id AS id, invalidated, list_filter(list_distinct(string_split({norm('content')}, ' ')), lambda w: LENGTH(w) > 2) AS fw,
+    list_filter(list_distinct(string_split({norm("'also ' || content")}, ' ')), lambda w: LENGTH(w) > 2) AS tw FROM v_fact),
+  noisy AS (SELECT a.turn, a.id, NOT COALESCE(bool_or(len(list_intersect(a.fw, b.tw)) > 0 AND len(list_intersect(a.fw, b.tw)) >= 0.4e0 * len(b.tw)), false) AS noise FROM own a LEFT JOIN own b ON a.turn = b.turn AND NOT b.invalidated GROUP BY 1, 2)"""
+
 ORACLES = {
+    "intent_domains": _q(_ASKED + """ SELECT session_id, idx, question, array_to_string(refs, ',') AS refs, array_to_string(list_filter([CASE WHEN w_architecture > 0 THEN 'architecture' END, CASE WHEN w_decisions > 0 THEN 'decisions' END, CASE WHEN w_errors > 0 THEN 'errors' END,
+  CASE WHEN w_files > 0 THEN 'files' END, CASE WHEN w_goals > 0 THEN 'goals' END, CASE WHEN w_state > 0 THEN 'state' END, CASE WHEN w_tools > 0 THEN 'tools' END], lambda x: x IS NOT NULL), ',') AS domains,
+  round(w_files + w_errors + w_decisions + w_architecture + w_state + w_tools + w_goals, 6) AS weight FROM asked""", "v_msg"),
+    "topic_shift": _q(_ASKED + """, w AS (SELECT session_id, idx, list_distinct(regexp_extract_all(lower(COALESCE(content, '')), '[a-z0-9_]{4,}')) AS now FROM said), b AS (SELECT *, LAG(now) OVER (PARTITION BY session_id ORDER BY idx) AS before FROM w)
+  SELECT session_id, idx, COALESCE(len(now) > 0 AND len(before) > 0 AND len(list_intersect(now, before)) * 10 < len(now), false) AS shift FROM b""", "v_msg"),
+    "fact_scores_intent": _q(_ASKED + f""", last AS (SELECT * FROM asked QUALIFY ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY idx DESC) = 1), {_LAST_TURN},
+  b AS (SELECT f.*, COALESCE(w_files + w_errors + w_decisions + w_architecture + w_state + w_tools + w_goals, 0.0e0) > 0 AS has, l.session_id IS NOT NULL AS asked,
+    GREATEST(CASE fact_type WHEN 'file_state' THEN w_files WHEN 'error' THEN w_errors WHEN 'decision' THEN w_decisions WHEN 'state' THEN GREATEST(w_architecture, w_state) WHEN 'observation' THEN w_architecture WHEN 'tool_result' THEN w_tools WHEN 'goal' THEN GREATEST(w_state, w_goals) ELSE 0.0e0 END,
+      CASE WHEN len(list_filter(refs, lambda r: contains(lower(f.content), lower(r)))) > 0 THEN 0.8e0 ELSE 0.0e0 END) AS boost FROM f LEFT JOIN last l ON f.session_id = l.session_id)
+  SELECT session_id, fact_id, round(CASE WHEN has THEN boost * 0.3e0 + similarity * 0.25e0 + recency * 0.2e0 + worth * 0.25e0 WHEN asked AND embedding IS NOT NULL AND query IS NOT NULL THEN similarity * 0.4e0 + recency * 0.3e0 + worth * 0.3e0 ELSE score END, 9) AS score FROM b""", "v_msg", "v_score"),
+    "fact_scores_embedding": _q(f", {_LAST_TURN} SELECT session_id, fact_id, round(CASE WHEN embedding IS NOT NULL AND query IS NOT NULL THEN similarity * 0.4e0 + recency * 0.3e0 + worth * 0.3e0 ELSE score END, 9) AS score FROM f", "v_score"),
+    "read_arguments": _q("""SELECT session_id, idx, path, CAST(idx AS BIGINT) AS "offset", CASE WHEN tool = 'read' THEN NULL ELSE CAST(40 AS BIGINT) END AS "limit" FROM v_read""", "v_read"),
+    "provenance_facts": _q("""SELECT session_id, idx AS turn, CASE tool WHEN 'read' THEN '[Read] ' || COALESCE(p, content) || ' read at turn ' || idx || ' (2 lines)' WHEN 'write' THEN '[Write] ' || COALESCE(p, 'unknown') || ' written at turn ' || idx ELSE '[Edit] ' || COALESCE(p, 'unknown') || ' edited at turn ' || idx END AS content,
+  'file_state' AS fact_type, 1.0e0 AS confidence, CASE WHEN tool = 'read' THEN COALESCE(p, content) ELSE p END AS touched FROM (SELECT *, CASE WHEN idx % 4 > 0 THEN path END AS p FROM v_read)""", "v_read"),
+    "full_writes": _q("""SELECT session_id, idx, 'c' || idx AS tool_call_id, 'src/' || session_id AS path, content FROM (SELECT * FROM v_msg WHERE role = 'assistant' QUALIFY ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY idx DESC) = 1) WHERE idx % 4 = 1 AND content <> ''""", "v_msg"),
+    "written_paths": _q("""SELECT f.session_id, 'src/' || (f.session_id + f.last_updated_turn % 2) AS path FROM v_file f JOIN (SELECT * FROM v_msg WHERE role = 'assistant' QUALIFY ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY idx DESC) = 1) m ON f.session_id = m.session_id AND f.last_updated_turn % 2 = 0 WHERE idx % 4 = 1 AND m.content <> ''""", "v_file", "v_msg"),
+    "resolved_sessions": _q("""SELECT request_id, session, rn = 1 AS created, CAST(SUM(CASE WHEN rn = 1 OR NOT recall_used THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY request_id) AS BIGINT) AS turn FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session ORDER BY request_id) AS rn FROM (
+  SELECT event_id AS request_id, recall_used, CASE session_id % 3 WHEN 0 THEN 's' || session_id WHEN 1 THEN 'a' || session_id ELSE CASE WHEN failed THEN 'request-' || event_id ELSE 'f' || session_id END END AS session FROM v_trace))""", "v_trace"),
+    "environment_fields": _q("""SELECT event_id, name, value FROM (SELECT event_id, unnest(['harness', 'working_directory', 'is_it_the_users', 'platform']) AS name, unnest(['Some Agent', '/work/' || session_id, CAST(failed AS VARCHAR), 'linux']) AS value FROM v_trace)""", "v_trace"),
+    "imported_modules": r"""SELECT doc_id, m AS module, replace(m, '.', '/') || '.py,' || replace(m, '.', '/') || '/__init__.py' AS files FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all('import ' || source || '.x' || chr(10) || text || chr(10) || '  from ' || lang || ' import y', '(?m)^\s*(?:from|import)\s+([a-zA-Z_][\w.]*)', 1)) AS m FROM documents)""",
+    "head_and_tail": r"""SELECT doc_id, CASE WHEN LENGTH(text) <= 300 THEN text ELSE h || chr(10) || '[...' || (LENGTH(text) - LENGTH(h) - LENGTH(t)) || ' chars compressed...]' || chr(10) || t END AS text
+  FROM (SELECT doc_id, text, regexp_replace(SUBSTRING(text, 1, 200), ' [^ ]*\z', '') AS h, regexp_replace(SUBSTRING(text, LENGTH(text) - 99), '\A[^ ]* ', '') AS t FROM documents)""",
+    "retrieval_ranking": _q(f", r AS ({_REL}), s AS (SELECT v_file.session_id, v_file.path, last_updated_turn, 1.0e0 + CASE WHEN last_updated_turn % 11 > 1 THEN (last_updated_turn % 11) / 10.0e0 ELSE CAST(last_updated_turn % 11 AS DOUBLE) END * 0.5e0 + relevance * 2 AS score FROM v_file JOIN (SELECT DISTINCT * FROM r) r ON v_file.session_id = r.session_id AND v_file.path = r.path)"
+        " SELECT session_id, path, round(score, 9) AS score, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY score DESC, last_updated_turn) AS rank FROM s", "v_file"),
+    "merged_files": _q("SELECT session_id, path, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY m) AS rank FROM (SELECT session_id, path, MIN(idx) AS m FROM v_read GROUP BY 1, 2)", "v_read"),
+    "cache_costs": _q("SELECT CAST(SUM(savings_tokens) AS BIGINT) AS hits, CAST(SUM(input_tokens - savings_tokens) AS BIGINT) AS misses, round(SUM(savings_tokens) / CAST(SUM(input_tokens) AS DOUBLE), 9) AS hit_rate, round(SUM(savings_tokens) * 0.0028e0 / 1e6 + SUM(input_tokens - savings_tokens) * 0.14e0 / 1e6, 9) AS cost, round(SUM(input_tokens) * 0.14e0 / 1e6, 9) AS uncached_cost FROM v_trace", "v_trace"),
+    "briefing_freshness": _q("SELECT session_id, turn_number, briefed, COALESCE(briefed >= turn_number - 1, false) AS fresh FROM (SELECT *, MAX(CASE WHEN assembly_mode = 'briefing' THEN turn_number END) OVER (PARTITION BY session_id ORDER BY turn_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS briefed FROM v_trace)", "v_trace"),
+    "expired_cleanup": _q(", gone AS (SELECT session_id FROM v_trace GROUP BY 1 HAVING COUNT(*) FILTER (failed) > 10) SELECT session_id, 'traces' AS store, COUNT(*) AS rows FROM v_trace WHERE session_id IN (SELECT * FROM gone) GROUP BY 1 UNION ALL SELECT session_id, 'messages', COUNT(*) FROM v_msg WHERE session_id IN (SELECT * FROM gone) GROUP BY 1", "v_trace", "v_msg"),
+    "noise_facts": _q(_NOISE + " SELECT * FROM noisy", "v_fact"),
+    "audit_gates": _q(_TRUTH + _NOISE + """ SELECT round(parse_rate, 9) AS parse_rate, round(accuracy, 9) AS accuracy, round(noise_rate, 9) AS noise_rate, parse_rate >= 0.95 AND accuracy >= 0.8 AND noise_rate <= 0.1 AS passes
+  FROM (SELECT AVG(CASE WHEN json_valid(props) THEN 1.0e0 ELSE 0.0e0 END) AS parse_rate FROM events), (SELECT AVG(CASE WHEN overlap >= 0.5 THEN 1.0e0 ELSE 0.0e0 END) AS accuracy FROM found), (SELECT AVG(CASE WHEN noise THEN 1.0e0 ELSE 0.0e0 END) AS noise_rate FROM noisy)""", "v_fact"),
     "session_summary": _q("""SELECT session_id, CAST(SUM(n) AS BIGINT) AS turns, CAST(SUM(i) AS BIGINT) AS input_tokens, CAST(SUM(s) AS BIGINT) AS savings_tokens, MIN(a) AS first_at, MAX(z) AS last_at, CAST(SUM(r) AS BIGINT) AS recalls, MAX(t) AS max_turn,
   string_agg(assembly_mode || ':' || n, ',' ORDER BY assembly_mode) AS modes, COALESCE(CAST(SUM(s) AS DOUBLE) / NULLIF(SUM(i), 0), 0) AS savings_ratio,
   COALESCE(CAST(SUM(s) FILTER (assembly_mode <> 'passthrough') AS DOUBLE) / NULLIF(SUM(i) FILTER (assembly_mode <> 'passthrough'), 0), 0) AS rewritten_ratio

@@ -8,7 +8,7 @@ from ..functions import content as C
 from ..functions import phrasing as P
 from ..functions import rendering as R
 from ..functions import text as T
-from ..operators import evals, facts, files, messages, ranking, reads, rewriting, sessions, traces
+from ..operators import evals, facts, files, intents, messages, provenance, ranking, reads, rewriting, sessions, traces
 from ..sources import adapters as A
 from ..streaming import stateful
 
@@ -66,7 +66,86 @@ def _chunks(s, d):
     )
 
 
+#: What users ask, said after the messages' own texts; the last adds nothing.
+ASKS = [" why does parse_it( fail in `src/a.py`", " explain the data model", " what did we decide on the requirement", " create a script", ""]
+
+
+def _asks(s, d):
+    said = F.element_at(F.array(*map(F.lit, ASKS)), F.expr("int((session_id + idx) % 5 + 1)"))
+    return A.messages(s, d).withColumn("content", F.concat("content", said))
+
+
+def _embedded(s, d):
+    """Facts with vectors where there are some, and the vectors that sessions ask with."""
+    v = A.table(s, d, "embeddings").select("vec_id", "embedding")
+    f = A.facts(s, d).join(v.withColumnRenamed("vec_id", "fact_id"), "fact_id", "left")
+    return f, v.select(F.col("vec_id").alias("session_id"), F.col("embedding").alias("query"))
+
+
+def _by_intent(s, d):
+    f, v = _embedded(s, d)
+    return intents.scored(f, intents.last_asked(_asks(s, d)).join(v, "session_id", "left"))
+
+
+def _by_embedding(s, d):
+    f, v = _embedded(s, d)
+    return intents.scored(f, v.withColumns({"weights": F.lit(None).cast("map<string,double>"), "refs": F.lit(None).cast("array<string>")}))
+
+
+def _audited(s, d):
+    f = A.facts(s, d).withColumn("turn", F.expr("session_id * 10 + (source_turn - 1) div 4"))
+    truth = f.where("not invalidated").select("turn", F.col("fact_id").alias("truth_id"), F.concat(F.lit("also "), "content").alias("content"))
+    return f.select("turn", F.col("fact_id").alias("id"), "content"), truth
+
+
+def _file_calls(s, d):
+    tool = F.when(F.col("tool") == "read", "Read").when(F.col("tool") == "write", "Write").otherwise("Edit")
+    return A.reads(s, d).select("session_id", F.col("idx").alias("turn"), tool.alias("tool"), F.when(F.expr("idx % 4 > 0"), F.col("path")).alias("path"), F.concat("content", F.lit("\nend")).alias("result"))
+
+
+def _written(s, d):
+    """Messages with a call in each of the assistant's."""
+    arguments = F.to_json(F.struct(F.concat(F.lit("src/"), F.col("session_id").cast("string")).alias("filename"), "content"))
+    name = F.when(F.col("idx") % 4 == 1, "write_file").otherwise("Edit")
+    call = F.struct(F.concat(F.lit("c"), F.col("idx").cast("string")).alias("id"), F.lit("function").alias("type"), F.struct(name.alias("name"), arguments.alias("arguments")).alias("function"))
+    return A.messages(s, d).withColumn("tool_calls", F.when(F.col("role") == "assistant", F.array(call)))
+
+
+def _requests(s, d):
+    sid = F.col("session_id").cast("string")
+    return A.traces(s, d).select(
+        F.col("event_id").alias("request_id"), F.when(F.expr("session_id % 3 = 0"), F.concat(F.lit("s"), sid)).otherwise("").alias("session_header"), F.when(F.expr("session_id % 3 = 1"), F.concat(F.lit("a"), sid)).alias("affinity_header"),
+        F.when(~F.col("failed"), F.concat(F.lit("f"), sid)).alias("fingerprint"), F.when(F.col("recall_used"), "tool").otherwise("user").alias("last_role"),
+    )
+
+
+def _system_prompts(s, d):
+    sid = F.col("session_id").cast("string")
+    return A.traces(s, d).select("event_id", F.concat(F.lit("You are Some Agent, here to help.\n<env>\n  Working directory: /work/"), sid, F.lit("\nIs it the user's: "), F.col("failed").cast("string"), F.lit("\nPlatform: a\nPlatform: linux\n</env>\n")).alias("system"))
+
+
 QUERIES = {
+    "intent_domains": lambda s, d: intents.asked(_asks(s, d)).select(
+        "session_id", "idx", "question", F.array_join("refs", ",").alias("refs"), F.array_join(F.array_sort(F.map_keys("weights")), ",").alias("domains"), F.round(F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, x: a + x), 6).alias("weight")
+    ),
+    "topic_shift": lambda s, d: intents.topic_shift(_asks(s, d)),
+    "fact_scores_intent": lambda s, d: _rounded(_by_intent(s, d), score=9),
+    "fact_scores_embedding": lambda s, d: _rounded(_by_embedding(s, d), score=9),
+    "read_arguments": lambda s, d: A.reads(s, d).select("session_id", "idx", provenance.read_arguments(F.concat(F.lit('{"path": "", "filename": "'), "path", F.lit('", "start_line": '), F.col("idx").cast("string"), F.when(F.col("tool") == "read", ', "line_count": "x"}').otherwise(', "limit": "40"}'))).alias("a")).select("session_id", "idx", "a.*"),
+    "provenance_facts": lambda s, d: provenance.provenance(_file_calls(s, d)),
+    "full_writes": lambda s, d: provenance.full_writes(_written(s, d)),
+    "written_paths": lambda s, d: provenance.invalidated_paths(A.files(s, d).select("session_id", F.expr("concat('src/', session_id + last_updated_turn % 2)").alias("path")), provenance.full_writes(_written(s, d))),
+    "resolved_sessions": lambda s, d: provenance.resolved_sessions(_requests(s, d)),
+    "environment_fields": lambda s, d: _system_prompts(s, d).select("event_id", F.explode(T.environment(F.col("system"))).alias("name", "value")),
+    "imported_modules": lambda s, d: A.table(s, d, "documents").select("doc_id", F.explode(T.imported_modules(F.concat(F.lit("import "), "source", F.lit(".x\n"), "text", F.lit("\n  from "), "lang", F.lit(" import y")))).alias("module")).withColumn("files", F.array_join(T.module_paths(F.col("module")), ",")),
+    "head_and_tail": lambda s, d: A.table(s, d, "documents").select("doc_id", T.head_and_tail(F.col("text")).alias("text")),
+    "retrieval_ranking": lambda s, d: _rounded(files.retrieval_ranked(A.files(s, d).withColumns({"reason": F.expr("concat('score ', last_updated_turn % 11, ' of 10')"), "pos": F.col("last_updated_turn")}), QUERY, (1.0, 0.5, 2.0)), score=9),
+    "merged_files": lambda s, d: files.first_seen(A.reads(s, d).groupBy("session_id", F.expr("idx div 4").alias("turn")).agg(F.array_sort(F.collect_list(F.struct("idx", "path")))["path"].alias("paths"))),
+    "cache_costs": lambda s, d: _rounded(traces.cache_costs(A.traces(s, d).withColumns({"cache_hit_tokens": F.col("savings_tokens"), "cache_miss_tokens": F.col("input_tokens") - F.col("savings_tokens")})), cost=9, uncached_cost=9, hit_rate=9),
+    "briefing_freshness": lambda s, d: traces.briefing_freshness(A.traces(s, d)),
+    "expired_cleanup": lambda s, d: sessions.expired_rows({"traces": A.traces(s, d), "messages": A.messages(s, d)}, A.traces(s, d).groupBy("session_id").agg(F.count_if("failed").alias("n")).where("n > 10")),
+    "noise_facts": lambda s, d: evals.noise(*_audited(s, d)),
+    "audit_gates": lambda s, d: _rounded(evals.audit_gates(A.table(s, d, "events").select(F.get_json_object("props", "$").isNotNull().alias("parsed")), QUERIES["truth_overlap"](s, d), evals.noise(*_audited(s, d))), parse_rate=9, accuracy=9, noise_rate=9),
     "session_summary": lambda s, d: traces.session_summary(A.traces(s, d)),
     "global_metrics": lambda s, d: _rounded(traces.global_metrics(A.traces(s, d)), curator_latency=6),
     "mode_counts": lambda s, d: traces.mode_counts(A.traces(s, d), ["curator", "briefing", "cold_start"]),
