@@ -112,6 +112,11 @@ _NOISE = f""", own AS (SELECT session_id * 10 + (source_turn - 1) // 4 AS turn,
   noisy AS (SELECT a.turn, a.id, NOT COALESCE(bool_or(len(list_intersect(a.fw, b.tw)) > 0 AND len(list_intersect(a.fw, b.tw)) >= 0.4e0 * len(b.tw)), false) AS noise FROM own a LEFT JOIN own b ON a.turn = b.turn AND NOT b.invalidated GROUP BY 1, 2)"""
 
 ORACLES = {
+    "changed_config": _q(""", m AS (SELECT assembly_mode, COUNT(*) AS n FROM v_trace GROUP BY 1), k AS (SELECT assembly_mode, 'turns' AS key, CAST(n AS VARCHAR) AS value FROM m UNION ALL SELECT assembly_mode, 'fixed', '1' FROM m UNION ALL SELECT assembly_mode, 'only_' || assembly_mode, 'x' FROM m)
+  SELECT key, COUNT(DISTINCT value) AS "values", COUNT(DISTINCT assembly_mode) AS experiments FROM k GROUP BY 1 HAVING COUNT(DISTINCT value) > 1 OR COUNT(DISTINCT assembly_mode) < (SELECT COUNT(*) FROM m)""", "v_trace"),
+    "compression_ratio": _q(""", h AS (SELECT session_id, COALESCE(content, '') AS c, SUBSTRING(COALESCE(content, ''), 1, 200) AS head FROM v_msg), p AS (SELECT *, CASE WHEN contains(head, chr(10)) THEN LENGTH(head) - strpos(reverse(head), chr(10)) + 1 ELSE 0 END AS last FROM h),
+  k AS (SELECT session_id, LENGTH(c) AS n, CASE WHEN last > 100 THEN last - 1 ELSE LENGTH(head) END AS cut FROM p), z AS (SELECT session_id, n, CASE WHEN n <= 200 THEN n ELSE cut + LENGTH(chr(10) || '... [' || (n - cut) || ' chars omitted]') END AS kept FROM k)
+  SELECT session_id, CAST(SUM(n) AS BIGINT) AS chars, CAST(SUM(kept) AS BIGINT) AS kept_chars, round(SUM(n) / CAST(GREATEST(SUM(kept), 1) AS DOUBLE), 9) AS ratio FROM z GROUP BY 1""", "v_msg"),
     "intent_domains": _q(_ASKED + """ SELECT session_id, idx, question, array_to_string(refs, ',') AS refs, array_to_string(list_filter([CASE WHEN w_architecture > 0 THEN 'architecture' END, CASE WHEN w_decisions > 0 THEN 'decisions' END, CASE WHEN w_errors > 0 THEN 'errors' END,
   CASE WHEN w_files > 0 THEN 'files' END, CASE WHEN w_goals > 0 THEN 'goals' END, CASE WHEN w_state > 0 THEN 'state' END, CASE WHEN w_tools > 0 THEN 'tools' END], lambda x: x IS NOT NULL), ',') AS domains,
   round(w_files + w_errors + w_decisions + w_architecture + w_state + w_tools + w_goals, 6) AS weight FROM asked""", "v_msg"),
