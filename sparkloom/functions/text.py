@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no relevance; fixed values.
-STOP_WORDS = (
-    "the a an and or of to in is it for on with this that be as at by from "
-    "do does add now then your you we can class method function file code line"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "of", "to", "in", "is", "it", "for", "on", "with", "this", "that", "be", "as", "at", "by", "from",
+    "do", "does", "add", "now", "then", "your", "you", "we", "can", "class", "method", "function", "file", "code", "line",
+]
 #: What a Python str.strip() takes off, within ASCII.
 _SPACE = r"[ \t\n\r\f\x0B]"
 
@@ -124,22 +124,42 @@ def module_paths(module: Column) -> Column:
 
 
 def head_and_tail(c: Column, most: int = 300) -> Column:
-    """A long text's first two thirds and last third of `most` characters, both cut at a blank where they have one, and how much lies between."""
+    """A long text's first two thirds and last third of `most` characters, both cut at a blank where they have one, and how much lies between; the mark between them is a fixed value."""
     head = F.regexp_replace(F.substring(c, 1, most * 2 // 3), r" [^ ]*\z", "")
     tail = F.regexp_replace(F.right(c, F.lit(most // 3)), r"\A[^ ]* ", "")
     left = (F.char_length(c) - F.char_length(head) - F.char_length(tail)).cast("string")
     return F.when(F.char_length(c) <= most, c).otherwise(F.concat(head, F.lit("\n[..."), left, F.lit(" chars compressed...]\n"), tail))
 
 
+def _between(c: Column, first: str, last: str) -> Column:
+    """What stands between two marks, whatever their case; empty without both."""
+    low = F.lower(c)
+    start = F.instr(low, F.lit(first))
+    rest = F.substring(c, start + len(first), F.char_length(c))
+    end = F.instr(F.lower(rest), F.lit(last))
+    return F.when((start > 0) & (end > 0), F.substring(rest, F.lit(1), end - 1)).otherwise("")
+
+
 def environment(system: Column) -> Column:
-    """Fields of a system prompt's <env> block as a map, names in lower case with underscores, and who the prompt says that the agent is; of repeated names the last counts."""
+    """Fields of a system prompt's <env> block as a map, and who its head says that the agent is, as `harness`; of repeated names the last counts.
+
+    A field is a line with a name, a colon and a value; names are in lower case, blanks in them underscores, apostrophes left out.
+    """
     c = F.coalesce(system, F.lit(""))
-    lines = F.split(F.regexp_extract(c, r"(?is)<env>\s*(.*?)\s*</env>", 1), "\n")
-    found = F.filter(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^\s*(.+?):\s*(.+)$", 1).alias("k"), F.regexp_extract(x, r"^\s*(.+?):\s*(.+)$", 2).alias("v"))), lambda e: e["k"] != "")
-    name = lambda k: F.replace(F.replace(F.lower(F.trim(k)), F.lit(" "), F.lit("_")), F.lit("'"), F.lit(""))
-    agent = F.trim(F.regexp_extract(F.substring(c, 1, 500), r"(?i)You are (\w[\w\s.]*?)(?:,|\.|—)", 1))
-    who = F.when(agent != "", F.array(F.struct(F.lit("harness").alias("k"), agent.alias("v")))).otherwise(F.array().cast("array<struct<k: string, v: string>>"))
-    all_ = F.reverse(F.concat(who, F.transform(found, lambda e: F.struct(name(e["k"]).alias("k"), F.trim(e["v"]).alias("v")))))
+    pair = "struct<k: string, v: string>"
+    entry = lambda k, v: F.struct(k.alias("k"), v.alias("v")).cast(pair)
+    name = lambda k: F.translate(F.lower(k), " '", "_")
+    cut = lambda x: F.instr(x, F.lit(":"))
+    one = lambda x: entry(name(F.trim(F.substring(x, F.lit(1), cut(x) - 1))), F.trim(F.substring(x, cut(x) + 1, F.char_length(x))))
+    lines = F.filter(F.split(_between(c, "<env>", "</env>"), "\n"), lambda x: cut(x) > 1)
+    fields = F.filter(F.transform(lines, one), lambda e: (e["k"] != "") & (e["v"] != ""))
+    head = F.substring(c, 1, 500)
+    said = F.when(F.contains(F.lower(head), F.lit("you are ")), F.substring(head, F.instr(F.lower(head), F.lit("you are ")) + 8, F.char_length(head)))
+    agent = F.trim(F.split(said, "[,.\u2014]")[0])
+    # a name ends at punctuation, and is of words
+    named = F.coalesce((agent != "") & agent.rlike(r"^\w[\w\s]*$") & said.rlike("[,.\u2014]"), F.lit(False))
+    who = F.when(named, F.array(entry(F.lit("harness"), agent))).otherwise(F.array().cast(f"array<{pair}>"))
+    all_ = F.reverse(F.concat(who, fields))
     keys = F.transform(all_, lambda e: e["k"])
     return F.map_from_entries(F.filter(all_, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
 
@@ -155,20 +175,3 @@ def message_fingerprint(role: Column, content: Column) -> Column:
 
 def path_plausible(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[\w./\\@-]+\.[A-Za-z0-9]{1,8}$") & ~c.contains(".."), F.lit(False))
-
-
-#: Intent patterns in order of precedence: type and what a user's text says. Written for Java and RE2 alike.
-INTENTS = (
-    ("recall", r"(?i)(what did (we|you|i) .*(decide|choose|agree|set|use)|remember when|earlier (we|you|i) |recap|summari[sz]e)"),
-    ("debug", r"(?i)(error|exception|traceback|failed|failing|broken|debug|not working)"),
-    ("status", r"(?i)(what have (we|you|i) done|where (are|were) we|progress|status|so far)"),
-    ("exploration", r"(?i)(how does .*work|explain|describe|architecture|design|structure)"),
-    ("action", r"(?i)(refactor|rewrite|implement|create|build|write|update|change|modify|rename|delete|remove)"),
-)
-
-
-def intent(c: Column) -> Column:
-    out = None
-    for name, pattern in INTENTS:
-        out = F.when(c.rlike(pattern), name) if out is None else out.when(c.rlike(pattern), name)
-    return out.otherwise("general")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import asking
 from ..functions import text as T
 
 
@@ -103,7 +104,7 @@ def selected_turns(messages: DataFrame, selection: DataFrame, tail: int = 4) ->
 
 def intents(messages: DataFrame) -> DataFrame:
     """Intent of each user message, and whether it differs from the one before."""
-    own = T.intent(F.coalesce("content", F.lit("")))
+    own = asking.kind(F.col("content"))
     users = messages.where(F.col("role") == "user").select("session_id", "idx", own.alias("intent"))
     return users.withColumn("shift", F.coalesce(F.col("intent") != F.lag("intent").over(_order()), F.lit(False)))
 

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-#: What the queries' word list and patterns have to be, stated again here; fixed values.
-STOP_WORDS = (
-    "the a an and or of to in is it for on with this that be as at by from "
-    "do does add now then your you we can class method function file code line"
-).split()
-INTENTS = (
-    ("recall", r"(?i)(what did (we|you|i) .*(decide|choose|agree|set|use)|remember when|earlier (we|you|i) |recap|summari[sz]e)"),
-    ("debug", r"(?i)(error|exception|traceback|failed|failing|broken|debug|not working)"),
-    ("status", r"(?i)(what have (we|you|i) done|where (are|were) we|progress|status|so far)"),
-    ("exploration", r"(?i)(how does .*work|explain|describe|architecture|design|structure)"),
-    ("action", r"(?i)(refactor|rewrite|implement|create|build|write|update|change|modify|rename|delete|remove)"),
-)
+from ..functions.asking import CUES, ENDINGS
+
+#: What the queries' word list has to be, stated again here; fixed values.
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "of", "to", "in", "is", "it", "for", "on", "with", "this", "that", "be", "as", "at", "by", "from",
+    "do", "does", "add", "now", "then", "your", "you", "we", "can", "class", "method", "function", "file", "code", "line",
+]
 
 V = {
     "v_trace": """SELECT user_id AS session_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn_number, ts AS created_at,
@@ -86,20 +81,48 @@ _TRUTH = f""", words AS (SELECT session_id * 10 + (source_turn - 1) // 4 AS turn
   truth AS (SELECT session_id * 10 + (source_turn - 1) // 4 AS turn, fact_id AS truth_id, list_filter(list_distinct(string_split({norm("'also ' || content")}, ' ')), lambda w: LENGTH(w) > 2) AS tw FROM v_fact),
   found AS (SELECT t.turn, truth_id, MAX(CASE WHEN len(tw) = 0 OR fw IS NULL THEN 0.0e0 ELSE len(list_intersect(tw, fw)) / CAST(len(tw) AS DOUBLE) END) AS overlap FROM truth t LEFT JOIN words w ON t.turn = w.turn GROUP BY 1, 2)"""
 
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _held(line: str, words: list[str], more: str = "true") -> str:
+    """Whether a padded line holds one of some words (w) for which more is true."""
+    return f"len(list_filter({_list(words)}, lambda w: contains({line}, ' ' || w || ' ') AND {more})) > 0"
+
+
+def _cued(kind: str) -> str:
+    """Whether a line of `lines` holds a cue of a kind of question."""
+    alone, pairs = next((a, p) for k, a, p in CUES if k == kind)
+    rest = "substr(line, strpos(line, ' ' || w || ' ') + length(w) + 1)"
+    later = lambda words: f"len(list_filter({_list(words)}, lambda x: contains({rest}, ' ' || x || ' '))) > 0"
+    return f"len(list_filter(lines, lambda line: {' OR '.join([_held('line', alone), *(_held('line', first, later(words)) for first, words in pairs)])})) > 0"
+
+
+def _lines(c: str) -> str:
+    return rf"list_transform(string_split(regexp_replace(lower(COALESCE({c}, '')), '[^\p{{L}}\p{{N}}_\n]+', ' ', 'g'), chr(10)), lambda x: ' ' || trim(x) || ' ')"
+
+
+#: The order in which kinds are tried, and what a message without cues is.
+_QUESTION = "CASE " + " ".join(f"WHEN {_cued(k)} THEN '{k}'" for k in ("debug", "recall", "status", "exploration", "action")) + " ELSE 'followup' END"
 #: Again stated here: words of domains, weights by kind of question, and types of facts; fixed values.
 _DOMAINS = {
-    "errors": "error exception traceback fail crash bug issue broken TypeError ValueError KeyError ImportError SyntaxError RuntimeError".split(),
+    "errors": ["error", "exception", "traceback", "fail", "crash", "bug", "issue", "broken", "TypeError", "ValueError", "KeyError", "ImportError", "SyntaxError", "RuntimeError"],
     "decisions": ["decide", "decision", "chose", "choice", "approach", "strategy", "tradeoff", "trade-off", "rationale", "why did we"],
     "architecture": ["architecture", "design", "pattern", "module", "component", "layer", "service", "pipeline", "flow", "data model", "schema"],
-    "goals": "goal objective task milestone requirement spec target".split(),
-    "tools": "tool command script npm pip cargo make docker git curl test".split(),
+    "goals": ["goal", "objective", "task", "milestone", "requirement", "spec", "target"],
+    "tools": ["tool", "command", "script", "npm", "pip", "cargo", "make", "docker", "git", "curl", "test"],
 }
 _shown = lambda d: f"CASE WHEN regexp_matches(content, '(?i)(?:^|[^a-z0-9_])(?:{'|'.join(_DOMAINS[d])})(?:[^a-z0-9_]|$)') THEN 0.3e0 ELSE 0.0e0 END"
 _kind = lambda **w: "CASE question " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in w.items()) + " ELSE 0.0e0 END"
-_ASKED = fr""", said AS (SELECT session_id, idx, content || [' why does parse_it( fail in `src/a.py`', ' explain the data model', ' what did we decide on the requirement', ' create a script', ''][CAST((session_id + idx) % 5 + 1 AS INT)] AS content FROM v_msg WHERE role = 'user'),
-  kinds AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(COALESCE(content, ''), '{p}') THEN '{n}'" for n, p in INTENTS)} ELSE 'general' END AS question,
-    list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(COALESCE(content, ''), '(?:^|[\s`"''])([a-zA-Z_][\w./\\-]*\.(?:py|js|ts|tsx|jsx|json|yaml|yml|toml|md|sql|sh|css|html|rs|go|java|cpp|c|h))\b', 1),
-      regexp_extract_all(COALESCE(content, ''), '(?i)(?:^|[\s`])([a-z_][a-z0-9_]*(?:\.[a-z_][a-z0-9_]*)*)\s*\(', 1)), regexp_extract_all(COALESCE(content, ''), '`([a-zA-Z_][\w.]*)`', 1)))) AS refs FROM said),
+_SAID = """said AS (SELECT session_id, idx, content || [' why does parse_it( fail in `src/a.py`', ' explain the data model', ' what did we decide on the requirement', ' create a script', '', ' what did we decide about the error', ' let''s go ahead', chr(10) || 'actually, please' || chr(10) || 'add it'][CAST((session_id + idx) % 8 + 1 AS INT)] AS content FROM v_msg WHERE role = 'user')"""
+_ASKED = fr""", {_SAID},
+  cut AS (SELECT *, {_lines('content')} AS lines, list_transform(regexp_split_to_array(COALESCE(content, ''), '[\s`"'']+'), lambda w: string_split(regexp_extract(w, '^[A-Za-z_][\w./\-]*'), '.')) AS paths,
+    list_transform(string_split(COALESCE(content, ''), '('), lambda x, i: regexp_split_to_array(CASE WHEN i > 1 THEN '(' ELSE '' END || regexp_replace(x, '\s+$', ''), '[\s`]')[-1]) AS before, string_split(COALESCE(content, ''), '`') AS ticks FROM said),
+  named AS (SELECT *, list_transform(paths, lambda p: list_max(list_filter(range(2, len(p) + 1), lambda i: list_contains({_list(ENDINGS)}, regexp_extract(p[i], '^\w+'))))) AS ends FROM cut),
+  kinds AS (SELECT session_id, idx, content, {_QUESTION} AS question, list_sort(list_distinct(list_concat(list_concat(
+      list_transform(list_filter(range(1, len(paths) + 1), lambda i: ends[i] IS NOT NULL), lambda i: array_to_string(paths[i][1:ends[i] - 1], '.') || '.' || regexp_extract(paths[i][ends[i]], '^\w+')),
+      list_filter(before[1:len(before) - 1], lambda n: regexp_matches(n, '^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*$'))),
+      list_filter(ticks[2:len(ticks) - 1], lambda n: regexp_matches(n, '^[a-zA-Z_][\w.]*$'))))) AS refs FROM named),
   asked AS (SELECT *, GREATEST({_kind(debug=0.3, status=0.3, action=0.4)}, CASE WHEN len(refs) > 0 THEN 0.5e0 ELSE 0.0e0 END) AS w_files, GREATEST({_shown('errors')}, {_kind(debug=0.6)}) AS w_errors,
     GREATEST({_shown('decisions')}, {_kind(recall=0.5, status=0.4, action=0.2)}) AS w_decisions, GREATEST({_shown('architecture')}, {_kind(exploration=0.5)}) AS w_architecture,
     {_kind(debug=0.4, recall=0.3, status=0.3, exploration=0.3, action=0.3)} AS w_state, {_shown('tools')} AS w_tools, GREATEST({_shown('goals')}, {_kind(recall=0.4, status=0.5)}) AS w_goals FROM kinds)"""
@@ -120,8 +143,9 @@ ORACLES = {
     "intent_domains": _q(_ASKED + """ SELECT session_id, idx, question, array_to_string(refs, ',') AS refs, array_to_string(list_filter([CASE WHEN w_architecture > 0 THEN 'architecture' END, CASE WHEN w_decisions > 0 THEN 'decisions' END, CASE WHEN w_errors > 0 THEN 'errors' END,
   CASE WHEN w_files > 0 THEN 'files' END, CASE WHEN w_goals > 0 THEN 'goals' END, CASE WHEN w_state > 0 THEN 'state' END, CASE WHEN w_tools > 0 THEN 'tools' END], lambda x: x IS NOT NULL), ',') AS domains,
   round(w_files + w_errors + w_decisions + w_architecture + w_state + w_tools + w_goals, 6) AS weight FROM asked""", "v_msg"),
-    "topic_shift": _q(_ASKED + """, w AS (SELECT session_id, idx, list_distinct(regexp_extract_all(lower(COALESCE(content, '')), '[a-z0-9_]{4,}')) AS now FROM said), b AS (SELECT *, LAG(now) OVER (PARTITION BY session_id ORDER BY idx) AS before FROM w)
-  SELECT session_id, idx, COALESCE(len(now) > 0 AND len(before) > 0 AND len(list_intersect(now, before)) * 10 < len(now), false) AS shift FROM b""", "v_msg"),
+    "topic_shift": _q(f""", {_SAID}, w AS (SELECT session_id, idx, {_lines('content')} AS lines, list_distinct(regexp_extract_all(lower(COALESCE(content, '')), '[a-z0-9_]{{4,}}')) AS now FROM said), b AS (SELECT *, LAG(now) OVER (PARTITION BY session_id ORDER BY idx) AS before FROM w)
+  SELECT session_id, idx, COALESCE((before IS NOT NULL AND len(list_filter(lines, lambda line: {_held('line', ['actually', 'instead', 'switching', 'different', 'new topic', 'moving on', 'let s talk about', 'forget about', 'never mind'])})) > 0)
+    OR (len(now) > 0 AND len(before) > 0 AND len(list_intersect(now, before)) * 10 < len(now)), false) AS shift FROM b""", "v_msg"),
     "fact_scores_intent": _q(_ASKED + f""", last AS (SELECT * FROM asked QUALIFY ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY idx DESC) = 1), {_LAST_TURN},
   b AS (SELECT f.*, COALESCE(w_files + w_errors + w_decisions + w_architecture + w_state + w_tools + w_goals, 0.0e0) > 0 AS has, l.session_id IS NOT NULL AS asked,
     GREATEST(CASE fact_type WHEN 'file_state' THEN w_files WHEN 'error' THEN w_errors WHEN 'decision' THEN w_decisions WHEN 'state' THEN GREATEST(w_architecture, w_state) WHEN 'observation' THEN w_architecture WHEN 'tool_result' THEN w_tools WHEN 'goal' THEN GREATEST(w_state, w_goals) ELSE 0.0e0 END,
@@ -200,7 +224,7 @@ ORACLES = {
     "request_prefixes": _q("""SELECT session_id, idx, messages, chars, last_role FROM (SELECT session_id, idx, role, COUNT(*) OVER w AS messages, CAST(SUM(LENGTH(content)) OVER w AS BIGINT) AS chars, LAG(role) OVER (PARTITION BY session_id ORDER BY idx) AS last_role FROM v_msg
   WINDOW w AS (PARTITION BY session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE role = 'assistant' AND last_role IN ('user', 'tool')""", "v_msg"),
     "selected_turns": _q("""SELECT session_id, idx, turn FROM (SELECT *, MAX(idx) OVER (PARTITION BY session_id) AS z FROM v_turn) WHERE session_id % 3 = 0 OR (session_id % 3 = 1 AND turn = 1) OR idx > z - 2 OR role = 'system'""", "v_turn"),
-    "intent_class": _q(f""", u AS (SELECT session_id, idx, CASE {' '.join(f"WHEN regexp_matches(COALESCE(content, ''), '{p}') THEN '{n}'" for n, p in INTENTS)} ELSE 'general' END AS intent FROM v_msg WHERE role = 'user')
+    "intent_class": _q(f""", u AS (SELECT session_id, idx, {_QUESTION} AS intent FROM (SELECT *, {_lines('content')} AS lines FROM v_msg WHERE role = 'user'))
   SELECT session_id, idx, intent, COALESCE(intent <> LAG(intent) OVER (PARTITION BY session_id ORDER BY idx), false) AS shift FROM u""", "v_msg"),
     "message_preview": _q("""SELECT session_id, idx, CASE WHEN LENGTH(content) <= 100 THEN content ELSE cut || chr(10) || '... [' || (LENGTH(content) - LENGTH(cut)) || ' chars omitted]' END AS preview FROM (SELECT *, CASE WHEN last > 50 THEN SUBSTRING(content, 1, last - 1) ELSE SUBSTRING(content, 1, 100) END AS cut
   FROM (SELECT *, CASE WHEN strpos(reverse(SUBSTRING(content, 1, 100)), chr(10)) > 0 THEN LENGTH(SUBSTRING(content, 1, 100)) - strpos(reverse(SUBSTRING(content, 1, 100)), chr(10)) + 1 ELSE 0 END AS last FROM v_msg))""", "v_msg"),

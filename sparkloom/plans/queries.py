@@ -67,11 +67,13 @@ def _chunks(s, d):
 
 
 #: What users ask, said after the messages' own texts; the last adds nothing.
-ASKS = [" why does parse_it( fail in `src/a.py`", " explain the data model", " what did we decide on the requirement", " create a script", ""]
+ASKS = [
+    " why does parse_it( fail in `src/a.py`", " explain the data model", " what did we decide on the requirement", " create a script", "", " what did we decide about the error", " let's go ahead", "\nactually, please\nadd it",
+]
 
 
 def _asks(s, d):
-    said = F.element_at(F.array(*map(F.lit, ASKS)), F.expr("int((session_id + idx) % 5 + 1)"))
+    said = F.element_at(F.array(*map(F.lit, ASKS)), F.expr("int((session_id + idx) % 8 + 1)"))
     return A.messages(s, d).withColumn("content", F.concat("content", said))
 
 

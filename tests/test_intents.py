@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import asking
 from sparkloom.functions import text as T
 from sparkloom.operators import evals, files, intents, provenance, traces
 
@@ -20,6 +21,29 @@ def test_references_and_weights(spark):
     assert w("Our TARGET schema") == {"goals": 0.3, "architecture": 0.3}
 
 
+@pytest.mark.parametrize(("text", "kind"), [
+    ("what did we decide about the error", "debug"), ("What did we decide?", "recall"), ("what's the status", "recall"), ("status?", "status"), ("what\u2019s next", "status"), ("How does it work", "exploration"),
+    ("what is this thing for", "exploration"), ("let's go ahead", "action"), ("please add a test", "action"), ("please\nmake it", "followup"), ("please make it", "action"), ("why is it broken-ish", "debug"), ("why is it\nwrong", "followup"),
+    ("it won't ever work", "debug"), ("work won't", "followup"), ("fix the bug", "debug"), ("fix it", "followup"), ("the bug, fix", "followup"), ("recapture", "followup"), ("", "followup"), (None, "followup"), ("earlier you said", "recall"),
+])
+def test_kind_of_question(spark, text, kind):
+    assert value(spark, asking.kind(F.col("a")), a=text) == kind
+
+
+@pytest.mark.parametrize(("text", "refs"), [
+    ("see src/a.py:12, (x/b.js) and c.pyc", ["src/a.py"]), ("a.tar.c.h/x", ["a.tar.c.h"]), ("`a`b`c` `d e`f`", ["a", "c", "f"]), ("call  run.all  (x), (f(1))", ["run.all"]), ("x..py y.p", ["x..py"]), ("9a.py _b.go", ["_b.go"]),
+])
+def test_references_by_example(spark, text, refs):
+    assert value(spark, intents.references(F.col("a")), a=text) == refs
+
+
+def test_goals_and_confidence(spark):
+    m = spark.createDataFrame([(1, 0, "user", "fix the parser error in a.py"), (1, 1, "user", "hm"), (1, 2, "user", ""), (2, 0, "user", "hello"), (1, 3, "tool", "x")], "session_id int, idx int, role string, content string")
+    g = spark.createDataFrame([(1, "Write a parser")], "session_id int, goal string")
+    got = {(r.session_id, r.idx): (r.question, r.aligned, round(r.confidence, 2), r.domains) for r in intents.readings(m, g).collect()}
+    assert got == {(1, 0): ("debug", True, 1.0, ["files", "errors"]), (1, 1): ("followup", False, 0.5, []), (1, 2): ("followup", False, 0.1, []), (2, 0): ("followup", True, 0.5, [])}
+
+
 def test_scores_by_intent(spark):
     facts = spark.createDataFrame(
         [(1, 1, "file_state", "read src/A.py", 1.0, 3, [1.0, 0.0]), (1, 2, "error", "x", 0.5, 3, None), (2, 3, "goal", "y", 0.5, 1, [0.0, 1.0]), (3, 4, "odd", None, 0.0, 1, None)],
@@ -34,6 +58,8 @@ def test_scores_by_intent(spark):
 
 
 def test_topic_shift(spark):
+    said = spark.createDataFrame([(1, 0, "user", "Actually, parser of trees"), (1, 1, "user", "parser of trees, never mind"), (1, 2, "user", "parser of trees")], "session_id int, idx int, role string, content string")
+    assert {r.idx: r.shift for r in intents.topic_shift(said).collect()} == {0: False, 1: True, 2: False}
     rows = [(1, 0, "user", "parser of trees"), (1, 1, "assistant", "x"), (1, 2, "user", "the PARSER again"), (1, 3, "user", "entirely different matter"), (1, 4, "user", None), (1, 5, "user", "more words")]
     m = spark.createDataFrame(rows, "session_id int, idx int, role string, content string")
     assert {r.idx: r.shift for r in intents.topic_shift(m).collect()} == {0: False, 2: False, 3: True, 4: False, 5: False}
