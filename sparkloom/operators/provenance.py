@@ -19,19 +19,24 @@ def read_arguments(arguments: Column) -> Column:
     return F.struct(path_argument(arguments, ARGUMENT_KEYS["path"]).alias("path"), number(ARGUMENT_KEYS["offset"]).alias("offset"), number(ARGUMENT_KEYS["limit"]).alias("limit"))
 
 
-def provenance(calls: DataFrame) -> DataFrame:
-    """A fact for each file call (session_id, turn, tool, path, result): what was read, with its lines, written or edited, and when.
+def file_fact(tool: Column, path: Column, result: Column, turn: Column) -> Column:
+    """Struct (content, fact_type, confidence, touched) of a file call: what was read, with its lines, written or edited, and when.
 
     A read without a path takes the first line of its result, other calls `unknown`; only known paths count as touched.
     """
-    result = F.coalesce("result", F.lit(""))
-    is_read = F.col("tool").isin(*READS)
-    path = F.coalesce(F.nullif("path", F.lit("")), F.when(is_read, F.nullif(F.trim(F.substring_index(result, "\n", 1)), F.lit(""))), F.lit("unknown"))
+    result = F.coalesce(result, F.lit(""))
+    is_read = tool.isin(*READS)
+    path = F.coalesce(F.nullif(path, F.lit("")), F.when(is_read, F.nullif(F.trim(F.substring_index(result, "\n", 1)), F.lit(""))), F.lit("unknown"))
     lines = F.when(F.trim(result) != "", F.concat(F.lit(" ("), (F.char_length(result) - F.char_length(F.replace(result, F.lit("\n"), F.lit(""))) + 1).cast("string"), F.lit(" lines)"))).otherwise("")
-    verb = F.when(F.col("tool") == "Write", "written").otherwise("edited")
-    at = F.concat(F.lit(" at turn "), F.col("turn").cast("string"))
-    said = F.when(is_read, F.concat(F.lit("[Read] "), path, F.lit(" read"), at, lines)).otherwise(F.concat(F.lit("["), F.col("tool"), F.lit("] "), path, F.lit(" "), verb, at))
-    return calls.select("session_id", "turn", said.alias("content"), F.lit("file_state").alias("fact_type"), F.lit(1.0).alias("confidence"), F.nullif(path, F.lit("unknown")).alias("touched"))
+    verb = F.when(tool == "Write", "written").otherwise("edited")
+    at = F.concat(F.lit(" at turn "), turn.cast("string"))
+    said = F.when(is_read, F.concat(F.lit("[Read] "), path, F.lit(" read"), at, lines)).otherwise(F.concat(F.lit("["), tool, F.lit("] "), path, F.lit(" "), verb, at))
+    return F.struct(said.alias("content"), F.lit("file_state").alias("fact_type"), F.lit(1.0).alias("confidence"), F.nullif(path, F.lit("unknown")).alias("touched"))
+
+
+def provenance(calls: DataFrame) -> DataFrame:
+    """A fact for each file call (session_id, turn, tool, path, result); see file_fact."""
+    return calls.select("session_id", "turn", file_fact(F.col("tool"), F.col("path"), F.col("result"), F.col("turn")).alias("f")).select("session_id", "turn", "f.*")
 
 
 def full_writes(messages: DataFrame) -> DataFrame:

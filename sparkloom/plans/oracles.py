@@ -135,6 +135,23 @@ _NOISE = f""", own AS (SELECT session_id * 10 + (source_turn - 1) // 4 AS turn,
   noisy AS (SELECT a.turn, a.id, NOT COALESCE(bool_or(len(list_intersect(a.fw, b.tw)) > 0 AND len(list_intersect(a.fw, b.tw)) >= 0.4e0 * len(b.tw)), false) AS noise FROM own a LEFT JOIN own b ON a.turn = b.turn AND NOT b.invalidated GROUP BY 1, 2)"""
 
 ORACLES = {
+    "extracted_calls": _q(r""", c AS (SELECT session_id, last_updated_turn % 20 AS turn, last_updated_turn AS call_id, ['Read', 'Write', 'Glob', 'find_files', 'LS'][CAST(last_updated_turn % 5 + 1 AS INT)] AS tool, CASE WHEN last_updated_turn % 4 > 0 THEN path END AS p, COALESCE(content, '') AS r FROM v_file),
+  l AS (SELECT *, list_filter(list_transform(regexp_split_to_array(r, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines FROM c),
+  g AS (SELECT *, list_filter(lines, lambda x: NOT starts_with(x, 'Found') AND (tool = 'Glob' OR length(x) > 1)) AS paths, len(list_filter(lines, lambda x: ends_with(x, '/'))) AS dirs, COALESCE(p, NULLIF(trim(split_part(r, chr(10), 1)), '')) AS named FROM l)
+  SELECT session_id, turn, call_id, tool, CAST(0 AS BIGINT) AS pos, CASE tool
+    WHEN 'Read' THEN '[Read] ' || COALESCE(named, 'unknown') || ' read at turn ' || turn || CASE WHEN trim(r) <> '' THEN ' (' || (length(r) - length(replace(r, chr(10), '')) + 1) || ' lines)' ELSE '' END
+    WHEN 'Write' THEN '[Write] ' || COALESCE(p, 'unknown') || ' written at turn ' || turn
+    WHEN 'Glob' THEN '[Glob] *.html → ' || len(paths) || ' files: ' || array_to_string(paths[1:8], ', ') || CASE WHEN len(paths) > 8 THEN ', ... (' || len(paths) || ' total)' ELSE '' END
+    WHEN 'find_files' THEN '[find] found ' || len(paths) || ' paths matching query: ' || array_to_string(paths[1:8], ', ') || CASE WHEN len(paths) > 8 THEN ', ... (' || len(paths) || ' total)' ELSE '' END
+    ELSE '[ls] ' || COALESCE(p, '') || ': ' || len(lines) || ' entries (' || (len(lines) - dirs) || ' files, ' || dirs || ' dirs) — ' || array_to_string(lines[1:6], ', ') || CASE WHEN len(lines) > 6 THEN ', ...' ELSE '' END END AS content,
+    CASE WHEN tool IN ('Read', 'Write') THEN 'file_state' ELSE 'tool_result' END AS fact_type, 1.0e0 AS confidence, CASE tool WHEN 'Read' THEN NULLIF(named, 'unknown') WHEN 'Write' THEN p END AS touched FROM g""", "v_file"),
+    "extracted_text": _q(r""", c AS (SELECT session_id, source_turn AS turn, fact_id AS call_id, fact_id % 3 AS k, CASE WHEN fact_id % 2 = 0 THEN 'src/a.py:7:x' || chr(10) || 'error: said' || chr(10) || chr(10) ELSE '' END || content AS r FROM v_fact),
+  m AS (SELECT *, list_filter(list_transform(CASE WHEN contains(r, '---') THEN string_split(r, '---') ELSE string_split(r, chr(10) || chr(10)) END, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1:20] AS parts,
+    list_transform(regexp_extract_all(r, '(?:error|Error|ERROR):?\s+([^\n]{0,120})', 1), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS errors FROM c),
+  f AS (SELECT session_id, turn, call_id, k, CASE WHEN k = 2 THEN list_transform(parts, lambda x: '[memory_recall] ' || x) WHEN k = 1 AND len(errors) > 0 THEN list_transform(errors, lambda x: '[Bash] error: ' || x) WHEN k = 1 THEN ['[Bash] make all: ' || r[1:200]]
+    WHEN call_id % 2 = 0 THEN ['[Grep] ''a'' matched 1 times in src/a.py (lines 7)'] ELSE ['[Grep] ''a'' — no structured matches; raw output: ' || r[1:300]] END AS said, len(errors) > 0 AS bad FROM m)
+  SELECT session_id, turn, call_id, ['Grep', 'Bash', 'mcp__memory__recall_all'][CAST(k + 1 AS INT)] AS tool, CAST(i - 1 AS BIGINT) AS pos, said[i] AS content, CASE WHEN k = 2 THEN 'observation' WHEN k = 1 AND bad THEN 'error' ELSE 'tool_result' END AS fact_type,
+    CASE WHEN k = 2 THEN 0.8e0 WHEN k = 1 THEN CASE WHEN bad THEN 0.9e0 ELSE 0.4e0 END WHEN call_id % 2 = 0 THEN 1.0e0 ELSE 0.6e0 END AS confidence, CASE WHEN k = 0 AND call_id % 2 = 0 THEN 'src/a.py' END AS touched FROM f, unnest(range(1, len(said) + 1)) t(i)""", "v_fact"),
     "changed_config": _q(""", m AS (SELECT assembly_mode, COUNT(*) AS n FROM v_trace GROUP BY 1), k AS (SELECT assembly_mode, 'turns' AS key, CAST(n AS VARCHAR) AS value FROM m UNION ALL SELECT assembly_mode, 'fixed', '1' FROM m UNION ALL SELECT assembly_mode, 'only_' || assembly_mode, 'x' FROM m)
   SELECT key, COUNT(DISTINCT value) AS "values", COUNT(DISTINCT assembly_mode) AS experiments FROM k GROUP BY 1 HAVING COUNT(DISTINCT value) > 1 OR COUNT(DISTINCT assembly_mode) < (SELECT COUNT(*) FROM m)""", "v_trace"),
     "compression_ratio": _q(""", h AS (SELECT session_id, COALESCE(content, '') AS c, SUBSTRING(COALESCE(content, ''), 1, 200) AS head FROM v_msg), p AS (SELECT *, CASE WHEN contains(head, chr(10)) THEN LENGTH(head) - strpos(reverse(head), chr(10)) + 1 ELSE 0 END AS last FROM h),

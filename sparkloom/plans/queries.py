@@ -8,7 +8,7 @@ from ..functions import content as C
 from ..functions import phrasing as P
 from ..functions import rendering as R
 from ..functions import text as T
-from ..operators import evals, facts, files, intents, messages, provenance, ranking, reads, rewriting, sessions, traces
+from ..operators import evals, extraction, facts, files, intents, messages, provenance, ranking, reads, rewriting, sessions, traces
 from ..sources import adapters as A
 from ..streaming import stateful
 
@@ -105,6 +105,20 @@ def _file_calls(s, d):
     return A.reads(s, d).select("session_id", F.col("idx").alias("turn"), tool.alias("tool"), F.when(F.expr("idx % 4 > 0"), F.col("path")).alias("path"), F.concat("content", F.lit("\nend")).alias("result"))
 
 
+def _tool_calls(s, d):
+    """A call for each page, its text the result: reads, writes and listings in turn, some without a path."""
+    tool = F.element_at(F.array(*map(F.lit, ["Read", "Write", "Glob", "find_files", "LS"])), F.expr("int(last_updated_turn % 5 + 1)"))
+    arguments = F.to_json(F.struct(F.when(F.expr("last_updated_turn % 4 > 0"), F.col("path")).alias("path"), F.lit("*.html").alias("pattern")))
+    return A.files(s, d).select("session_id", (F.col("last_updated_turn") % 20).alias("turn"), F.col("last_updated_turn").alias("call_id"), tool.alias("tool"), arguments.alias("arguments"), F.col("content").alias("result"))
+
+
+def _text_calls(s, d):
+    """A call for each document, its text the result: searches of text, commands and memories in turn."""
+    tool = F.element_at(F.array(*map(F.lit, ["Grep", "Bash", "mcp__memory__recall_all"])), F.expr("int(fact_id % 3 + 1)"))
+    result = F.when(F.expr("fact_id % 2 = 0"), F.concat(F.lit("src/a.py:7:x\nerror: said\n\n"), "content")).otherwise(F.col("content"))
+    return A.facts(s, d).select("session_id", F.col("source_turn").alias("turn"), F.col("fact_id").alias("call_id"), tool.alias("tool"), F.lit('{"pattern": "a", "command": "make all"}').alias("arguments"), result.alias("result"))
+
+
 def _written(s, d):
     """Messages with a call in each of the assistant's."""
     arguments = F.to_json(F.struct(F.concat(F.lit("src/"), F.col("session_id").cast("string")).alias("filename"), "content"))
@@ -127,6 +141,8 @@ def _system_prompts(s, d):
 
 
 QUERIES = {
+    "extracted_calls": lambda s, d: extraction.extracted(_tool_calls(s, d)),
+    "extracted_text": lambda s, d: extraction.extracted(_text_calls(s, d)),
     "intent_domains": lambda s, d: intents.asked(_asks(s, d)).select(
         "session_id", "idx", "question", F.array_join("refs", ",").alias("refs"), F.array_join(F.array_sort(F.map_keys("weights")), ",").alias("domains"), F.round(F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, x: a + x), 6).alias("weight")
     ),
