@@ -9,7 +9,7 @@ A filter's response at a place is a sum of table entries, one for each byte unde
 folded into tables over pairs of bytes, so a place costs few look-ups whatever the width.
 
 Null texts and texts without a letter are `und` with score 0. With no labelled rows at all, as in an empty table, everything is `und`. Every label
-that occurs is learned, a rare one from all of its rows. A very long text is cut into windows like others. Rows with repeated or null doc_ids are predicted one by one; lang, source and doc_id are no inputs of a prediction, and
+that occurs is learned, one row of each at least, a rare one from all of its rows; so beside SAMPLE documents there is one for each label. A very long text is cut into windows like others. Rows with repeated or null doc_ids are predicted one by one; lang, source and doc_id are no inputs of a prediction, and
 other columns are ignored.
 """
 
@@ -148,9 +148,12 @@ def train(labelled: DataFrame) -> Network:
     draw = F.pmod(F.xxhash64(F.lit(9), "text", "doc_id"), F.lit(1 << 30))  # which rows are drawn; the network sees their texts alone
     rates = labelled.sparkSession.createDataFrame([(r[0], int(min(1.0, 1.3 * each / r[1]) * (1 << 30))) for r in counted], "lang string, rate long")
     chosen = named.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("lang", "text")
-    drawn = chosen.mapInArrow(_samples, "label string, bytes binary").distinct()
-    # about 1.3 * SAMPLE * PIECES windows
-    drawn = drawn.orderBy(F.xxhash64("label", "bytes"), "label", "bytes").limit(max(len(labels), 3 * SAMPLE * PIECES)).toArrow()
+    first = named.groupBy("lang").agg(F.min_by("text", F.struct(draw, "text")).alias("text"))  # each label draws this row at least
+    kind = "label string, bytes binary"
+    must = first.mapInArrow(_samples, kind).withColumn("late", F.lit(0))
+    drawn = must.union(chosen.mapInArrow(_samples, kind).withColumn("late", F.lit(1))).groupBy("label", "bytes").agg(F.min("late").alias("late"))
+    # about 1.3 * SAMPLE * PIECES windows, and PIECES at most for each label's first row; those go before the others
+    drawn = drawn.orderBy("late", F.xxhash64("label", "bytes"), "label", "bytes").limit((3 * SAMPLE + len(labels)) * PIECES).select("label", "bytes").toArrow()
     pairs = sorted(zip(drawn.column(0).to_pylist(), drawn.column(1).to_pylist(), strict=True))  # the order in which Spark hands them over doesn't matter
     y = np.searchsorted(labels, np.array([p[0] for p in pairs], dtype=object)) if pairs else np.zeros(0, int)
     x = np.frombuffer(b"".join(p[1] for p in pairs), dtype=np.uint8).reshape(-1, WINDOW)
@@ -164,10 +167,13 @@ def train(labelled: DataFrame) -> Network:
 
 def predictor(net: Network):
     """A column function of text: struct of lang_pred and score."""
+    held: dict[str, list] = {}  # of a worker's copy of this function
 
     def run(texts: pa.Array) -> pa.Array:
         scratch("langid")
-        folded = net.folded()
+        if not held:
+            held["folded"] = net.folded()
+        folded = held["folded"]
         letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         names, scores = [], []
         for at, to in slices(texts):

@@ -3,7 +3,7 @@
 All rolling word k-gram hashes of all texts are joined, in Spark, to the k-gram positions of license templates.
 Each hit is compared with the gram's words, votes for its offset diagonal (place in the document less place in the template),
 diagonals of one template that neighbour each other are merged (words were put in or left out between them),
-and a merged span is verified: it counts when enough of the template's grams stand in it in the template's order, each place of the template once. Short phrases are templates of their own whose
+and a merged span is verified: it counts when its longest chain of hits that rises in both text and template, by dynamic programming over the template's places, holds enough of the template's grams. Short phrases are templates of their own whose
 every gram must vote on one diagonal, so their places are exact.
 
 The template table is broadcast; it is a parameter of a few hundred rows and doesn't grow with the documents.
@@ -119,12 +119,13 @@ def license_spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: d
     votes = votes.withColumn("new", F.when(~F.col("whole") & F.coalesce(near, F.lit(False)), 0).otherwise(1))
     votes = votes.withColumn("span", F.sum("new").over(order))
     span = votes.groupBy("row", "doc_id", "n_words", "template", "k", "total", "whole", "span").agg(
-        F.sum("votes").alias("votes"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits")
+        F.sum("votes").alias("votes"), F.array_sort(F.transform(F.flatten(F.collect_list("hits")), lambda h: F.struct(h["pos"].alias("pos"), (-h["at"]).alias("back")))).alias("hits")
     )
-    # verification: of the span's grams, those that stand in the template's order, each place of the template once
+    # verification: the longest chain that rises in text and template. For each place of the template, the longest one that ends there, of those the one that begins and ends last;
+    # hits of one word come with falling places, so a chain holds one of them at most
     chain = F.expr(
-        "aggregate(hits, struct(-1 as last, 0 as n, -1 as low, -1 as high), (a, h) -> if(h.at > a.last,"
-        " struct(h.at as last, a.n + 1 as n, if(a.n = 0, h.pos, a.low) as low, h.pos as high), a))"
+        "array_max(aggregate(hits, array_repeat(struct(0 as n, -1 as low, -1 as high), total), (a, h) -> transform(a, (x, i) -> if(i <> -h.back, x, greatest(x,"
+        " coalesce(get(transform(filter(array(array_max(slice(a, 1, -h.back))), p -> p.n > 0), p -> struct(p.n + 1 as n, p.low as low, h.pos as high)), 0), struct(1 as n, h.pos as low, h.pos as high)))))))"
     )
     span = span.withColumn("chain", chain).withColumn("low", F.col("chain.low")).withColumn("high", F.col("chain.high"))
     score = F.col("chain.n") / F.col("total")

@@ -137,7 +137,7 @@ def repeated_chunks(docs: DataFrame, how=cut) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, how=cut) -> DataFrame:
-    """docs with repeated chunks of lines removed from text, and a last column `chunks_removed`; places that overlap count once."""
+    """docs with repeated chunks of lines removed from text, and a last column `chunks_removed`, which takes the place of one of that name; places that overlap count once."""
     places = repeated_chunks(docs, how).select(F.xxhash64("doc", "text_hash").alias("key"), "doc", F.col("text_hash").alias("h"), "places")
     places = _shared.written(places, "places")
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("d"), docs["text"].cast("string").alias("t"), F.xxhash64(docs["text"]).alias("x"))
@@ -150,7 +150,7 @@ def dedup_lines(docs: DataFrame, how=cut) -> DataFrame:
         " s -> string(substring(binary(t), int(s.a + 1), int(greatest(s.b - s.a, 0L))))), '')"
     )
     apart = F.expr("size(filter(zip_with(places, concat(array(0L), transform(places, p -> p.stop)), (p, before) -> p.start >= before), x -> x))")
-    fields = [F.when(F.col("places").isNull(), F.col("row.text")).otherwise(left).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
+    fields = [F.when(F.col("places").isNull(), F.col("row.text")).otherwise(left).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "chunks_removed"]
     return out.select(*fields, F.coalesce(apart, F.lit(0)).cast("long").alias("chunks_removed"))
 
 

@@ -238,18 +238,19 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = texts.mapInArrow(_pieces(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    pieces = _shared.written(pieces, "pieces")
+    # the running number, written once, parts rows that are equal in all else
+    pieces = _shared.written(pieces.withColumn("row_", F.monotonically_increasing_id()), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     table = places(plan(histogram, capacity))
     ranges = spark.createDataFrame(table or [(0,) * 6], "length long, low long, ranks long, sequence long, copies long, at long")
     sizes = spark.createDataFrame([(n, -(-c // BUCKET)) for n, c in histogram.items()] or [(0, 1)], "length long, buckets long")
     # both tables are broadcast; their size is bounded by the capacity
     dealt = pieces.join(F.broadcast(sizes), "length")
-    dealt = dealt.withColumn("bucket", F.expr("pmod(xxhash64(doc_id, piece, ids_crc32), buckets)")).drop("buckets")
+    dealt = dealt.withColumn("bucket", F.expr("pmod(xxhash64(row_), buckets)")).drop("buckets")
     before = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     order = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = before.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "bucket").orderBy("row_")
     ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(before, ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
     placed = ranked.join(F.broadcast(ranges), "length").where("rank >= low and rank < low + ranks")

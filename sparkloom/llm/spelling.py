@@ -182,15 +182,8 @@ def near_pairs(words: list[bytes], cell: np.ndarray, depth: np.ndarray) -> tuple
         of, cv = of[other], cv[other]
         cu = under.child(du[of], level.keys[cv] & 255)
         du, dv = cu[cu >= 0], cv[cu >= 0]
-        # words alone in their node and in no pair are done
-        if len(under.words) and len(under.keys) == len(under.words):
-            busy = np.zeros(len(level.keys), bool)
-            busy[np.concatenate((su, sv, dv))] = True
-            upper = np.zeros(len(under.keys), bool)
-            upper[du] = True
-            stay = busy[under.keys >> 8] | upper
-            if not stay.any():
-                break
+        if len(level.keys) == len(level.words) and not len(su) and not len(du):  # each word is alone in its node: no pair can begin any more
+            break
         level = under
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none)
 

@@ -46,6 +46,14 @@ def test_every_label_is_learned_and_reruns_agree(spark):
     assert all(np.array_equal(x, y) for x, y in zip([*a.tables, a.out], [*b.tables, b.out], strict=True))
 
 
+def test_more_labels_than_the_sample_has_room_for(spark, monkeypatch):
+    data = [(i, f"some text {i % 3000} of its own", f"l{i % 3000:04d}", "s") for i in range(6000)]
+    seen = []
+    monkeypatch.setattr(G.Network, "fit", lambda self, x, y: seen.append((len(self.labels), len(set(y.tolist())))))
+    G.train(frame(spark, data))
+    assert seen == [(3000, 3000)]
+
+
 def test_prediction_is_the_filters_own_sum():
     net = G.Network(["a", "b"])
     rng = np.random.default_rng(2)
@@ -135,6 +143,16 @@ def test_pipeline_with_odd_rows(spark, tmp_path):
     assert all(total[d] == copies[d] * (len(plain.encode(ids[d], add_special_tokens=False).ids) + 1) for d in ids)
 
 
+def test_pipeline_with_a_column_of_line_dedup(spark, tmp_path):
+    data = rows(60, 1)
+    docs = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(data + [(1000, *data[0][1:])])], "doc_id long, text string, lang string, source string, chunks_removed int, row string")
+    out = corpus_pipeline.dedup_lines(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and {(r.doc_id, r.chunks_removed) for r in out.collect()} == {(r[0], i) for i, r in enumerate(data)}
+    from sparkloom.llm import line_dedup
+
+    assert line_dedup.dedup_runs(docs).columns == ["doc_id", "text", "lang", "source", "row", "chunks_removed"]
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     frame(spark, rows(3)).where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
@@ -142,4 +160,4 @@ def test_pipeline_of_nothing(spark, tmp_path):
 
 def test_all_operators_are_registered():
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names

@@ -85,3 +85,48 @@ def test_notices_against_brute_force(spark):
                 assert L.LEAST <= got[i][label] <= share + 1e-9
             else:
                 assert notice not in t
+
+
+def longest(text, label):
+    """Share of a notice's grams in the longest chain of hits that rises in text and notice."""
+    words, n = re.findall(r"[a-z0-9]+", text.lower()), L.NOTICES[label].split()
+    own = [n[j : j + L.LONG] for j in range(len(n) - L.LONG + 1)]
+    hits = [(i, j) for i in range(len(words)) for j, g in enumerate(own) if words[i : i + L.LONG] == g]
+    best = {}
+    for i, j in hits:
+        best[i, j] = 1 + max((v for (a, b), v in best.items() if a < i and b < j), default=0)
+    return max(best.values(), default=0) / len(own)
+
+
+def test_titles_tails_and_notices_in_a_row(spark):
+    import random
+
+    whole = "Licensed under the Apache License, Version 2.0"
+    texts = ["Apache License Version 2.0\n" + whole, whole + " " + whole, "the Apache License, Version 2.0 " + whole, whole + "\nApache License Version 2.0", "Apache License Version 2.0. See: Apache License Version 2.0\n" + whole]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.label, s.score) for s in r.spans] for r in L.license_spans(docs).collect()}
+    assert all(("apache-2.0", 1.0) in got[i] for i in range(len(texts)))
+    rng = random.Random(5)
+    mixed = []
+    for _ in range(80):  # one notice, with a few words put in or left out, a part of it before or behind
+        label = rng.choice(sorted(L.NOTICES))
+        n = L.NOTICES[label].split()
+        out = [w for w in n if rng.random() > 0.04]
+        if rng.random() < 0.6:
+            out.insert(rng.randrange(len(out) + 1), "other")
+        if rng.random() < 0.4:
+            k = rng.randint(1, 5)
+            out = n[-k:] + out if rng.random() < 0.5 else out + n[:k]
+        mixed.append((" ".join(out), label))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(mixed)], "doc_id long, text string")
+    got = {r.doc_id: {s.label: s.score for s in r.spans} for r in L.license_spans(docs).collect()}
+    for i, (text, label) in enumerate(mixed):
+        want = longest(text, label)
+        assert got[i].get(label, 0) == (want if want >= L.LEAST else 0), (text, label)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    part = "Licensed under the Apache License "
+    docs = spark.createDataFrame([(1, part * 4000 + "Version 2.0", 1, 2, "x")], "doc_id long, text string, pos int, row int, template string")
+    (r,) = L.license_spans(docs).collect()
+    assert [(s.label, s.score) for s in r.spans] == [("apache-2.0", 1.0)] and r.n_words == 20003

@@ -102,3 +102,15 @@ def test_a_tokenizer_that_joins_across_spaces():
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["Two  Words, and\nmore", "", None]
     assert [ids.tolist() for _, ids in P._ids(encode, pa.array(texts))] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_many_equal_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET", 50)
+    docs = spark.createDataFrame([(None, "one and the same text")] * 2000 + [(1, "another")] * 3, "doc_id long, text string")
+    out = P.pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    at = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert len(out) == 2003 and max(at.values()) <= 4096
+    assert len(at) == -(-sum(at.values()) // 4096) or len(at) <= sum(at.values()) / 4096 + 1
