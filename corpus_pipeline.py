@@ -16,7 +16,11 @@ LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without letters or with no clear language go. With no labels to learn from, only the former go."""
+    """Documents in a known language; those with no clear language go.
+
+    Null texts, empty ones and those without a letter go. With no labels to learn from, as in a table whose lang is null throughout, only these go. Very long texts are judged by all of their windows. Repeated rows are judged
+    one by one, and alike. Null ids, sources and languages are no reason to go. Columns of any name are kept as they are. An empty table gives none.
+    """
     net = langid.train(docs)
     text = F.col("text").cast("string")
     if not net.labels:
@@ -25,23 +29,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines go, and documents of which nothing else is left, as of exact copies."""
-    out = line_dedup.dedup_runs(docs)
-    return out.where((F.col("chunks_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    """Repeated runs of lines go, and documents of which nothing else is left, as of exact copies.
+
+    The first place of a run keeps it: that of the smallest doc_id, null ids last. Of repeated rows, those equal in id and text come out alike. Null and empty texts have no runs, and stay. Very long texts are cut
+    like others. Columns of any name, `chunks_removed` among them, are kept as they are. An empty table gives none.
+    """
+    own = docs.toDF(*[c if c in ("doc_id", "text") else f"{i}_" for i, c in enumerate(docs.columns)])  # no name of the input meets one of the operator's
+    out = line_dedup.dedup_runs(own).where((F.col("chunks_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*own.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the smallest doc_id, of equal ids the smallest hash of the text; null ids last.
+
+    Of repeated rows one stays. Null texts, empty ones and those without words are like nothing else, and stay. Very long texts are compared as a whole. Columns of any name are kept as they are. An empty table gives none.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of the sources takes it."""
+    """Each document as often as the mix of the sources takes it, three times at most.
+
+    A null source is a source, the last; texts without words have size 0 and come with their source's whole copies. Repeated rows share their hash and are taken alike. A very long text counts as one document, so its
+    source may miss its target by half of it. Columns of any name are kept as they are. An empty table gives none.
+    """
     return mixing.taken_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens with their places in sequences of 4096."""
+    """Pieces of the documents' tokens with their places in sequences of 4096.
+
+    A null or empty text is its end mark alone. Very long texts are cut into pieces. Repeated rows are packed each by itself, null ids stay null. Other columns go. An empty table gives none.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
