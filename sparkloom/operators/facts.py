@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schemas import ANCHORS, FACT_PRIORITY
+from .lineage import cut
 
 
 def active(facts: DataFrame, pool: int = 200) -> DataFrame:
@@ -120,15 +121,15 @@ def without_near_known(new: DataFrame, known: DataFrame, more_than: float = 0.85
     pos = new.select("session_id", F.col("fact_id").alias("id"), "pos")
     pairs = token_pairs(side(new), side(new), ["session_id"], more_than, strict=True)
     pairs = pairs.join(pos.withColumnsRenamed({"id": "a", "pos": "pa"}), ["session_id", "a"]).join(pos.withColumnsRenamed({"id": "b", "pos": "pb"}), ["session_id", "b"]).where("pa < pb")
-    left = pairs.select("session_id", "a", "b").persist()
+    left = cut(pairs.select("session_id", "a", "b"))
     gone = None
     while left.head(1):
         later = left.select("session_id", F.col("b").alias("a")).distinct()
         first = left.select("session_id", "a").distinct().join(later, ["session_id", "a"], "left_anti")
-        out = left.join(first, ["session_id", "a"], "left_semi").select("session_id", "b").distinct().persist()
-        gone = out if gone is None else gone.union(out)
+        out = cut(left.join(first, ["session_id", "a"], "left_semi").select("session_id", "b").distinct())
+        gone = out if gone is None else cut(gone.union(out))
         over = out.select("session_id", F.col("b").alias("x"))
-        left = left.join(over.withColumnRenamed("x", "b"), ["session_id", "b"], "left_anti").join(over.withColumnRenamed("x", "a"), ["session_id", "a"], "left_anti").persist()
+        left = cut(left.join(over.withColumnRenamed("x", "b"), ["session_id", "b"], "left_anti").join(over.withColumnRenamed("x", "a"), ["session_id", "a"], "left_anti"))
     if gone is None:
         gone = left.select("session_id", "b")
     kept = new.join(gone.withColumnRenamed("b", "fact_id"), ["session_id", "fact_id"], "left_anti")
