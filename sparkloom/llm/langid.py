@@ -167,13 +167,13 @@ def train(labelled: DataFrame) -> Network:
 
 def predictor(net: Network):
     """A column function of text: struct of lang_pred and score."""
-    held: dict[str, list] = {}  # of a worker's copy of this function
+    tables: list = []  # of a worker's copy of this function
 
     def run(texts: pa.Array) -> pa.Array:
         scratch("langid")
-        if not held:
-            held["folded"] = net.folded()
-        folded = held["folded"]
+        if not tables:
+            tables.append(net.folded())
+        folded = tables[0]
         letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         names, scores = [], []
         for at, to in slices(texts):
