@@ -31,7 +31,9 @@ V = {
   + confidence * 0.3e0 + (1.0e0 / (1.0e0 + LN(1.0e0 + CAST(GREATEST(MAX(source_turn) OVER (PARTITION BY session_id) - source_turn, 0) AS DOUBLE)))) * 0.3e0 AS score,
   GREATEST(1, LENGTH('- [' || fact_type || '|t' || CAST(source_turn AS VARCHAR) || '] ' || content || chr(10)) // 4) AS tokens FROM v_fact""",
 }
-_NEEDS = {"v_again": ["v_fact"], "v_read": ["v_trace"], "v_turn": ["v_msg"], "v_supersedes": ["v_fact"], "v_score": ["v_fact"], "v_edge": ["v_file"]}
+V["v_tooled"] = """SELECT session_id, idx * 10 AS idx, role, content, CASE WHEN role = 'assistant' AND idx % 4 < 3 THEN 'c' || idx % 3 END AS call, CAST(NULL AS VARCHAR) AS tool_call_id, CAST(NULL AS VARCHAR) AS name FROM v_msg
+  UNION ALL SELECT session_id, idx * 10 + 5, 'tool', content || chr(10) || content, NULL, 'c' || idx % 3, CASE WHEN session_id % 2 = 0 THEN 'grep' ELSE 'read_file' END FROM v_msg WHERE role = 'assistant' AND idx % 4 < 3"""
+_NEEDS = {"v_tooled": ["v_msg"], "v_again": ["v_fact"], "v_read": ["v_trace"], "v_turn": ["v_msg"], "v_supersedes": ["v_fact"], "v_score": ["v_fact"], "v_edge": ["v_file"]}
 
 
 def norm(c: str) -> str:
@@ -66,7 +68,8 @@ def _q(text: str, *views: str, recursive: bool = False) -> str:
     for v in views:
         add(v)
     head = ", ".join(f"{v} AS ({V[v]})" for v in order)
-    return f"WITH {head} {text}" if not text.startswith(",") else f"WITH {head}{text}"
+    start = "WITH RECURSIVE" if recursive else "WITH"
+    return f"{start} {head} {text}" if not text.startswith(",") else f"{start} {head}{text}"
 
 
 _REL = f"""SELECT session_id, path, CASE WHEN len({idents("'install the href link and table of content title'")}) = 0 OR len(t) = 0 THEN 0.0e0 ELSE len(list_intersect({idents("'install the href link and table of content title'")}, t)) / CAST(len({idents("'install the href link and table of content title'")}) AS DOUBLE) END AS relevance
@@ -134,7 +137,73 @@ _NOISE = f""", own AS (SELECT session_id * 10 + (source_turn - 1) // 4 AS turn,
     list_filter(list_distinct(string_split({norm("'also ' || content")}, ' ')), lambda w: LENGTH(w) > 2) AS tw FROM v_fact),
   noisy AS (SELECT a.turn, a.id, NOT COALESCE(bool_or(len(list_intersect(a.fw, b.tw)) > 0 AND len(list_intersect(a.fw, b.tw)) >= 0.4e0 * len(b.tw)), false) AS noise FROM own a LEFT JOIN own b ON a.turn = b.turn AND NOT b.invalidated GROUP BY 1, 2)"""
 
+#: Messages with calls: where a tail begins, what its messages refer to, where it may begin, and its merged rows.
+_MERGED = r""", n AS (SELECT *, COUNT(*) OVER s AS n, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS spot FROM v_tooled WINDOW s AS (PARTITION BY session_id)),
+  b AS (SELECT r.session_id, r.spot, MAX(c.spot) AS call_at FROM n r JOIN n c ON c.session_id = r.session_id AND c.call = r.tool_call_id AND c.spot < r.spot GROUP BY 1, 2),
+  e AS (SELECT n.*, MIN(COALESCE(call_at, n.spot)) OVER (PARTITION BY n.session_id ORDER BY n.spot DESC) AS need FROM n LEFT JOIN b ON b.session_id = n.session_id AND b.spot = n.spot),
+  f AS (SELECT *, MAX(CASE WHEN need >= spot AND spot <= GREATEST(n - 4, 0) THEN spot END) OVER (PARTITION BY session_id) AS start, MIN(CASE WHEN role = 'user' AND spot >= n - 12 THEN spot END) OVER (PARTITION BY session_id) AS user_at FROM e),
+  k AS (SELECT * FROM f WHERE spot >= CASE WHEN n - start <= 12 THEN start ELSE COALESCE(user_at, n - 4) END),
+  h AS (SELECT session_id, MIN(idx) AS head FROM k WHERE role = 'user' OR EXISTS (SELECT 1 FROM k r WHERE r.session_id = k.session_id AND r.tool_call_id = k.call AND r.idx > k.idx) GROUP BY 1),
+  v AS (SELECT k.*, role NOT IN ('user', 'assistant') OR call IS NOT NULL OR content IS NULL AS alone FROM k JOIN h ON h.session_id = k.session_id AND k.idx >= head),
+  g AS (SELECT *, SUM(fresh) OVER (PARTITION BY session_id ORDER BY idx) AS run FROM (SELECT *, CASE WHEN role = LAG(role) OVER o AND NOT alone AND NOT LAG(alone) OVER o THEN 0 ELSE 1 END AS fresh FROM v WINDOW o AS (PARTITION BY session_id ORDER BY idx)))
+  SELECT session_id, MIN(idx) AS idx, MIN(role) AS role, string_agg(content, chr(10) || chr(10) ORDER BY idx) AS content, COUNT(*) AS merged FROM g GROUP BY session_id, run"""
+
+
+def _cut_sql(n: int) -> str:
+    head = f"c[1:{n}]"
+    back = f"strpos(reverse({head}), chr(10))"
+    cut = f"CASE WHEN {back} > 0 AND length({head}) - {back} > {n // 2} THEN c[1:length({head}) - {back}] ELSE {head} END"
+    return f"CASE WHEN shown THEN '[content already in session context — ' || length(c) || ' chars: ' || (regexp_replace(split_part(c, chr(10), 1), '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g'))[1:100] || '...]' ELSE {cut} || chr(10) || '[...' || (length(c) - length({cut})) || ' chars truncated by context ceiling...]' END"
+
+
+_CEILING = rf""", p AS (SELECT *, content AS c, idx > MAX(idx) OVER s - 20 AS tail, CASE WHEN role = 'system' THEN 1000.0e0 ELSE 0.4e0 * (ROW_NUMBER() OVER o - 1) / GREATEST(COUNT(*) OVER s - 1, 1) END AS priority,
+    COALESCE(FIRST_VALUE(CASE WHEN role = 'system' THEN content END) OVER (PARTITION BY session_id ORDER BY CASE WHEN role = 'system' THEN idx END NULLS LAST), '') AS ctx FROM v_tooled WINDOW s AS (PARTITION BY session_id), o AS (PARTITION BY session_id ORDER BY idx)),
+  t AS (SELECT *, CASE WHEN tail THEN NULL WHEN role = 'tool' AND name = 'grep' AND length(c) > 300 THEN 1 WHEN role = 'tool' AND length(c) > 900 THEN 2 WHEN role = 'assistant' AND length(c) > 300 THEN 3 END AS phase,
+    list_transform(list_filter(string_split(c, chr(10)), lambda x: length(trim(x)) >= 20)[1:8], lambda x: trim(x)[1:60]) AS heads FROM p),
+  w AS (SELECT *, length(ctx) >= 100 AND len(list_filter(heads, lambda x: contains(ctx, x))) >= 3 AND len(list_filter(heads, lambda x: contains(ctx, x))) * 2 >= len(heads) AS shown, regexp_replace(c[1:200], ' [^ ]*\z', '') AS h, regexp_replace(SUBSTRING(c, LENGTH(c) - 99), '\A[^ ]* ', '') AS e FROM t),
+  x AS (SELECT *, CASE phase WHEN 1 THEN {_cut_sql(300)} WHEN 2 THEN {_cut_sql(900)} WHEN 3 THEN h || chr(10) || '[...' || (length(c) - length(h) - length(e)) || ' chars compressed...]' || chr(10) || e END AS short FROM w),
+  y AS (SELECT *, CASE WHEN phase IS NULL THEN 0 ELSE CAST(trunc(({est('short')} - {est('c')}) * 1.1e0) AS BIGINT) END AS delta, GREATEST(CAST(FLOOR(SUM({est('c')}) OVER (PARTITION BY session_id) * 1.1e0) AS BIGINT), 100) AS start FROM x),
+  z AS (SELECT *, start + COALESCE(SUM(delta) OVER (PARTITION BY session_id ORDER BY phase NULLS LAST, priority, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM y),
+  a AS (SELECT *, phase IS NOT NULL AND MIN(held) OVER (PARTITION BY session_id ORDER BY phase NULLS LAST, priority, idx ROWS UNBOUNDED PRECEDING) > 1500 AS applied FROM z)
+  SELECT session_id, idx, CASE WHEN applied THEN phase END AS phase, CASE WHEN applied THEN short ELSE content END AS content FROM a"""
+
+_REFS = r""", e AS (SELECT session_id, src, dst, length(dst) % 5 AS k, regexp_replace(dst, '[?#].*$', '') AS plain FROM v_edge),
+  t AS (SELECT *, CASE k WHEN 0 THEN './' || repeat('../', length(src) - length(replace(src, '/', ''))) || dst WHEN 1 THEN '@/' || regexp_replace(dst, '^[^/]*/', '') WHEN 2 THEN dst || '?raw' WHEN 3 THEN regexp_extract(plain, '([^/]*)/*$', 1) ELSE regexp_replace(plain, '\.html$', '') END AS target FROM e),
+  b AS (SELECT *, CASE k WHEN 0 THEN regexp_replace(regexp_replace(plain, '/+', '/', 'g'), '/$', '') WHEN 1 THEN regexp_replace(regexp_replace(dst, '^[^/]*/', ''), '[?#].*$', '') WHEN 3 THEN '' ELSE CASE WHEN contains(plain, '/') THEN regexp_replace(plain, CASE WHEN k = 4 THEN '\.html$' ELSE '$^' END, '') ELSE '' END END AS base,
+    CASE WHEN k IN (2, 3, 4) THEN regexp_extract(regexp_replace(target, '[?#].*$', ''), '([^/]*)/*$', 1) ELSE '' END AS own, NOT contains(regexp_replace(target, '[?#].*$', ''), '/') AND contains(regexp_replace(target, '[?#].*$', ''), '.') AS dotted FROM t WHERE trim(regexp_replace(target, '[?#].*$', '')) <> ''),
+  f AS (SELECT DISTINCT session_id, path, regexp_extract(path, '([^/]*)/*$', 1) AS bn FROM v_file),
+  a AS (SELECT b.*, key, how, rank FROM b, unnest(list_concat(CASE WHEN base = '' THEN [] ELSE list_concat(
+      list_transform(range(1, 12), lambda i: {'how': 'path', 'rank': i, 'key': base || ['', '.ts', '.tsx', '.js', '.jsx', '.mjs', '.css', '.astro', '.vue', '.svelte', '.json'][i]}), list_transform(range(1, 6), lambda i: {'how': 'index', 'rank': i, 'key': base || '/index' || ['.ts', '.tsx', '.js', '.jsx', '.mjs'][i]})) END,
+      list_filter([{'how': 'name', 'rank': 1, 'key': own}, {'how': 'name', 'rank': 2, 'key': regexp_replace(own, '\.[^.]*$', '')}, {'how': 'name', 'rank': 3, 'key': CASE WHEN dotted THEN split_part(regexp_replace(target, '[?#].*$', ''), '.', -1) ELSE '' END}], lambda x: x.key <> ''))) u(c), LATERAL (SELECT c.key AS key, c.how AS how, c.rank AS rank)),
+  h AS (SELECT a.*, f.path, CASE WHEN how = 'name' THEN 'name' WHEN f.path = key THEN how WHEN how = 'path' THEN 'end' ELSE 'end_index' END AS way FROM a JOIN f ON f.session_id = a.session_id AND (CASE WHEN how = 'name' THEN key IN (f.path, bn, regexp_replace(bn, '\.[^.]*$', '')) ELSE f.path = key OR ends_with(f.path, '/' || key) END)),
+  g AS (SELECT session_id, src, target, path, way FROM h QUALIFY ROW_NUMBER() OVER (PARTITION BY session_id, src, target ORDER BY list_position(['path', 'index', 'end', 'end_index', 'name'], way), rank, path) = 1)
+  SELECT session_id, src, target, path AS dst, way FROM g WHERE src <> path"""
+
 ORACLES = {
+    "path_references": _q(_REFS, "v_edge"),
+    "python_symbols": _q(r""", c AS (SELECT session_id, fact_id, len(string_split(content, chr(10))) AS n FROM v_fact)
+  SELECT session_id, 'f' || fact_id || '.py' AS path, CAST(1 AS BIGINT) AS line, CAST(1 AS BIGINT) AS first, CAST(2 * n + 1 + CASE WHEN fact_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS last, CAST(0 AS INT) AS depth, 'class' AS kind, 'C' || fact_id AS name FROM c
+  UNION ALL SELECT session_id, 'f' || fact_id || '.py', 2 * i + 2, 2 * i + 2, 2 * i + 3 + CASE WHEN fact_id % 7 = 0 AND i = n - 1 THEN 1 ELSE 0 END, 1, 'def', CASE WHEN fact_id % 7 = 0 THEN '' ELSE 'C' || fact_id || '.' END || 'm' || i FROM c, unnest(range(0, n)) t(i)""", "v_fact"),
+    "outline_lookup": _q(r""", o AS (SELECT session_id, path, MIN(content[1:20]) AS outline FROM v_file GROUP BY 1, 2), q AS (SELECT DISTINCT session_id, CASE WHEN last_updated_turn % 2 = 0 THEN regexp_replace(path, '^[^/]*/', '') ELSE '/root/' || path END AS query FROM v_file)
+  SELECT q.session_id, query, path, outline FROM q JOIN o ON o.session_id = q.session_id AND (path = query OR ends_with(path, '/' || query) OR ends_with(query, '/' || path))
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY q.session_id, query ORDER BY path <> query, LEAST(length(path), length(query)) DESC, path) = 1""", "v_file"),
+    "briefing_ranges": _q("""SELECT session_id, CAST(fact_id AS VARCHAR) AS path, CAST(1 AS BIGINT) AS first, CAST(len(string_split(content, chr(10))) AS BIGINT) AS last, content FROM v_fact
+  UNION ALL SELECT session_id, CAST(fact_id AS VARCHAR), len(string_split(content, chr(10))) + 5, len(string_split(content, chr(10))) + 5, split_part(content, chr(10), 1) FROM v_fact""", "v_fact"),
+    "kept_briefings": _q("""SELECT CAST(2 AS INT) AS version, CAST(session_id AS VARCHAR) AS session_id, MAX(turn_number) AS source_turn, array_to_string(list_sort(list(DISTINCT turn_number)), ',') AS retained_turns, COALESCE(NULLIF(arg_max(assembly_mode, turn_number), 'curator'), 'two_pass') AS mode, 0.0e0 AS latency_ms, CAST(0 AS INT) AS files FROM v_trace GROUP BY session_id""", "v_trace"),
+    "trace_fields": _q("""SELECT event_id AS turn_id, 'extractor_prompt_tokens' AS name, CAST(CASE WHEN failed AND savings_tokens <> 0 THEN savings_tokens ELSE input_tokens END AS VARCHAR) AS value FROM v_trace WHERE input_tokens <> 0 OR (failed AND savings_tokens <> 0)
+  UNION ALL SELECT event_id, 'assembly_mode', assembly_mode FROM v_trace UNION ALL SELECT event_id, 'recall_used', CAST(recall_used AS VARCHAR) FROM v_trace UNION ALL SELECT event_id, 'recall_question', repeat(assembly_mode, 30)[1:200] FROM v_trace
+  UNION ALL SELECT event_id, 'recall_trigger', CASE WHEN failed THEN 'phrase' ELSE 'model_invoked' END FROM v_trace WHERE failed OR recall_used""", "v_trace"),
+    "merged_tail": _q(_MERGED, "v_tooled"),
+    "ceiling_phases": _q(_CEILING, "v_tooled"),
+    "answered_calls": _q("""SELECT r.session_id, r.idx, r.tool_call_id, arg_max(c.name, c.idx) AS name, arg_max('src/' || (c.idx // 10), c.idx) AS path, MAX(c.idx) AS call_idx, r.content FROM v_tooled r
+  JOIN (SELECT session_id, idx, call, CASE WHEN session_id % 2 = 0 THEN 'grep' ELSE 'read_file' END AS name FROM v_tooled WHERE call IS NOT NULL) c ON c.session_id = r.session_id AND c.call = r.tool_call_id WHERE r.role = 'tool' AND trim(r.content) <> '' GROUP BY r.session_id, r.idx, r.tool_call_id, r.content""", "v_tooled"),
+    "turn_eviction": _q(""", g AS (SELECT session_id, turn_number, created_at AS at, SUM(CASE WHEN epoch_us(created_at) - epoch_us(before) > 21600000000 THEN 1 ELSE 0 END) OVER o AS stay FROM (SELECT *, LAG(created_at) OVER o AS before FROM v_trace WINDOW o AS (PARTITION BY session_id ORDER BY created_at, turn_number)) WINDOW o AS (PARTITION BY session_id ORDER BY created_at, turn_number)),
+  r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, stay ORDER BY at DESC, turn_number DESC) AS k, MAX(stay) OVER (PARTITION BY session_id) AS last, MAX(at) OVER (PARTITION BY session_id, stay) AS until, MAX(at) OVER () AS now FROM g)
+  SELECT CAST(session_id AS VARCHAR) AS session_id, turn_number, epoch_us(at) AS at, CASE WHEN k > 3 THEN 'full' WHEN stay < last OR epoch_us(now) - epoch_us(until) > 21600000000 THEN 'idle' END AS why FROM r""", "v_trace"),
+    "neighbourhood": _q(""", e AS (SELECT 'session:' || session_id AS src, 'file:' || session_id || ':' || arg_max(path, last_updated_turn) AS dst FROM v_file GROUP BY session_id UNION SELECT 'session:' || session_id, 'fact:' || session_id || ':' || MAX(fact_id) FROM v_fact GROUP BY session_id
+    UNION SELECT 'file:' || session_id || ':' || src, 'file:' || session_id || ':' || dst FROM v_edge UNION SELECT 'fact:' || session_id || ':' || new_id, 'fact:' || session_id || ':' || old_id FROM v_supersedes),
+  w(node, hops) AS (SELECT DISTINCT src, CAST(0 AS BIGINT) FROM e WHERE starts_with(src, 'session:') UNION SELECT e.dst, hops + 1 FROM w JOIN e ON e.src = w.node WHERE hops < 60)
+  SELECT node, MIN(hops) AS hops FROM w GROUP BY 1""", "v_edge", "v_supersedes", recursive=True),
     "extracted_calls": _q(r""", c AS (SELECT session_id, last_updated_turn % 20 AS turn, last_updated_turn AS call_id, ['Read', 'Write', 'Glob', 'find_files', 'LS'][CAST(last_updated_turn % 5 + 1 AS INT)] AS tool, CASE WHEN last_updated_turn % 4 > 0 THEN path END AS p, COALESCE(content, '') AS r FROM v_file),
   l AS (SELECT *, list_filter(list_transform(regexp_split_to_array(r, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines FROM c),
   g AS (SELECT *, list_filter(lines, lambda x: NOT starts_with(x, 'Found') AND (tool = 'Glob' OR length(x) > 1)) AS paths, len(list_filter(lines, lambda x: ends_with(x, '/'))) AS dirs, COALESCE(p, NULLIF(trim(split_part(r, chr(10), 1)), '')) AS named FROM l)
@@ -337,14 +406,14 @@ ORACLES |= {
   SELECT m.session_id, idx FROM v_msg m JOIN p ON p.session_id = m.session_id WHERE CASE WHEN u = e THEN idx > COALESCE(q, -1) AND idx < u ELSE idx > COALESCE(u, -1) END""", "v_msg"),
     "strongest_status": _q("SELECT session_id, path, arg_max(tool, CASE tool WHEN 'grep' THEN 1 WHEN 'bash' THEN 2 WHEN 'read' THEN 3 ELSE 4 END) AS status FROM v_read GROUP BY 1, 2", "v_read"),
     "resolved_issues": _q("""SELECT i.session_id, i.summary, i.turn, r.resolved_turn, r.resolved_turn IS NULL AS open FROM (SELECT session_id, content AS summary, source_turn AS turn FROM v_fact WHERE fact_type = 'error') i
-  LEFT JOIN (SELECT session_id, content AS summary, MIN(source_turn) AS resolved_turn FROM v_again WHERE fact_type = 'error' AND source_turn % 3 = 0 GROUP BY 1, 2) r ON r.session_id = i.session_id AND r.summary = i.summary""", "v_again"),
+  LEFT JOIN (SELECT session_id, content AS summary, MIN(source_turn) AS resolved_turn FROM v_again WHERE fact_type = 'error' GROUP BY 1, 2) r ON r.session_id = i.session_id AND r.summary = i.summary""", "v_again"),
     "prefix_splice": _q("SELECT session_id, CAST(2 AS BIGINT) AS count, session_id % 2 = 0 AS hit FROM v_msg WHERE idx = 1", "v_msg"),
     "search_hits": _q("""SELECT session_id, path, hits, array_to_string(list_transform(a[1:3], lambda x: CAST(x AS VARCHAR)), ',') AS lines FROM (SELECT *, len(a) AS hits, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY path) r
   FROM (SELECT session_id, path, list_filter(range(1, len(string_split(content, chr(10))) + 1), lambda i: contains(string_split(content, chr(10))[i], '<p')) AS a FROM v_file) WHERE len(a) > 0) WHERE r <= 6""", "v_file"),
     "cached_view": _q("""SELECT session_id, path, array_to_string(list_transform(range(1, CASE WHEN len(l) <= 8 THEN len(l) ELSE 2 END + 1), lambda i: i || ': ' || l[i]), chr(10)) || CASE WHEN len(l) <= 8 THEN '' ELSE chr(10) || '... ' || len(l) || ' lines' END AS view FROM (SELECT *, string_split(COALESCE(content, ''), chr(10)) AS l FROM v_file)""", "v_file"),
     "command_names": _q("SELECT event_id, CASE WHEN failed THEN 'cd' ELSE assembly_mode END AS command FROM v_trace", "v_trace").replace("THEN 'cd' ELSE", "THEN 'builtin' ELSE"),
     "tool_outcomes": _q("SELECT session_id, idx, tool IN ('read', 'grep', 'bash') AS compressible, CASE WHEN idx % 5 = 0 THEN 'error' WHEN idx % 7 = 0 THEN 'soft_error' ELSE 'ok' END AS outcome FROM v_read", "v_read"),
-    "file_patterns": "SELECT page_id, '*View.test.tsx' AS pattern FROM pages",
+    "file_patterns": r"""SELECT page_id, '*' || upper(d[-1][1]) || d[-1][2:] || e AS pattern FROM (SELECT page_id, regexp_extract_all(regexp_replace(url, '^https?://|/.*$|[.]', ' ', 'g'), '[a-z]+') AS d, regexp_extract(url, '[.][a-z]+$', 0) AS e FROM pages)""",
 }
 ORACLES |= {
     "context_blocks": _q("""SELECT session_id, string_agg('=== ' || upper(fact_type) || ' ===' || chr(10) || content, chr(10) || chr(10) ORDER BY fact_id) AS block, COUNT(*) AS sections FROM v_fact WHERE NOT invalidated AND trim(content) <> '' GROUP BY 1""", "v_fact"),

@@ -8,9 +8,11 @@ from ..functions import content as C
 from ..functions import phrasing as P
 from ..functions import rendering as R
 from ..functions import text as T
-from ..operators import evals, extraction, facts, files, intents, messages, provenance, ranking, reads, rewriting, sessions, traces
+from ..functions import tokens as K
+from ..operators import briefing, compression, evals, extraction, facts, files, graph, intents, messages, outlines, provenance, ranking, reads, references, rewriting, sessions, traces
 from ..sources import adapters as A
 from ..streaming import stateful
+from ..streaming import turns as turns_
 
 def _rounded(df, **places):
     """Sums of floating-point numbers hang on their order in the last digits; reports show fewer."""
@@ -112,6 +114,83 @@ def _tool_calls(s, d):
     return A.files(s, d).select("session_id", (F.col("last_updated_turn") % 20).alias("turn"), F.col("last_updated_turn").alias("call_id"), tool.alias("tool"), arguments.alias("arguments"), F.col("content").alias("result"))
 
 
+def _encoded(s, d):
+    """Tokens of all documents by a public vocabulary."""
+    import public_tokenizers
+
+    n = K.counter(public_tokenizers.path("word_bpe_49k.json"))
+    return A.table(s, d, "documents").select("doc_id", n(F.col("text")).alias("tokens")).withColumn("estimate", K.estimate(F.col("tokens")))
+
+
+def _path_refs(s, d):
+    """References between files, written in one of five ways."""
+    ups = F.concat(F.lit("./"), F.expr("repeat('../', length(src) - length(replace(src, '/', '')))"), F.col("dst"))
+    home = F.concat(F.lit("@/"), F.regexp_replace("dst", "^[^/]*/", ""))
+    name, short = F.regexp_extract(F.regexp_replace("dst", "[?#].*$", ""), "([^/]*)/*$", 1), F.regexp_replace(F.regexp_replace("dst", "[?#].*$", ""), r"\.html$", "")
+    target = F.element_at(F.array(ups, home, F.concat("dst", F.lit("?raw")), name, short), F.expr("int(length(dst) % 5 + 1)"))
+    return _path_edges(s, d).select("session_id", F.col("src").alias("path"), target.alias("target"))
+
+
+def _sources(s, d):
+    """A Python file for each fact, with a method for each of its lines; every seventh is broken."""
+    lines = F.split("content", "\n")
+    methods = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("    def m"), i.cast("string"), F.lit("(self):\n        return "), F.char_length(x).cast("string"))), "\n")
+    source = F.concat(F.lit("class C"), F.col("fact_id").cast("string"), F.lit(":\n"), methods, F.when(F.expr("fact_id % 7 = 0"), "\nnot python at all").otherwise(""))
+    return A.facts(s, d).select("session_id", F.concat(F.lit("f"), F.col("fact_id").cast("string"), F.lit(".py")).alias("path"), source.alias("content"))
+
+
+def _excerpts(s, d):
+    """Three excerpts of each document: its first half and more, its last two thirds, and its first line as if it stood behind the end."""
+    f = A.facts(s, d).withColumn("lines", F.split("content", "\n")).withColumn("n", F.size("lines"))
+    part = lambda pos, first, of, size: F.struct(F.lit(pos).alias("pos"), first.cast("long").alias("first"), F.array_join(F.slice("lines", of, size), "\n").alias("result"))
+    half, third = F.expr("n div 2 + 1"), F.expr("n div 3 + 1")
+    parts = F.array(part(0, F.lit(1), F.lit(1), half), part(1, third, third, F.col("n")), part(2, F.col("n") + 5, F.lit(1), F.lit(1)))
+    return f.select("session_id", F.col("fact_id").cast("string").alias("path"), F.explode(parts).alias("p")).select("session_id", "path", "p.*")
+
+
+def _setters(s, d):
+    """What the steps of a turn set: counts, zero at times, and texts, some of them twice."""
+    t = A.traces(s, d)
+    one = lambda pos, name, value: F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("name"), value.cast("string").alias("value"))
+    steps = F.array(
+        one(0, "extractor_prompt_tokens", F.col("input_tokens")), one(1, "extractor_prompt_tokens", F.when(F.col("failed"), F.col("savings_tokens")).otherwise(F.lit(0))), one(0, "assembly_mode", F.lit("none")),
+        one(2, "assembly_mode", F.col("assembly_mode")), one(2, "assembly_mode", F.col("assembly_mode")), one(1, "recall_used", F.col("recall_used")), one(1, "recall_question", F.repeat(F.col("assembly_mode"), F.lit(30))), one(1, "recall_trigger", F.when(F.col("failed"), "phrase").otherwise("")),
+    )
+    return t.select(F.col("event_id").alias("turn_id"), F.explode(steps).alias("e")).select("turn_id", "e.*")
+
+
+def _briefings(s, d):
+    t = A.traces(s, d).groupBy(F.col("session_id").cast("string").alias("session_id")).agg(F.max("turn_number").alias("source_turn"), F.sort_array(F.collect_set("turn_number")).alias("retained_turns"), F.max_by("assembly_mode", "turn_number").alias("mode"))
+    return t.withColumn("mode", F.when(F.col("mode") != "curator", F.col("mode")))
+
+
+def _tooled(s, d):
+    """The conversations, a call in some answers and its result behind it, the call's id again in a later call of the session."""
+    m = A.messages(s, d)
+    call_id = F.concat(F.lit("c"), (F.col("idx") % 3).cast("string"))
+    arguments = F.to_json(F.struct(F.concat(F.lit("src/"), F.col("idx").cast("string")).alias("path")))
+    call = F.struct(call_id.alias("id"), F.lit("function").alias("type"), F.struct(F.when(F.expr("session_id % 2 = 0"), "grep").otherwise("read_file").alias("name"), arguments.alias("arguments")).alias("function"))
+    called = (F.col("role") == "assistant") & F.expr("idx % 4 < 3")
+    said = m.select("session_id", (F.col("idx") * 10).alias("idx"), "role", "content", F.when(called, F.array(call)).alias("tool_calls"), F.lit(None).cast("string").alias("tool_call_id"), F.lit(None).cast("string").alias("name"))
+    told = m.where(called).select("session_id", (F.col("idx") * 10 + 5).alias("idx"), F.lit("tool").alias("role"), F.concat("content", F.lit("\n"), "content").alias("content"), F.lit(None).cast("array<struct<id: string, type: string, function: struct<name: string, arguments: string>>>").alias("tool_calls"), call_id.alias("tool_call_id"), F.when(F.expr("session_id % 2 = 0"), "grep").otherwise("read_file").alias("name"))
+    return said.union(told)
+
+
+def _no_selection(s, d):
+    return A.messages(s, d).select("session_id").distinct().withColumn("turns", F.lit(None).cast("array<bigint>"))
+
+
+def _session_tree(s, d):
+    """Edges from each session to its newest file and newest fact, and on along references and supersessions."""
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col("session_id").cast("string"), F.lit(":"), F.col(c).cast("string"))
+    newest = A.files(s, d).groupBy("session_id").agg(F.max_by("path", "last_updated_turn").alias("path")).select("session_id", F.concat(F.col("session_id").cast("string"), F.lit(":"), F.col("path")).alias("id"))
+    last = A.facts(s, d).groupBy("session_id").agg(F.max("fact_id").alias("fact_id")).select("session_id", F.concat(F.col("session_id").cast("string"), F.lit(":"), F.col("fact_id").cast("string")).alias("id"))
+    refers = _path_edges(s, d).select(name("file", "src").alias("src"), name("file", "dst").alias("dst"))
+    supersedes = A.supersedes(s, d).select(name("fact", "new_id").alias("src"), name("fact", "old_id").alias("dst"))
+    edges = graph.session_graph({"file": newest, "fact": last}, {"refers": refers, "supersedes": supersedes})
+    return edges, edges.where("kind = 'has'").select(F.col("src").alias("node"))
+
+
 def _text_calls(s, d):
     """A call for each document, its text the result: searches of text, commands and memories in turn."""
     tool = F.element_at(F.array(*map(F.lit, ["Grep", "Bash", "mcp__memory__recall_all"])), F.expr("int(fact_id % 3 + 1)"))
@@ -141,6 +220,28 @@ def _system_prompts(s, d):
 
 
 QUERIES = {
+    "path_references": lambda s, d: references.resolved(_path_refs(s, d), A.files(s, d).select("session_id", "path")),
+    "python_symbols": lambda s, d: outlines.symbols(_sources(s, d)),
+    "python_focus": lambda s, d: outlines.focused(outlines.symbols(_sources(s, d)), "what does m3 return", 5),
+    "outline_lookup": lambda s, d: outlines.lookup(
+        A.files(s, d).select("session_id", "path", F.substring("content", 1, 20).alias("outline")).groupBy("session_id", "path").agg(F.min("outline").alias("outline")),
+        A.files(s, d).select("session_id", F.when(F.expr("last_updated_turn % 2 = 0"), F.regexp_replace("path", "^[^/]*/", "")).otherwise(F.concat(F.lit("/root/"), "path")).alias("query")).distinct(),
+    ),
+    "briefing_ranges": lambda s, d: briefing.ranges(_excerpts(s, d)),
+    "kept_briefings": lambda s, d: briefing.opened(briefing.kept(_briefings(s, d))).select("version", "session_id", "source_turn", F.array_join("retained_turns", ",").alias("retained_turns"), "mode", "latency_ms", F.size("files").alias("files")),
+    "trace_fields": lambda s, d: briefing.merged_fields(_setters(s, d)),
+    "encoded_tokens": lambda s, d: _encoded(s, d),
+    "merged_tail": lambda s, d: compression.merged(compression.from_valid_head(messages.coherence_tail(_tooled(s, d), 4, 12))).select("session_id", "idx", "role", "content", "merged"),
+    "ceiling_phases": lambda s, d: compression.under_ceiling(
+        compression.turn_priority(_tooled(s, d), _no_selection(s, d)).withColumn("tail", F.col("idx") > F.expr("max(idx) over (partition by session_id)") - 20), 1500, limits=(300, 900), least=100
+    ).select("session_id", "idx", "phase", "content"),
+    "rewritten_request": lambda s, d: compression.request(
+        _tooled(s, d), A.messages(s, d).select("session_id").distinct().select("session_id", F.when(F.expr("session_id % 3 > 0"), F.expr("array(2L, 1L)")).alias("turns")),
+        A.facts(s, d).where("not invalidated").groupBy("session_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list("content"))).alias("context")), base=3, ceiling=4000,
+    ),
+    "answered_calls": lambda s, d: reads.tool_results(_tooled(s, d)),
+    "turn_eviction": lambda s, d: turns_.fold(A.traces(s, d).select("session_id", "turn_number", F.col("created_at").alias("at")), 3, 6 * 3600).withColumn("at", F.unix_micros("at")),
+    "neighbourhood": lambda s, d: graph.reached(*_session_tree(s, d)),
     "extracted_calls": lambda s, d: extraction.extracted(_tool_calls(s, d)),
     "extracted_text": lambda s, d: extraction.extracted(_text_calls(s, d)),
     "intent_domains": lambda s, d: intents.asked(_asks(s, d)).select(
@@ -290,7 +391,7 @@ QUERIES = {
     "strongest_status": lambda s, d: rewriting.strongest(A.reads(s, d).select("session_id", "path", F.col("tool").alias("status"), F.col("idx").alias("pos")), ["grep", "bash", "read", "write"]),
     "resolved_issues": lambda s, d: rewriting.resolved_issues(
         A.facts(s, d).where("fact_type = 'error'").select("session_id", F.col("content").alias("summary"), F.col("source_turn").alias("turn")),
-        _said_again(s, d).where("fact_type = 'error' and source_turn % 3 = 0").select("session_id", F.col("content").alias("summary"), F.col("source_turn").alias("turn")),
+        _said_again(s, d).where("fact_type = 'error'").select("session_id", F.col("content").alias("summary"), F.col("source_turn").alias("turn")),
     ),
     "prefix_splice": lambda s, d: rewriting.spliced(A.messages(s, d), A.messages(s, d).where("idx = 1").select("session_id", F.lit(2).cast("long").alias("count"), T.message_fingerprint(F.when(F.col("session_id") % 2 == 0, F.col("role")).otherwise("x"), F.col("content")).alias("fingerprint"))),
     "search_hits": lambda s, d: rewriting.search_hits(A.files(s, d), "<p", 3, 6),
@@ -300,7 +401,7 @@ QUERIES = {
     "compressed_facts": lambda s, d: A.facts(s, d).select("fact_id", P.compressed_fact(F.concat(F.lit("I think that, to be frank, "), F.col("content"), F.lit(".")), *PHRASES).alias("fact")),
     "command_names": lambda s, d: A.traces(s, d).select("event_id", P.command_name(F.concat(F.lit("A=1 "), F.when(F.col("failed"), "cd").otherwise(F.col("assembly_mode")), F.lit("|head -3"))).alias("command")),
     "tool_outcomes": lambda s, d: A.reads(s, d).select("session_id", "idx", P.compressible(F.concat(F.lit("my_"), F.col("tool"))).alias("compressible"), P.outcome(F.when(F.col("idx") % 5 == 0, F.concat(F.lit(" Error: "), F.col("content"))).when(F.col("idx") % 7 == 0, "file not found").otherwise(F.col("content"))).alias("outcome")),
-    "file_patterns": lambda s, d: A.table(s, d, "pages").select("page_id", P.file_pattern(F.concat("url", F.lit("/UserListView.test.tsx"))).alias("pattern")),
+    "file_patterns": lambda s, d: A.table(s, d, "pages").select("page_id", P.file_pattern(F.concat(F.initcap(F.regexp_replace("url", "^https?://|/.*$|[.]", " ")), F.regexp_extract("url", "[.][a-z]+$", 0))).alias("pattern")),
     "context_blocks": lambda s, d: R.context_blocks(A.facts(s, d).select("session_id", F.col("fact_id").alias("pos"), F.upper("fact_type").alias("title"), F.when(~F.col("invalidated"), F.col("content")).alias("body"))),
     "task_map": lambda s, d: R.task_map(files.relevance(A.files(s, d), QUERY), "1"),
     "session_overview": lambda s, d: R.overview(A.files(s, d), A.facts(s, d).where("fact_type = 'decision'"), 5, 3),

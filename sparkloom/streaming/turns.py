@@ -63,6 +63,7 @@ def gone(turns: DataFrame, most: int = 100, idle: int = 1800, late: str = "0 sec
 
 def fold(turns: DataFrame, most: int = 100, idle: int = 1800) -> DataFrame:
     """The same over a table: why each turn (session_id, turn_number, at) left the state; null for those that are still held when the last turn of all has come."""
+    turns = turns.withColumn("at", F.col("at").cast("timestamp"))
     order = Window.partitionBy("session_id").orderBy("at", "turn_number")
     gap = F.col("at").cast("double") - F.lag("at").over(order).cast("double")
     rows = turns.withColumn("stay", F.sum(F.when(gap > idle, 1).otherwise(0)).over(order))
