@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import rewriting
 
 
 def keyword_recall(answers: DataFrame, keywords: list[str]) -> DataFrame:
@@ -34,6 +35,24 @@ def compared(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return left.join(right, key, "full").select(key, "a", "b", (F.col("b") - F.col("a")).alias("change"))
 
 
+def paired(a: DataFrame, b: DataFrame, key: str, value: str, error: str = "error") -> DataFrame:
+    """Two runs by instance, those left out that failed, or are missing, in one of them."""
+    fine = lambda d, n: d.where(F.col(error).isNull()).select(key, F.col(value).alias(n))
+    return fine(a, "a").join(fine(b, "b"), key).select(key, "a", "b", (F.col("b") - F.col("a")).alias("change"))
+
+
+def survivors(files: DataFrame, orders: dict[str, DataFrame], budgets: list[int]) -> DataFrame:
+    """(strategy, budget, session_id, files, paths): which files (session_id, path, content) are left when a context is filled in each strategy's order (session_id, path, rank) under each budget of characters."""
+    out = None
+    for strategy, order in orders.items():
+        ranked = files.select("session_id", "path", "content").join(order.select("session_id", "path", "rank"), ["session_id", "path"])
+        for budget in budgets:
+            kept = rewriting.code_fill(ranked, budget).groupBy("session_id").agg(F.count("*").alias("files"), F.array_join(F.array_sort(F.collect_list("path")), ",").alias("paths"))
+            part = kept.select(F.lit(strategy).alias("strategy"), F.lit(budget).alias("budget"), "session_id", "files", "paths")
+            out = part if out is None else out.union(part)
+    return out
+
+
 def micro_average(rows: DataFrame, levels: list[str]) -> DataFrame:
     """Coverage and precision per granularity from columns <level>_hit, <level>_gold, <level>_pred."""
     stack = ", ".join(f"'{x}', {x}_hit, {x}_gold, {x}_pred" for x in levels)
@@ -53,10 +72,10 @@ def truth_overlap(facts: DataFrame, truth: DataFrame) -> DataFrame:
 
     Truths and facts meet on the words that they share, which are counted; no pair without a common word is made.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(T.normalise(c), " "), lambda w: F.char_length(w) > 2))
+    words = lambda c: F.transform(F.array_distinct(F.filter(F.split(T.normalise(c), " "), lambda w: F.char_length(w) > 2)), lambda w: F.xxhash64(w))
     t = truth.select("turn", "truth_id", words(F.col("content")).alias("tw"))
-    own = t.select("turn", "truth_id", F.size("tw").alias("n"), F.explode("tw").alias("word")).withColumn("word", F.xxhash64("word"))
-    other = facts.select("turn", "id", F.explode(words(F.col("content"))).alias("word")).withColumn("word", F.xxhash64("word"))
+    own = t.select("turn", "truth_id", F.size("tw").alias("n"), F.explode("tw").alias("word"))
+    other = facts.select("turn", "id", F.explode(words(F.col("content"))).alias("word"))
     common = own.join(other, ["turn", "word"]).groupBy("turn", "truth_id", "id", "n").agg(F.count("*").alias("k"))
     best = common.groupBy("turn", "truth_id").agg(F.max(F.col("k").cast("double") / F.col("n").cast("double")).alias("best"))
     out = t.select("turn", "truth_id").join(best, ["turn", "truth_id"], "left").select("turn", "truth_id", F.coalesce("best", F.lit(0.0)).alias("overlap"))

@@ -74,22 +74,24 @@ def without_known(new: DataFrame, known: DataFrame) -> DataFrame:
     return new.join(first, ["session_id", "content_hash", "fact_id"], "left_semi").join(old, ["session_id", "content_hash"], "left_anti")
 
 
+def token_keys(c: Column) -> Column:
+    """A text's tokens as sorted numbers: longer tokens first, which are rare ones as a rule, then by hash. The top byte is the length, the other 56 bits are the hash."""
+    one = lambda w: F.shiftleft(F.lit(127).cast("long") - F.least(F.char_length(w), F.lit(127)), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    return F.sort_array(F.transform(T.tokens(c), one))
+
+
 def token_pairs(left: DataFrame, right: DataFrame, keys: list[str], least: float, strict: bool = False) -> DataFrame:
     """Pairs (keys, a, b, similarity) of left and right (keys, id, content) with token Jaccard at or above `least`.
 
-    Prefix filter: with tokens in one order, a pair at or above `least` shares one of the first n - ceil(least * n) + 1 tokens of each side,
-    and the order puts rare tokens first, so tokens that very many facts hold make no candidates. Tokens are compared by 64-bit hashes.
+    Prefix filter: with tokens in one order, a pair at or above `least` shares one of the first n - ceil(least * n) + 1 tokens of each side. The order is that of token_keys(), so
+    short words, which very many facts hold, come last and make no candidates, and no counts have to be made. Only these prefixes are shuffled, and then the tokens of the pairs that share one.
     """
-    hashed = lambda c: F.array_distinct(F.transform(T.tokens(c), lambda w: F.xxhash64(w)))
-    left = left.select(*keys, F.col("id").alias("a"), hashed(F.col("content")).alias("ta"))
-    right = right.select(*keys, F.col("id").alias("b"), hashed(F.col("content")).alias("tb"))
-    words = lambda d, c: d.select(*keys, F.explode(c).alias("word"))
-    often = words(left, "ta").union(words(right, "tb")).groupBy(*keys, "word").agg(F.count("*").alias("often"))
+    side = lambda d, i, t: d.select(*keys, F.col("id").alias(i), token_keys(F.col("content")).alias(t))
+    left, right = side(left, "a", "ta"), side(right, "b", "tb")
 
     def prefix(d: DataFrame, i: str, t: str) -> DataFrame:
-        one = d.select(*keys, i, F.size(t).alias("n"), F.explode(t).alias("word")).join(often, [*keys, "word"])
-        rank = F.row_number().over(Window.partitionBy(*keys, i).orderBy("often", "word"))
-        return one.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select(*keys, i, F.col("n").alias(f"n{i}"), "word")
+        most = F.size(t) - F.ceil(F.lit(least) * F.size(t)).cast("int") + 1
+        return d.where(F.size(t) > 0).select(*keys, i, F.size(t).alias(f"n{i}"), F.explode(F.slice(t, F.lit(1), most)).alias("word"))
 
     size = F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")
     near = prefix(left, "a", "ta").join(prefix(right, "b", "tb"), [*keys, "word"]).where(size).select(*keys, "a", "b").distinct()
@@ -202,9 +204,10 @@ def budget_prefix(facts: DataFrame, budget: int) -> DataFrame:
 
 
 def promotable(facts: DataFrame, kinds=("decision", "goal", "error"), floor: float = 0.9) -> DataFrame:
-    """Facts to be promoted to lasting memory, with their dedupe key."""
+    """Facts to be promoted to lasting memory, with their dedupe key: open ones of these kinds that are sure enough, and those with a column `explicit` that says so."""
     key = F.substring(F.sha2(F.concat_ws(":", F.col("session_id").cast("string"), "fact_type", "content"), 256), 1, 32)
-    return facts.where(F.col("fact_type").isin(*kinds) & (F.col("confidence") >= floor) & ~F.col("invalidated")).withColumn("dedupe_key", key)
+    asked = F.coalesce(F.col("explicit"), F.lit(False)) if "explicit" in facts.columns else F.lit(False)
+    return facts.where((asked | F.col("fact_type").isin(*kinds) & (F.col("confidence") >= floor)) & ~F.col("invalidated")).withColumn("dedupe_key", key)
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

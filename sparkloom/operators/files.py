@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -119,9 +121,12 @@ def first_seen(lists: DataFrame) -> DataFrame:
     return first.select("session_id", "path", F.row_number().over(Window.partitionBy("session_id").orderBy("at")).cast("long").alias("rank"))
 
 
-def combined_order(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two rankings (session_id, path, rank) taken in turns, each file where it comes first."""
+def combined_order(a: DataFrame, b: DataFrame, examples: tuple[str, ...] = ()) -> DataFrame:
+    """Two rankings (session_id, path, rank) taken in turns, each file where it comes first; before all others the first of the first ranking that ends like an example."""
     both = a.select("session_id", "path", (F.col("rank") * 2).alias("r")).union(b.select("session_id", "path", (F.col("rank") * 2 + 1).alias("r")))
+    if examples:
+        like = reduce(lambda x, y: x | y, [F.col("path").endswith(e) for e in examples])
+        both = both.union(a.where(like).groupBy("session_id").agg(F.min_by("path", "rank").alias("path")).select("session_id", "path", F.lit(0).alias("r")))
     first = both.groupBy("session_id", "path").agg(F.min("r").alias("r"))
     return first.select("session_id", "path", F.row_number().over(Window.partitionBy("session_id").orderBy("r", "path")).cast("long").alias("rank"))
 
@@ -152,3 +157,51 @@ def code_map(degrees: DataFrame, edges: DataFrame, foundations: int = 8, out: in
     rank = F.row_number().over(Window.partitionBy("session_id", "src").orderBy("dst"))
     few = edges.withColumn("r", rank).where(F.col("r") <= out).groupBy("session_id").agg(F.count("*").alias("edges"))
     return base.join(few, "session_id", "left").select("session_id", "foundations", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+def _capped(text: Column, most: int) -> Column:
+    """A text within a number of characters, cut at its last line end, with a mark behind it."""
+    head = F.substring(text, 1, most)
+    return F.when(F.char_length(text) <= most, text).otherwise(F.concat(F.when(F.contains(head, F.lit("\n")), F.regexp_replace(head, r"\n[^\n]*\z", "")).otherwise(head), F.lit("\n... [map truncated]")))
+
+
+def _foundations(degrees: DataFrame, most: int) -> DataFrame:
+    """(session_id, foundations): the files that most others refer to, with how many do."""
+    order = Window.partitionBy("session_id").orderBy(F.desc("in_degree"), "path")
+    top = degrees.where("in_degree > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    line = F.concat("path", F.lit(" (<-"), F.col("in_degree").cast("string"), F.lit(")"))
+    return top.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("x")))), lambda s: s["x"]), ", ").alias("foundations"))
+
+
+def rendered_map(degrees: DataFrame, edges: DataFrame, foundations: int = 8, out: int = 6, most: int = 1600) -> DataFrame:
+    """(session_id, map): what a session's files (session_id, path, in_degree) rest on, and what each refers to by its edges (session_id, src, dst), those that most others refer to first; sessions without edges have none."""
+    by = Window.partitionBy("session_id", "src").orderBy("dst")
+    few = edges.distinct().withColumns({"k": F.row_number().over(by), "n": F.count("*").over(Window.partitionBy("session_id", "src"))}).where(F.col("k") <= out)
+    few = few.groupBy("session_id", F.col("src").alias("path"), "n").agg(F.array_join(F.array_sort(F.collect_list("dst")), ", ").alias("to"))
+    line = F.concat("path", F.lit(" -> "), "to", F.when(F.col("n") > out, F.concat(F.lit(", +"), (F.col("n") - out).cast("string"), F.lit(" more"))).otherwise(""))
+    lines = few.join(degrees, ["session_id", "path"]).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("in_degree")).alias("d"), "path", line.alias("x")))), lambda s: s["x"]), "\n").alias("lines"))
+    text = F.concat_ws("\n", F.lit("=== CODE MAP ==="), F.concat(F.lit("Load-bearing: "), F.col("foundations")), "lines")
+    return lines.join(_foundations(degrees, foundations), "session_id", "left").select("session_id", _capped(text, most).alias("map"))
+
+
+def rendered_task_map(ranked: DataFrame, degrees: DataFrame, examples: tuple[str, ...] = (), shown: int = 6, foundations: int = 6, most: int = 1600) -> DataFrame:
+    """(session_id, map): the files that suit a task best (session_id, path, rank), examples marked, and what all rest on."""
+    like = reduce(lambda x, y: x | y, [F.col("path").endswith(e) for e in examples], F.lit(False))
+    line = F.concat(F.lit("  "), "path", F.when(like, " [exemplar]").otherwise(""))
+    first = ranked.where(F.col("rank") <= shown).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("x")))), lambda s: s["x"]), "\n").alias("lines"))
+    text = F.concat_ws("\n", F.lit("=== CODE MAP (task-ranked) ===\nSTART HERE (most relevant to this task):"), "lines", F.concat(F.lit("Shared foundations: "), F.col("foundations")))
+    return first.join(_foundations(degrees, foundations), "session_id", "left").select("session_id", _capped(text, most).alias("map"))
+
+
+def activity_scores(files: DataFrame, query: str, shown: int = 3) -> DataFrame:
+    """(session_id, path, score, rank) of files (session_id, path, outline, last_updated_turn): 2 for each word of the query in the path, 1.5 for each in the outline, and half the last turn, 3 at most.
+
+    Words have three letters or more. Files without a score are shown among the first `shown` only.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower(F.lit(query)), r"\W+"), lambda w: F.char_length(w) > 2))
+    hits = lambda c: F.size(F.filter(words, lambda w: F.contains(F.lower(F.coalesce(c, F.lit(""))), w)))
+    turn = F.coalesce("last_updated_turn", F.lit(0))
+    score = hits(F.col("path")) * 2.0 + hits(F.col("outline")) * 1.5 + F.when(turn > 0, F.least(F.lit(3.0), turn * 0.5)).otherwise(0.0)
+    order = Window.partitionBy("session_id").orderBy(F.desc("score"), "path")
+    rows = files.select("session_id", "path", score.alias("score")).withColumn("rank", F.row_number().over(order).cast("long"))
+    return rows.where((F.col("score") > 0) | (F.col("rank") <= shown))

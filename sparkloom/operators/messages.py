@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import asking
 from ..functions import text as T
+from ..functions.phrasing import sanitised_system
 
 
 def _order(session: str = "session_id"):
@@ -31,6 +32,22 @@ def boundaries(messages: DataFrame) -> DataFrame:
     return messages.select("session_id", "idx", (F.col("role") == "user").alias("boundary"), (last == "user").alias("open"))
 
 
+def finished(requests: DataFrame) -> DataFrame:
+    """Requests (request_id, last_role, finish_reason) at which a turn ends or begins: the last message is a user's, or the answer stopped by itself."""
+    return requests.select("request_id", ((F.col("last_role") == "user") | F.coalesce(F.col("finish_reason") == "stop", F.lit(False))).alias("boundary"))
+
+
+def bounded(messages: DataFrame, most: int = 2000) -> DataFrame:
+    """Messages as traces keep them: contents, texts of parts (type, text) and arguments of calls cut to `most` characters, with a mark of how long they were."""
+    cut = lambda c: F.when(F.char_length(c) > most, F.concat(F.substring(c, 1, most), F.lit("... ["), F.char_length(c).cast("string"), F.lit(" chars truncated]"))).otherwise(c)
+    out = messages.withColumn("content", cut(F.col("content")))
+    if "parts" in messages.columns:
+        out = out.withColumn("parts", F.transform("parts", lambda p: p.withField("text", cut(p["text"]))))
+    if "tool_calls" in messages.columns:
+        out = out.withColumn("tool_calls", F.transform("tool_calls", lambda t: t.withField("function", t["function"].withField("arguments", cut(t["function"]["arguments"])))))
+    return out
+
+
 def coherence_tail(messages: DataFrame, base: int = 5, most: int = 20) -> DataFrame:
     """The last `base` messages; for sessions with tool results (tool_call_id), moved back until each result has its call, up to `most` messages, else to the first user message within these.
 
@@ -73,9 +90,10 @@ def merged_roles(messages: DataFrame) -> DataFrame:
 
 
 def fingerprints(messages: DataFrame) -> DataFrame:
-    """A session's fingerprint, from its system prompt and first user message."""
+    """A session's fingerprint, from its system prompt, without what changes within a session, and its first user message."""
     first = lambda role: F.min_by(F.when(F.col("role") == role, F.col("content")), F.when(F.col("role") == role, F.col("idx")))
-    return messages.groupBy("session_id").agg(T.fingerprint(first("system"), first("user")).alias("fingerprint"))
+    heads = messages.groupBy("session_id").agg(first("system").alias("s"), first("user").alias("u"))
+    return heads.select("session_id", T.fingerprint(sanitised_system(F.col("s")), F.col("u")).alias("fingerprint"))
 
 
 def content_tokens(messages: DataFrame, margin: float = 1.1, least: int = 500, framing: int = 6) -> DataFrame:

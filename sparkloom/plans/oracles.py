@@ -179,7 +179,32 @@ _REFS = r""", e AS (SELECT session_id, src, dst, length(dst) % 5 AS k, regexp_re
   g AS (SELECT session_id, src, target, path, way FROM h QUALIFY ROW_NUMBER() OVER (PARTITION BY session_id, src, target ORDER BY list_position(['path', 'index', 'end', 'end_index', 'name'], way), rank, path) = 1)
   SELECT session_id, src, target, path AS dst, way FROM g WHERE src <> path"""
 
+_CAPTURED = r""", n AS (SELECT session_id || ':' || idx AS response_id, content, length(content) AS size FROM v_msg WHERE role = 'assistant' AND length(content) > 0),
+  c AS (SELECT response_id, size, seq, seq * 40 + 40 >= size AS done, translate(content[CAST(seq * 40 + 1 AS BIGINT):CAST(seq * 40 + 40 AS BIGINT)], '"\' || chr(10) || chr(9) || chr(13), '     ') AS safe FROM n, unnest(range(0, (size - 1) // 40 + 1)) t(seq)),
+  p AS (SELECT *, '{"model":"m' || seq % 3 || '","choices":[{"delta":{"content":"' || safe || '"}' || CASE WHEN done THEN ',"finish_reason":"stop"}],"usage":{"total_tokens":' || size || '}}' ELSE '}]}' END AS payload FROM c),
+  o AS (SELECT *, SUM(octet_length(encode(payload))) OVER (PARTITION BY response_id ORDER BY seq) > 1000 AS over FROM p)
+  SELECT response_id, COALESCE(string_agg(safe, '' ORDER BY seq) FILTER (NOT over), '') AS content, arg_max('m' || seq % 3, seq) FILTER (NOT over) AS model, MAX(CASE WHEN done THEN 'stop' END) FILTER (NOT over) AS finish, MAX(CASE WHEN done THEN '{"total_tokens":' || size || '}' END) FILTER (NOT over) AS usage,
+    COUNT(*) FILTER (NOT over) AS chunks, bool_or(over) AS truncated FROM o GROUP BY 1"""
+_DEGREES = "SELECT f.session_id, f.path, COALESCE(n, 0) AS d FROM (SELECT DISTINCT session_id, path FROM v_file) f LEFT JOIN (SELECT session_id, dst, COUNT(*) AS n FROM v_edge GROUP BY 1, 2) e ON f.session_id = e.session_id AND f.path = e.dst"
+_BASE = "SELECT session_id, string_agg(path || ' (<-' || d || ')', ', ' ORDER BY k) AS base FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY d DESC, path) AS k FROM deg WHERE d > 0) WHERE k <= {} GROUP BY 1"
+_capped = lambda c, n: f"CASE WHEN length({c}) <= {n} THEN {c} ELSE CASE WHEN contains({c}[1:{n}], chr(10)) THEN {c}[1:{n}][1:{n} - strpos(reverse({c}[1:{n}]), chr(10))] ELSE {c}[1:{n}] END || chr(10) || '... [map truncated]' END"
+
 ORACLES = {
+    "captured_answers": _q(_CAPTURED, "v_msg"),
+    "bounded_messages": _q("""SELECT session_id, idx, CASE WHEN length(content) > 100 THEN content[1:100] || '... [' || length(content) || ' chars truncated]' ELSE content END AS content, CASE WHEN call IS NOT NULL THEN '{"path":"src/' || idx // 10 || '"}' END AS arguments FROM v_tooled""", "v_tooled"),
+    "finished_requests": _q("SELECT event_id AS request_id, turn_number % 2 = 0 OR (NOT failed AND recall_used) AS boundary FROM v_trace", "v_trace"),
+    "paired_runs": """WITH r AS (SELECT l_returnflag AS f, l_suppkey, SUM(l_quantity) AS q FROM lineitem GROUP BY 1, 2) SELECT a.l_suppkey, a.q AS a, b.q AS b, b.q - a.q AS change FROM r a JOIN r b ON a.l_suppkey = b.l_suppkey AND a.f = 'A' AND b.f = 'R' WHERE a.q % 5 <> 0 AND b.q % 5 <> 0""",
+    "code_map_text": _q(f""", deg AS ({_DEGREES}), base AS ({_BASE.format(3)}), e AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, src ORDER BY dst) AS k, COUNT(*) OVER (PARTITION BY session_id, src) AS n FROM v_edge),
+  l AS (SELECT session_id, src, n, string_agg(dst, ', ' ORDER BY dst) AS onto FROM e WHERE k <= 2 GROUP BY 1, 2, 3),
+  m AS (SELECT l.session_id, string_agg(src || ' -> ' || onto || CASE WHEN n > 2 THEN ', +' || (n - 2) || ' more' ELSE '' END, chr(10) ORDER BY d DESC, src) AS lines FROM l JOIN deg ON deg.session_id = l.session_id AND deg.path = src GROUP BY 1),
+  t AS (SELECT m.session_id, concat_ws(chr(10), '=== CODE MAP ===', 'Load-bearing: ' || base, lines) AS c FROM m LEFT JOIN base ON base.session_id = m.session_id)
+  SELECT session_id, {_capped('c', 400)} AS map FROM t""", "v_edge", "v_file"),
+    "task_map_text": _q(f""", deg AS ({_DEGREES}), base AS ({_BASE.format(2)}), r AS ({_REL_RANK}),
+  m AS (SELECT session_id, string_agg('  ' || path || CASE WHEN ends_with(path, '1') OR ends_with(path, '1/') THEN ' [exemplar]' ELSE '' END, chr(10) ORDER BY rank) AS lines FROM r WHERE rank <= 4 GROUP BY 1),
+  t AS (SELECT m.session_id, concat_ws(chr(10), '=== CODE MAP (task-ranked) ===' || chr(10) || 'START HERE (most relevant to this task):', lines, 'Shared foundations: ' || base) AS c FROM m LEFT JOIN base ON base.session_id = m.session_id)
+  SELECT session_id, {_capped('c', 300)} AS map FROM t""", "v_edge", "v_file"),
+    "file_activity": _q("""SELECT session_id, path, score, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY score DESC, path) AS rank FROM (SELECT session_id, path,
+    len(list_filter(['the', 'example', 'href'], lambda w: contains(lower(path), w))) * 2.0e0 + len(list_filter(['the', 'example', 'href'], lambda w: contains(lower(content[1:100]), w))) * 1.5e0 + CASE WHEN last_updated_turn % 20 > 10 THEN LEAST(3.0e0, (last_updated_turn % 20 - 10) * 0.5e0) ELSE 0.0e0 END AS score FROM v_file)) WHERE score > 0 OR rank <= 3""", "v_file"),
     "path_references": _q(_REFS, "v_edge"),
     "python_symbols": _q(r""", c AS (SELECT session_id, fact_id, len(string_split(content, chr(10))) AS n FROM v_fact)
   SELECT session_id, 'f' || fact_id || '.py' AS path, CAST(1 AS BIGINT) AS line, CAST(1 AS BIGINT) AS first, CAST(2 * n + 1 + CASE WHEN fact_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS last, CAST(0 AS INT) AS depth, 'class' AS kind, 'C' || fact_id AS name FROM c
@@ -303,7 +328,7 @@ ORACLES = {
     "last_exchanges": _q("""SELECT session_id, idx, role, content FROM (SELECT *, SUM(CASE WHEN role='user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY idx DESC) - CASE WHEN role='user' THEN 1 ELSE 0 END AS b FROM v_msg) WHERE b < 2""", "v_msg"),
     "merged_roles": _q(""", n AS (SELECT *, CASE WHEN role = LAG(role) OVER (PARTITION BY session_id ORDER BY idx) THEN 0 ELSE 1 END AS f FROM (SELECT session_id, idx, CASE WHEN idx % 3 = 1 THEN 'user' ELSE role END AS role, content FROM v_msg)), g AS (SELECT *, SUM(f) OVER (PARTITION BY session_id ORDER BY idx) AS i FROM n)
   SELECT session_id, MIN(idx) AS idx, MIN(role) AS role, string_agg(content, chr(10) || chr(10) ORDER BY idx) AS content, COUNT(*) AS merged FROM g GROUP BY session_id, i""", "v_msg"),
-    "session_fingerprint": _q("""SELECT session_id, SUBSTRING(sha256(SUBSTRING(COALESCE(arg_min(content, idx) FILTER (role='system'), ''), 1, 4000) || chr(10) || COALESCE(arg_min(content, idx) FILTER (role='user'), '')), 1, 16) AS fingerprint FROM v_msg GROUP BY 1""", "v_msg"),
+    "session_fingerprint": _q(r"""SELECT session_id, SUBSTRING(sha256(SUBSTRING(regexp_replace(regexp_replace(regexp_replace(regexp_replace(COALESCE(arg_min(content, idx) FILTER (role='system'), ''), '\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?Z?)?', '<date>', 'g'), '(?im)^(?:today|current date|current time|git status|recent commits).*$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g'), 1, 4000) || chr(10) || COALESCE(arg_min(content, idx) FILTER (role='user'), '')), 1, 16) AS fingerprint FROM v_msg GROUP BY 1""", "v_msg"),
     "message_fingerprint": _q("SELECT session_id, idx, md5(role || ':' || SUBSTRING(COALESCE(content, ''), 1, 200)) AS fingerprint FROM v_msg", "v_msg"),
     "token_accounting": _q(f"""SELECT session_id, n AS messages, GREATEST(CAST(FLOOR(s * 1.1e0) AS BIGINT), 500) AS content_tokens, CAST(s + 6 * n AS BIGINT) AS structural_tokens
   FROM (SELECT session_id, SUM(GREATEST(CAST(FLOOR({est('content')} * 1.1e0) AS BIGINT), 1)) AS s, COUNT(*) AS n FROM v_msg GROUP BY 1)""", "v_msg"),

@@ -122,6 +122,22 @@ def _encoded(s, d):
     return A.table(s, d, "documents").select("doc_id", n(F.col("text")).alias("tokens")).withColumn("estimate", K.estimate(F.col("tokens")))
 
 
+def _payloads(s, d):
+    """Answers as chunks of JSON, forty characters each; the last names the finish and the usage."""
+    c = _chunks(s, d)
+    safe = F.translate("delta", '"\\\n\t\r', "     ")
+    end = F.when(F.col("finish").isNotNull(), F.concat(F.lit(',"finish_reason":"stop"}],"usage":{"total_tokens":'), (F.col("seq") * 40 + F.char_length("delta")).cast("string"), F.lit("}}"))).otherwise("}]}")
+    return c.select("response_id", "seq", F.concat(F.lit('{"model":"m'), (F.col("seq") % 3).cast("string"), F.lit('","choices":[{"delta":{"content":"'), safe, F.lit('"}'), end).alias("payload"))
+
+
+def _degrees(s, d):
+    return files.in_degree(A.files(s, d).select("session_id", "path").distinct(), _path_edges(s, d))
+
+
+def _failing_runs(s, d, flag):
+    return _flag_runs(s, d, flag).withColumn("error", F.when(F.expr("quantity % 5 = 0"), "x"))
+
+
 def _path_refs(s, d):
     """References between files, written in one of five ways."""
     ups = F.concat(F.lit("./"), F.expr("repeat('../', length(src) - length(replace(src, '/', '')))"), F.col("dst"))
@@ -220,6 +236,16 @@ def _system_prompts(s, d):
 
 
 QUERIES = {
+    "captured_answers": lambda s, d: stateful.captured(_payloads(s, d), 1000),
+    "bounded_messages": lambda s, d: messages.bounded(_tooled(s, d), 100).select("session_id", "idx", "content", F.get("tool_calls", F.lit(0))["function"]["arguments"].alias("arguments")),
+    "finished_requests": lambda s, d: messages.finished(A.traces(s, d).select(F.col("event_id").alias("request_id"), F.when(F.expr("turn_number % 2 = 0"), "user").otherwise("tool").alias("last_role"), F.when(F.col("failed"), "length").when(F.col("recall_used"), "stop").alias("finish_reason"))),
+    "paired_runs": lambda s, d: evals.paired(_failing_runs(s, d, "A"), _failing_runs(s, d, "R"), "l_suppkey", "quantity"),
+    "code_map_text": lambda s, d: files.rendered_map(_degrees(s, d), _path_edges(s, d), 3, 2, 400),
+    "task_map_text": lambda s, d: files.rendered_task_map(files.relevance(A.files(s, d), QUERY), _degrees(s, d), ("1", "1/"), 4, 2, 300),
+    "file_activity": lambda s, d: files.activity_scores(A.files(s, d).select("session_id", "path", F.substring("content", 1, 100).alias("outline"), F.expr("last_updated_turn % 20 - 10").alias("last_updated_turn")), "the example href of en", 3),
+    "strategy_survivors": lambda s, d: evals.survivors(A.files(s, d).groupBy("session_id", "path").agg(F.min("content").alias("content")), {
+        "topological": files.dependency_order(_degrees(s, d)), "combined": files.combined_order(files.relevance(A.files(s, d), QUERY), files.dependency_order(_degrees(s, d)), (".html", "/")),
+    }, [5000, 20000]),
     "path_references": lambda s, d: references.resolved(_path_refs(s, d), A.files(s, d).select("session_id", "path")),
     "python_symbols": lambda s, d: outlines.symbols(_sources(s, d)),
     "python_focus": lambda s, d: outlines.focused(outlines.symbols(_sources(s, d)), "what does m3 return", 5),

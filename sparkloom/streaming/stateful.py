@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -38,6 +38,21 @@ def reassembled(chunks: DataFrame) -> DataFrame:
     return out.select("response_id", text.alias("content"), "model", "finish", "chunks")
 
 
+def captured(chunks: DataFrame, most: int = 512 * 1024) -> DataFrame:
+    """Answers from their chunks as they came (response_id, seq, payload): (response_id, content, model, finish, usage, chunks, truncated).
+
+    A running sum of bytes ends an answer before the first chunk that would exceed `most`. Model, finish reason and usage (JSON) are the last that were told; payloads that aren't JSON count, but say nothing.
+    """
+    order = Window.partitionBy("response_id").orderBy("seq")
+    rows = chunks.withColumn("upto", F.sum(F.octet_length("payload")).over(order)).withColumn("over", F.max(F.when(F.col("upto") > most, 1).otherwise(0)).over(order) == 1)
+    told = lambda p: F.nullif(F.get_json_object("payload", p), F.lit(""))
+    text = F.coalesce(told("$.choices[0].delta.content"), F.when(F.coalesce(told("$.choices[0].delta"), F.lit("{}")) == "{}", told("$.choices[0].message.content")), F.lit(""))
+    rows = rows.withColumns({"text": text, "model": told("$.model"), "finish": told("$.choices[0].finish_reason"), "usage": told("$.usage")})
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull() & ~F.col("over"), F.col("seq")))
+    out = rows.groupBy("response_id").agg(F.array_sort(F.collect_list(F.when(~F.col("over"), F.struct("seq", "text")))).alias("all"), last("model").alias("model"), last("finish").alias("finish"), last("usage").alias("usage"), F.count_if(~F.col("over")).alias("chunks"), F.max("over").alias("truncated"))
+    return out.select("response_id", F.array_join(F.transform("all", lambda x: x["text"]), "").alias("content"), "model", "finish", "usage", "chunks", "truncated")
+
+
 def call_deltas(chunks: DataFrame) -> DataFrame:
     """Tool calls from their deltas (response_id, seq, index, id, name, arguments): the id and name that came first, arguments in order."""
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
