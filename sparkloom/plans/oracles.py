@@ -189,7 +189,35 @@ _DEGREES = "SELECT f.session_id, f.path, COALESCE(n, 0) AS d FROM (SELECT DISTIN
 _BASE = "SELECT session_id, string_agg(path || ' (<-' || d || ')', ', ' ORDER BY k) AS base FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY d DESC, path) AS k FROM deg WHERE d > 0) WHERE k <= {} GROUP BY 1"
 _capped = lambda c, n: f"CASE WHEN length({c}) <= {n} THEN {c} ELSE CASE WHEN contains({c}[1:{n}], chr(10)) THEN {c}[1:{n}][1:{n} - strpos(reverse({c}[1:{n}]), chr(10))] ELSE {c}[1:{n}] END || chr(10) || '... [map truncated]' END"
 
+_OUTLINE = r""", l AS (SELECT session_id, path, i AS line, string_split(content, chr(10))[i] AS x FROM v_file, unnest(range(1, len(string_split(content, chr(10))) + 1)) t(i)),
+  n AS (SELECT *, regexp_extract(x, '^\s*(?:async\s+)?(?:def|function|fn|func)\s+(\w+)', 1) AS f, regexp_extract(x, '^\s*(?:class|struct|interface|enum)\s+(\w+)', 1) AS c, regexp_extract(x, '^\s*(?:const|let|var)\s+(\w+)', 1) AS v, regexp_extract(x, '<h[1-6][^>]*>([^<]+)<', 1) AS h FROM l),
+  outline AS (SELECT session_id, path, line, CASE WHEN f <> '' THEN 'function' WHEN c <> '' THEN 'class' WHEN v <> '' THEN 'const' ELSE 'heading' END AS kind, CASE WHEN f <> '' THEN f WHEN c <> '' THEN c WHEN v <> '' THEN v ELSE h END AS name FROM n WHERE f || c || v || h <> '')"""
+_ASKED_WORDS = idents("'install the href link and table of content title'")
+_FOCUS = f""", o AS (SELECT *, LEAD(line) OVER (PARTITION BY session_id, path ORDER BY line) AS next, {idents('name')} AS t FROM outline),
+  s AS (SELECT *, CASE WHEN len({_ASKED_WORDS}) = 0 OR len(t) = 0 THEN 0.0e0 ELSE len(list_intersect({_ASKED_WORDS}, t)) / CAST(len({_ASKED_WORDS}) AS DOUBLE) END AS score FROM o)
+  SELECT session_id, path, name, line AS first_line, LEAST(COALESCE(next - 1, line + 79), line + 79) AS last_line, score FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY session_id, path ORDER BY score DESC, line) = 1"""
+#: A fold over a session's open facts, anchors first.
+_FILL = """, k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY CASE WHEN fact_type IN ('goal', 'decision') THEN 0 ELSE 1 END, CASE WHEN fact_type IN ('goal', 'decision') THEN 0.0e0 ELSE -score END, fact_id) AS k, fact_type NOT IN ('goal', 'decision') AS other FROM v_score WHERE NOT invalidated),
+  w(session_id, k, used, stop, taken, fact_id) AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, false, CAST(NULL AS BIGINT) FROM k
+    UNION ALL SELECT k.session_id, k.k, CASE WHEN NOT stop AND used + tokens <= 3000 THEN used + tokens ELSE used END, stop OR (other AND NOT (NOT stop AND used + tokens <= 3000)), NOT stop AND used + tokens <= 3000, k.fact_id FROM w JOIN k ON k.session_id = w.session_id AND k.k = w.k + 1),
+  fill AS (SELECT session_id, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY k) - 1 AS pos, fact_id FROM w WHERE taken)"""
+_PREVIEW = "CASE WHEN length(c) <= 120 THEN c ELSE CASE WHEN b > 0 AND length(h) - b + 1 > 60 THEN h[1:length(h) - b] ELSE h END || chr(10) || '... [' || (length(c) - length(CASE WHEN b > 0 AND length(h) - b + 1 > 60 THEN h[1:length(h) - b] ELSE h END)) || ' chars omitted]' END"
+
 ORACLES = {
+    "file_outline": _q(_OUTLINE + " SELECT session_id, path, line, kind, name FROM outline", "v_file"),
+    "focus_range": _q(_OUTLINE + _FOCUS, "v_file"),
+    "budget_fill": _q(_FILL + " SELECT session_id, pos, fact_id FROM fill", "v_score", recursive=True),
+    "recall_answer": _q(_FILL + r""" SELECT f.session_id, string_agg('- [' || v.fact_type || '|t' || v.source_turn || '] ' || regexp_replace(v.content, '[ \t\n\r\f\x0B]+', ' ', 'g'), chr(10) ORDER BY pos) AS answer, COUNT(*) AS facts FROM fill f JOIN v_fact v ON v.fact_id = f.fact_id GROUP BY 1""", "v_score", recursive=True),
+    "reserved_calls": _q(""", c AS (SELECT session_id, CAST(FLOOR((turn_number - 1) / 8) AS BIGINT) AS turn, turn_number AS pos, savings_tokens AS tokens, ROW_NUMBER() OVER (PARTITION BY session_id, (turn_number - 1) // 8 ORDER BY turn_number) AS k FROM v_trace),
+  w(session_id, turn, k, n, used, kept) AS (SELECT DISTINCT session_id, turn, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '' FROM c
+    UNION ALL SELECT c.session_id, c.turn, c.k, CASE WHEN n < 4 AND used + tokens <= 5000 THEN n + 1 ELSE n END, CASE WHEN n < 4 AND used + tokens <= 5000 THEN used + tokens ELSE used END, CASE WHEN n < 4 AND used + tokens <= 5000 THEN kept || CASE WHEN n > 0 THEN ',' ELSE '' END || pos ELSE kept END FROM w JOIN c ON c.session_id = w.session_id AND c.turn = w.turn AND c.k = w.k + 1)
+  SELECT session_id, turn, n AS calls, used AS tokens, kept FROM w QUALIFY ROW_NUMBER() OVER (PARTITION BY session_id, turn ORDER BY k DESC) = 1""", "v_trace", recursive=True),
+    "recall_requests": _q(r"""SELECT session_id, idx, role = 'user' AND len(list_filter(['do you remember', 'as we discussed', 'what did we decide', 'earlier you said', 'remind me'], lambda p: contains(lower(COALESCE(content, '')), p))) > 0 AS recall,
+    len(list_filter(regexp_split_to_array(lower(COALESCE(content, '')), '\s+'), lambda x: x <> '')) BETWEEN 1 AND 40 AND regexp_matches(lower(COALESCE(content, '')), '(^|\W)(it|that|this|they|them|those|same|again)(\W|$)') AS ambiguous FROM v_msg""", "v_msg"),
+    "rewritten_context": _q(rf""", s AS (SELECT *, MAX(idx) OVER (PARTITION BY session_id) AS z FROM v_turn), k AS (SELECT * FROM s WHERE turn = 1 OR idx > z - 3 OR role = 'system'),
+  r AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(COALESCE(content, ''), '(?is)<think>.*?</think>', '', 'g'), '(?is)<thinking>.*?</thinking>', '', 'g'), '(?is)<reasoning>.*?</reasoning>', '', 'g'), '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g') AS c, idx <= MAX(idx) OVER (PARTITION BY session_id) - 3 AS old FROM k),
+  h AS (SELECT *, c[1:120] AS h, strpos(reverse(c[1:120]), chr(10)) AS b FROM r)
+  SELECT session_id, idx, role, CASE WHEN old AND role <> 'system' THEN {_PREVIEW} ELSE c END AS content FROM h""", "v_turn"),
     "captured_answers": _q(_CAPTURED, "v_msg"),
     "bounded_messages": _q("""SELECT session_id, idx, CASE WHEN length(content) > 100 THEN content[1:100] || '... [' || length(content) || ' chars truncated]' ELSE content END AS content, CASE WHEN call IS NOT NULL THEN '{"path":"src/' || idx // 10 || '"}' END AS arguments FROM v_tooled""", "v_tooled"),
     "finished_requests": _q("SELECT event_id AS request_id, turn_number % 2 = 0 OR (NOT failed AND recall_used) AS boundary FROM v_trace", "v_trace"),

@@ -46,7 +46,7 @@ def _said_again(s, d):
 
 
 #: Openings that say nothing, phrases with a shorter form, and phrases that go.
-PHRASES = (["(?:i|we) think that,? ", "as far as (?:i|we) can tell,? "], [("at this point in time", "now"), ("in the event that", "if"), ("a number of", "several")], ["to be frank,? ", "of course,? "])
+PHRASES = (["(?:i|we) think that,? ", "as far as (?:i|we) can tell,? "], [("in the near future", "soon"), ("in the event that", "if"), ("a number of", "several")], ["to be frank,? ", "of course,? "])
 
 
 def _runs(s, d):
