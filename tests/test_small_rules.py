@@ -63,3 +63,28 @@ def test_turns_that_are_finished(spark):
 def test_token_keys_put_long_words_first(spark):
     (r,) = spark.createDataFrame([("a bbb cc bbb dddd",)], "t string").select(facts.token_keys(F.col("t")).alias("k")).collect()
     assert len(r.k) == 4 and r.k == sorted(r.k) and [127 - (x >> 56) for x in r.k] == [4, 3, 2, 1]
+
+
+def test_nearest_by_blocks_against_brute_force(spark, monkeypatch):
+    import math
+    import random
+
+    from sparkloom.operators import ranking
+
+    monkeypatch.setattr(ranking, "BLOCK", 3)
+    monkeypatch.setattr(ranking, "VECTORS", 20)
+    rng = random.Random(6)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(120)] + [(200, None), (201, []), (202, [1.0, 2.0]), (203, [0.0] * 4), (5, [1.0, 1.0, 1.0, 1.0])]
+    queries = [r for r in rows if r[0] % 10 == 0] + [(301, None), (302, [0.0] * 4)]
+
+    def cosine(a, b):
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / n if n else 0.0
+
+    want = {}
+    for q, e in queries:
+        if e:
+            best = sorted(((-cosine(e, v), i) for i, v in rows if v and len(v) == len(e)), key=lambda t: (round(t[0], 12), t[1]))[:5]
+            want |= {(q, k): i for k, (s, i) in enumerate(best, 1) if -s > 0.05}
+    got = ranking.semantic_top(spark.createDataFrame(rows, "id long, embedding array<double>"), spark.createDataFrame(queries, "query_id long, embedding array<double>"), 5)
+    assert {(r.query_id, r.rank): r.id for r in got.collect()} == want
