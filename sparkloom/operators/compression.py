@@ -137,3 +137,38 @@ def request(messages: DataFrame, selection: DataFrame, context: DataFrame, base:
     head = F.min(F.when(F.col("role") == "system", F.col("idx"))).over(Window.partitionBy("session_id"))
     kept = whole.withColumns({"user_": user, "head_": head}).where("idx >= user_ or (role = 'system' and idx = head_)")
     return kept.select("session_id", "idx", "role", "content", "tail", "phase")
+
+
+def solo(messages: DataFrame, tail: int = 10, shrink: int = 8000, middle: int = 800, least_tokens: int = 30000, strategies: tuple[str, ...] = ("dedup", "shrink", "middle"), tokens: Tokens = T.tokens_by_length) -> DataFrame:
+    """Messages of sessions that work without a user, made shorter by the strategies named: (messages' columns, strategy, saved), saved in characters.
+
+    dedup: a result that the session has had before becomes a mark; shrink: other results are cut to `shrink` characters; middle: answers before the last `tail` messages keep head and tail. Each message falls to the
+    first that fits, sessions below least_tokens to none.
+    """
+    session = Window.partitionBy("session_id")
+    c = F.coalesce("content", F.lit(""))
+    again = F.row_number().over(Window.partitionBy("session_id", "role", F.sha2(c, 256)).orderBy("idx")) > 1
+    late = F.row_number().over(session.orderBy(F.desc("idx"))) <= tail
+    rows = messages.withColumns({"again_": again, "late_": late, "enough_": F.sum(tokens(c)).over(session) >= least_tokens})
+    mark = F.concat(F.lit("[same result as before: "), F.char_length(c).cast("string"), F.lit(" chars]"))
+    ways = {
+        "dedup": (F.col("role") == "tool") & F.col("again_") & (F.char_length(c) > F.char_length(mark)), "shrink": (F.col("role") == "tool") & (F.char_length(c) > shrink),
+        "middle": (F.col("role") == "assistant") & ~F.col("late_") & (F.char_length(c) > middle),
+    }
+    texts = {"dedup": mark, "shrink": shortened(c, shrink, "shrunk"), "middle": T.head_and_tail(c, middle)}
+    strategy, text = F, F
+    for name in strategies:
+        strategy, text = strategy.when(F.col("enough_") & ways[name], name), text.when(F.col("strategy") == name, texts[name])
+    rows = rows.withColumn("strategy", strategy).withColumn("text_", text.otherwise(F.col("content")))
+    saved = F.when(F.col("strategy").isNotNull(), F.char_length(c) - F.char_length("text_")).otherwise(0).cast("long")
+    return rows.select(*[F.col("text_").alias(x) if x == "content" else F.col(x) for x in messages.columns], "strategy", saved.alias("saved"), "enough_")
+
+
+def solo_statistics(shortened_: DataFrame, least_tokens: int = 30000) -> DataFrame:
+    """(session_id, strategies, saved by each and in all, skipped): what solo() did to each session, and why nothing."""
+    saved = lambda n: F.coalesce(F.sum(F.when(F.col("strategy") == n, F.col("saved"))), F.lit(0)).alias(f"saved_{n}")
+    out = shortened_.groupBy("session_id").agg(
+        F.array_join(F.array_sort(F.collect_set("strategy")), ",").alias("strategies"), saved("dedup"), saved("shrink"), saved("middle"), F.sum("saved").alias("saved"), F.max("enough_").alias("enough_")
+    )
+    reason = F.when(~F.col("enough_"), f"below_threshold_{least_tokens}").when(F.col("strategies") == "", "nothing_to_shorten")
+    return out.select("session_id", "strategies", "saved_dedup", "saved_shrink", "saved_middle", "saved", reason.alias("skipped"))

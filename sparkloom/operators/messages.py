@@ -32,6 +32,15 @@ def boundaries(messages: DataFrame) -> DataFrame:
     return messages.select("session_id", "idx", (F.col("role") == "user").alias("boundary"), (last == "user").alias("open"))
 
 
+def turn_records(traces: DataFrame) -> DataFrame:
+    """Traces (session_id, turn_number, messages of (role, content), response, output_tokens, upstream_ms, assembly_ms) as records of turns, numbered as they come, with the head of the last user message."""
+    said = F.element_at(F.filter("messages", lambda m: m["role"] == "user"), -1)["content"]
+    turn = F.row_number().over(Window.partitionBy("session_id").orderBy("turn_number"))
+    last = F.when(F.size(F.filter(F.coalesce("messages", F.array().cast(dict(traces.dtypes)["messages"])), lambda m: m["role"] == "user")) > 0, said)
+    latency = F.coalesce(F.nullif("upstream_ms", F.lit(0.0)), "assembly_ms")
+    return traces.select("session_id", turn.cast("long").alias("turn"), F.substring(F.coalesce(last, F.lit("")), 1, 500).alias("user_msg"), F.coalesce("response", F.lit("")).alias("response"), "output_tokens", latency.alias("latency_ms"))
+
+
 def finished(requests: DataFrame) -> DataFrame:
     """Requests (request_id, last_role, finish_reason) at which a turn ends or begins: the last message is a user's, or the answer stopped by itself."""
     return requests.select("request_id", ((F.col("last_role") == "user") | F.coalesce(F.col("finish_reason") == "stop", F.lit(False))).alias("boundary"))

@@ -203,7 +203,27 @@ _FILL = """, k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY
   fill AS (SELECT session_id, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY k) - 1 AS pos, fact_id FROM w WHERE taken)"""
 _PREVIEW = "CASE WHEN length(c) <= 120 THEN c ELSE CASE WHEN b > 0 AND length(h) - b + 1 > 60 THEN h[1:length(h) - b] ELSE h END || chr(10) || '... [' || (length(c) - length(CASE WHEN b > 0 AND length(h) - b + 1 > 60 THEN h[1:length(h) - b] ELSE h END)) || ' chars omitted]' END"
 
+_T, _B, _E = "<\uff5c\uff5cDSML\uff5c\uff5c", "<\uff5ctool\u2581calls\u2581begin\uff5c>", "<\uff5ctool\u2581calls\u2581end\uff5c>"
+_LEAKING = f""", l AS (SELECT session_id, idx, content AS t, (session_id + idx) % 4 AS k, CASE (session_id + idx) % 4 WHEN 0 THEN content || '{_T}x>' WHEN 1 THEN '<tool_call>{{}}</tool_call>' || content || '{_B}a{_E} ' || chr(10) WHEN 2 THEN '<tool_call>' || content ELSE content END AS c FROM v_msg WHERE role = 'assistant')
+  SELECT session_id, idx, regexp_replace(CASE WHEN k = 2 THEN c ELSE t END, '\\s+$', '') AS text, k < 2 AS leaks, CASE WHEN length(c) < 300 THEN 'low_tokens (' || length(c) || 't < 300t)' WHEN k < 3 THEN 'markup' END AS reason FROM l"""
+_SOLO = r""", m AS (SELECT session_id, idx, role, CASE WHEN role = 'tool' AND session_id % 5 = 0 THEN 'same ' || repeat('x ', 60) ELSE content END AS c FROM v_tooled),
+  r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, role, c ORDER BY idx) > 1 AS again, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY idx DESC) <= 3 AS late, SUM(GREATEST(1, length(c) // 4)) OVER (PARTITION BY session_id) >= 1000 AS enough, '[same result as before: ' || length(c) || ' chars]' AS mark,
+    c[1:400] AS h, strpos(reverse(c[1:400]), chr(10)) AS b, regexp_replace(c[1:133], ' [^ ]*\z', '') AS hh, regexp_replace(SUBSTRING(c, LENGTH(c) - 65), '\A[^ ]* ', '') AS tt FROM m),
+  s AS (SELECT *, CASE WHEN NOT enough THEN NULL WHEN role = 'tool' AND again AND length(c) > length(mark) THEN 'dedup' WHEN role = 'tool' AND length(c) > 400 THEN 'shrink' WHEN role = 'assistant' AND NOT late AND length(c) > 200 THEN 'middle' END AS strategy,
+    CASE WHEN b > 0 AND length(h) - b > 200 THEN c[1:length(h) - b] ELSE h END AS cut FROM r),
+  t AS (SELECT *, CASE strategy WHEN 'dedup' THEN mark WHEN 'shrink' THEN cut || chr(10) || '[...' || (length(c) - length(cut)) || ' chars shrunk...]' WHEN 'middle' THEN hh || chr(10) || '[...' || (length(c) - length(hh) - length(tt)) || ' chars compressed...]' || chr(10) || tt ELSE c END AS x FROM s),
+  g AS (SELECT session_id, COALESCE(string_agg(DISTINCT strategy, ',' ORDER BY strategy), '') AS strategies, COALESCE(SUM(length(c) - length(x)) FILTER (strategy = 'dedup'), 0) AS saved_dedup, COALESCE(SUM(length(c) - length(x)) FILTER (strategy = 'shrink'), 0) AS saved_shrink,
+    COALESCE(SUM(length(c) - length(x)) FILTER (strategy = 'middle'), 0) AS saved_middle, SUM(length(c) - length(x)) AS saved, bool_or(enough) AS enough FROM t GROUP BY 1)
+  SELECT session_id, strategies, CAST(saved_dedup AS BIGINT) AS saved_dedup, CAST(saved_shrink AS BIGINT) AS saved_shrink, CAST(saved_middle AS BIGINT) AS saved_middle, CAST(saved AS BIGINT) AS saved, CASE WHEN NOT enough THEN 'below_threshold_1000' WHEN strategies = '' THEN 'nothing_to_shorten' END AS skipped FROM g"""
+
 ORACLES = {
+    "turn_records": _q("""SELECT session_id, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY idx) AS turn, COALESCE((SELECT arg_max(u.content, u.idx) FROM v_msg u WHERE u.session_id = m.session_id AND u.idx < m.idx AND u.role = 'user'), '')[1:500] AS user_msg,
+  content AS response, length(content) AS output_tokens, CASE WHEN idx % 2 = 1 OR idx = 0 THEN idx * 2.0e0 ELSE idx * 1.5e0 END AS latency_ms FROM v_msg m WHERE role = 'assistant'""", "v_msg"),
+    "stripped_calls": _q(_LEAKING, "v_msg"),
+    "solo_statistics": _q(_SOLO, "v_tooled"),
+    "yaml_values": r"""SELECT page_id, CASE WHEN regexp_matches(v, '[:''"#\\]') THEN '"' || replace(replace(v, '\', '\\'), '"', '\"') || '"' ELSE v END AS value,
+  COALESCE(CAST(NULLIF(regexp_extract(split_part(n, '.', 1), '^([0-9]*)', 1), '') AS BIGINT), 0) > 0 OR COALESCE(CAST(NULLIF(split_part(n, '.', 2), '') AS BIGINT), 0) > 0 OR COALESCE(CAST(NULLIF(split_part(n, '.', 3), '') AS BIGINT), 0) >= 5 AS newer
+  FROM (SELECT page_id, regexp_extract(url, '[^/]*$', 0) AS v, regexp_replace(url, '[^0-9.]+', '', 'g') AS n FROM pages)""",
     "file_outline": _q(_OUTLINE + " SELECT session_id, path, line, kind, name FROM outline", "v_file"),
     "focus_range": _q(_OUTLINE + _FOCUS, "v_file"),
     "budget_fill": _q(_FILL + " SELECT session_id, pos, fact_id FROM fill", "v_score", recursive=True),

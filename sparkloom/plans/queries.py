@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import content as C
+from ..functions import markup as M
 from ..functions import phrasing as P
 from ..functions import rendering as R
 from ..functions import text as T
@@ -138,6 +140,21 @@ def _failing_runs(s, d, flag):
     return _flag_runs(s, d, flag).withColumn("error", F.when(F.expr("quantity % 5 = 0"), "x"))
 
 
+def _turn_traces(s, d):
+    """A trace for each answer, with the messages before it."""
+    m = A.messages(s, d)
+    before = F.array_sort(F.collect_list(F.struct("idx", "role", "content")).over(Window.partitionBy("session_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)))
+    rows = m.withColumn("messages", F.transform(before, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))).where("role = 'assistant'")
+    return rows.select("session_id", F.col("idx").alias("turn_number"), "messages", F.col("content").alias("response"), F.char_length("content").cast("long").alias("output_tokens"), F.when(F.expr("idx % 2 = 1"), 0.0).otherwise(F.col("idx") * 1.5).alias("upstream_ms"), (F.col("idx") * 2.0).alias("assembly_ms"))
+
+
+def _leaking(s, d):
+    """Answers, some with markup of calls in them."""
+    c, k = F.col("content"), F.expr("(session_id + idx) % 4")
+    leak = F.when(k == 0, F.concat(c, F.lit(M.TAIL + "x>"))).when(k == 1, F.concat(F.lit("<tool_call>{}</tool_call>"), c, F.lit(M.BLOCKS[0][0] + "a" + M.BLOCKS[0][1] + " \n"))).when(k == 2, F.concat(F.lit("<tool_call>"), c)).otherwise(c)
+    return A.messages(s, d).where("role = 'assistant'").select("session_id", "idx", leak.alias("content"))
+
+
 def _path_refs(s, d):
     """References between files, written in one of five ways."""
     ups = F.concat(F.lit("./"), F.expr("repeat('../', length(src) - length(replace(src, '/', '')))"), F.col("dst"))
@@ -236,6 +253,10 @@ def _system_prompts(s, d):
 
 
 QUERIES = {
+    "turn_records": lambda s, d: messages.turn_records(_turn_traces(s, d)),
+    "stripped_calls": lambda s, d: _leaking(s, d).select("session_id", "idx", M.strip_calls(F.col("content")).alias("text"), M.has_calls(F.col("content")).alias("leaks"), M.degraded(F.col("content"), F.char_length("content"), 300).alias("reason")),
+    "solo_statistics": lambda s, d: compression.solo_statistics(compression.solo(_tooled(s, d).withColumn("content", F.when((F.col("role") == "tool") & F.expr("session_id % 5 = 0"), F.concat(F.lit("same "), F.repeat(F.lit("x "), F.lit(60)))).otherwise(F.col("content"))), 3, 400, 200, 1000), 1000),
+    "yaml_values": lambda s, d: A.table(s, d, "pages").select("page_id", M.yaml_value(F.regexp_extract("url", "[^/]*$", 0)).alias("value"), M.at_least(F.regexp_replace("url", "[^0-9.]+", ""), F.lit("..5")).alias("newer")),
     "captured_answers": lambda s, d: stateful.captured(_payloads(s, d), 1000),
     "bounded_messages": lambda s, d: messages.bounded(_tooled(s, d), 100).select("session_id", "idx", "content", F.get("tool_calls", F.lit(0))["function"]["arguments"].alias("arguments")),
     "finished_requests": lambda s, d: messages.finished(A.traces(s, d).select(F.col("event_id").alias("request_id"), F.when(F.expr("turn_number % 2 = 0"), "user").otherwise("tool").alias("last_role"), F.when(F.col("failed"), "length").when(F.col("recall_used"), "stop").alias("finish_reason"))),
