@@ -41,6 +41,18 @@ def paired(a: DataFrame, b: DataFrame, key: str, value: str, error: str = "error
     return fine(a, "a").join(fine(b, "b"), key).select(key, "a", "b", (F.col("b") - F.col("a")).alias("change"))
 
 
+def arms(traces: DataFrame, arm: str, base: str) -> DataFrame:
+    """Turns, tokens, savings and modes of each arm (traces: arm, assembly_mode, input_tokens, output_tokens, savings_tokens), and its input beside that of the base arm."""
+    modes = traces.groupBy(arm, F.coalesce("assembly_mode", F.lit("unknown")).alias("mode")).agg(F.count("*").alias("n"))
+    modes = modes.groupBy(arm).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mode", "n"))), lambda m: F.concat(m["mode"], F.lit("="), m["n"].cast("string"))), ",").alias("modes"))
+    n = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
+    sums = traces.groupBy(arm).agg(F.count("*").alias("turns"), n("input_tokens"), n("output_tokens"), n("savings_tokens"))
+    other = sums.where(F.col(arm) == base).select(F.col("input_tokens").alias("base_tokens"))
+    ratio = F.round(F.col("savings_tokens") / F.greatest("input_tokens", F.lit(1)), 4)
+    out = sums.join(modes, arm).join(F.broadcast(other), how="left")  # one row
+    return out.select(arm, "turns", "input_tokens", "output_tokens", "savings_tokens", ratio.alias("savings_ratio"), "modes", F.round(F.col("input_tokens") / F.greatest("base_tokens", F.lit(1)), 4).alias("to_base"))
+
+
 def survivors(files: DataFrame, orders: dict[str, DataFrame], budgets: list[int]) -> DataFrame:
     """(strategy, budget, session_id, files, paths): which files (session_id, path, content) are left when a context is filled in each strategy's order (session_id, path, rank) under each budget of characters."""
     out = None

@@ -105,6 +105,30 @@ def dry_run(new: DataFrame, known: DataFrame) -> DataFrame:
     return a.join(b, "session_id", "left").select("session_id", "offered", F.coalesce("stored", F.lit(0)).alias("stored"))
 
 
+def dry_run_stages(new: DataFrame, known: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """What storing a batch would do, stage by stage: (session_id, offered, distinct, stored, invalidated, writes); nothing is stored.
+
+    new and known: facts (session_id, fact_id, content, pos, invalidated); descriptions (session_id, id, content) of facts that no longer hold. distinct: without exact copies of each other or of known facts; stored: without near ones
+    too; invalidated: known open facts that descriptions mean; writes: what is stored, and an edge from each to each that is invalidated.
+    """
+    exact = facts_.without_known(new, known)
+    kept = facts_.without_near_known(exact.select(*new.columns), known)
+    closed = facts_.best_match(descriptions, known).select("session_id", "fact_id").distinct()
+    count = lambda d, n: d.groupBy("session_id").agg(F.count("*").alias(n))
+    out = count(new, "offered")
+    for part in (count(exact, "distinct"), count(kept, "stored"), count(closed, "invalidated")):
+        out = out.join(part, "session_id", "left")
+    zero = {n: F.coalesce(n, F.lit(0)) for n in ("distinct", "stored", "invalidated")}
+    return out.withColumns(zero).withColumn("writes", F.col("stored") + F.col("invalidated") + F.col("stored") * F.col("invalidated"))
+
+
+def usage(calls: DataFrame) -> DataFrame:
+    """Model usage of each turn (session_id, turn, step, prompt_tokens, completion_tokens, cached_tokens, llm_calls), summed over its steps; missing numbers are 0, steps that made calls are named."""
+    n = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
+    named = F.array_join(F.array_sort(F.collect_set(F.when(F.coalesce("llm_calls", F.lit(0)) > 0, F.col("step")))), ",").alias("steps")
+    return calls.groupBy("session_id", "turn").agg(n("prompt_tokens"), n("completion_tokens"), n("cached_tokens"), n("llm_calls"), named)
+
+
 def recall_answer(facts: DataFrame, budget: int = 2000) -> DataFrame:
     """One text per session: its open facts within a token budget, most important first."""
     kept = facts_.budget_fill(facts, budget).join(facts, ["session_id", "fact_id"])

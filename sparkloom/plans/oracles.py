@@ -217,6 +217,11 @@ _SOLO = r""", m AS (SELECT session_id, idx, role, CASE WHEN role = 'tool' AND se
   SELECT session_id, strategies, CAST(saved_dedup AS BIGINT) AS saved_dedup, CAST(saved_shrink AS BIGINT) AS saved_shrink, CAST(saved_middle AS BIGINT) AS saved_middle, CAST(saved AS BIGINT) AS saved, CASE WHEN NOT enough THEN 'below_threshold_1000' WHEN strategies = '' THEN 'nothing_to_shorten' END AS skipped FROM g"""
 
 ORACLES = {
+    "turn_usage": _q("""SELECT session_id, CAST((turn_number - 1) // 4 AS BIGINT) AS turn, CAST(COALESCE(SUM(input_tokens) FILTER (NOT failed), 0) AS BIGINT) AS prompt_tokens, CAST(SUM(savings_tokens) AS BIGINT) AS completion_tokens, CAST(0 AS BIGINT) AS cached_tokens, COUNT(*) FILTER (recall_used) AS llm_calls,
+  COALESCE(string_agg(DISTINCT assembly_mode, ',') FILTER (recall_used), '') AS steps FROM v_trace GROUP BY 1, 2""", "v_trace"),
+    "arm_metrics": _q(""", a AS (SELECT *, CASE WHEN session_id % 2 = 0 THEN 'proxy' ELSE 'passthrough' END AS arm FROM v_trace), m AS (SELECT arm, string_agg(assembly_mode || '=' || n, ',' ORDER BY assembly_mode) AS modes FROM (SELECT arm, assembly_mode, COUNT(*) AS n FROM a GROUP BY 1, 2) GROUP BY 1),
+  s AS (SELECT arm, COUNT(*) AS turns, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens, CAST(SUM(CAST(FLOOR(latency_ms) AS BIGINT)) AS BIGINT) AS output_tokens, CAST(SUM(savings_tokens) AS BIGINT) AS savings_tokens FROM a GROUP BY 1)
+  SELECT s.arm, turns, input_tokens, output_tokens, savings_tokens, round(savings_tokens / CAST(GREATEST(input_tokens, 1) AS DOUBLE), 4) AS savings_ratio, modes, round(input_tokens / CAST((SELECT input_tokens FROM s WHERE arm = 'passthrough') AS DOUBLE), 4) AS to_base FROM s JOIN m ON m.arm = s.arm""", "v_trace"),
     "turn_records": _q("""SELECT session_id, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY idx) AS turn, COALESCE((SELECT arg_max(u.content, u.idx) FROM v_msg u WHERE u.session_id = m.session_id AND u.idx < m.idx AND u.role = 'user'), '')[1:500] AS user_msg,
   content AS response, length(content) AS output_tokens, CASE WHEN idx % 2 = 1 OR idx = 0 THEN idx * 2.0e0 ELSE idx * 1.5e0 END AS latency_ms FROM v_msg m WHERE role = 'assistant'""", "v_msg"),
     "stripped_calls": _q(_LEAKING, "v_msg"),
@@ -270,9 +275,9 @@ ORACLES = {
     "ceiling_phases": _q(_CEILING, "v_tooled"),
     "answered_calls": _q("""SELECT r.session_id, r.idx, r.tool_call_id, arg_max(c.name, c.idx) AS name, arg_max('src/' || (c.idx // 10), c.idx) AS path, MAX(c.idx) AS call_idx, r.content FROM v_tooled r
   JOIN (SELECT session_id, idx, call, CASE WHEN session_id % 2 = 0 THEN 'grep' ELSE 'read_file' END AS name FROM v_tooled WHERE call IS NOT NULL) c ON c.session_id = r.session_id AND c.call = r.tool_call_id WHERE r.role = 'tool' AND trim(r.content) <> '' GROUP BY r.session_id, r.idx, r.tool_call_id, r.content""", "v_tooled"),
-    "turn_eviction": _q(""", g AS (SELECT session_id, turn_number, created_at AS at, SUM(CASE WHEN epoch_us(created_at) - epoch_us(before) > 21600000000 THEN 1 ELSE 0 END) OVER o AS stay FROM (SELECT *, LAG(created_at) OVER o AS before FROM v_trace WINDOW o AS (PARTITION BY session_id ORDER BY created_at, turn_number)) WINDOW o AS (PARTITION BY session_id ORDER BY created_at, turn_number)),
-  r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, stay ORDER BY at DESC, turn_number DESC) AS k, MAX(stay) OVER (PARTITION BY session_id) AS last, MAX(at) OVER (PARTITION BY session_id, stay) AS until, MAX(at) OVER () AS now FROM g)
-  SELECT CAST(session_id AS VARCHAR) AS session_id, turn_number, epoch_us(at) AS at, CASE WHEN k > 3 THEN 'full' WHEN stay < last OR epoch_us(now) - epoch_us(until) > 21600000000 THEN 'idle' END AS why FROM r""", "v_trace"),
+    "turn_eviction": _q(""", g AS (SELECT session_id, turn_number, created_at, SUM(CASE WHEN epoch_us(created_at) - epoch_us(before) > 21600000000 THEN 1 ELSE 0 END) OVER o AS stay FROM (SELECT *, LAG(created_at) OVER o AS before FROM v_trace WINDOW o AS (PARTITION BY session_id ORDER BY created_at, turn_number)) WINDOW o AS (PARTITION BY session_id ORDER BY created_at, turn_number)),
+  r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, stay ORDER BY created_at DESC, turn_number DESC) AS k, MAX(stay) OVER (PARTITION BY session_id) AS last, MAX(created_at) OVER (PARTITION BY session_id, stay) AS until, MAX(created_at) OVER () AS now FROM g)
+  SELECT CAST(session_id AS VARCHAR) AS session_id, turn_number, epoch_us(created_at) AS "at", CASE WHEN k > 3 THEN 'full' WHEN stay < last OR epoch_us(now) - epoch_us(until) > 21600000000 THEN 'idle' END AS why FROM r""", "v_trace"),
     "neighbourhood": _q(""", e AS (SELECT 'session:' || session_id AS src, 'file:' || session_id || ':' || arg_max(path, last_updated_turn) AS dst FROM v_file GROUP BY session_id UNION SELECT 'session:' || session_id, 'fact:' || session_id || ':' || MAX(fact_id) FROM v_fact GROUP BY session_id
     UNION SELECT 'file:' || session_id || ':' || src, 'file:' || session_id || ':' || dst FROM v_edge UNION SELECT 'fact:' || session_id || ':' || new_id, 'fact:' || session_id || ':' || old_id FROM v_supersedes),
   w(node, hops) AS (SELECT DISTINCT src, CAST(0 AS BIGINT) FROM e WHERE starts_with(src, 'session:') UNION SELECT e.dst, hops + 1 FROM w JOIN e ON e.src = w.node WHERE hops < 60)

@@ -253,6 +253,11 @@ def _system_prompts(s, d):
 
 
 QUERIES = {
+    "turn_usage": lambda s, d: sessions.usage(A.traces(s, d).select("session_id", F.floor((F.col("turn_number") - 1) / 4).alias("turn"), F.col("assembly_mode").alias("step"), F.when(~F.col("failed"), F.col("input_tokens")).alias("prompt_tokens"), "savings_tokens", F.col("savings_tokens").alias("completion_tokens"), F.lit(None).cast("long").alias("cached_tokens"), F.when(F.col("recall_used"), 1).when(F.col("failed"), 0).alias("llm_calls"))),
+    "arm_metrics": lambda s, d: evals.arms(A.traces(s, d).withColumns({"arm": F.when(F.expr("session_id % 2 = 0"), "proxy").otherwise("passthrough"), "output_tokens": F.floor("latency_ms").cast("long")}), "arm", "passthrough"),
+    "dry_run_stages": lambda s, d: sessions.dry_run_stages(
+        _said_again(s, d).where("source_turn > 10").withColumn("pos", F.col("fact_id")), A.facts(s, d).where("source_turn <= 10").withColumn("pos", F.col("fact_id")), A.facts(s, d).where("source_turn = 3").select("session_id", F.col("fact_id").alias("id"), F.concat(F.lit("The "), F.col("content")).alias("content"))
+    ),
     "turn_records": lambda s, d: messages.turn_records(_turn_traces(s, d)),
     "stripped_calls": lambda s, d: _leaking(s, d).select("session_id", "idx", M.strip_calls(F.col("content")).alias("text"), M.has_calls(F.col("content")).alias("leaks"), M.degraded(F.col("content"), F.char_length("content"), 300).alias("reason")),
     "solo_statistics": lambda s, d: compression.solo_statistics(compression.solo(_tooled(s, d).withColumn("content", F.when((F.col("role") == "tool") & F.expr("session_id % 5 = 0"), F.concat(F.lit("same "), F.repeat(F.lit("x "), F.lit(60)))).otherwise(F.col("content"))), 3, 400, 200, 1000), 1000),
