@@ -11,16 +11,25 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import _shared, jaccard_join, langid, line_dedup, mixing, packing
 
+#: Rows and bytes of whole texts that go to Python at a time; fewer of them need less memory on either side.
+BATCH = {"maxRecordsPerBatch": "1000", "maxBytesPerBatch": "4194304"}
 #: A document whose best language is less probable than this is rejected.
 LEAST_SCORE = 0.4
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Let BATCH hold from now on: what a stage returns is worked out after the stage's function has ended."""
+    for name, value in BATCH.items():
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those with no clear language go.
 
     Null texts, empty ones and those without a letter go. With no labels to learn from, as in a table whose lang is null throughout, only these go. Very long texts are judged by all of their windows. Repeated rows are judged
     one by one, and alike. Null ids, sources and languages are no reason to go. Columns of any name are kept as they are. An empty table gives none.
     """
+    _small_batches(spark)
     net = langid.train(docs)
     text = F.col("text").cast("string")
     if not net.labels:
@@ -34,6 +43,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The first place of a run keeps it: that of the smallest doc_id, null ids last. Of repeated rows, those equal in id and text come out alike. Null and empty texts have no runs, and stay. Very long texts are cut
     like others. Columns of any name, `chunks_removed` among them, are kept as they are. An empty table gives none.
     """
+    _small_batches(spark)
     own = docs.toDF(*[c if c in ("doc_id", "text") else f"{i}_" for i, c in enumerate(docs.columns)])  # no name of the input meets one of the operator's
     out = line_dedup.dedup_runs(own).where((F.col("chunks_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*own.columns).toDF(*docs.columns)
@@ -44,6 +54,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of repeated rows one stays. Null texts, empty ones and those without words are like nothing else, and stay. Very long texts are compared as a whole. Columns of any name are kept as they are. An empty table gives none.
     """
+    _small_batches(spark)
     return jaccard_join.one_of_each(docs)
 
 
@@ -61,6 +72,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is its end mark alone. Very long texts are cut into pieces. Repeated rows are packed each by itself, null ids stay null. Other columns go. An empty table gives none.
     """
+    _small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
