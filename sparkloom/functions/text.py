@@ -15,20 +15,26 @@ _SPACE = r"[ \t\n\r\f\x0B]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\f\x0B"))
+
+
+def _bare(c: Column) -> Column:
+    """Lower case, outer space and then outer quotes off."""
+    return F.btrim(strip(F.lower(F.coalesce(c, F.lit("")))), F.lit("\"'`"))
+
+
+def _unclosed(c: Column) -> Column:
+    return F.rtrim(c, F.lit(".!?;:"))
 
 
 def normalise(c: Column) -> Column:
     """Lower case, outer space and quotes off, inner space to one blank, closing punctuation off."""
-    c = strip(F.lower(F.coalesce(c, F.lit(""))))
-    c = F.regexp_replace(c, "^[\"'`]+|[\"'`]+$", "")
-    c = F.regexp_replace(c, f"{_SPACE}+", " ")
-    return F.regexp_replace(c, "[.!?;:]+$", "")
+    return _unclosed(F.regexp_replace(_bare(c), f"{_SPACE}+", " "))
 
 
 def tokens(c: Column) -> Column:
     """The set of blank-separated words of the normalised text, as an array."""
-    return F.array_remove(F.array_distinct(F.split(normalise(c), " ")), "")
+    return F.array_remove(F.array_distinct(F.split(_unclosed(_bare(c)), f"{_SPACE}+")), "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -38,7 +44,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def content_hash(c: Column) -> Column:
-    return F.substring(F.sha2(normalise(c), 256), 1, 32)
+    """Hash of the normal form; declared as never null, or else each join on it filters by it first and makes it twice."""
+    return F.coalesce(F.substring(F.sha2(normalise(c), 256), 1, 32), F.lit(""))
 
 
 def identifiers(c: Column) -> Column:
