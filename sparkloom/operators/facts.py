@@ -66,12 +66,17 @@ def exact_duplicates(facts: DataFrame) -> DataFrame:
     return hashed.groupBy("session_id", "content_hash").agg(F.min("fact_id").alias("fact_id"), F.count("*").alias("copies"))
 
 
+def first_unknown(new: DataFrame, known: DataFrame) -> DataFrame:
+    """(session_id, content_hash, fact_id): the first new fact of each content that no known fact of the session has. Only ids and hashes are shuffled, once."""
+    side = lambda d, i: d.select("session_id", T.content_hash(F.col("content")).alias("content_hash"), i.alias("fact_id"), F.lit(d is known).alias("_known"))
+    both = side(new, F.col("fact_id")).union(side(known, F.lit(None)))
+    by = both.groupBy("session_id", "content_hash").agg(F.min("fact_id").alias("fact_id"), F.max("_known").alias("_known"))
+    return by.where(~F.col("_known") & F.col("session_id").isNotNull() & F.col("fact_id").isNotNull()).drop("_known")
+
+
 def without_known(new: DataFrame, known: DataFrame) -> DataFrame:
     """New facts whose content no known fact of the session has, the first of each."""
-    new = new.withColumn("content_hash", T.content_hash(F.col("content")))
-    old = known.select("session_id", T.content_hash(F.col("content")).alias("content_hash")).distinct()
-    first = new.groupBy("session_id", "content_hash").agg(F.min("fact_id").alias("fact_id"))
-    return new.join(first, ["session_id", "content_hash", "fact_id"], "left_semi").join(old, ["session_id", "content_hash"], "left_anti")
+    return new.withColumn("content_hash", T.content_hash(F.col("content"))).join(first_unknown(new, known), ["session_id", "content_hash", "fact_id"], "left_semi")
 
 
 def token_keys(c: Column) -> Column:
@@ -80,23 +85,41 @@ def token_keys(c: Column) -> Column:
     return F.sort_array(F.transform(T.tokens(c), one))
 
 
-def token_pairs(left: DataFrame, right: DataFrame, keys: list[str], least: float, strict: bool = False) -> DataFrame:
-    """Pairs (keys, a, b, similarity) of left and right (keys, id, content) with token Jaccard at or above `least`.
+def token_pairs(left: DataFrame, right: DataFrame, keys: list[str], least: float, strict: bool = False, when: Column | None = None, asks: Column | None = None, most: int = 512) -> DataFrame:
+    """Pairs (keys, a, b, similarity) of left and right (keys, id, content) with token Jaccard at or above `least`, and for which `when` (of a and b) holds; `asks` (of a) may name the left facts that it can hold for.
+
+    Groups of up to `most` facts on both sides together are joined by their keys alone: a pair's sizes are compared first, then its common tokens are counted within the join, so each fact's tokens
+    are shuffled once and no candidate is. Larger groups go by a prefix filter, so their work doesn't grow with the square of the group.
 
     Prefix filter: with tokens in one order, a pair at or above `least` shares one of the first n - ceil(least * n) + 1 tokens of each side. The order is that of token_keys(), so
-    short words, which very many facts hold, come last and make no candidates, and no counts have to be made. Only these prefixes are shuffled, and then the tokens of the pairs that share one.
+    short words, which very many facts hold, come last and make few candidates, and no counts have to be made. Only these prefixes are shuffled, and then the tokens of the pairs that share one.
     """
-    side = lambda d, i, t: d.select(*keys, F.col("id").alias(i), token_keys(F.col("content")).alias(t))
-    left, right = side(left, "a", "ta"), side(right, "b", "tb")
+    large = left.select(*keys).union(right.select(*keys)).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*keys)
+    large = F.broadcast(large)  # keys alone, one for more than `most` facts
+
+    def sides(how: str, tokens: Column) -> tuple[DataFrame, DataFrame]:
+        one = lambda d: d.select(*keys, "id", "content").join(large, keys, how).select(*keys, "id", tokens.alias("t"))
+        a = one(left)
+        b = a if right is left else one(right)  # of one frame with itself, Spark makes and shuffles the tokens once
+        return a.withColumnsRenamed({"id": "a", "t": "ta"}), b.withColumnsRenamed({"id": "b", "t": "tb"})
+
+    # rounding must lose no pair that lies at the threshold itself; similarity decides
+    fits = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-6
+    when = F.lit(True) if when is None else when
+
+    a, b = sides("left_anti", F.transform(T.tokens(F.col("content")), lambda w: F.xxhash64(w)))
+    na, nb, k = F.size("ta"), F.size("tb"), F.size(F.array_intersect("ta", "tb"))
+    enough = F.greatest(k, F.lit(0)) + 1e-6 >= F.greatest((na + nb) * (least / (1 + least)), F.lit(1.0))
+    few = a.join(b, keys).where(when & fits(na, nb) & enough).select(*keys, "a", "b", (k.cast("double") / (na + nb - k)).alias("similarity"))
 
     def prefix(d: DataFrame, i: str, t: str) -> DataFrame:
-        most = F.size(t) - F.ceil(F.lit(least) * F.size(t)).cast("int") + 1
-        return d.where(F.size(t) > 0).select(*keys, i, F.size(t).alias(f"n{i}"), F.explode(F.slice(t, F.lit(1), most)).alias("word"))
+        first = F.size(t) - F.ceil(F.lit(least) * F.size(t) - 1e-6).cast("int") + 1
+        return d.where(F.size(t) > 0).select(*keys, i, F.size(t).alias(f"n{i}"), F.explode(F.slice(t, F.lit(1), F.least(first, F.size(t)))).alias("word"))
 
-    size = F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")
-    near = prefix(left, "a", "ta").join(prefix(right, "b", "tb"), [*keys, "word"]).where(size).select(*keys, "a", "b").distinct()
-    both = near.join(left, [*keys, "a"]).join(right, [*keys, "b"]).withColumn("similarity", T.jaccard(F.col("ta"), F.col("tb")))
-    return both.where(F.col("similarity") > least if strict else F.col("similarity") >= least).select(*keys, "a", "b", "similarity")
+    a, b = sides("left_semi", token_keys(F.col("content")))
+    near = prefix(a if asks is None else a.where(asks), "a", "ta").join(prefix(b, "b", "tb"), [*keys, "word"]).where(when & fits(F.col("na"), F.col("nb"))).select(*keys, "a", "b").distinct()
+    many = near.join(a, [*keys, "a"]).join(b, [*keys, "b"]).select(*keys, "a", "b", T.jaccard(F.col("ta"), F.col("tb")).alias("similarity"))
+    return few.union(many).where(F.col("similarity") > least if strict else F.col("similarity") >= least)
 
 
 def best_match(descriptions: DataFrame, facts: DataFrame, least: float = 0.6) -> DataFrame:
@@ -110,7 +133,7 @@ def best_match(descriptions: DataFrame, facts: DataFrame, least: float = 0.6) ->
 def near_duplicates(facts: DataFrame, more_than: float = 0.85) -> DataFrame:
     """Pairs of facts of a session whose token Jaccard lies above the threshold."""
     side = facts.select("session_id", F.col("fact_id").alias("id"), "content")
-    return token_pairs(side, side, ["session_id"], more_than, strict=True).where("a < b").select("session_id", "a", "b", "similarity")
+    return token_pairs(side, side, ["session_id"], more_than, strict=True, when=F.col("a") < F.col("b")).select("session_id", "a", "b", "similarity")
 
 
 def without_near_known(new: DataFrame, known: DataFrame, more_than: float = 0.85) -> DataFrame:
@@ -119,11 +142,15 @@ def without_near_known(new: DataFrame, known: DataFrame, more_than: float = 0.85
     Whether a fact stays in the batch hangs on which earlier ones stayed. So in each round those stay of whose earlier near-duplicates none is undecided or stays, and
     those go of which one stays; there are as many rounds as the longest chain of near-duplicates is long.
     """
-    side = lambda d: d.select("session_id", F.col("fact_id").alias("id"), "content")
-    pos = new.select("session_id", F.col("fact_id").alias("id"), "pos")
-    pairs = token_pairs(side(new), side(new), ["session_id"], more_than, strict=True)
-    pairs = pairs.join(pos.withColumnsRenamed({"id": "a", "pos": "pa"}), ["session_id", "a"]).join(pos.withColumnsRenamed({"id": "b", "pos": "pb"}), ["session_id", "b"]).where("pa < pb")
-    left = cut(pairs.select("session_id", "a", "b"))
+    null = lambda d, c: F.lit(None).cast(d.schema[c].dataType).alias(c)
+    a = new.select("session_id", F.struct(F.lit(False).alias("known"), "pos", "fact_id", null(known, "fact_id").alias("old_id")).alias("id"), "content")
+    b = known.select("session_id", F.struct(F.lit(True).alias("known"), null(new, "pos"), null(new, "fact_id"), F.col("fact_id").alias("old_id")).alias("id"), "content")
+    # both kinds of pairs from one join of one frame with itself, so no text is read or cut into tokens twice
+    both = a.union(b)
+    when = F.when(F.col("b.known"), ~F.col("a.known")).otherwise(F.col("a.pos") < F.col("b.pos"))
+    pairs = token_pairs(both, both, ["session_id"], more_than, strict=True, when=when, asks=~F.col("a.known"))
+    pairs = cut(pairs.select("session_id", F.col("a.fact_id").alias("a"), F.col("b.fact_id").alias("b"), F.col("b.known").alias("known")))
+    left = pairs.where("not known").select("session_id", "a", "b")
     gone = None
     while left.head(1):
         later = left.select("session_id", F.col("b").alias("a")).distinct()
@@ -134,9 +161,8 @@ def without_near_known(new: DataFrame, known: DataFrame, more_than: float = 0.85
         left = cut(left.join(over.withColumnRenamed("x", "b"), ["session_id", "b"], "left_anti").join(over.withColumnRenamed("x", "a"), ["session_id", "a"], "left_anti"))
     if gone is None:
         gone = left.select("session_id", "b")
-    kept = new.join(gone.withColumnRenamed("b", "fact_id"), ["session_id", "fact_id"], "left_anti")
-    outer = token_pairs(side(kept), side(known), ["session_id"], more_than, strict=True).select("session_id", F.col("a").alias("fact_id")).distinct()
-    return kept.join(outer, ["session_id", "fact_id"], "left_anti")
+    out = gone.withColumnRenamed("b", "fact_id").union(pairs.where("known").select("session_id", "a")).distinct()
+    return new.join(out, ["session_id", "fact_id"], "left_anti")
 
 
 def invalidate(facts: DataFrame, ids: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import schemas
@@ -97,6 +98,57 @@ def test_token_pairs_match_all_pairs(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [0, 30, 512])
+@pytest.mark.parametrize("least", [0.55, 0.6, 0.85])
+def test_token_pairs_of_small_and_large_groups(spark, most, least):
+    rng = random.Random(5)
+    rows = [(i % 3 if i % 2 else 0, i, " ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 9)))) for i in range(90)]
+    rows += [(0, 100, " ".join(map(str, range(100)))), (0, 101, " ".join(map(str, range(55)))), (0, 102, None)]
+    df = spark.createDataFrame(rows, "session_id long, id long, content string")
+    sets = {i: set((t or "").split()) for _, i, t in rows}
+    near = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+    want = {(a, b): near(a, b) for sa, a, _ in rows for sb, b, _ in rows if sa == sb and a < b and near(a, b) >= least}
+    got = facts.token_pairs(df, df, ["session_id"], least, when=F.col("a") < F.col("b"), most=most).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.similarity for r in got} == want
+    half = df.where("id % 2 = 0")
+    got = facts.token_pairs(half, df, ["session_id"], least, most=most, strict=True).collect()
+    assert {(r.a, r.b) for r in got} == {(a, b) for sa, a, _ in rows for sb, b, _ in rows if sa == sb and a % 2 == 0 and near(a, b) > least}
+
+
+def test_token_pairs_of_small_groups_make_no_candidates(spark):
+    """Two hundred texts with the same long words and unlike short ones: nothing but the texts themselves goes through a shuffle."""
+    long = " ".join(f"everywhere{i}" for i in range(10))
+    rows = [(i // 40, i, long + " " + " ".join(f"{i}x{j}" for j in range(30))) for i in range(200)]
+    df = spark.createDataFrame(rows, "session_id long, id long, content string")
+    near = facts.token_pairs(df, df, ["session_id"], 0.85, strict=True, when=F.col("a") < F.col("b"))
+    assert near.count() == 0
+    near.collect()
+    final = near._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "word" not in final
+
+
+def test_batch_near_duplicates_in_large_sessions(spark, monkeypatch):
+    """The same facts stay whether a session is joined by its key or by prefixes."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    text = lambda: " ".join(w for w in words if rng.random() > 0.06)
+    new = [(i % 2, i, text(), i) for i in range(40)]
+    known = [(i % 2, i, text()) for i in range(20, 24)]  # ids of a store of their own
+    sets = {("n", i): set(t.split()) for _, i, t, _ in new} | {("k", i): set(t.split()) for _, i, t in known}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.85
+    kept = []
+    for s, i, _, _ in new:
+        if not any(near(("n", i), ("n", j)) for t, j in kept if t == s):
+            kept.append((s, i))
+    want = sorted(i for s, i in kept if not any(near(("n", i), ("k", j)) for t, j, _ in known if t == s))
+    new = spark.createDataFrame(new, "session_id long, fact_id long, content string, pos long")
+    known = spark.createDataFrame(known, "session_id long, fact_id long, content string")
+    pairs = facts.token_pairs
+    for most in (512, 0):
+        monkeypatch.setattr(facts, "token_pairs", lambda *a, **b: pairs(*a, **b, most=most))
+        assert sorted(r.fact_id for r in facts.without_near_known(new, known).collect()) == want
+
+
 def test_budget_fill_skips_anchors_and_stops_at_others(spark):
     rows = [(1, "s", 1, "x" * 400, "goal", 0.9, False), (2, "s", 1, "short", "goal", 0.9, False), (3, "s", 2, "x" * 40, "error", 0.9, False), (4, "s", 2, "x" * 4000, "error", 0.5, False), (5, "s", 2, "y", "observation", 0.1, False)]
     f = spark.createDataFrame(rows, "fact_id long, session_id string, source_turn long, content string, fact_type string, confidence double, invalidated boolean")
