@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import facts as facts_
+from .lineage import cut
 
 
 def recent(sessions: DataFrame, messages: DataFrame, most: int) -> DataFrame:
@@ -99,7 +100,7 @@ def promotion_stats(facts: DataFrame) -> DataFrame:
 
 def dry_run(new: DataFrame, known: DataFrame) -> DataFrame:
     """What storing a batch would do, by session; nothing is stored."""
-    kept = facts_.without_known(new, known)
+    kept = facts_.first_unknown(new, known)
     a = new.groupBy("session_id").agg(F.count("*").alias("offered"))
     b = kept.groupBy("session_id").agg(F.count("*").alias("stored"))
     return a.join(b, "session_id", "left").select("session_id", "offered", F.coalesce("stored", F.lit(0)).alias("stored"))
@@ -111,8 +112,8 @@ def dry_run_stages(new: DataFrame, known: DataFrame, descriptions: DataFrame) ->
     new and known: facts (session_id, fact_id, content, pos, invalidated); descriptions (session_id, id, content) of facts that no longer hold. distinct: without exact copies of each other or of known facts; stored: without near ones
     too; invalidated: known open facts that descriptions mean; writes: what is stored, and an edge from each to each that is invalidated.
     """
-    exact = facts_.without_known(new, known)
-    kept = facts_.without_near_known(exact.select(*new.columns), known)
+    exact = cut(facts_.first_unknown(new, known).select("session_id", "fact_id"))
+    kept = facts_.without_near_known(new.join(exact.hint("shuffle_hash"), ["session_id", "fact_id"], "left_semi"), known)
     closed = facts_.best_match(descriptions, known).select("session_id", "fact_id").distinct()
     count = lambda d, n: d.groupBy("session_id").agg(F.count("*").alias(n))
     out = count(new, "offered")
