@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text as T
 from sparkloom.operators import evals, facts, files, messages
 from sparkloom.streaming import stateful
 
@@ -88,3 +89,13 @@ def test_nearest_by_blocks_against_brute_force(spark, monkeypatch):
             want |= {(q, k): i for k, (s, i) in enumerate(best, 1) if -s > 0.05}
     got = ranking.semantic_top(spark.createDataFrame(rows, "id long, embedding array<double>"), spark.createDataFrame(queries, "query_id long, embedding array<double>"), 5)
     assert {(r.query_id, r.rank): r.id for r in got.collect()} == want
+
+
+def test_joins_on_a_content_hash_make_it_once(spark):
+    """A hash that may be null is filtered by before each join on it, and so is made twice; and a batch is hashed for one aggregation, without a join."""
+    new = spark.createDataFrame([(1, 1, " 'A  b.'"), (1, 2, "a\tB"), (1, 3, None), (2, 4, "c!"), (None, 5, "d")], "session_id long, fact_id long, content string")
+    known = spark.createDataFrame([(2, 9, "C")], "session_id long, fact_id long, content string")
+    got = facts.first_unknown(new, known)
+    assert not new.select(T.content_hash(F.col("content")).alias("h")).schema["h"].nullable
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.fact_id for r in got.collect()) == sorted(r.fact_id for r in facts.without_known(new, known).collect()) == [1, 3]
