@@ -79,18 +79,25 @@ def sweep(runs: DataFrame) -> DataFrame:
     return runs.groupBy("arm").agg(F.count_if("complete").alias("complete"), F.count_if(~F.col("complete")).alias("failed"), F.percentile(own, F.lit(0.5)).alias("median"), F.max(own).alias("largest"), F.avg(own).alias("mean"))
 
 
-def truth_overlap(facts: DataFrame, truth: DataFrame) -> DataFrame:
-    """For each ground truth (turn, truth_id, content) the largest share of its words in one fact (turn, id, content) of its turn, and whether that covers it.
+def _common_words(facts: DataFrame, truth: DataFrame, most: int = 256) -> DataFrame:
+    """(turn, id, truth_id, n, k): each truth's number n of words, and how many of them, at least one, a fact of its turn has.
 
-    Truths and facts meet on the words that they share, which are counted; no pair without a common word is made.
+    Facts and truths meet on their turn, and words are counted within the join: rows for single words would be many times as many as pairs. The truths of a turn with more
+    than `most` are dealt out in parts, each beside all facts of the turn.
     """
-    words = lambda c: F.transform(F.array_distinct(F.filter(F.split(T.normalise(c), " "), lambda w: F.char_length(w) > 2)), lambda w: F.xxhash64(w))
-    t = truth.select("turn", "truth_id", words(F.col("content")).alias("tw"))
-    own = t.select("turn", "truth_id", F.size("tw").alias("n"), F.explode("tw").alias("word"))
-    other = facts.select("turn", "id", F.explode(words(F.col("content"))).alias("word"))
-    common = own.join(other, ["turn", "word"]).groupBy("turn", "truth_id", "id", "n").agg(F.count("*").alias("k"))
-    best = common.groupBy("turn", "truth_id").agg(F.max(F.col("k").cast("double") / F.col("n").cast("double")).alias("best"))
-    out = t.select("turn", "truth_id").join(best, ["turn", "truth_id"], "left").select("turn", "truth_id", F.coalesce("best", F.lit(0.0)).alias("overlap"))
+    words = F.transform(F.filter(T.tokens(F.col("content")), lambda w: F.char_length(w) > 2), lambda w: F.xxhash64(w))
+    parts = truth.groupBy("turn").agg(F.ceil(F.count("*") / most).alias("parts")).where("parts > 1")
+    dealt = lambda d: d.join(F.broadcast(parts), "turn", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    t = dealt(truth.select("turn", "truth_id", words.alias("tw"))).select("turn", F.pmod(F.xxhash64("truth_id"), "parts").alias("part"), "truth_id", "tw")
+    f = dealt(facts.select("turn", "id", words.alias("fw"))).select("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "id", "fw")
+    k = F.size(F.array_intersect("tw", "fw"))
+    return t.join(f, ["turn", "part"]).select("turn", "id", "truth_id", F.size("tw").alias("n"), k.alias("k")).where("k > 0")
+
+
+def truth_overlap(facts: DataFrame, truth: DataFrame) -> DataFrame:
+    """For each ground truth (turn, truth_id, content) the largest share of its words in one fact (turn, id, content) of its turn, and whether that covers it."""
+    best = _common_words(facts, truth).groupBy("turn", "truth_id").agg(F.max(F.col("k").cast("double") / F.col("n").cast("double")).alias("best"))
+    out = truth.select("turn", "truth_id").join(best, ["turn", "truth_id"], "left").select("turn", "truth_id", F.coalesce("best", F.lit(0.0)).alias("overlap"))
     return out.withColumn("matched", F.col("overlap") >= 0.5)
 
 
@@ -101,12 +108,8 @@ def audit(overlaps: DataFrame) -> DataFrame:
 
 
 def noise(facts: DataFrame, truth: DataFrame, least: float = 0.4) -> DataFrame:
-    """Whether a fact (turn, id, content) is noise: no truth (turn, truth_id, content) of its turn has so large a share of its words in it. They meet on common words alone."""
-    words = lambda c: F.transform(F.array_distinct(F.filter(F.split(T.normalise(c), " "), lambda w: F.char_length(w) > 2)), lambda w: F.xxhash64(w))
-    t = truth.select("turn", "truth_id", words(F.col("content")).alias("tw")).select("turn", "truth_id", F.size("tw").alias("n"), F.explode("tw").alias("word"))
-    f = facts.select("turn", "id", F.explode(words(F.col("content"))).alias("word"))
-    common = f.join(t, ["turn", "word"]).groupBy("turn", "id", "truth_id", "n").agg(F.count("*").alias("k"))
-    signal = common.where(F.col("k") >= F.col("n") * least).select("turn", "id", F.lit(False).alias("noise")).distinct()
+    """Whether a fact (turn, id, content) is noise: no truth (turn, truth_id, content) of its turn has so large a share of its words in it."""
+    signal = _common_words(facts, truth).where(F.col("k") >= F.col("n") * least).select("turn", "id", F.lit(False).alias("noise")).distinct()
     return facts.select("turn", "id").join(signal, ["turn", "id"], "left").select("turn", "id", F.coalesce("noise", F.lit(True)).alias("noise"))
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +122,23 @@ def test_costs_and_gates_of_nothing(spark):
     assert {r.id: r.noise for r in noise.collect()} == {1: False, 2: True, 3: True}
     gate = evals.audit_gates(spark.createDataFrame([(True,)], "parsed boolean"), spark.createDataFrame([], "matched boolean"), noise).first()
     assert (gate.parse_rate, gate.accuracy, gate.passes) == (1.0, 0.0, False)
+
+
+def test_words_are_counted_by_pairs_of_a_turn(spark):
+    """Overlap and noise equal brute force, also where a turn's truths are dealt out in parts, and no row is made for a single word."""
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon", "is"]) for _ in range(rng.randint(0, 6)))
+    fact, truth = [(i % 4, i, text()) for i in range(40)], [(i % 3, i, text()) for i in range(60)]
+    f = spark.createDataFrame(fact, "turn long, id long, content string")
+    t = spark.createDataFrame(truth, "turn long, truth_id long, content string")
+    words = lambda c: {w for w in c.split() if len(w) > 2}
+    want = {(a, i, j): (len(words(y)), len(words(x) & words(y))) for a, i, x in fact for b, j, y in truth if a == b and words(x) & words(y)}
+    for most in (256, 3):
+        pairs = evals._common_words(f, t, most)
+        got = pairs.collect()
+        assert len(got) == len(want) and {(r.turn, r.id, r.truth_id): (r.n, r.k) for r in got} == want
+    best = {j: max([k / n for (_, _, h), (n, k) in want.items() if h == j], default=0.0) for _, j, _ in truth}
+    assert {r.truth_id: r.overlap for r in evals.truth_overlap(f, t).collect()} == best
+    heard = {i for (_, i, _), (n, k) in want.items() if k >= n * 0.4}
+    assert {r.id for r in evals.noise(f, t).collect() if not r.noise} == heard
+    assert "word#" not in evals.truth_overlap(f, t)._jdf.queryExecution().optimizedPlan().toString()
