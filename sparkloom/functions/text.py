@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ STOP_WORDS = [
 _SPACE = r"[ \t\n\r\f\x0B]"
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of c, which is computed once however often `use` names it; within lambdas Spark computes each mention anew."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\n\r\f\x0B"))
 
@@ -34,7 +41,10 @@ def normalise(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """The set of blank-separated words of the normalised text, as an array."""
-    return F.array_remove(F.array_distinct(F.split(_unclosed(_bare(c)), f"{_SPACE}+")), "")
+    c = _unclosed(_bare(c))
+    for space in "\t\n\r\f\x0B":  # plain replacements, and a split at a plain blank, take a fraction of a pattern's time
+        c = F.replace(c, F.lit(space), F.lit(" "))
+    return F.array_remove(F.array_distinct(F.split(c, " ")), "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -140,11 +150,10 @@ def head_and_tail(c: Column, most: int = 300) -> Column:
 
 def _between(c: Column, first: str, last: str) -> Column:
     """What stands between two marks, whatever their case; empty without both."""
-    low = F.lower(c)
-    start = F.instr(low, F.lit(first))
-    rest = F.substring(c, start + len(first), F.char_length(c))
-    end = F.instr(F.lower(rest), F.lit(last))
-    return F.when((start > 0) & (end > 0), F.substring(rest, F.lit(1), end - 1)).otherwise("")
+    def upto(rest: Column) -> Column:
+        return let(F.instr(F.lower(rest), F.lit(last)), lambda end: F.when(end > 0, F.substring(rest, F.lit(1), end - 1)).otherwise(""))
+
+    return let(F.instr(F.lower(c), F.lit(first)), lambda start: F.when(start > 0, let(F.substring(c, start + len(first), F.char_length(c)), upto)).otherwise(""))
 
 
 def environment(system: Column) -> Column:
@@ -160,15 +169,17 @@ def environment(system: Column) -> Column:
     one = lambda x: entry(name(F.trim(F.substring(x, F.lit(1), cut(x) - 1))), F.trim(F.substring(x, cut(x) + 1, F.char_length(x))))
     lines = F.filter(F.split(_between(c, "<env>", "</env>"), "\n"), lambda x: cut(x) > 1)
     fields = F.filter(F.transform(lines, one), lambda e: (e["k"] != "") & (e["v"] != ""))
+    none = F.array().cast(f"array<{pair}>")
+
+    def who(said: Column) -> Column:
+        # a name ends at punctuation, and is of words
+        named = lambda x: F.coalesce((x != "") & x.rlike(r"^\w[\w\s]*$") & said.rlike("[,.\u2014]"), F.lit(False))
+        return let(F.trim(F.split(said, "[,.\u2014]")[0]), lambda x: F.when(named(x), F.array(entry(F.lit("harness"), x))).otherwise(none))
+
     head = F.substring(c, 1, 500)
-    said = F.when(F.contains(F.lower(head), F.lit("you are ")), F.substring(head, F.instr(F.lower(head), F.lit("you are ")) + 8, F.char_length(head)))
-    agent = F.trim(F.split(said, "[,.\u2014]")[0])
-    # a name ends at punctuation, and is of words
-    named = F.coalesce((agent != "") & agent.rlike(r"^\w[\w\s]*$") & said.rlike("[,.\u2014]"), F.lit(False))
-    who = F.when(named, F.array(entry(F.lit("harness"), agent))).otherwise(F.array().cast(f"array<{pair}>"))
-    all_ = F.reverse(F.concat(who, fields))
-    keys = F.transform(all_, lambda e: e["k"])
-    return F.map_from_entries(F.filter(all_, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
+    said = let(F.instr(F.lower(head), F.lit("you are ")), lambda at: F.when(at > 0, F.substring(head, at + 8, F.char_length(head))))
+    last = lambda all_: let(F.transform(all_, lambda e: e["k"]), lambda keys: F.filter(all_, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
+    return F.map_from_entries(let(F.reverse(F.concat(let(said, who), fields)), last))
 
 
 def fingerprint(system: Column, first_user: Column) -> Column:

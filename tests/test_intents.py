@@ -142,3 +142,9 @@ def test_words_are_counted_by_pairs_of_a_turn(spark):
     heard = {i for (_, i, _), (n, k) in want.items() if k >= n * 0.4}
     assert {r.id for r in evals.noise(f, t).collect() if not r.noise} == heard
     assert "word#" not in evals.truth_overlap(f, t)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_environment_is_read_once(spark):
+    """The prompt's block is looked for once, not once for each of its fields' names."""
+    plan = spark.createDataFrame([("a",)], "a string").select(T.environment(F.col("a")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("</env>") == 1
