@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 
 def compressed_fact(c: Column, openings, shorter, needless, passes: int = 3) -> Column:
@@ -14,16 +16,18 @@ def compressed_fact(c: Column, openings, shorter, needless, passes: int = 3) ->
     openings and needless are patterns that go, at the start and anywhere; shorter are pairs of a pattern and what stands for it. All of them
     hang on how the facts were written, so the caller gives them.
     """
+    # the phrase is looked for first, as it rarely stands anywhere; only then what stands before it, which mustn't belong to the match before
+    at = lambda p: rf"(?i)(?={p})(?:^|(?<=\W)(?!\G)){p}"
     out = strip(F.coalesce(c, F.lit("")))
     for _ in range(passes):
         for p in openings:
             out = F.regexp_replace(out, f"(?i)^{p}", "")
     for p, r in shorter:
-        out = F.regexp_replace(out, rf"(?i)(^|\W){p}(?=\W|$)", "$1" + r.replace("$1", "$2"))
+        out = F.regexp_replace(out, at(p) + r"(?=\W|$)", r.replace("$1", f"${re.compile(p).groups + 1}"))
     for p in needless:
-        out = F.regexp_replace(out, rf"(?i)(^|\W){p}", "$1")
+        out = F.regexp_replace(out, at(p), "")
     out = F.regexp_replace(strip(F.regexp_replace(out, "  +", " ")), r"\.$", "")
-    return F.when(out == "", c).otherwise(F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1 << 30)))
+    return let(out, lambda x: F.when(x == "", c).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))))
 
 
 RECALL = ("do you remember", "as we discussed", "what did we decide", "earlier you said", "remind me")

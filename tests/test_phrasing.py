@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import phrasing as P
 from sparkloom.functions import rendering as R
+from sparkloom.functions import text as T
 from sparkloom.operators import rewriting, sessions
 from sparkloom.plans.queries import PHRASES
 
@@ -66,3 +67,28 @@ def test_budget_of_calls_skips_and_counts(spark):
     A, B = F.col("a"), F.col("b")  # noqa: F841, N806
     calls = spark.createDataFrame([("s", 1, i, t) for i, t in enumerate([3000, 2500, 1500, 400, 100, 1])], "session_id string, turn long, pos long, tokens long")
     assert tuple(sessions.reserved_calls(calls).first())[2:] == (4, 5000, "0,2,3,4")
+
+
+def test_phrases_that_touch_are_told_as_before(spark):
+    """Equal to replacing with what stands before a phrase as part of the match: what one match took is not before the next."""
+    import random
+
+    rng = random.Random(9)
+    parts = ["to be frank, ", "of course ", "in the event that", "A number of", " ", ",", "x", "xto be frank ", "\n", "é", "in the near future"]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randint(1, 9))),) for _ in range(400)]
+    d = spark.createDataFrame(rows, "a string")
+    openings, shorter, needless = ["(?:i|we) think that,? "], [("in the near future", "soon"), ("(a) number (of)", "$1 few"), ("in the event that", "if")], ["to be frank,? ", "of course,? "]
+    out = T.strip(F.col("a"))
+    for p, r in shorter:
+        out = F.regexp_replace(out, rf"(?i)(^|\W){p}(?=\W|$)", "$1" + r.replace("$1", "$2"))
+    for p in needless:
+        out = F.regexp_replace(out, rf"(?i)(^|\W){p}", "$1")
+    out = F.regexp_replace(T.strip(F.regexp_replace(out, "  +", " ")), r"\.$", "")
+    old = F.when(out == "", F.col("a")).otherwise(F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1 << 30)))
+    for r in d.select("a", old.alias("old"), P.compressed_fact(F.col("a"), openings, shorter, needless).alias("new")).collect():
+        assert r.old == r.new, r.a
+
+
+def test_what_is_shortened_is_made_once(spark):
+    plan = spark.createDataFrame([("a",)], "a string").select(P.compressed_fact(F.col("a"), [], [("utilise", "use")], []).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?=utilise)") == 1
